@@ -27,6 +27,7 @@ from marginalia.operators.state import (
 )
 from marginalia.plans.catalog import checked
 from marginalia.plans.derived import CRAWL_SQL, REPOS_SQL, STORE_SQL, crawl, repos, store, table
+from marginalia.session import cut_lineage
 
 _TARGET_SQL = f"""
 {STORE_SQL}, {CRAWL_SQL}, {REPOS_SQL},
@@ -102,19 +103,27 @@ def chunk_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    target, stored = _target(spark, sf_dir), store(spark, sf_dir)
-    moves = moves_of(classify_chunks(target, stored))
-    return target, stored, moves
+_NARROW = ["id", "checksum", "filepath", "chunk_id", "source_type", "github_url"]
 
 
-_NARROW = ["id", "checksum", "filepath", "chunk_id", "source_type", "github_url"]
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diff, computed once: several branches read it."""
+    return cut_lineage(classify_chunks(_target(spark, sf_dir), store(spark, sf_dir)))
+
+
+def _moved(spark: SparkSession, sf_dir: str, classified: DataFrame) -> DataFrame:
+    return apply_moves(store(spark, sf_dir).select(*_NARROW), moves_of(classified))
+
+
+def _deletes(spark: SparkSession, sf_dir: str, classified: DataFrame) -> DataFrame:
+    moved, scope = _moved(spark, sf_dir, classified), repos(spark, sf_dir)
+    target = _target(spark, sf_dir)
+    return ids_to_delete(find_orphans(moved, target, scope), find_stranded(moved, target, scope))
 
 
 @checked(f"with {_MOVED_SQL} select id, filepath, chunk_id, source_type, github_url from moved")
 def moved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, stored, moves = _moved(spark, sf_dir)
-    return apply_moves(stored.select(*_NARROW), moves).drop("checksum")
+    return _moved(spark, sf_dir, _classified(spark, sf_dir)).drop("checksum")
 
 
 @checked(
@@ -127,8 +136,8 @@ def repo_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @checked(f"with {_MOVED_SQL} select id from orphans")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, stored, moves = _moved(spark, sf_dir)
-    return find_orphans(apply_moves(stored.select(*_NARROW), moves), target, repos(spark, sf_dir))
+    moved = _moved(spark, sf_dir, _classified(spark, sf_dir))
+    return find_orphans(moved, _target(spark, sf_dir), repos(spark, sf_dir))
 
 
 @checked(
@@ -144,19 +153,13 @@ def stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @checked(f"with {_MOVED_SQL} select id from deletes")
 def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, stored, moves = _moved(spark, sf_dir)
-    moved = apply_moves(stored.select(*_NARROW), moves)
-    scope = repos(spark, sf_dir)
-    return ids_to_delete(find_orphans(moved, target, scope), find_stranded(moved, target, scope))
+    return _deletes(spark, sf_dir, _classified(spark, sf_dir))
 
 
 @checked(f"with {_MOVED_SQL} select id, checksum, filepath from store where id not in (select id from deletes)")
 def kept_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, stored, moves = _moved(spark, sf_dir)
-    moved = apply_moves(stored.select(*_NARROW), moves)
-    scope = repos(spark, sf_dir)
-    deletes = ids_to_delete(find_orphans(moved, target, scope), find_stranded(moved, target, scope))
-    return delete_by_ids(stored.select("id", "checksum", "filepath"), deletes)
+    deletes = _deletes(spark, sf_dir, _classified(spark, sf_dir))
+    return delete_by_ids(store(spark, sf_dir).select("id", "checksum", "filepath"), deletes)
 
 
 def _new_rows(chunks: DataFrame) -> DataFrame:
@@ -200,13 +203,12 @@ def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select * from kept where filepath not in (select filepath from fresh)"""
 )
 def next_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, stored, moves = _moved(spark, sf_dir)
-    moved = apply_moves(stored.select(*_NARROW), moves)
-    scope = repos(spark, sf_dir)
-    deletes = ids_to_delete(find_orphans(moved, target, scope), find_stranded(moved, target, scope))
-    classified = classify_chunks(target, stored).filter(F.col("action") == "new")
-    chunks = crawl(spark, sf_dir).join(classified.select("checksum", "filepath"), ["checksum", "filepath"], "left_semi")
-    return next_state(stored, moves, deletes, _new_rows(chunks)).select("filepath", "checksum", "source_type")
+    classified = _classified(spark, sf_dir)
+    deletes = cut_lineage(_deletes(spark, sf_dir, classified))
+    wanted = classified.filter(F.col("action") == "new").select("checksum", "filepath")
+    new = _new_rows(crawl(spark, sf_dir).join(wanted, ["checksum", "filepath"], "left_semi"))
+    state = next_state(store(spark, sf_dir), moves_of(classified), deletes, new)
+    return state.select("filepath", "checksum", "source_type")
 
 
 @checked(
@@ -250,12 +252,9 @@ def location_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
       (select count(*) from deletes) as deleted_chunks"""
 )
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target, stored, moves = _moved(spark, sf_dir)
     chunks = crawl(spark, sf_dir)
-    scope = repos(spark, sf_dir)
-    moved = apply_moves(stored.select(*_NARROW), moves)
-    deletes = ids_to_delete(find_orphans(moved, target, scope), find_stranded(moved, target, scope))
+    classified = _classified(spark, sf_dir)
     # The Spanish documents of the crawl hold nothing.
     empty = table(spark, sf_dir, "documents").filter(F.col("lang") == "es")
     documents = chunks.select("filepath").unionByName(empty.select(F.concat(F.lit("empty/"), "doc_id").alias("filepath")))
-    return run_stats(documents, chunks, classify_chunks(target, stored), deletes)
+    return run_stats(documents, chunks, classified, _deletes(spark, sf_dir, classified))

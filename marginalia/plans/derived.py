@@ -197,8 +197,8 @@ fields as (
   union all select id, 1, 0.4::double, regexp_extract_all(lower(content), '{WORD}') from store
   union all select id, 2, 0.2::double, regexp_extract_all(lower(contextual_text), '{WORD}') from store),
 shifted as (
-  select *, coalesce(sum(len(w)) over (partition by id order by f rows between unbounded preceding and 1 preceding), 0) as at
+  select *, coalesce(sum(len(w)) over (partition by id order by f rows between unbounded preceding and 1 preceding), 0) as shift_by
   from fields),
 postings as (
-  select id, unnest(w) as term, (at + generate_subscripts(w, 1))::integer as position, weight from shifted)
+  select id, unnest(w) as term, (shift_by + generate_subscripts(w, 1))::integer as position, weight from shifted)
 """

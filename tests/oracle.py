@@ -56,7 +56,10 @@ def compare(query, sql: str, spark, sf_dir: str) -> list[str]:
         wanted = TYPES.get(kinds[field[0]], kinds[field[0]])
         if wanted != field[1]:
             problems.append(f"{field[0]}: {field[1]} but SQL has {kinds[field[0]]}")
+    started = time.time()
     mine = sorted((repr(tuple(_plain(r[n]) for n in names)) for r in frame.select(*names).collect()))
+    if os.environ.get("ORACLE_TIMES"):
+        print(f"    spark rows in {time.time() - started:.1f}s")
     order = [relation.columns.index(n) for n in names]
     theirs = sorted(repr(tuple(_plain(r[i]) for i in order)) for r in relation.fetchall())
     if len(mine) != len(theirs):
