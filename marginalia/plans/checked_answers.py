@@ -1 +1,393 @@
-"""Checked queries."""
+"""Checked queries: questions, prompts, answers, model calls, change events."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.config import CallLimits, SearchDefaults
+from marginalia.functions.text import message_text
+from marginalia.operators.answers import (
+    NO_CONTEXT_ANSWER,
+    answer,
+    answer_fallback,
+    cited_rows,
+    parse_answers,
+    response_record,
+    retrieval_params,
+)
+from marginalia.operators.conversations import (
+    COMPLEX_WORDS,
+    DETAILED_WORDS,
+    answer_deltas,
+    classify_questions,
+    question_of_conversation,
+)
+from marginalia.operators.hybrid import with_chunks
+from marginalia.operators.model_calls import (
+    HashedWords,
+    chat_texts,
+    contextual_text,
+    doc_context,
+    entity_context,
+    estimate_call_tokens,
+    plan_requests,
+)
+from marginalia.operators.prompts import (
+    COMPLEX_GUIDANCE,
+    DEFAULT_SYSTEM_PROMPT,
+    DETAILED_GUIDANCE,
+    DOC_CONTEXT_SYSTEM_PROMPT,
+    SELECTION_RULES,
+    build_prompt,
+    context_blocks,
+    doc_context_prompt,
+    focused_context,
+)
+from marginalia.operators.vectors import vector_search
+from marginalia.plans.catalog import checked
+from marginalia.plans.checked_code import _LINES_SQL, _ts_files
+from marginalia.plans.checked_search import _DOC_HITS_SQL, _embedded_questions, _embedded_store
+from marginalia.plans.derived import store, table, texts
+from marginalia.operators.entities import extract_entities, file_outline
+from marginalia.operators.entity_chunks import chunk_entities
+from marginalia.streaming.streams import change_events, changed_repos, source_events
+
+_QUESTIONS_SQL = """
+questions as (
+  select conv_id, arg_max(text, turn) filter (where role = 'user') as question,
+    arg_min(text, turn) filter (where role = 'system') as system_prompt
+  from conversations group by conv_id having trim(coalesce(arg_max(text, turn) filter (where role = 'user'), '')) <> '')
+"""
+
+
+@checked(f"with {_QUESTIONS_SQL} select conv_id, question, system_prompt from questions")
+def last_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return question_of_conversation(table(spark, sf_dir, "conversations"))
+
+
+@checked(
+    """select conv_id, turn, case when role = 'user' then text || role when role = 'system' then '' else text end as message
+    from conversations"""
+)
+def message_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    parts = F.when(
+        F.col("role") == "user",
+        F.array(part("text", F.col("text")), part("image", F.lit("x")), part("text", F.lit(None)), part("text", F.col("role"))),
+    ).when(F.col("role") == "system", F.array(part("image", F.lit("y"))))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", message_text(F.col("text"), parts).alias("message")
+    )
+
+
+def _any_sql(column: str, groups: Sequence[str]) -> str:
+    return "(" + " or ".join(f"regexp_matches({column}, '(?i){g}')" for g in groups) + ")"
+
+
+@checked(
+    f"""select conv_id, turn, {_any_sql('text', COMPLEX_WORDS)} as is_complex,
+      length(trim(text)) > 500 or {_any_sql('text', DETAILED_WORDS)} as is_detailed
+    from conversations where role = 'user'"""
+)
+def question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return classify_questions(asked, "text").select("conv_id", "turn", "is_complex", "is_detailed")
+
+
+@checked(
+    """select conv_id as query_id, coalesce(case when n % 2 = 0 then n end, 10)::integer as match_count,
+      case when n > 4 then 0.5 else 0.2 end::double as similarity_threshold,
+      coalesce(case when n % 2 = 0 then n end, 10)::integer as keyword_match_count, n <> 3 as hybrid
+    from (select conv_id, count(*) as n from conversations group by 1)"""
+)
+def retrieval_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    asked = turns.select(
+        F.col("conv_id").alias("query_id"),
+        F.when(F.col("n") % 2 == 0, F.col("n")).alias("match_count"),
+        F.when(F.col("n") > 4, 0.5).alias("similarity_threshold"),
+        F.when(F.col("n") == 3, False).alias("hybrid"),
+    )
+    return retrieval_params(asked, SearchDefaults(keyword_match_count=None)).select(
+        "query_id", "match_count", "similarity_threshold", "keyword_match_count", "hybrid"
+    )
+
+
+_CONTEXT_SQL = f"""
+{_DOC_HITS_SQL},
+shown as (
+  select *, 'Source ' || rank || ': ' || filepath || '#' || chunk_id || ' (' || chunk_title || ')' || chr(10) || trim(contextual_text) as block,
+    rank || '. filepath: "' || filepath || '", chunkTitle: "' || chunk_title || '"' as listed
+  from doc_hits join store using (id)),
+contexts as (
+  select query_id, count(*)::integer as sources, string_agg(block, chr(10) || chr(10) order by rank) || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    || '{SELECTION_RULES}' || chr(10) || chr(10) || 'Available sources:' || chr(10) || string_agg(listed, chr(10) order by rank) as context
+  from shown group by 1)
+"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_search(_embedded_store(spark, sf_dir), _embedded_questions(spark, sf_dir), k=5, threshold=0.5)
+    return with_chunks(found.withColumnRenamed("vector_rank", "rank"), store(spark, sf_dir))
+
+
+@checked(f"with {_CONTEXT_SQL} select query_id, sources, context from contexts")
+def prompt_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_blocks(_hits(spark, sf_dir))
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@checked(
+    f"""with {_CONTEXT_SQL}
+    select item_id as query_id, {_lit(DEFAULT_SYSTEM_PROMPT)} as system, concat_ws(chr(10) || chr(10),
+      case when context is not null then 'Use the provided context to inform your response.' end, context,
+      case when length(trim(text)) > 500 or {_any_sql('text', DETAILED_WORDS)} then {_lit(DETAILED_GUIDANCE)} end,
+      case when {_any_sql('text', COMPLEX_WORDS)} then {_lit(COMPLEX_GUIDANCE)} end,
+      'User Request: ' || trim(text), 'Answer:') as prompt
+    from benchmark left join contexts on query_id = item_id"""
+)
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return build_prompt(questions, _hits(spark, sf_dir))
+
+
+@checked(
+    f"""with {_QUESTIONS_SQL} select conv_id as query_id, coalesce(system_prompt, {_lit(NO_CONTEXT_ANSWER)}) as answer from questions"""
+)
+def fallback_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = question_of_conversation(table(spark, sf_dir, "conversations")).withColumnRenamed("conv_id", "query_id")
+    known = asked.filter(F.col("system_prompt").isNotNull())
+    return answer_fallback(asked, known.select("query_id", F.col("system_prompt").alias("answer")))
+
+
+class CitingChat:
+    """Answers with the request itself and cites the first available source in upper case."""
+
+    def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
+        answers = []
+        for prompt in prompts_:
+            request = prompt.rsplit("User Request: ", 1)[1].rsplit("\n\nAnswer:", 1)[0]
+            first = prompt.rsplit("Available sources:\n", 1)[1].split("\n", 1)[0]
+            filepath = first.split('filepath: "', 1)[1].split('"', 1)[0]
+            title = first.split('chunkTitle: "', 1)[1].split('"', 1)[0]
+            cited = [{"filepath": filepath, "chunkTitle": title.upper()}, {"filepath": "none.mdx", "chunkTitle": ""}]
+            answers.append(json.dumps({"sources": cited, "answer": f"re: {request}"}))
+        return answers
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return answer(
+        questions,
+        _embedded_store(spark, sf_dir),
+        CitingChat(),
+        HashedWords(64),
+        defaults=SearchDefaults(match_count=5, similarity_threshold=0.5),
+    )
+
+
+@checked(
+    f"""with {_DOC_HITS_SQL} select item_id as query_id,
+      case when item_id in (select query_id from doc_hits) then 're: ' || trim(text) else {_lit(NO_CONTEXT_ANSWER)} end as answer, null::varchar as error
+    from benchmark"""
+)
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir)[0]
+
+
+@checked(
+    f"""with {_DOC_HITS_SQL} select query_id, rank, filepath, chunk_title, final_url from doc_hits join store using (id) where rank = 1"""
+)
+def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = _answered(spark, sf_dir)[1]
+    return sources.select("query_id", "rank", "filepath", "chunk_title", "final_url")
+
+
+@checked(
+    """select conv_id as query_id, '{"id":"chatcmpl-' || conv_id || '","object":"chat.completion","created":1704067200,"model":"m","choices":[{"index":0,"message":{"role":"assistant","content":"'
+      || n || ' turns"},"finish_reason":"stop"}],"usage":{"prompt_tokens":0,"completion_tokens":0,"total_tokens":0}}' as record
+    from (select conv_id, count(*) as n from conversations group by 1)"""
+)
+def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    answers = turns.select(F.col("conv_id").alias("query_id"), F.concat("n", F.lit(" turns")).alias("answer"))
+    return response_record(answers, "m", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+# Partial answers: each assistant text grows in four steps, the third of which adds nothing.
+@checked(
+    """with said as (select conv_id * 1000 + turn as answer_id, text, length(text) as n from conversations where role = 'assistant'),
+    steps as (
+      select answer_id, 1 as seq, substr(text, 1, n // 3) as delta from said
+      union all select answer_id, 2, substr(text, n // 3 + 1, n // 2 - n // 3) from said
+      union all select answer_id, 4, substr(text, n // 2 + 1) from said)
+    select answer_id, seq::bigint as seq, delta from steps where delta <> ''"""
+)
+def text_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    n = F.length("text")
+    steps = F.array(F.floor(n / 3), F.floor(n / 2), F.floor(n / 2), n.cast("long"))
+    partials = said.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "text", F.posexplode(steps).alias("i", "until")
+    ).select(
+        "answer_id",
+        (F.col("i") + 1).cast("long").alias("seq"),
+        F.substring(F.col("text"), F.lit(1), F.col("until").cast("int")).alias("answer"),
+    )
+    return answer_deltas(partials)
+
+
+@checked(
+    """with said as (select conv_id, turn, role, text from conversations)
+    select conv_id as answer_id, min(turn) as seq, role as filepath, 't' as "chunkTitle", null::varchar as url from said group by conv_id, role"""
+)
+def first_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.struct(
+        F.col("role").alias("filepath"), F.lit("t").alias("chunkTitle"), F.lit(None).cast("string").alias("url")
+    )
+    partials = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), F.array(source, source).alias("sources")
+    )
+    return source_events(partials)
+
+
+@checked(
+    """select doc_id, case when lang = 'en' then source || '---' || text when lang = 'fr' then text
+      else source || chr(10) || '---' || chr(10) || text end as contextual_text,
+      'Full file context:' || chr(10) || trim(source) || chr(10) || chr(10) || 'Focused chunk:' || chr(10) || lang as focused
+    from documents"""
+)
+def contextual_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "en", "doc").otherwise("code")
+    header = F.when(F.col("lang") == "fr", "  ").otherwise(F.concat(F.lit(" "), "source", F.lit(" ")))
+    return docs.select(
+        "doc_id",
+        contextual_text(kind, header, F.col("text")).alias("contextual_text"),
+        focused_context(F.col("lang"), F.concat(F.lit(" "), "source")).alias("focused"),
+    )
+
+
+_CALL_TOKENS = f"""ceil(length({_lit(DOC_CONTEXT_SYSTEM_PROMPT)}) / 4.0) + ceil((length(text) * 2
+  + length('Summarize how this chunk fits into the broader file.' || repeat(chr(10), 3) || 'Chunk Content:' || repeat(chr(10), 2) || 'Full File Content:' || chr(10) )) / 4.0) + 250"""
+_CALL_TOKENS_SQL = f"calls as (select doc_id as id, ({_CALL_TOKENS})::integer as tokens from documents)"
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompt = doc_context_prompt(F.col("text"), F.col("text"))
+    return texts(spark, sf_dir).select(
+        F.col("doc_id").alias("id"),
+        estimate_call_tokens(F.lit(DOC_CONTEXT_SYSTEM_PROMPT), prompt, "doc").alias("tokens"),
+    )
+
+
+@checked(f"with {_CALL_TOKENS_SQL} select id, tokens from calls")
+def call_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir)
+
+
+@checked(
+    f"""with {_CALL_TOKENS_SQL},
+    rowed as (select id % 4 as lane, id // 100 as block, tokens, (row_number() over (partition by id % 4, id // 100 order by id) - 1) // 3 as batch from calls),
+    batches as (select lane, block, batch, count(*) as items, least(sum(tokens), 22500) as tokens from rowed group by all),
+    used as (select *, sum(tokens) over w as used, row_number() over w - 1 as sent from batches
+      window w as (partition by lane order by block, batch rows unbounded preceding))
+    select lane::integer as lane, block, batch, items, tokens::bigint as tokens, greatest((used - 1) // 22500, sent // 5)::bigint as slot from used"""
+)
+def request_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_requests(_calls(spark, sf_dir), 20, 90_000, lanes=4, batch=3, block=100)
+
+
+class LengthChat:
+    """Answers with the length of each prompt; a batch of entities gets a numbered list."""
+
+    def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
+        answers = []
+        for prompt in prompts_:
+            count = prompt.count("\nEntity Name: ")
+            listed = "\n".join(f"{i + 1}. item {i + 1} of {count}" for i in range(count))
+            answers.append(listed or f" {len(prompt)} characters ")
+        return answers
+
+
+@checked(
+    """select doc_id, (length(text) + length(source) + length('Summarize how this chunk fits into the broader file.' || repeat(chr(10), 3) || 'Chunk Content:' || repeat(chr(10), 2) || 'Full File Content:' || chr(10))) || ' characters' as header
+    from documents"""
+)
+def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("filepath"), "source", "text")
+    chunks = docs.select("doc_id", "filepath", F.col("source").alias("content"))
+    documents = docs.select("filepath", F.col("text").alias("content"))
+    return doc_context(chunks, documents, LengthChat(), CallLimits(batch_size=16)).select("doc_id", "header")
+
+
+@checked(
+    f"""with {_LINES_SQL}, numbered as (select source || '/c' || doc_id || '.ts' as filepath, len(l) + 1 as n, unnest(range(0, len(l) + 1)) as i from docs)
+    select filepath, i::integer as chunk_id, 'item ' || (i % 5 + 1) || ' of ' || least(5, n - i // 5 * 5) as header from numbered"""
+)
+def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _ts_files(spark, sf_dir)
+    chunks = chunk_entities(extract_entities(files), 1_000_000).withColumnRenamed("chunk_index", "chunk_id")
+    described = entity_context(chunks, files.join(file_outline(files), "filepath"), LengthChat(), limits=CallLimits(batch_size=16))
+    return described.select("filepath", "chunk_id", "header")
+
+
+class FragileChat:
+    """Fails on texts of src3."""
+
+    def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
+        if any(text.startswith("src3 ") for text in prompts_):
+            raise ValueError("refused")
+        return [str(len(text)) for text in prompts_]
+
+
+@checked("select doc_id as id, case when source = 'src3' then 'refused' end as error from documents")
+def call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A failing call marks its own rows only, after its retries."""
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "text").alias("text"))
+    # One row per request, so that no other row shares a failing request.
+    limits = CallLimits(batch_size=1, retries=1)
+    called = docs.withColumn("_c", chat_texts(F.lit(""), F.col("text"), FragileChat(), limits, wait=0.0))
+    return called.select("id", "_c.error")
+
+
+@checked("select event_type || ':' || user_id as label, count(*) as events from events where event_type <> 'view' group by 1")
+def change_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views stand for pings."""
+    events = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") == "view", "ping").otherwise(F.col("event_type")).alias("kind"),
+        F.col("user_id").cast("string").alias("repo"),
+    )
+    labelled = change_events(events).withColumn("label", F.concat_ws(":", "kind", "repo"))
+    return labelled.groupBy("label").agg(F.count("trigger").alias("events"))
+
+
+@checked("select user_id::varchar as repo, count(*) as events from events where event_type <> 'view' group by 1")
+def changed_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") == "view", "ping").otherwise(F.col("event_type")).alias("kind"),
+        F.col("user_id").cast("string").alias("repo"),
+    )
+    return changed_repos(events)
+
+
+@checked(f"with {_QUESTIONS_SQL} select conv_id as query_id, question as answer, 'f' as filepath from questions")
+def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that come as JSON are read back into answer and sources."""
+    asked = question_of_conversation(table(spark, sf_dir, "conversations"))
+    sources = F.array(
+        F.struct(F.lit("f").alias("filepath"), F.lit("t").alias("chunkTitle"), F.lit("u").alias("url"))
+    )
+    raw = asked.select(
+        F.col("conv_id").alias("query_id"),
+        F.to_json(F.struct(sources.alias("sources"), F.col("question").alias("answer"))).alias("raw"),
+    )
+    answers = parse_answers(raw)
+    return answers.join(cited_rows(answers), "query_id").select("query_id", "answer", "filepath")

@@ -69,45 +69,48 @@ def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIMIT = 60
 
-# Greedy packing as a walk over the lines of all texts at once: one step per line number.
-_PACK_SQL = f"""
-oversized as (select key, chunk_title, text from texts where ceil(length(text) / 4.0) > {LIMIT}),
+# Greedy packing as a walk over the lines of all texts at once: one step per line number. A relation
+# ``texts`` gives key, chunk_title, text, the token limit ``total`` and the budget of a part ``lim``.
+PACK_SQL = """
+oversized as (select key, text, lim from texts where ceil(length(text) / 4.0) > total),
 text_lines as (
-  select key, generate_subscripts(l, 1) as n, unnest(l) as line
-  from (select key, string_split(text, chr(10)) as l from oversized)),
-sized as (select *, ceil(length(line) / 4.0)::bigint as tokens, not regexp_matches(line, '[^\\s]') as blank from text_lines),
+  select key, lim, generate_subscripts(l, 1) as n, unnest(l) as line
+  from (select key, lim, string_split(text, chr(10)) as l from oversized)),
+sized as (
+  select *, ceil(length(line) / 4.0)::bigint as tokens, not regexp_matches(line, '[^\\s]') as blank from text_lines),
 walk as (
-  select key, n, case when tokens > {LIMIT} then 1 when blank then 0 else 1 end as part,
-    case when tokens > {LIMIT} or blank then 0 else tokens end as used,
-    (tokens <= {LIMIT} and not blank) as open, (tokens > {LIMIT} or not blank) as kept, tokens > {LIMIT} as hard
+  select key, n, case when tokens > lim then 1 when blank then 0 else 1 end as part,
+    case when tokens > lim or blank then 0 else tokens end as used,
+    (tokens <= lim and not blank) as open, (tokens > lim or not blank) as kept, tokens > lim as hard
   from sized where n = 1
   union all
   select s.key, s.n,
-    case when s.tokens > {LIMIT} then w.part + 1 when not w.open and s.blank then w.part when not w.open then w.part + 1
-      when w.used + s.tokens + 1 > {LIMIT} then w.part + 1 else w.part end,
-    case when s.tokens > {LIMIT} then 0 when not w.open and s.blank then 0 when not w.open then s.tokens
-      when w.used + s.tokens + 1 > {LIMIT} then s.tokens else w.used + s.tokens + 1 end,
-    case when s.tokens > {LIMIT} then false when not w.open and s.blank then false else true end,
-    case when s.tokens > {LIMIT} then true when not w.open and s.blank then false else true end,
-    s.tokens > {LIMIT}
+    case when s.tokens > s.lim then w.part + 1 when not w.open and s.blank then w.part when not w.open then w.part + 1
+      when w.used + s.tokens + 1 > s.lim then w.part + 1 else w.part end,
+    case when s.tokens > s.lim then 0 when not w.open and s.blank then 0 when not w.open then s.tokens
+      when w.used + s.tokens + 1 > s.lim then s.tokens else w.used + s.tokens + 1 end,
+    case when s.tokens > s.lim then false when not w.open and s.blank then false else true end,
+    case when s.tokens > s.lim then true when not w.open and s.blank then false else true end,
+    s.tokens > s.lim
   from walk w join sized s on s.key = w.key and s.n = w.n + 1),
 packed as (
-  select key, part, bool_or(hard) as hard, string_agg(line, chr(10) order by n) as text
+  select key, part, any_value(lim) as lim, bool_or(hard) as hard, string_agg(line, chr(10) order by n) as text,
+    min(n) - 1 as first, max(n) - 1 as last
   from walk join sized using (key, n) where kept group by key, part),
 pieces as (
-  select key, part, 0 as piece, text from packed where not hard
+  select key, part, 0 as piece, text, first, last from packed where not hard
   union all
-  select key, part, piece, substr(text, piece * {LIMIT * 4} + 1, {LIMIT * 4}) from (
-    select *, unnest(range(0, ceil(length(text) / {LIMIT * 4}.0)::bigint)) as piece from packed where hard)),
+  select key, part, piece, substr(text, piece * lim * 4 + 1, lim * 4), first, last from (
+    select *, unnest(range(0, ceil(length(text) / (lim * 4.0))::bigint)) as piece from packed where hard)),
 parts as (
-  select key, (row_number() over (partition by key order by part, piece) - 1) as part, text
+  select key, (row_number() over (partition by key order by part, piece) - 1) as part, text, first, last
   from pieces where regexp_matches(text, '[^\\s]'))
 """
 
 
 @checked(
-    f"""with recursive {_SECTIONS_SQL}, texts as (select {{'f': filepath, 'c': chunk_id}} as key, chunk_title, chunk_content as text from sections),
-    {_PACK_SQL},
+    f"""with recursive {_SECTIONS_SQL}, texts as (select {{'f': filepath, 'c': chunk_id}} as key, chunk_title, chunk_content as text, {LIMIT} as lim, {LIMIT} as total from sections),
+    {PACK_SQL},
     rows_ as (
       select t.key, t.chunk_title || '_' || (p.part + 1) as chunk_title, p.part, p.text from texts t join parts p using (key)
       union all select key, chunk_title, 0, text from texts where ceil(length(text) / 4.0) <= {LIMIT})
@@ -119,7 +122,7 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @checked(
-    f"""with recursive texts as (select doc_id as key, source as chunk_title, text from documents), {_PACK_SQL}
+    f"""with recursive texts as (select doc_id as key, source as chunk_title, text, {LIMIT} as lim, {LIMIT} as total from documents), {PACK_SQL}
     select key as doc_id, part::integer as chunk_id, t.chunk_title || '_' || (part + 1) as chunk_title, p.text as chunk_content
     from parts p join texts t using (key)
     union all select key, 0, chunk_title, text from texts where ceil(length(text) / 4.0) <= {LIMIT}"""
