@@ -113,3 +113,18 @@ def message_text(content: Column, parts: Column | None = None) -> Column:
 def word_tokens(col: Column) -> Column:
     """Lower-cased words of a text, in order."""
     return F.regexp_extract_all(F.lower(col), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0))
+
+
+def one_decimal(value: Column) -> Column:
+    """A number with one decimal, rounded by its exact binary value (``format_string`` rounds the
+    shortest decimal form, so 76.35, which is a little less, would become 76.4). Below 2**10."""
+    scaled = (F.abs(value) * F.lit(float(2**53))).cast("bigint").cast("decimal(20,0)")
+    tenths = F.call_function(
+        "div", scaled * F.lit(10) + F.lit(2**52).cast("decimal(20,0)"), F.lit(2**53).cast("decimal(20,0)")
+    )
+    return F.concat(
+        F.when(value < 0, "-").otherwise(""),
+        F.call_function("div", tenths, F.lit(10)).cast("string"),
+        F.lit("."),
+        (tenths % 10).cast("string"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import SearchDefaults
 from marginalia.functions.links import citation_url
+from marginalia.functions.text import one_decimal
 
 NO_MATCH_TEXT = "No matching documentation found."
 
@@ -60,7 +61,7 @@ def format_matches(queries: DataFrame, hits: DataFrame) -> DataFrame:
         F.lit("\n"),
         F.when(
             F.col("similarity").isNotNull(),
-            F.concat(F.lit("   Similarity: "), F.format_string("%.1f", F.col("similarity") * 100), F.lit("%\n")),
+            F.concat(F.lit("   Similarity: "), one_decimal(F.col("similarity") * 100), F.lit("%\n")),
         ).otherwise(""),
         line("Content", F.col("chunk_content")),
         line("GitHub", F.col("github_url")),

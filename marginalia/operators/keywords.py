@@ -141,20 +141,33 @@ def parse_queries(queries: DataFrame, english: bool = True) -> DataFrame:
 def _ends_at(unit: Column, entries: Column, at: Column) -> Column:
     """Whether an occurrence of the unit ends at entry number ``at`` (0-based)."""
     count = F.size(unit["terms"])
-    last = F.get(entries, at)
-    last_offset = F.element_at(unit["terms"], -1)["offset"]
-    fits = F.transform(
-        unit["terms"],
-        lambda term, j: F.coalesce(
-            (F.get(entries, at - count + 1 + j)["key"] == term["key"])
-            & (
-                F.get(entries, at - count + 1 + j)["position"]
-                == last["position"] - (last_offset - term["offset"])
-            ),
-            F.lit(False),
-        ),
+    last, end = F.get(entries, at), F.element_at(unit["terms"], -1)
+
+    def fits(term: Column, j: Column) -> Column:
+        entry = F.get(entries, at - count + 1 + j)
+        return (entry["key"] == term["key"]) & (
+            entry["position"] == last["position"] - (end["offset"] - term["offset"])
+        )
+
+    whole = F.forall(F.transform(unit["terms"], fits), lambda fit: F.coalesce(fit, F.lit(False)))
+    return (last["key"] == end["key"]) & ((count == 1) | whole)
+
+
+def _occurs(unit: Column, entries: Column) -> Column:
+    """Whether the unit occurs at all: the terms of a phrase meet at a common start."""
+
+    def starts(term: Column) -> Column:
+        own = F.filter(entries, lambda e: e["key"] == term["key"])
+        return F.transform(own, lambda e: e["position"] - term["offset"])
+
+    first = F.get(unit["terms"], F.lit(0))
+    met = F.aggregate(
+        F.slice(unit["terms"], 2, F.size(unit["terms"])),
+        starts(first),
+        lambda found, term: F.array_intersect(found, starts(term)),
     )
-    return F.forall(fits, lambda fit: fit)
+    single = F.exists(entries, lambda e: e["key"] == first["key"])
+    return F.when(F.size(unit["terms"]) == 1, single).otherwise(F.size(met) > 0)
 
 
 _LAST = "struct<position:int,number:int,inverse:double>"
@@ -181,8 +194,9 @@ def _cover_rank(entries: Column, units: Column, alternatives: Column) -> Column:
     def latest(acc: Column, e: Column) -> Column:
         def of_unit(unit: Column, old: Column) -> Column:
             count = F.size(unit["terms"])
-            inside = F.aggregate(
-                F.slice(entries, e["i"] - count + 2, count),
+            # Inverse weights of the earlier words of a phrase, which its start does not count.
+            earlier = F.aggregate(
+                F.slice(entries, e["i"] - count + 2, count - 1),
                 F.lit(0.0),
                 lambda sum_, x: sum_ + F.lit(1.0) / x["weight"],
             )
@@ -191,7 +205,7 @@ def _cover_rank(entries: Column, units: Column, alternatives: Column) -> Column:
                 F.struct(
                     F.get(entries, e["i"] - count + 1)["position"].cast("int").alias("position"),
                     (e["i"] - count + 1).cast("int").alias("number"),
-                    (acc["total"] + F.lit(1.0) / e["weight"] - inside).alias("inverse"),
+                    F.when(count == 1, acc["total"]).otherwise(acc["total"] - earlier).alias("inverse"),
                 ).cast(_LAST),
             ).otherwise(old)
 
@@ -262,20 +276,46 @@ def keyword_search(
     terms = keys.withColumn("term", F.col("key"))
     if english:
         terms = keys.join(vocabulary, keys["key"] == vocabulary["stem"]).select("query_id", "key", "term")
+    # When every alternative is one plain word, each occurrence is a cover of its own and the rank is
+    # the sum of the weights, which is added up before the shuffle. Other queries need positions.
+    plain = F.forall(
+        "units",
+        lambda u: ~u["negated"]
+        & (F.size(u["terms"]) == 1)
+        & (F.size(F.filter("units", lambda v: v["alternative"] == u["alternative"])) == 1),
+    )
+    parsed = parsed.withColumn("_plain", plain)
+    # Which kinds there are is asked of the queries alone, so that postings are read once for each.
+    kinds = {row["_plain"] for row in parsed.select("_plain").distinct().collect()}
+    ranked = None
+    if True in kinds or not kinds:
+        own = terms.join(parsed.filter("_plain"), "query_id", "left_semi")
+        ranked = (
+            postings.join(own, "term")
+            .groupBy("query_id", "id")
+            .agg(F.round(F.sum("weight"), RANK_DIGITS).alias("keyword_rank"))
+        )
+    if False in kinds:
+        covers = _cover_ranked(postings, terms, parsed.filter(~F.col("_plain")).drop("_plain"))
+        ranked = covers if ranked is None else ranked.unionByName(covers)
+    order = Window.partitionBy("query_id").orderBy(F.desc("keyword_rank"), F.asc("id"))
+    ordered = ranked.withColumn("keyword_order", F.row_number().over(order))
+    if "keyword_match_count" not in queries.columns:
+        return ordered.filter(F.col("keyword_order") <= limit)
+    limits = queries.select("query_id", limit.cast("int").alias("_limit"))
+    return (
+        ordered.join(limits, "query_id").filter(F.col("keyword_order") <= F.col("_limit")).drop("_limit")
+    )
+
+
+def _cover_ranked(postings: DataFrame, terms: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms."""
     found = (
-        postings.join(terms, "term")
+        postings.join(terms.join(parsed, "query_id", "left_semi"), "term")
         .groupBy("query_id", "id")
         .agg(F.collect_list(F.struct("position", "key", "weight")).alias("_entries"))
         .join(parsed, "query_id")
     )
-
-    def present(unit: Column) -> Column:
-        single = F.exists("_entries", lambda e: e["key"] == F.get(unit["terms"], F.lit(0))["key"])
-        phrase = F.exists(
-            F.sequence(F.lit(0), F.size("_entries") - 1), lambda i: _ends_at(unit, F.col("_entries"), i)
-        )
-        return F.when(F.size(unit["terms"]) == 1, single).otherwise(phrase)
-
     numbers = F.array_distinct(F.transform("units", lambda u: u["alternative"]))
     members = F.transform(
         numbers,
@@ -302,9 +342,9 @@ def keyword_search(
             F.filter("units", lambda u: ~u["negated"]), lambda u: F.transform(u["terms"], lambda t: t["key"])
         )
     )
-    ranked = (
+    return (
         found.withColumn("_entries", F.array_sort("_entries"))
-        .withColumn("_present", F.transform("units", present))
+        .withColumn("_present", F.transform("units", lambda u: _occurs(u, F.col("_entries"))))
         .withColumn(
             "_alternatives",
             F.transform(
@@ -321,15 +361,3 @@ def keyword_search(
         )
         .select("query_id", "id", "keyword_rank")
     )
-    limits = queries.select("query_id", limit.cast("int").alias("_limit"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("keyword_rank"), F.asc("id"))
-    if "keyword_match_count" in queries.columns:
-        return (
-            ranked.withColumn("keyword_order", F.row_number().over(order))
-            .join(limits, "query_id")
-            .filter(F.col("keyword_order") <= F.col("_limit"))
-            .drop("_limit")
-        )
-    return ranked.withColumn("keyword_order", F.row_number().over(order)).filter(
-        F.col("keyword_order") <= limit
-    )
