@@ -118,10 +118,11 @@ def word_tokens(col: Column) -> Column:
 def one_decimal(value: Column) -> Column:
     """A number with one decimal, rounded by its exact binary value (``format_string`` rounds the
     shortest decimal form, so 76.35, which is a little less, would become 76.4). Below 2**10."""
-    scaled = (F.abs(value) * F.lit(float(2**53))).cast("bigint").cast("decimal(20,0)")
-    tenths = F.call_function(
-        "div", scaled * F.lit(10) + F.lit(2**52).cast("decimal(20,0)"), F.lit(2**53).cast("decimal(20,0)")
-    )
+    # Scaled by a power of two the value is an exact integer that fits 63 bits.
+    one = F.when(F.abs(value) < 8, F.lit(2**57)).otherwise(F.lit(2**53))
+    scaled = (F.abs(value) * one.cast("double")).cast("bigint").cast("decimal(20,0)")
+    unit = one.cast("decimal(20,0)")
+    tenths = F.call_function("div", scaled * F.lit(20) + unit, unit * F.lit(2))
     return F.concat(
         F.when(value < 0, "-").otherwise(""),
         F.call_function("div", tenths, F.lit(10)).cast("string"),
