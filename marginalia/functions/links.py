@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.config import DEFAULT_CONTENT_PATH
@@ -53,25 +53,35 @@ def docs_url(
 
 
 def resolve_links(
-    filepath: Column,
-    title: Column,
-    source_url: Column,
+    df: DataFrame,
     base_url: Column | str | None = None,
     content_path: Column | str | None = None,
-) -> Column:
-    """Struct (github_url, docs_url, final_url, title, slug). Docs prefer their page, code its source."""
-    clean = source_title(title, filepath)
-    slug = heading_slug(clean)
-    source = F.when(source_url != "", append_slug(source_url, slug))
-    page = append_slug(docs_url(filepath, base_url, content_path), slug)
-    return F.struct(
-        source.alias("github_url"),
-        page.alias("docs_url"),
-        F.when(is_doc_path(filepath), F.coalesce(page, source))
-        .otherwise(F.coalesce(source, page))
-        .alias("final_url"),
-        clean.alias("title"),
-        slug.alias("slug"),
+    filepath_col: str = "filepath",
+    title_col: str = "chunk_title",
+    source_url_col: str = "source_url",
+) -> DataFrame:
+    """Add github_url, docs_url and final_url. Docs prefer their page, code its source.
+
+    The slug and the page are columns of their own on the way, so that no expression repeats them.
+    """
+    filepath = F.col(filepath_col)
+    source, page, slug = F.col(source_url_col), F.col("_page"), F.col("_slug")
+    final = F.when(is_doc_path(filepath), F.coalesce("docs_url", "github_url")).otherwise(
+        F.coalesce("github_url", "docs_url")
+    )
+    return (
+        df.withColumns(
+            {
+                "_title": source_title(F.col(title_col), filepath),
+                "_page": docs_url(filepath, base_url, content_path),
+            }
+        )
+        .withColumn("_slug", heading_slug(F.col("_title")))
+        .withColumns(
+            {"github_url": F.when(source != "", append_slug(source, slug)), "docs_url": append_slug(page, slug)}
+        )
+        .withColumn("final_url", final)
+        .drop("_title", "_page", "_slug")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -167,31 +168,27 @@ def in_scope(path: Column, base: Column | str | None) -> Column:
     return (base == "") | (path == base) | F.startswith(path, F.concat(base, F.lit("/")))
 
 
-def _matches_pattern(path: Column, pattern: Column) -> Column:
-    name = F.substring_index(path, "/", -1)
-    suffix = F.substring(pattern, F.lit(2), F.length(pattern))
-    prefix = F.substring(pattern, F.lit(1), F.length(pattern) - 1)
-    return (
-        F.when(F.startswith(pattern, F.lit("*")), F.endswith(name, suffix) | F.endswith(path, suffix))
-        .when(F.endswith(pattern, F.lit("*")), F.startswith(name, prefix) | F.contains(path, prefix))
-        .otherwise((name == pattern) | F.contains(path, pattern))
-    )
-
-
 def is_excluded(path: Column, patterns: Column | Sequence[str]) -> Column:
-    """True when any pattern hits. A list becomes plain predicates, a column stays per row."""
+    """True when any pattern hits: ``*x`` a path that ends with x, ``x*`` and ``x`` one that contains x.
+
+    A pattern may also name a whole file or the beginning of a file name; both are contained in the
+    path. A list becomes one regular expression, a column stays per row.
+    """
     if isinstance(patterns, Column):
-        return F.coalesce(F.exists(patterns, lambda p: _matches_pattern(path, p)), F.lit(False))
-    hit = F.lit(False)
-    name = F.substring_index(path, "/", -1)
-    for pattern in dict.fromkeys(patterns):
-        if pattern.startswith("*"):
-            hit = hit | name.endswith(pattern[1:]) | path.endswith(pattern[1:])
-        elif pattern.endswith("*"):
-            hit = hit | name.startswith(pattern[:-1]) | path.contains(pattern[:-1])
-        else:
-            hit = hit | (name == pattern) | path.contains(pattern)
-    return hit
+        inner = lambda p: F.regexp_replace(p, "\\A\\*|\\*\\z", "")
+        return F.coalesce(
+            F.exists(
+                patterns,
+                lambda p: F.when(
+                    p.startswith("*"), F.endswith(path, F.substring(p, F.lit(2), F.length(p)))
+                ).otherwise(F.contains(path, inner(p))),
+            ),
+            F.lit(False),
+        )
+    ends = [re.escape(p[1:]) for p in dict.fromkeys(patterns) if p.startswith("*")]
+    inside = [re.escape(p.removesuffix("*")) for p in dict.fromkeys(patterns) if not p.startswith("*")]
+    tests = ([f"(?:{'|'.join(ends)})\\z"] if ends else []) + inside
+    return path.rlike("|".join(tests)) if tests else F.lit(False)
 
 
 def is_included(path: Column, base: Column | str | None, directories: Column | Sequence[str]) -> Column:

@@ -13,7 +13,7 @@ Python files are parsed by the standard library, one file at a time inside tasks
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -187,7 +187,7 @@ def _line_rows(files: DataFrame, language: Language) -> DataFrame:
     )
 
 
-def _brace_entities(files: DataFrame, language: Language, methods: bool, variables: bool) -> DataFrame:
+def _brace_entities(files: DataFrame, language: Language, methods: bool) -> DataFrame:
     """Spans of all entities: filepath, entity_type, name, parent, lines, doc lines, export mark."""
     down = Window.partitionBy("filepath").orderBy("line_no")
     above = down.rowsBetween(Window.unboundedPreceding, -1)
@@ -197,49 +197,44 @@ def _brace_entities(files: DataFrame, language: Language, methods: bool, variabl
     lines = _line_rows(files, language).withColumn(
         "depth", F.coalesce(F.sum("delta").over(above), F.lit(0))
     )
-    lines = lines.withColumn("after", F.col("depth") + F.col("delta"))
     next_blank = F.coalesce(F.trim(F.lag("code").over(upward)), F.lit("")) == ""
-    ends = F.col("code").rlike("[;}]\\z") | (next_blank & (F.trim("code") != "") & ~F.col("code").rlike("[=|&,]\\z"))
+    ends = F.col("code").rlike("[;}]\\z") | (
+        next_blank & (F.trim("code") != "") & ~F.col("code").rlike("[=|&,]\\z")
+    )
     top = F.when(F.col("depth") == 0, _match(F.col("code"), language.top))
-    member_types = dict.fromkeys(owner for owner, _ in language.members)
-    lines = (
-        lines.withColumn("top", top)
-        .withColumn("ends", ends)
-        # A line that opens a block at the top owns the lines inside; a continued header does not.
-        .withColumn(
-            "owner",
-            F.last(
-                F.when(
-                    (F.col("depth") == 0)
-                    & (F.trim("code") != "")
-                    & ~F.trim("code").rlike("\\A(?:extends|implements|where|\\{|\\}|\\)|#|@)"),
-                    F.struct(
-                        F.coalesce("top.entity_type", F.lit("")).alias("entity_type"),
-                        F.coalesce("top.name", F.lit("")).alias("name"),
-                        F.coalesce("top.marked", F.lit(False)).alias("marked"),
-                    ),
-                ),
-                ignorenulls=True,
-            ).over(above),
-        )
-        .withColumn("end0", F.last(F.when((F.col("after") <= 0) & F.col("ends"), F.col("line_no")), True).over(from_end))
-        .withColumn(
-            "end1",
-            F.last(
-                F.when((F.col("after") <= 1) & (F.col("ends") | F.col("code").rlike(",\\z")), F.col("line_no")), True
-            ).over(from_end),
-        )
-        .withColumn("last_line", F.max("line_no").over(Window.partitionBy("filepath")))
+    lines = lines.withColumns({"after": F.col("depth") + F.col("delta"), "top": top, "ends": ends})
+
+    # A line that opens a block at the top owns the lines inside; a continued header does not.
+    opener = F.when(
+        (F.col("depth") == 0)
+        & (F.trim("code") != "")
+        & ~F.trim("code").rlike("\\A(?:extends|implements|where|\\{|\\}|\\)|#|@)"),
+        F.struct(
+            F.coalesce("top.entity_type", F.lit("")).alias("entity_type"),
+            F.coalesce("top.name", F.lit("")).alias("name"),
+            F.coalesce("top.marked", F.lit(False)).alias("marked"),
+        ),
     )
+    end0 = F.when((F.col("after") <= 0) & F.col("ends"), F.col("line_no"))
+    end1 = F.when((F.col("after") <= 1) & (F.col("ends") | F.col("code").rlike(",\\z")), F.col("line_no"))
     if language.block_docs:
         opened = F.last(F.when(F.col("raw").startswith("/**"), F.col("line_no")), True).over(above)
-        documented = F.lag("raw").over(down).endswith("*/")
-        lines = lines.withColumn("doc_from", F.when(documented, opened))
+        doc_from = F.when(F.lag("raw").over(down).endswith("*/"), opened)
     else:
         breaks = ~F.col("raw").startswith("//") & (F.col("raw") != "")
         broken = F.last(F.when(breaks, F.col("line_no")), True).over(above)
-        lines = lines.withColumn("doc_from", F.coalesce(broken, F.lit(0)) + 1)
+        doc_from = F.coalesce(broken, F.lit(0)) + 1
+    lines = lines.withColumns(
+        {
+            "owner": F.last(opener, ignorenulls=True).over(above),
+            "end0": F.last(end0, ignorenulls=True).over(from_end),
+            "end1": F.last(end1, ignorenulls=True).over(from_end),
+            "last_line": F.max("line_no").over(Window.partitionBy("filepath")),
+            "doc_from": doc_from,
+        }
+    )
 
+    member_types = dict.fromkeys(owner for owner, _ in language.members)
     member = None
     for owner in member_types:
         declarations = tuple(d for name, d in language.members if name == owner)
@@ -446,20 +441,32 @@ def _python_entities(files: DataFrame) -> DataFrame:
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": _python_entities}
 
 
-def extract_entities(files: DataFrame, methods: bool = True, variables: bool = False) -> DataFrame:
-    """Entities of code files (filepath, content), with the checksum of their code."""
+def extract_entities(
+    files: DataFrame,
+    methods: bool = True,
+    variables: bool = False,
+    languages: Sequence[str] | None = None,
+) -> DataFrame:
+    """Entities of code files (filepath, content), with the checksum of their code.
+
+    ``languages`` limits the work to some of the known languages; each is a plan of its own.
+    """
     typed = files.select("filepath", "content", document_type(F.col("filepath")).alias("_type"))
-    result = None
-    for name, language in LANGUAGES.items():
+    parts = []
+    for name in (*LANGUAGES, *EXTRACTORS) if languages is None else languages:
+        own = typed.filter(F.col("_type") == name).drop("_type")
+        if name in EXTRACTORS:
+            parts.append(EXTRACTORS[name](own))
+            continue
+        language = LANGUAGES[name]
         # Moving whole files once serves every window and the join below.
-        own = typed.filter(F.col("_type") == name).drop("_type").repartition("filepath")
-        spans = _brace_entities(own, language, methods, variables)
+        own = own.repartition("filepath")
+        spans = _brace_entities(own, language, methods)
         part = _shaped(_with_code(spans, own, language, variables), language)
-        part = _with_module_entities(part, own, language)
-        result = part if result is None else result.unionByName(part)
-    for name, extractor in EXTRACTORS.items():
-        own = typed.filter(F.col("_type") == name).drop("_type")
-        result = result.unionByName(extractor(own))
+        parts.append(_with_module_entities(part, own, language))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
     return result.withColumn("checksum", content_checksum(F.col("code")))
 
 

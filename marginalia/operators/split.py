@@ -137,7 +137,7 @@ def split_texts(
     """Add ``parts``: for each text of the array column null when it has at most ``total_limit``
     tokens (default ``limit``), else an array of (text, first, last) with 0-based line numbers."""
     total_limit = limit if total_limit is None else total_limit
-    sized = df.withColumn("_limit", limit.cast("int")).withColumn("_total", total_limit.cast("int"))
+    sized = df.withColumns({"_limit": limit.cast("int"), "_total": total_limit.cast("int")})
     if tokenizer is None:
         over = F.transform(
             F.col(texts_col), lambda text: F.when(estimate_tokens(text) > F.col("_total"), text)
@@ -216,9 +216,13 @@ def _part_rows(df: DataFrame, text_col: str) -> DataFrame:
             "_part",
             "_piece",
         )
-        .withColumn("chunk_content", F.col("_piece.text"))
-        .withColumn("chunk_title", F.when(F.col("_split"), numbered).otherwise(F.col("chunk_title")))
-        .withColumn("checksum", content_checksum(F.col("chunk_content")))
+        .withColumns(
+            {
+                "chunk_content": F.col("_piece.text"),
+                "chunk_title": F.when(F.col("_split"), numbered).otherwise(F.col("chunk_title")),
+                "checksum": content_checksum(F.col("_piece.text")),
+            }
+        )
         .drop("_split", "_piece")
     )
 

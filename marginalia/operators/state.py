@@ -97,8 +97,10 @@ def upsert_chunks(store: DataFrame, new: DataFrame, now: Column | None = None) -
     missing = [c for c in UPSERT_COLUMNS if c not in incoming.columns]
     incoming = incoming.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in missing])
     untouched = store.join(new.select(*LOCATION), LOCATION, "left_anti")
+    # By name of the type: whether array values may be null must not matter.
+    wanted = dict(store.dtypes)
     return untouched.select(*store.columns).unionByName(
-        incoming.select(*[F.col(c).cast(store.schema[c].dataType).alias(c) for c in store.columns])
+        incoming.select(*[F.col(c).cast(wanted[c]).alias(c) for c in store.columns])
     )
 
 

@@ -299,19 +299,19 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(f"{ORG}/"), "source", F.lit("/blob/main/"), number).alias("url"),
         F.concat(F.lit('The "'), "lang", F.lit('" part')).alias("title"),
     )
-    links = resolve_links(F.col("filepath"), F.col("title"), F.col("url"), "https://docs.acme.dev/")
+    linked = resolve_links(files, "https://docs.acme.dev/", title_col="title", source_url_col="url")
     end = F.when(F.col("source") == "src2", F.col("doc_id")).otherwise(F.col("doc_id") + 4)
-    return files.withColumn("l", links).select(
+    return linked.select(
         "doc_id",
-        "l.github_url",
-        "l.docs_url",
-        "l.final_url",
+        "github_url",
+        "docs_url",
+        "final_url",
         citation_url(
             F.col("filepath"),
             F.lit(None).cast("string"),
-            F.col("l.github_url"),
-            F.col("l.docs_url"),
-            F.col("l.final_url"),
+            F.col("github_url"),
+            F.col("docs_url"),
+            F.col("final_url"),
             F.col("doc_id"),
             end,
         ).alias("cite_url"),

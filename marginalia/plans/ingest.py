@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.config import DEFAULT_EMBEDDING_TOKEN_LIMIT, Settings
+from marginalia.config import DEFAULT_EMBEDDING_TOKEN_LIMIT, CallLimits, Settings
 from marginalia.functions.links import resolve_links
 from marginalia.functions.tokens import TokenizerFactory
 from marginalia.operators.diff import (
@@ -42,13 +42,19 @@ class IngestOptions:
     token_limit: int = DEFAULT_EMBEDDING_TOKEN_LIMIT
     methods: bool = True
     variables: bool = False
+    # Code languages of the corpus; none for documentation only.
+    languages: tuple[str, ...] = ("typescript", "rust", "python")
     tokenizer: TokenizerFactory | None = None
     settings: Settings = Settings()
 
 
-def corpus_chunks(corpus: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """Chunks of all documents: doc sections and code entities in one shape."""
-    located = corpus.withColumn("filepath", F.coalesce(F.nullif("relative_path", F.lit("")), F.col("path")))
+def locate(corpus: DataFrame) -> DataFrame:
+    """Add ``filepath``: the path in the scope, or the whole path."""
+    return corpus.withColumn("filepath", F.coalesce(F.nullif("relative_path", F.lit("")), F.col("path")))
+
+
+def corpus_chunks(located: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
+    """Chunks of located documents: doc sections and code entities in one shape."""
     docs = chunk_documents(
         located.filter(F.col("type") == "mdx").select("filepath", "content", "source_url", "base_url", "content_path"),
         options.token_limit,
@@ -70,8 +76,16 @@ def corpus_chunks(corpus: DataFrame, options: IngestOptions = IngestOptions()) -
         "base_url",
         "content_path",
     )
-    files = located.filter(F.col("type") != "mdx")
-    entities = extract_entities(files, options.methods, options.variables)
+    chunks = docs
+    if options.languages:
+        chunks = docs.unionByName(_code_chunks(located, options))
+    linked = resolve_links(chunks, F.col("base_url"), F.col("content_path"))
+    return linked.drop("source_url", "base_url", "content_path")
+
+
+def _code_chunks(located: DataFrame, options: IngestOptions) -> DataFrame:
+    files = located.filter(F.col("type").isin(*options.languages))
+    entities = extract_entities(files, options.methods, options.variables, options.languages)
     code = chunk_entities(entities, options.token_limit, options.tokenizer).select(
         "filepath",
         F.col("chunk_index").alias("chunk_id"),
@@ -86,34 +100,26 @@ def corpus_chunks(corpus: DataFrame, options: IngestOptions = IngestOptions()) -
         "parent_context",
         "doc",
     )
-    code = code.join(files.select("filepath", "source_url", "base_url", "content_path"), "filepath")
-    chunks = docs.unionByName(code)
-    links = resolve_links(
-        F.col("filepath"), F.col("chunk_title"), F.col("source_url"), F.col("base_url"), F.col("content_path")
-    )
-    return (
-        chunks.withColumn("_links", links)
-        .select("*", "_links.github_url", "_links.docs_url", "_links.final_url")
-        .drop("_links", "source_url", "base_url", "content_path")
-    )
+    return code.join(files.select("filepath", "source_url", "base_url", "content_path"), "filepath")
 
 
-def describe_new(new: DataFrame, corpus: DataFrame, chat: ChatModel, options: IngestOptions) -> DataFrame:
-    """Add ``contextual_text`` to new chunks; only their documents are read again."""
-    documents = corpus.select(
-        F.coalesce(F.nullif("relative_path", F.lit("")), F.col("path")).alias("filepath"), "content"
-    )
+def describe_new(new: DataFrame, documents: DataFrame, chat: ChatModel, options: IngestOptions) -> DataFrame:
+    """Add ``contextual_text`` to new chunks, given the documents they are from."""
     limits = options.settings.chat
-    docs = doc_context(new.filter(F.col("source_type") == "doc"), documents, chat, limits)
-    code_new = new.filter(F.col("source_type") == "code")
-    files = documents.join(code_new.select("filepath").distinct(), "filepath", "left_semi")
-    files = files.join(file_outline(files), "filepath")
-    code = entity_context(code_new, files, chat, limits=limits)
-    return docs.unionByName(code).withColumn(
+    documents = documents.select("filepath", "content")
+    described = doc_context(new.filter(F.col("source_type") == "doc"), documents, chat, limits)
+    if options.languages:
+        described = described.unionByName(_describe_code(new, documents, chat, limits))
+    return described.withColumn(
         "contextual_text", contextual_text(F.col("source_type"), F.col("header"), F.col("content"))
     )
 
 
+def _describe_code(new: DataFrame, documents: DataFrame, chat: ChatModel, limits: CallLimits) -> DataFrame:
+    files = documents.join(file_outline(documents), "filepath")
+    return entity_context(new.filter(F.col("source_type") == "code"), files, chat, limits=limits)
+
+
 def plan_changes(chunks: DataFrame, stored: DataFrame, repos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classified targets, moves, ids to delete) of a run against the stored chunks."""
     target = build_target(chunks, ("filepath", "chunk_id"))
@@ -141,21 +147,21 @@ def ingest(
     Chunks whose content is stored already cause no model call. The new version holds deletes,
     moves and upserts together; when nothing changed none is written.
     """
-    chunks = corpus_chunks(corpus, options)
+    located = locate(corpus)
+    # The diff needs checksums and places only; contents are cut again for files with new chunks.
+    index = cut_lineage(
+        corpus_chunks(located, options).select("checksum", "filepath", "chunk_id", "source_type", "github_url")
+    )
     stored = store.read()
-    classified, moves, deletes = plan_changes(chunks, stored, repos)
-    stats = run_stats(
-        corpus.select(F.coalesce(F.nullif("relative_path", F.lit("")), F.col("path")).alias("filepath")),
-        chunks,
-        classified,
-        deletes,
-    ).first().asDict()
+    classified, moves, deletes = plan_changes(index, stored, repos)
+    stats = run_stats(located, index, classified, deletes).first().asDict()
     if not any(stats[name] for name in ("upserted_chunks", "moved_chunks", "deleted_chunks")):
         return stats
 
     wanted = classified.filter(F.col("action") == "new").select("checksum", "filepath", "chunk_id")
-    new = chunks.join(wanted, ["checksum", "filepath", "chunk_id"], "left_semi")
-    described = cut_lineage(describe_new(new, corpus, chat, options))
+    documents = located.join(wanted.select("filepath").distinct(), "filepath", "left_semi")
+    new = corpus_chunks(documents, options).join(wanted, ["checksum", "filepath", "chunk_id"], "left_semi")
+    described = cut_lineage(describe_new(cut_lineage(new), documents, chat, options))
     embedded = cut_lineage(embed_chunks(described, embed, limits=options.settings.embedding))
 
     state = cut_lineage(next_state(stored, moves, deletes, embedded, F.current_timestamp()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,11 +75,10 @@ def read_files(spark: SparkSession, root: str, repo_url: str | None = None) -> D
         .load(root)
     )
     # File URLs carry a scheme that the given root may not have.
-    inside = F.regexp_replace(F.col("path"), "\\A[a-z0-9]+:(?=/)/*", "/")
-    prefix = "/" + root.split(":", 1)[-1].lstrip("/") + "/"
+    below = f"\\A(?:[a-z0-9]+:)?/*{re.escape(root.split(':', 1)[-1].lstrip('/'))}/"
     return files.select(
         F.lit(repo_url).alias("repo_url"),
-        relative_path(prefix, inside).alias("path"),
+        F.regexp_replace("path", below, "").alias("path"),
         F.decode("content", "UTF-8").alias("content"),
         F.col("length").alias("size"),
     )
