@@ -14,7 +14,7 @@ from marginalia.config import MOVING_PREFIX
 from marginalia.schema import STORE, UPSERT_COLUMNS
 
 LOCATION = ["filepath", "chunk_id"]
-_ID_BUCKETS = 1024
+_ID_BUCKETS = 65536
 
 
 def _now(now: Column | None) -> Column:
@@ -83,9 +83,15 @@ def number_rows(rows: DataFrame, keys: list[str], start: int) -> DataFrame:
     )
 
 
-def upsert_chunks(store: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """Insert new chunks; on a (filepath, chunk_id) conflict overwrite all but id and created_at."""
-    start = store.agg(F.max("id")).first()[0] or 0
+def upsert_chunks(
+    store: DataFrame, new: DataFrame, now: Column | None = None, last_id: int | None = None
+) -> DataFrame:
+    """Insert new chunks; on a (filepath, chunk_id) conflict overwrite all but id and created_at.
+
+    New ids follow ``last_id``, by default the largest id of ``store``; a caller that passes a part
+    of its chunks must pass the largest id of all.
+    """
+    start = last_id if last_id is not None else store.agg(F.max("id")).first()[0] or 0
     known = store.select(*LOCATION, F.col("id").alias("_id"), "created_at")
     keys = new.select(*LOCATION).distinct().join(known, LOCATION, "left")
     fresh = number_rows(
@@ -137,9 +143,14 @@ def check_unique_location(store: DataFrame) -> None:
 
 
 def next_state(
-    store: DataFrame, moves: DataFrame, deletes: DataFrame, new: DataFrame, now: Column | None = None
+    store: DataFrame,
+    moves: DataFrame,
+    deletes: DataFrame,
+    new: DataFrame,
+    now: Column | None = None,
+    last_id: int | None = None,
 ) -> DataFrame:
     """Deletes, moves and upserts as one new state, so a move may take the place of a deleted row."""
     kept = delete_by_ids(store, deletes)
     alive = moves.join(deletes.select("id"), "id", "left_anti")
-    return upsert_chunks(apply_moves(kept, alive, now), new, now)
+    return upsert_chunks(apply_moves(kept, alive, now), new, now, last_id)

@@ -164,9 +164,14 @@ def ingest(
     described = cut_lineage(describe_new(cut_lineage(new), documents, chat, options))
     embedded = cut_lineage(embed_chunks(described, embed, limits=options.settings.embedding))
 
-    state = cut_lineage(next_state(stored, moves, deletes, embedded, F.current_timestamp()))
+    # Only the buckets that hold a changed file, before or after, are read and written again.
+    gone = deletes.unionByName(moves.select("id"))
+    before = stored.select("id", "filepath").join(gone, "id", "left_semi")
+    buckets = store.buckets_of(
+        before.select("filepath").unionByName(moves.select("filepath")).unionByName(embedded.select("filepath"))
+    )
+    last_id = stored.agg(F.max("id")).first()[0] or 0
+    state = next_state(store.read(buckets=buckets), moves, deletes, embedded, F.current_timestamp(), last_id)
     check_unique_location(state)
-    gone = stored.join(deletes.unionByName(moves.select("id")), "id", "left_semi")
-    changed = gone.select("filepath").unionByName(moves.select("filepath")).unionByName(embedded.select("filepath"))
-    store.write(state, changed)
+    store.write(state, buckets)
     return stats

@@ -7,10 +7,11 @@ they never see a half-written state, and a repeated run writes the same director
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marginalia.schema import STORE
 
@@ -18,7 +19,7 @@ _MANIFEST = "version long, bucket int, data_version long"
 
 
 class ChunkStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 4096) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.buckets = buckets
@@ -35,42 +36,48 @@ class ChunkStore:
     def version(self) -> int:
         return self._manifest().agg(F.max("version")).first()[0] or 0
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All stored chunks of a version (default: the current one)."""
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Stored chunks of a version (default: the current one), of all or of the given buckets."""
         manifest = self._manifest()
         version = self.version() if version is None else version
+        wanted = None if buckets is None else set(buckets)
         # At most one row per bucket.
         rows = manifest.filter(F.col("version") == version).distinct().collect()
         listed = [
             f"{self.root}/data/v={row['data_version']}/bucket={row['bucket']}"
             for row in rows
-            if row["data_version"] is not None
+            if row["data_version"] is not None and (wanted is None or row["bucket"] in wanted)
         ]
         if not listed:
             return self.spark.createDataFrame([], STORE)
-        schema = T.StructType([*STORE.fields])
-        return self.spark.read.schema(schema).parquet(*listed)
+        return self.spark.read.schema(STORE).parquet(*listed)
 
     def read_file(self, filepath: str) -> DataFrame:
-        return self.read().filter(F.col("filepath") == filepath)
+        """Chunks of one file, out of its bucket alone."""
+        bucket = self.spark.range(1).select(self.bucket_of(F.lit(filepath))).first()[0]
+        return self.read(buckets=[bucket]).filter(F.col("filepath") == filepath)
 
     def read_checksums(self, checksums: DataFrame) -> DataFrame:
         return self.read().join(checksums.select("checksum").distinct(), "checksum", "left_semi")
 
-    def write(self, state: DataFrame, changed: DataFrame | None = None, version: int | None = None) -> int:
+    def buckets_of(self, files: DataFrame) -> list[int]:
+        """Buckets that hold the given file paths."""
+        distinct = files.select(self.bucket_of(F.col("filepath")).alias("bucket")).distinct()
+        return sorted(row["bucket"] for row in distinct.collect())
+
+    def write(
+        self, state: DataFrame, buckets: Iterable[int] | None = None, version: int | None = None
+    ) -> int:
         """Write a new version and make it current.
 
-        ``changed`` lists the file paths whose chunks differ from the current version; only their
-        buckets are written, the others keep their data. Without it everything is written.
+        ``buckets`` lists those that ``state`` replaces; the others keep their data. Without it
+        everything is replaced.
         """
         current = self.version()
         version = current + 1 if version is None else version
         rows = state.select(*STORE.fieldNames(), self.bucket_of(F.col("filepath")).alias("bucket"))
-        if changed is None:
-            touched = list(range(self.buckets))
-        else:
-            distinct = changed.select(self.bucket_of(F.col("filepath")).alias("bucket")).distinct()
-            touched = sorted(row["bucket"] for row in distinct.collect())
+        touched = list(range(self.buckets)) if buckets is None else sorted(set(buckets))
+        if buckets is not None:
             rows = rows.filter(F.col("bucket").isin(touched))
         path = f"{self.root}/data/v={version}"
         # Rebalancing splits a large bucket over several tasks and files.
