@@ -218,7 +218,7 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     answers = turns.select(F.col("conv_id").alias("query_id"), F.concat("n", F.lit(" turns")).alias("answer"))
-    return response_record(answers, "m", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return response_record(answers, "m", F.lit("2024-01-01T00:00:00Z").cast("timestamp"))
 
 
 # Partial answers: each assistant text grows in four steps, the third of which adds nothing.
