@@ -20,6 +20,7 @@ from marginalia.config import SearchDefaults
 
 BLOCK_BYTES = 64 << 20
 _ROWS_PER_PRODUCT = 4096
+_SCAN_TASKS = 20_000
 # Scores are compared at this many digits, so that the order of additions cannot decide a tie.
 SCORE_DIGITS = 12
 
@@ -131,8 +132,9 @@ def vector_search(
         ]
     )
     narrow = store.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    # Fewer, longer tasks send fewer partial hits; a coalesce moves no rows.
-    narrow = narrow.coalesce(4 * spark.sparkContext.defaultParallelism)
+    # Fewer, longer tasks send fewer partial hits; a coalesce moves no rows. The floor keeps a scan
+    # wide while a cluster is still adding executors.
+    narrow = narrow.coalesce(max(_SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism))
 
     first = asked.select(F.size("vector").alias("dim")).first()
     if first is None:
