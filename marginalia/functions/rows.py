@@ -26,3 +26,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core for a scan of fewer splits than cores, i.e. one that is small."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One row out of one-row frames with different columns."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])

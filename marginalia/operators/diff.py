@@ -19,6 +19,7 @@ from marginalia.functions.paths import (
     repo_of_url,
     strip_fragment,
 )
+from marginalia.functions.rows import one_row
 from marginalia.functions.text import normalize_source_type
 
 LOCATION = ("filepath", "chunk_id")
@@ -180,11 +181,7 @@ def run_stats(documents: DataFrame, chunks: DataFrame, classified: DataFrame, de
         ),
         deletes.agg(F.count("*").alias("deleted_chunks")),
     ]
-    # Each part is one row, tagged with the same key.
-    stats = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        stats = stats.join(part.withColumn("_one", F.lit(1)), "_one")
-    return stats.drop("_one")
+    return one_row(*parts)
 
 
 def documents_per_type(documents: DataFrame) -> DataFrame:

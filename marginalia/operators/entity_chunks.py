@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.rows import explode_array
+from marginalia.functions.rows import explode_array, one_row
 from marginalia.functions.text import content_checksum
 from marginalia.functions.tokens import TokenizerFactory, count_tokens
 from marginalia.operators.split import split_texts
@@ -130,15 +130,10 @@ def chunking_stats(chunks: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if(first).alias("entities"),
         F.count("*").alias("chunks"),
         F.count_if(first & (F.col("total_parts") > 1)).alias("split_entities"),
-    ).withColumn("_one", F.lit(1))
-    return (
-        files.agg(F.count("*").alias("files"))
-        .withColumn("_one", F.lit(1))
-        .join(counted, "_one")
-        .withColumn(
-            "chunks_per_file", F.coalesce(F.try_divide(F.col("chunks"), F.col("files")), F.lit(0.0))
-        )
-        .drop("_one")
+    )
+    stats = one_row(files.agg(F.count("*").alias("files")), counted)
+    return stats.withColumn(
+        "chunks_per_file", F.coalesce(F.try_divide(F.col("chunks"), F.col("files")), F.lit(0.0))
     )
 
 
