@@ -5,12 +5,13 @@ Each query applies its operator, with production parameters, to its whole table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, mixing
+from marginalia.llm import exact_dedup, mixing, simhash, url_filter
 from marginalia.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,60 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _term_count(area: str, terms: tuple[str, ...]) -> str:
+    return " + ".join(
+        f"cast(regexp_matches({area}, '(^|[^a-z0-9]){re.escape(t)}([^a-z0-9]|$)') as int)" for t in terms
+    )
+
+
+def _rule_sql() -> str:
+    rows = []
+    for verdict, rule in url_filter.RULES:
+        host, _, path = rule.partition("/")
+        rows.append(f"('{verdict}', '{rule}', '{host}', '/{path}')")
+    return ", ".join(rows)
+
+
+_SOFT_ONLY = tuple(t for t in url_filter.SOFT if t not in url_filter.STRICT)
+
+
+@query(f"""
+with rules(verdict, rule, rule_host, rule_path) as (values {_rule_sql()}),
+rests as (
+  select *, strpos(url, '://') as cut_at, substr(url, strpos(url, '://') + 3) as rest from pages),
+parts as (
+  select page_id, url, {LOWER_SQL.format("url")} as low,
+    case when cut_at > 0 then {LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")} else '' end as host,
+    case when cut_at > 0 then substr(regexp_extract(rest, '^[^?#]*'), 1 + length(regexp_extract(rest, '^[^/?#]*')))
+      else '' end as path,
+    case when cut_at > 0 then regexp_extract({LOWER_SQL.format("rest")}, '^[^?#]*')
+      else regexp_extract({LOWER_SQL.format("url")}, '^[^?#]*') end as area
+  from rests),
+ruled as (
+  select page_id, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+  from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by page_id),
+counted as (
+  select *, coalesce({_term_count("low", url_filter.STRICT)}, 0) as n_strict,
+    coalesce({_term_count("area", _SOFT_ONLY)}, 0) as n_soft
+  from parts)
+select page_id, host, path, rule,
+  coalesce(verdict, case when n_strict > 0 or n_soft >= {url_filter.SOFT_NEEDED} then 'block' else 'allow' end)
+    as verdict, n_strict, n_soft
+from counted left join ruled using (page_id)
+""")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query(f"""
 with hashed as (
   select doc_id, sha256({LOWER_SQL.format("coalesce(text, '')")}) as text_sha256 from documents),
