@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, mixing, simhash, url_filter
+from marginalia.llm import exact_dedup, mixing, phrase_index, simhash, url_filter
 from marginalia.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,47 @@ def query(sql: str | None = None):
     return register
 
 
+_WORDS_SQL = (
+    "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(
+        LOWER_SQL.format("coalesce(text, '')")
+    )
+)
+
+
+@query(f"""
+with d as (select doc_id, {_WORDS_SQL} as ws from documents),
+b as (select item_id, {_WORDS_SQL} as ws from benchmark),
+windows as (
+  select distinct item_id, w, array_to_string(ws[i:i + w - 1], ' ') as gram
+  from (select item_id, ws, least(13, len(ws)) as w from b where len(ws) > 0) as bw,
+    unnest(range(1, len(ws) - w + 2)) as t(i)),
+widths as (select distinct w from windows),
+grams as (
+  select doc_id, i, w, array_to_string(ws[i:i + w - 1], ' ') as gram
+  from d, widths, unnest(range(1, greatest(1, len(ws) - w + 2))) as t(i)),
+hits as (select doc_id, item_id, i, w from grams join windows using (w, gram)),
+hit_words as (
+  select doc_id, count(distinct p) as n_hit from hits, unnest(range(i, i + w)) as t(p) group by doc_id),
+hit_items as (
+  select doc_id, count(*) as n_items, sha256(string_agg(name, ',' order by name)) as items_sha256
+  from (select distinct doc_id, cast(item_id as varchar) as name from hits) as n group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join hit_words using (doc_id) left join hit_items using (doc_id)
+""")
+def op1_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
