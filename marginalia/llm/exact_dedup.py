@@ -75,8 +75,12 @@ def group_copies(
         "exact-hashes",
     )
     suspects = hashed.filter("__suspect")
-    groups = suspects.groupBy("text_sha256").agg(
-        F.max("__key").alias("keep_id"), F.count("*").alias("group_size")
+    # Written, so that both sides of the join are dealt out for it and a hot group can be split.
+    groups = cut(
+        suspects.groupBy("text_sha256").agg(
+            F.max("__key").alias("keep_id"), F.count("*").alias("group_size")
+        ),
+        "exact-groups",
     )
     kept = F.col("__key").eqNullSafe(F.col("keep_id"))
     grouped = suspects.join(groups, "text_sha256").select(
