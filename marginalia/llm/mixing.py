@@ -118,9 +118,10 @@ def plan_mix(
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     most: int = MOST_REPEATS,
     bucket_digits: int = BUCKET_DIGITS,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: __row (all its columns), size, source_size, target and positions,
-    an array with the training position, 0 to 1, of every copy that the mix takes.
+    """One row per row of ``docs``: __row (its columns, or those of ``carry``), size, source_size, target
+    and positions, an array with the training position, 0 to 1, of every copy that the mix takes.
 
     A null text has size 0, a null source is a source of its own behind all others, a null key stands
     first in the order of its source. All documents of a source get the same number of whole passes;
@@ -131,7 +132,7 @@ def plan_mix(
     """
     order = F.md5(or_empty(F.col(key).cast("string")))
     rows = docs.select(
-        F.struct("*").alias("__row"),
+        F.struct(*(carry or ["*"])).alias("__row"),
         F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("__source"),
         order.alias("__order"),
         F.substring(order, 1, bucket_digits).alias("__bucket"),

@@ -173,7 +173,7 @@ select doc_id, size, source_size, target,
 from placed
 """)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    planned = mixing.plan_mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return planned.select(
         F.col("__row.doc_id").alias("doc_id"),
         "size",
