@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, mixing, phrase_index, simhash, url_filter
+from marginalia.llm import exact_dedup, language_id, mixing, phrase_index, quality, simhash, url_filter
 from marginalia.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.held_out("doc_id", 5, 0)
+    dictionaries = language_id.learn(docs, ~out)
+    return language_id.identify(docs, dictionaries).select(
+        "doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "rejected"
+    )
+
+
 @query(f"""
 with hashed as (
   select doc_id, sha256({LOWER_SQL.format("coalesce(text, '')")}) as text_sha256 from documents),
@@ -137,6 +147,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(table(spark, sf_dir, "documents"), hash_all=True)
 
 
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        quality.held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT_SCORE).cast("int").alias("predicted"),
+    )
+
+
 @query(r"""
 with sized as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as o,
