@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, language_id, mixing, phrase_index, quality, simhash, url_filter
+from marginalia.llm import exact_dedup, language_id, mixing, phrase_index, quality, simhash, url_filter, warc
 from marginalia.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,34 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.size("positions") * F.col("size")).cast("long").alias("taken"),
     )
+
+
+# Five hexadecimal digits of SHA-1 are four digits of base32.
+_BASE32_SQL = " || ".join(
+    f"lpad(to_base(cast('0x' || substr(h, {at}, 5) as bigint), 32), 4, '0')" for at in range(1, 41, 5)
+)
+
+
+@query(f"""
+with hashed as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+coded as (
+  select page_id, octet_length(encode(payload)) as payload_bytes,
+    translate({_BASE32_SQL},
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest
+  from hashed),
+firsts as (select *, min(page_id) over (partition by payload_digest) as first_id from coded)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to
+from firsts
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived_captures(table(spark, sf_dir, "pages"))
+    return captures.select(
+        "page_id",
+        F.col("page_bytes").alias("payload_bytes"),
+        F.col("claimed_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to_page").alias("refers_to"),
+    )
