@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import exact_dedup, language_id, mixing, phrase_index, quality, simhash, url_filter, warc, wrappers
+from marginalia.llm import context_tree, exact_dedup, language_id, mixing, phrase_index, quality, simhash, url_filter, warc, wrappers
 from marginalia.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.held_out("doc_id", 10, 0)
+    return context_tree.score_texts(docs.withColumn("held_out", out), "held_out")
+
+
 @query(f"""
 with hashed as (
   select doc_id, sha256({LOWER_SQL.format("coalesce(text, '')")}) as text_sha256 from documents),
