@@ -86,15 +86,19 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: i
     weighted = cut(
         _ranked(sources)
         .withColumn("__kind", kind)
-        .withColumn("__weight", F.element_at(kinds, F.col("__kind") + 1).cast("long")),
+        .withColumn("__weight", F.element_at(kinds, F.col("__kind") + 1).cast("decimal(19,0)")),
         "mix-weights",
     )
-    bound = F.col("source_size") * most
+    bound = F.col("source_size").cast("decimal(19,0)") * most
+
+    def exact(value) -> Column:
+        return F.lit(int(value)).cast("decimal(19,0)")
+
     rest, weight_left, settled = None, None, -1
     while True:
         free = F.lit(True)
         if rest is not None:
-            free = F.col("__weight") * F.lit(rest) <= bound * F.lit(weight_left)
+            free = F.col("__weight") * exact(rest) <= bound * exact(weight_left)
         total, left, capped, count = weighted.agg(
             F.coalesce(F.sum("source_size"), F.lit(0)),
             F.coalesce(F.sum(F.when(free, F.col("__weight"))), F.lit(0)),
@@ -104,8 +108,8 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, most: i
         if count == settled:
             break
         rest, weight_left, settled = total - capped, left, count
-    share = (F.col("__weight") * F.lit(rest)).cast("double") / F.lit(float(weight_left or 1))
-    above = F.col("__weight") * F.lit(rest) > bound * F.lit(weight_left)
+    share = (F.col("__weight") * exact(rest)).cast("double") / F.lit(float(weight_left or 1))
+    above = F.col("__weight") * exact(rest) > bound * exact(weight_left)
     return weighted.withColumn("target", F.when(above, bound.cast("double")).otherwise(share))
 
 
