@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.storage import cut, new_path
 
-DEPTH = 6
-BLOCK_BYTES = 16 << 20
+DEPTH = 5
+BLOCK_BYTES = 32 << 20
 #: Positions that are worked on at once.
-_PIECE = 1 << 20
+_PIECE = 1 << 21
 _END = b"\n"
 _BLOCKS, _WORDS, _GRAMS = 0, 1, 2
 #: Added to every count of the base model.
@@ -45,26 +45,38 @@ def normalized(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split()) + _END
 
 
-class _Layout:
-    """Normalised texts side by side, each after DEPTH ends, and the documents of their positions."""
-
-    def __init__(self, texts: list[bytes]):
-        pad = _END * DEPTH
-        self.buffer = np.frombuffer(b"".join(part for text in texts for part in (pad, text)), np.uint8)
-        self.lengths = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + DEPTH)[:-1]]).astype(np.int64)
-
-    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(document, gram) of every byte, a piece at a time."""
-        for first in range(DEPTH, len(self.buffer), _PIECE):
-            last = min(first + _PIECE, len(self.buffer))
-            positions = np.arange(first, last)
-            document = np.searchsorted(self.starts, positions, side="right") - 1
-            real = positions - self.starts[document] >= DEPTH
-            gram = np.zeros(last - first, np.int64)
-            for back in range(1, DEPTH + 1):
-                gram = gram << 8 | self.buffer[first - back : last - back]
-            yield document[real], (gram << 8 | self.buffer[first:last])[real]
+def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, gram) of every byte of the texts, a piece at a time. Each text stands after ends."""
+    pad = _END * DEPTH
+    buffer = np.frombuffer(b"".join(part for text in texts for part in (pad, text)), np.uint8)
+    lengths = np.array([len(t) + DEPTH for t in texts], np.int64)
+    real = np.ones(len(buffer), bool)
+    starts = np.cumsum(lengths) - lengths
+    real[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    for first in range(DEPTH, len(buffer), _PIECE):
+        last = min(first + _PIECE, len(buffer))
+        gram = buffer[first - 1 : last - 1].astype(np.int64)
+        for back in range(2, DEPTH + 1):
+            gram <<= 8
+            gram |= buffer[first - back : last - back]
+        gram <<= 8
+        gram |= buffer[first:last]
+        inside = real[first:last]
+        yield owner[first:last][inside], gram[inside]
+
+
+def _batches(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Tuples that end with a text, in lists of about a piece."""
+    held, size = [], 0
+    for item in texts:
+        held.append(item)
+        size += len(item[-1]) + DEPTH
+        if size >= _PIECE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,56 +84,82 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
 
 
-def _gram_counts(layout: _Layout, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of the texts and their counts in trained texts."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for document, gram in layout.pieces():
-        told = trained[document]
-        for part, weight in ((gram[told], 1), (gram[~told], 0)):
-            found = pc.value_counts(pa.array(part))
-            keys.append(found.field("values").to_numpy(zero_copy_only=False))
-            counts.append(found.field("counts").to_numpy(zero_copy_only=False) * weight)
-        if len(keys) > 64:
-            merged = _summed(keys, counts)
-            keys, counts = [merged[0]], [merged[1]]
-    return _summed(keys, counts)
-
-
 _NAMES = ["kind", "block", "word", "gram", "n", "keys", "held", "texts"]
 
 
-def _block_rows(number: int, keys: list, held: list[bool], texts: list[bytes], key_type) -> Iterator[pa.RecordBatch]:
-    def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
-        types = dict(
-            zip(_NAMES[2:], (pa.string(), pa.int64(), pa.int64(), pa.list_(key_type), pa.list_(pa.bool_()), pa.binary()))
-        )
-        arrays = [pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, number, np.int64))]
-        arrays += [columns[c] if c in columns else pa.nulls(size, types[c]) for c in _NAMES[2:]]
-        return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
-
-    known: Counter[bytes] = Counter()
-    asked: set[bytes] = set()
-    for out, text in zip(held, texts):
+class _Block:
+    """What a block holds, gathered text by text; the texts themselves are kept compressed."""
+
+    def __init__(self, number: int, key_type: pa.DataType):
+        self.number, self.key_type, self.size = number, key_type, 0
+        self.keys: list = []
+        self.held: list[bool] = []
+        self.known: Counter[bytes] = Counter()
+        self.asked: set[bytes] = set()
+        self.grams, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.waiting: list[tuple[bool, bytes]] = []
+        self.waiting_bytes = 0
+        self.stream = zstandard.ZstdCompressor(level=3).compressobj()
+        self.packed: list[bytes] = []
+
+    def add(self, key, held: bool, text: bytes) -> None:
+        self.keys.append(key)
+        self.held.append(held)
         words = text.split()
         words.append(_END)
-        if out:
-            asked.update(words)
+        if held:
+            self.asked.update(words)
         else:
-            known.update(words)
-    words = [*known, *(asked - known.keys())]
-    counts = np.zeros(len(words), np.int64)
-    counts[: len(known)] = list(known.values())
-    yield rows(_WORDS, len(words), word=pa.array(words, pa.binary()).cast(pa.string()), n=pa.array(counts))
-    grams, counts = _gram_counts(_Layout(texts), ~np.array(held, bool))
-    yield rows(_GRAMS, len(grams), gram=pa.array(grams), n=pa.array(counts))
-    packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-    yield rows(
-        _BLOCKS,
-        1,
-        keys=pa.array([keys], pa.list_(key_type)),
-        held=pa.array([held], pa.list_(pa.bool_())),
-        texts=pa.array([packed], pa.binary()),
-    )
+            self.known.update(words)
+        self.packed.append(self.stream.compress(text))
+        self.waiting.append((held, text))
+        self.size += len(text)
+        self.waiting_bytes += len(text)
+        if self.waiting_bytes >= _PIECE:
+            self.count_grams()
+
+    def count_grams(self) -> None:
+        for weight, texts in ((1, [t for h, t in self.waiting if not h]), (0, [t for h, t in self.waiting if h])):
+            for _, gram in _grams(texts) if texts else ():
+                found = pc.value_counts(pa.array(gram))
+                self.grams.append(found.field("values").to_numpy(zero_copy_only=False))
+                self.counts.append(found.field("counts").to_numpy(zero_copy_only=False) * weight)
+        self.waiting, self.waiting_bytes = [], 0
+        if len(self.grams) > 16:
+            self.merge()
+
+    def merge(self) -> None:
+        distinct, counts = _summed(self.grams, self.counts)
+        self.grams, self.counts = [distinct], [counts]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.count_grams()
+        self.merge()
+        types = dict(
+            zip(
+                _NAMES[2:],
+                (pa.string(), pa.int64(), pa.int64(), pa.list_(self.key_type), pa.list_(pa.bool_()), pa.binary()),
+            )
+        )
+
+        def batch(kind: int, size: int, **columns) -> pa.RecordBatch:
+            arrays = [pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, self.number, np.int64))]
+            arrays += [columns[c] if c in columns else pa.nulls(size, types[c]) for c in _NAMES[2:]]
+            return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+
+        words = [*self.known, *(self.asked - self.known.keys())]
+        counts = np.zeros(len(words), np.int64)
+        counts[: len(self.known)] = list(self.known.values())
+        yield batch(_WORDS, len(words), word=pa.array(words, pa.binary()).cast(pa.string()), n=pa.array(counts))
+        yield batch(_GRAMS, len(self.grams[0]), gram=pa.array(self.grams[0]), n=pa.array(self.counts[0]))
+        self.packed.append(self.stream.flush())
+        yield batch(
+            _BLOCKS,
+            1,
+            keys=pa.array([self.keys], types["keys"]),
+            held=pa.array([self.held], types["held"]),
+            texts=pa.array([b"".join(self.packed)], pa.binary()),
+        )
 
 
 @dataclass(frozen=True)
@@ -139,20 +177,17 @@ def build_blocks(docs: DataFrame, key: str, text: str, held: str, block_bytes: i
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        keys, out, texts, size, key_type = [], [], [], 0, None
+        block, number = None, TaskContext.get().partitionId() << 32
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            for name, is_out, content in zip(batch.column(0), batch.column(1), batch.column(2)):
-                keys.append(name.as_py())
-                out.append(is_out.as_py())
-                texts.append(normalized(content.as_py()))
-                size += len(texts[-1])
-                if size >= block_bytes:
-                    yield from _block_rows(number, keys, out, texts, key_type)
-                    number, keys, out, texts, size = number + 1, [], [], [], 0
-        if texts:
-            yield from _block_rows(number, keys, out, texts, key_type)
+            for name, out, content in zip(batch.column(0), batch.column(1), batch.column(2)):
+                if block is None:
+                    block = _Block(number, batch.schema.field(0).type)
+                block.add(name.as_py(), out.as_py(), normalized(content.as_py()))
+                if block.size >= block_bytes:
+                    yield from block.rows()
+                    block, number = None, number + 1
+        if block is not None:
+            yield from block.rows()
 
     schema = (
         f"kind int, block long, word string, gram long, n long, keys array<{kind}>, held array<boolean>, texts binary"
@@ -324,6 +359,18 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return keyed.groupBy("shared").applyInArrow(run, "gram long, logarithm double")
 
 
+def _unpacked(packed: bytes) -> Iterator[bytes]:
+    """The texts of a block with their ends, decompressed as they are asked for."""
+    held: list[bytes] = []
+    for chunk in zstandard.ZstdDecompressor().read_to_iter(packed):
+        *ends, rest = chunk.split(_END)
+        for end in ends:
+            held += (end, _END)
+            yield b"".join(held)
+            held = []
+        held.append(rest)
+
+
 def _score_block(block: pa.Table, answers: pa.Table, key: str) -> pa.Table:
     known = pc.is_valid(answers.column("word"))
     words = answers.filter(known)
@@ -333,25 +380,26 @@ def _score_block(block: pa.Table, answers: pa.Table, key: str) -> pa.Table:
     logarithms = grams.column("value").to_numpy()
     keys = block.column("keys").combine_chunks().flatten()
     held = block.column("held").combine_chunks().flatten()
-    joined = zstandard.ZstdDecompressor().decompress(block.column("texts")[0].as_py())
-    texts = [part + _END for part in joined.split(_END)[:-1]]
-    n = len(texts)
-    n_tokens, n_known, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    for i, text in enumerate(texts):
-        tokens = text.split()
-        tokens.append(_END)
-        found = np.fromiter((counts.get(t, 0.0) for t in tokens), float, len(tokens))
-        n_tokens[i], n_known[i] = len(tokens), np.count_nonzero(found)
-        logs[i] = np.log10(found + BASE_COUNT).sum()
-    layout, scores = _Layout(texts), np.zeros(n)
-    for document, gram in layout.pieces():
-        place = pc.index_in(pa.array(gram), value_set=strings).to_numpy(zero_copy_only=False)
-        scores += np.bincount(document, logarithms[place], n)
+    n = len(keys)
+    n_bytes, n_tokens, n_known = np.zeros((3, n), np.int64)
+    logs, scores = np.zeros((2, n))
+    done = 0
+    for texts in _batches((t,) for t in _unpacked(block.column("texts")[0].as_py())):
+        for i, (text,) in enumerate(texts, done):
+            tokens = text.split()
+            tokens.append(_END)
+            found = np.fromiter((counts.get(t, 0.0) for t in tokens), float, len(tokens))
+            n_bytes[i], n_tokens[i], n_known[i] = len(text), len(tokens), np.count_nonzero(found)
+            logs[i] = np.log10(found + BASE_COUNT).sum()
+        for owner, gram in _grams([text for (text,) in texts]):
+            place = pc.index_in(pa.array(gram), value_set=strings).to_numpy(zero_copy_only=False)
+            scores[done : done + len(texts)] += np.bincount(owner, logarithms[place], len(texts))
+        done += len(texts)
     return pa.table(
         {
             key: keys,
             "held_out": held,
-            "n_bytes": pa.array(layout.lengths),
+            "n_bytes": pa.array(n_bytes),
             "n_tokens": pa.array(n_tokens),
             "n_known": pa.array(n_known),
             "logs": pa.array(logs),
