@@ -292,7 +292,8 @@ def phrase_matches(index: PhraseIndex, words: DataFrame, window: int = WINDOW) -
 
 def proximity_matches(index: PhraseIndex, words: DataFrame, reach: int) -> DataFrame:
     """(segment, name, begin, end): shortest stretches of at most ``reach`` words that hold every distinct
-    word of an item, in any order."""
+    word of an item, in any order. Stretches that reach from one document into the next are among them;
+    ``documents_hit`` leaves them out."""
     plan = _plan(index, words, 1)
 
     def find(lists: dict, rarity: dict, size: int, width: int) -> list[tuple[int, int]]:
@@ -321,6 +322,8 @@ def documents_hit(index: PhraseIndex, matches: DataFrame, key: str = "doc_id") -
         done = 0
         for at in np.argsort(begins, kind="stable").tolist():
             document = owners[np.searchsorted(starts[owners], begins[at], side="right") - 1]
+            if ends[at] > starts[document] + n_words[document]:
+                continue  # a proximity match that reaches into the next document
             names[document].add(labels[at])
             n_hit[document] += max(0, ends[at] - max(done, begins[at]))
             done = max(done, ends[at])

@@ -68,7 +68,7 @@ def first_captures(pages: DataFrame, key: str, url: str, html: str, revisit_byte
         .groupBy(base32_sha1(content).alias("__first_digest"))
         .agg(
             F.min(key).alias("__first"),
-            F.min_by(url, F.struct(key, url)).alias("__first_url"),
+            F.min_by(url, F.when(F.col(key).isNotNull(), F.struct(key, url))).alias("__first_url"),
             F.count("*").alias("__n"),
         )
         .filter("__n > 1 and __first is not null")
