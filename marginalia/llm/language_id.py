@@ -17,8 +17,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from marginalia.llm.sampling import lowest
 from marginalia.llm.storage import cut
 from marginalia.llm.text import or_empty
 
@@ -94,14 +94,8 @@ def learn(
     rows = docs.filter(trained & F.col(lang).isNotNull() & (F.length(content) > 0)).select(
         F.col(lang).alias("__lang"), content.alias("__text"), F.xxhash64(content).alias("__hash")
     )
-    order = Window.partitionBy("__lang").orderBy("__hash")
     chosen = cut(
-        rows.select("__lang", "__hash")
-        .distinct()
-        .withColumn("__n", F.row_number().over(order))
-        .filter(F.col("__n") <= pieces)
-        .select("__lang", "__hash"),
-        "language-sample",
+        lowest(rows.select("__lang", "__hash").distinct(), "__lang", "__hash", pieces), "language-sample"
     )
     first = F.pmod(F.xxhash64("__hash"), F.greatest(F.length("__text") - piece_chars, F.lit(1))).cast("int") + 1
     found = (
