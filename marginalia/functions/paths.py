@@ -77,7 +77,7 @@ def parse_repo_url(url: Column) -> Column:
         .when(F.coalesce(F.size(segments), F.lit(0)) < 2, F.lit("owner and repository required"))
     )
     qualified = F.coalesce(F.get(segments, F.lit(2)).isin("tree", "blob"), F.lit(False))
-    rest = F.when(qualified, F.slice(segments, 5, 1_000_000)).otherwise(F.slice(segments, 3, 1_000_000))
+    rest = F.slice(segments, F.when(qualified, 5).otherwise(3), F.greatest(F.size(segments), F.lit(0)))
     ok = error.isNull()
     return F.struct(
         F.when(ok, F.get(segments, F.lit(0))).alias("owner"),

@@ -1,28 +1,26 @@
 """Code entities of TypeScript, Rust and Python files.
 
-TypeScript and Rust: one native job over (file, line) rows. Strings and comments are blanked with
-their layout kept, bracket depth is a running sum, declarations are found by pattern at the depth
-where they may stand, and an entity ends at the next line that returns to its depth. This reads
-layout, not grammar: one declaration per line, and regular expression literals with unbalanced
-brackets or quotes mislead it. Files are partitioned by path before they are exploded, so the lines
-themselves are never shuffled.
-
-Python files are parsed by the standard library, one file at a time inside tasks.
+A file is one row and is read in one pass inside a task; nothing is shuffled. TypeScript and Rust: a
+scanner blanks what is no code and follows the bracket depth; declarations are found by pattern at the
+depth where they may stand, and an entity ends where its depth is reached again. This reads layout,
+not grammar. Where brackets do not match, the file is one entity as a whole, marked as not balanced.
+Python files are parsed by the standard library.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.paths import document_type
-from marginalia.functions.rows import explode_array
-from marginalia.functions.text import content_checksum, is_blank, trim_space
+from marginalia.functions.text import content_checksum, trim_space
+from marginalia.operators.code_scan import blank_rust, blank_typescript, ends, pieces
 from marginalia.schema import ENTITY
 
 _NAME = "([A-Za-z_$][\\w$]*)"
@@ -41,17 +39,18 @@ class Language:
     """How one language declares entities: at the top, and inside which owners."""
 
     separator: str
-    module_type: str | None
+    module_type: str
+    module_when_empty: bool
     prefix_module: bool
-    lexemes: tuple[str, ...]
+    blank: Callable[[str], str]
+    continued: str
+    goes_on: str
     top: tuple[Declaration, ...]
     members: tuple[tuple[str, Declaration], ...]
     imports: str
     block_docs: bool
 
 
-_STRINGS = '"[^"\\\\\\n]*+(?:\\\\.[^"\\\\\\n]*+)*+"?'
-_COMMENTS = ("/\\*[\\s\\S]*?\\*/", "//[^\\n]*")
 _EXPORT = "\\s*(export\\s+)?(?:default\\s+)?(?:declare\\s+)?"
 _PUB = "\\s*(pub(?:\\([^)]*\\))?\\s+)?"
 _FN = "(?:(?:default|const|async|unsafe|extern)\\s+(?:\\s+)?)*fn\\s+"
@@ -61,9 +60,12 @@ _NOT_CONTROL = (
 
 TYPESCRIPT = Language(
     separator=".",
-    module_type=None,
+    module_type="module",
+    module_when_empty=False,
     prefix_module=False,
-    lexemes=(*_COMMENTS, _STRINGS, _STRINGS.replace('"', "'"), "`[^`\\\\]*+(?:\\\\[\\s\\S][^`\\\\]*+)*+`?"),
+    blank=blank_typescript,
+    continued="extends\\b|implements\\b|[^\\w$]",
+    goes_on="[|&?:.,=)({]|=>|else\\b|catch\\b|finally\\b|while\\b|as\\b|satisfies\\b",
     top=(
         Declaration("function", f"{_EXPORT}(?:async\\s+)?function\\s*\\*?\\s*{_NAME}"),
         Declaration("class", f"{_EXPORT}(?:abstract\\s+)?class\\s+{_NAME}"),
@@ -89,13 +91,11 @@ TYPESCRIPT = Language(
 RUST = Language(
     separator="::",
     module_type="mod",
+    module_when_empty=True,
     prefix_module=True,
-    lexemes=(
-        *_COMMENTS,
-        'r#+"[\\s\\S]*?"#+',
-        _STRINGS.replace("\\n]", "]"),
-        "'(?:[^'\\\\\\n]|\\\\[^\\n]{1,10}?)'",
-    ),
+    blank=blank_rust,
+    continued="where\\b|for\\b|[^\\w]",
+    goes_on="[?.,=){]|else\\b|where\\b",
     top=(
         Declaration("function", f"{_PUB}{_FN}{_NAME}"),
         Declaration("struct", f"{_PUB}struct\\s+{_NAME}"),
@@ -126,239 +126,177 @@ RUST = Language(
 LANGUAGES = {"typescript": TYPESCRIPT, "rust": RUST}
 
 
-def blank_literals(content: Column, lexemes: tuple[str, ...]) -> Column:
-    """Replace strings and comments by spaces; every other character keeps its line and column."""
-    pattern = f"{'|'.join(lexemes)}|[^/\"'`r]++|[\\s\\S]"
-    pieces = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    literal = f"\\A(?:{'|'.join(lexemes)})\\z"
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.when(
-                (F.length(p) > 1) & p.rlike("\\A(?:[/\"'`]|r#)") & p.rlike(literal),
-                F.regexp_replace(p, "[^\\n]", " "),
-            ).otherwise(p),
-        ),
-        "",
-    )
+_MODULE_ENDING = re.compile(r"\.(?:py|rs|tsx?)\Z", re.I)
 
+_GENERICS = re.compile(r"<[^<>]*>")
+_LAST_NAME = re.compile(r"([A-Za-z_]\w*)\s*\Z")
 
-def _module_name(filepath: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(filepath, "([^\\\\/]*)\\z", 1), "(?i)\\.(?:py|rs|tsx?)\\z", "")
 
-
-def _match(line: Column, declarations: tuple[Declaration, ...]) -> Column:
-    """Struct (entity_type, name, marked) of the first declaration whose pattern starts the line."""
-    result = None
-    for declaration in declarations:
-        pattern = f"\\A{declaration.pattern}"
-        found = F.struct(
-            F.lit(declaration.entity_type).alias("entity_type"),
-            F.regexp_extract(line, pattern, 2).alias("name"),
-            (F.regexp_extract(line, pattern, 1) != "").alias("marked"),
-        )
-        hit = line.rlike(pattern)
-        result = F.when(hit, found) if result is None else result.when(hit, found)
-    return result
+def _last_name(text: str) -> str:
+    found = _LAST_NAME.search(text)
+    return found[1] if found else ""
 
 
-def _impl_names(text: Column) -> tuple[Column, Column]:
+def _impl_names(header: str) -> tuple[str, str]:
     """(type, shown name) of an impl header ``Trait for Type`` or ``Type``."""
-    bare = F.regexp_replace(text, "<[^>]*>+|\\bwhere\\b.*", "")
-    last = lambda part: F.regexp_extract(part, "([A-Za-z_]\\w*)\\s*\\z", 1)
-    owner = last(F.regexp_replace(bare, "\\A.*\\bfor\\s+", ""))
-    trait = last(F.regexp_extract(bare, "\\A(.*)\\bfor\\s", 1))
-    return owner, F.when(trait != "", F.concat(owner, F.lit("::"), trait)).otherwise(owner)
+    bare, before = re.sub(r"\bwhere\b.*", "", header, flags=re.S).replace("->", ""), None
+    while bare != before:
+        bare, before = _GENERICS.sub("", bare), bare
+    trait, _, owner = bare.rpartition(" for ")
+    owner, trait = _last_name(owner), _last_name(trait)
+    return owner, f"{owner}::{trait}" if trait else owner
 
 
-def _line_rows(files: DataFrame, language: Language) -> DataFrame:
-    staged = files.withColumn("_raw", F.split("content", "\n", -1)).withColumn(
-        "_blank", F.split(blank_literals(F.col("content"), language.lexemes), "\n", -1)
-    )
-    rows = explode_array(staged, ["filepath"], F.arrays_zip("_raw", "_blank"), "_i", "_line")
-    code = F.col("_line._blank")
-    count = lambda chars: F.length(code) - F.length(F.translate(code, chars, ""))
-    return rows.select(
-        "filepath",
-        (F.col("_i") + 1).alias("line_no"),
-        trim_space(F.col("_line._raw")).alias("raw"),
-        F.rtrim(code).alias("code"),
-        (count("{([") - count("})]")).alias("delta"),
-    )
+def _declared(code: str, declarations: Sequence[Declaration]) -> tuple[str, str, bool] | None:
+    """(entity type, name, export mark) of the first declaration whose pattern starts the code."""
+    for declaration in declarations:
+        if found := re.match(declaration.pattern, code):
+            return declaration.entity_type, found[2], bool(found[1])
+    return None
 
 
-def _brace_entities(files: DataFrame, language: Language, methods: bool) -> DataFrame:
-    """Spans of all entities: filepath, entity_type, name, parent, lines, doc lines, export mark."""
-    down = Window.partitionBy("filepath").orderBy("line_no")
-    above = down.rowsBetween(Window.unboundedPreceding, -1)
-    upward = Window.partitionBy("filepath").orderBy(F.desc("line_no"))
-    from_end = upward.rowsBetween(Window.unboundedPreceding, 0)
+_ARROW = re.compile(
+    r"[^;{]*?=\s*(?:async\s*)?(?:<[^(]*>\s*)?(?:\([\s\S]*?\)|[\w$]+)\s*(?::[^=;{]+)?=>"
+)
+_TYPED = re.compile(r"(?:export\s+)?(?:declare\s+)?(?:const|let|var)\s+[\w$]+\s*:")
 
-    lines = _line_rows(files, language).withColumn(
-        "depth", F.coalesce(F.sum("delta").over(above), F.lit(0))
-    )
-    next_blank = F.coalesce(F.trim(F.lag("code").over(upward)), F.lit("")) == ""
-    ends = F.col("code").rlike("[;}]\\z") | (
-        next_blank & (F.trim("code") != "") & ~F.col("code").rlike("[=|&,]\\z")
-    )
-    top = F.when(F.col("depth") == 0, _match(F.col("code"), language.top))
-    lines = lines.withColumns({"after": F.col("depth") + F.col("delta"), "top": top, "ends": ends})
-
-    # A line that opens a block at the top owns the lines inside; a continued header does not.
-    opener = F.when(
-        (F.col("depth") == 0)
-        & (F.trim("code") != "")
-        & ~F.trim("code").rlike("\\A(?:extends|implements|where|\\{|\\}|\\)|#|@)"),
-        F.struct(
-            F.coalesce("top.entity_type", F.lit("")).alias("entity_type"),
-            F.coalesce("top.name", F.lit("")).alias("name"),
-            F.coalesce("top.marked", F.lit(False)).alias("marked"),
-        ),
-    )
-    end0 = F.when((F.col("after") <= 0) & F.col("ends"), F.col("line_no"))
-    end1 = F.when((F.col("after") <= 1) & (F.col("ends") | F.col("code").rlike(",\\z")), F.col("line_no"))
-    if language.block_docs:
-        opened = F.last(F.when(F.col("raw").startswith("/**"), F.col("line_no")), True).over(above)
-        doc_from = F.when(F.lag("raw").over(down).endswith("*/"), opened)
-    else:
-        breaks = ~F.col("raw").startswith("//") & (F.col("raw") != "")
-        broken = F.last(F.when(breaks, F.col("line_no")), True).over(above)
-        doc_from = F.coalesce(broken, F.lit(0)) + 1
-    lines = lines.withColumns(
-        {
-            "owner": F.last(opener, ignorenulls=True).over(above),
-            "end0": F.last(end0, ignorenulls=True).over(from_end),
-            "end1": F.last(end1, ignorenulls=True).over(from_end),
-            "last_line": F.max("line_no").over(Window.partitionBy("filepath")),
-            "doc_from": doc_from,
-        }
-    )
 
-    member_types = dict.fromkeys(owner for owner, _ in language.members)
-    member = None
-    for owner in member_types:
-        declarations = tuple(d for name, d in language.members if name == owner)
-        hit = F.when(
-            (F.col("owner.entity_type") == owner) & (F.col("depth") == 1), _match(F.col("code"), declarations)
+def _docs(lines: list[str], language: Language) -> Callable[[int], str | None]:
+    """A function from the line of a declaration to the documentation above it.
+
+    Attributes and decorators may stand between.
+    """
+    raw = [line.strip() for line in lines]
+    opened, last = [0] * (len(raw) + 1), 0
+    for i, line in enumerate(raw, 1):
+        last = i if line.startswith("/**") else last
+        opened[i] = last
+
+    def above(start: int) -> str | None:
+        end = start - 1
+        while end and raw[end - 1].startswith(("@", "#[")):
+            end -= 1
+        if language.block_docs:
+            if not end or not raw[end - 1].endswith("*/") or not opened[end]:
+                return None
+            return "\n".join(lines[opened[end] - 1 : end]).strip()
+        first = end
+        while first and (raw[first - 1].startswith("//") or not raw[first - 1]):
+            first -= 1
+        said = [line[3:].strip() for line in raw[first:end] if line.startswith(("///", "//!"))]
+        return "\n".join(said) or None
+
+    return above
+
+
+def _brace_file(
+    filepath: str, content: str, language: Language, methods: bool, variables: bool
+) -> Iterator[dict]:
+    """Entities of one file in the order of their lines."""
+    lines = content.split("\n")
+    found, balanced = pieces(language.blank(content))
+    module = _MODULE_ENDING.sub("", re.split(r"[\\/]", filepath)[-1])
+    entities: list[dict] = []
+    if balanced:
+        top_ends, inside_ends = ends(found, re.compile(language.goes_on))
+        docs = _docs(lines, language)
+        continued = re.compile(language.continued)
+        owner: tuple[str, str, bool] = ("", "", False)
+        members = {o: [d for name, d in language.members if name == o] for o, _ in language.members}
+        for i, piece in enumerate(found):
+            code = piece.code
+            if not code:
+                continue
+            if piece.depth == 0:
+                header = code
+                for later in found[i + 1 : i + 21] if re.match(r"\s*(?:unsafe\s+)?impl\b", code) else ():
+                    if header.endswith(("{", ";")):
+                        break
+                    header += " " + later.code.strip()
+                entry = _declared(header, language.top)
+                if not continued.match(code.strip()):
+                    owner = entry or ("", "", False)
+                parent, end = None, top_ends[i]
+            elif piece.depth == 1 and methods and owner[0] in members:
+                entry = _declared(code, members[owner[0]])
+                parent, end = owner[1], inside_ends[i]
+            else:
+                continue
+            if entry is None:
+                continue
+            kind, name, marked = entry
+            if parent is not None:
+                if kind in ("method", "enum_variant"):
+                    marked = owner[2]
+                parent = None if kind == "enum_variant" else _impl_names(parent)[0] if owner[0] == "impl" else parent
+            elif kind == "impl":
+                name = _impl_names(name)[1] or "impl"
+            end = max(end, piece.line)
+            text = "\n".join(lines[piece.line - 1 : end])
+            text = text.strip() if language.block_docs else text
+            if kind == "variable":
+                arrow = bool(_ARROW.match(text))
+                if not (arrow and marked or variables and (arrow or _TYPED.match(text))):
+                    continue
+                kind = "function" if arrow else kind
+            entities.append(
+                {
+                    "entity_type": kind,
+                    "name": name,
+                    "code": text,
+                    "parent_context": parent,
+                    "start_line": piece.line,
+                    "end_line": end,
+                    "is_exported": marked,
+                    "doc": docs(piece.line) if piece.first else None,
+                }
+            )
+    if not entities and content.strip() and (language.module_when_empty or not balanced):
+        entities.append(
+            {
+                "entity_type": language.module_type,
+                "name": module,
+                "qualified_name": module,
+                "code": content,
+                "start_line": 1,
+                "end_line": len(lines) - content.endswith("\n"),
+                "is_exported": False,
+            }
         )
-        member = hit if member is None else F.coalesce(member, hit)
-    lines = lines.withColumn("member", member if methods else F.lit(None).cast("struct<entity_type:string,name:string,marked:boolean>"))
-    found = lines.filter(F.col("top").isNotNull() | F.col("member").isNotNull())
-
-    is_member = F.col("member").isNotNull()
-    declared = F.coalesce("top", "member")
-    impl_owner, impl_name = _impl_names(F.col("top.name"))
-    owner_type, _ = _impl_names(F.col("owner.name"))
-    is_impl = F.coalesce(F.col("top.entity_type") == "impl", F.lit(False))
-    parent = F.when(
-        is_member & (F.col("member.entity_type") != "enum_variant"),
-        F.when(F.col("owner.entity_type") == "impl", owner_type).otherwise(F.col("owner.name")),
-    )
-    inherits = F.col("member.entity_type").isin("method", "enum_variant")
-    rows = found.select(
-        "filepath",
-        declared["entity_type"].alias("entity_type"),
-        F.when(is_impl, F.coalesce(F.nullif(impl_name, F.lit("")), F.lit("impl")))
-        .otherwise(declared["name"])
-        .alias("name"),
-        parent.alias("parent_context"),
-        F.col("line_no").alias("start_line"),
-        F.greatest(
-            "line_no", F.coalesce(F.when(is_member, F.col("end1")).otherwise(F.col("end0")), F.col("last_line"))
-        ).alias("end_line"),
-        F.when(is_member & inherits, F.col("owner.marked")).otherwise(declared["marked"]).alias("is_exported"),
-        "doc_from",
-    )
-    return rows
+    for number, entity in enumerate(entities):
+        names = [module] if language.prefix_module else []
+        names += [n for n in (entity.get("parent_context"), entity["name"]) if n]
+        yield {
+            "filepath": filepath,
+            "entity_no": number,
+            "qualified_name": language.separator.join(names),
+            "is_balanced": balanced,
+            **entity,
+        }
+
+
+def _brace_entities(files: DataFrame, language: Language, methods: bool, variables: bool) -> DataFrame:
+    rows = _by_file(files, lambda path, content: _brace_file(path, content, language, methods, variables))
+    return _with_signature(rows, language)
 
 
 _PARAMS = "\\(((?:[^()]++|\\((?:[^()]++|\\([^()]*+\\))*+\\))*+)\\)"
 
 
-def _with_code(spans: DataFrame, files: DataFrame, language: Language, variables: bool) -> DataFrame:
-    """Cut code, doc, parameters and return type out of the file lines."""
-    joined = spans.join(files.select("filepath", F.split("content", "\n", -1).alias("_lines")), "filepath")
-    cut = lambda start, end: F.slice(
-        F.col("_lines"), start, F.greatest(end - start + 1, F.lit(0))
-    )
-    doc_lines = cut(F.col("doc_from"), F.col("start_line") - 1)
-    if language.block_docs:
-        doc = F.when(F.col("doc_from").isNotNull(), trim_space(F.array_join(doc_lines, "\n")))
-    else:
-        marked = F.filter(F.transform(doc_lines, trim_space), lambda x: x.rlike("\\A//[/!]"))
-        doc = F.nullif(
-            F.array_join(F.transform(marked, lambda x: trim_space(F.substring(x, F.lit(4), F.length(x)))), "\n"),
-            F.lit(""),
-        )
-    kind = F.col("entity_type")
-    code = F.array_join(cut(F.col("start_line"), F.col("end_line")), "\n")
-    rows = joined.withColumn("doc", doc).withColumn("code", trim_space(code) if language.block_docs else code)
-    arrow = F.coalesce(
-        F.col("code").rlike("\\A[^;{]*?=\\s*(?:async\\s*)?(?:<[^(]*>\\s*)?(?:\\([\\s\\S]*?\\)|[\\w$]+)\\s*(?::[^=;{]+)?=>"),
-        F.lit(False),
-    )
-    if language is TYPESCRIPT:
-        typed = F.col("code").rlike("\\A(?:export\\s+)?(?:declare\\s+)?(?:const|let|var)\\s+[\\w$]+\\s*:")
-        wanted = (arrow & F.col("is_exported")) | (F.lit(variables) & (arrow | typed))
-        rows = rows.filter((kind != "variable") | wanted).withColumn(
-            "entity_type", F.when((kind == "variable") & arrow, F.lit("function")).otherwise(kind)
-        )
+def _with_signature(rows: DataFrame, language: Language) -> DataFrame:
+    """Parameters and return type of functions and methods, read from their code."""
     callable_ = F.col("entity_type").isin("function", "method")
     inner = F.regexp_replace(
         F.regexp_replace(F.regexp_extract("code", _PARAMS, 1), "\\s*\\n\\s*", " "), "\\A\\s+|,?\\s*\\z", ""
     )
-    returned = "\\A[^(]*" + _PARAMS + ("\\s*:\\s*" if language is TYPESCRIPT else "\\s*->\\s*") + "([^{;=]+?)\\s*(?:\\{|=>|;|where\\b|\\z)"
-    return rows.withColumn(
-        "parameters", F.when(callable_, F.concat(F.lit("("), inner, F.lit(")")))
-    ).withColumn("return_type", F.when(callable_, F.nullif(F.regexp_extract("code", returned, 2), F.lit(""))))
-
-
-def _shaped(rows: DataFrame, language: Language) -> DataFrame:
-    module = _module_name(F.col("filepath"))
-    parts = [module] if language.prefix_module else []
-    order = Window.partitionBy("filepath").orderBy("start_line", F.asc_nulls_first("parent_context"))
-    return rows.select(
-        "filepath",
-        (F.row_number().over(order) - 1).alias("entity_no"),
-        "entity_type",
-        "name",
-        F.concat_ws(language.separator, *parts, F.col("parent_context"), F.col("name")).alias("qualified_name"),
-        "code",
-        "parent_context",
-        "start_line",
-        "end_line",
-        "is_exported",
-        "doc",
-        "parameters",
-        "return_type",
-    )
-
-
-def _with_module_entities(entities: DataFrame, files: DataFrame, language: Language) -> DataFrame:
-    """A file without any entity is one entity itself, where the language has such."""
-    if language.module_type is None:
-        return entities
-    empty = files.filter(~is_blank(F.col("content"))).join(
-        entities.select("filepath").distinct(), "filepath", "left_anti"
-    )
-    lines = F.size(F.split("content", "\n", -1)) - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
-    none = F.lit(None).cast("string")
-    whole = empty.select(
-        "filepath",
-        F.lit(0).alias("entity_no"),
-        F.lit(language.module_type).alias("entity_type"),
-        _module_name(F.col("filepath")).alias("name"),
-        _module_name(F.col("filepath")).alias("qualified_name"),
-        F.col("content").alias("code"),
-        none.alias("parent_context"),
-        F.lit(1).alias("start_line"),
-        lines.alias("end_line"),
-        F.lit(False).alias("is_exported"),
-        none.alias("doc"),
-        none.alias("parameters"),
-        none.alias("return_type"),
+    mark = "\\s*:\\s*" if language is TYPESCRIPT else "\\s*->\\s*"
+    returned = "\\A[^(]*" + _PARAMS + mark + "([^{;=]+?)\\s*(?:\\{|=>|;|where\\b|\\z)"
+    return rows.withColumns(
+        {
+            "parameters": F.when(callable_, F.concat(F.lit("("), inner, F.lit(")"))),
+            "return_type": F.when(callable_, F.nullif(F.regexp_extract("code", returned, 2), F.lit(""))),
+        }
     )
-    return entities.unionByName(whole)
 
 
 def _python_file(filepath: str, content: str) -> Iterator[dict]:
@@ -419,10 +357,17 @@ def _python_file(filepath: str, content: str) -> Iterator[dict]:
             }
         )
     for number, entity in enumerate(found):
-        yield {"filepath": filepath, "entity_no": number, "is_exported": False, **entity}
+        yield {
+            "filepath": filepath,
+            "entity_no": number,
+            "is_exported": False,
+            "is_balanced": tree is not None,
+            **entity,
+        }
 
 
-def _python_entities(files: DataFrame) -> DataFrame:
+def _by_file(files: DataFrame, read: Callable[[str, str], Iterator[dict]]) -> DataFrame:
+    """Entities that ``read`` finds in each (filepath, content), file by file inside tasks."""
     columns = ENTITY.fieldNames()
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -430,13 +375,17 @@ def _python_entities(files: DataFrame) -> DataFrame:
             rows = [
                 entity
                 for filepath, content in zip(batch["filepath"], batch["content"])
-                for entity in _python_file(filepath, content or "")
+                for entity in read(filepath, content or "")
             ]
             yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
 
     return files.select("filepath", "content").mapInPandas(extract, ENTITY)
 
 
+def _python_entities(files: DataFrame) -> DataFrame:
+    return _by_file(files, _python_file)
+
+
 # Further languages: a brace language is an entry of LANGUAGES, others give a job of this shape.
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": _python_entities}
 
@@ -458,12 +407,7 @@ def extract_entities(
         if name in EXTRACTORS:
             parts.append(EXTRACTORS[name](own))
             continue
-        language = LANGUAGES[name]
-        # Moving whole files once serves every window and the join below.
-        own = own.repartition("filepath")
-        spans = _brace_entities(own, language, methods)
-        part = _shaped(_with_code(spans, own, language, variables), language)
-        parts.append(_with_module_entities(part, own, language))
+        parts.append(_brace_entities(own, LANGUAGES[name], methods, variables))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

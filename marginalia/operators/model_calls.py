@@ -205,10 +205,8 @@ def entity_context(
         .agg(F.array_sort(F.collect_list(entity)).alias("_entities"))
         .join(files.select("filepath", F.col("content").alias("_document"), "imports"), "filepath")
     )
-    sections = F.transform(
-        "_entities", lambda e, i: entity_section(i + 1, e, F.col("filepath"), F.col("imports"))
-    )
-    prompt = entity_batch_prompt(sections, F.size("_entities"), F.col("filepath"), F.col("_document"))
+    sections = F.transform("_entities", lambda e, i: entity_section(i + 1, e))
+    prompt = entity_batch_prompt(sections, F.col("filepath"), F.col("imports"), F.col("_document"))
     called = (
         batches.withColumn("_prompt", prompt)
         .withColumn("_call", chat_texts(F.lit(ENTITY_CONTEXT_SYSTEM_PROMPT), F.col("_prompt"), model, limits))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -275,8 +276,11 @@ def contextual_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CALL_TOKENS = f"""ceil(length({_lit(DOC_CONTEXT_SYSTEM_PROMPT)}) / 4.0) + ceil((length(text) * 2
-  + length('Summarize how this chunk fits into the broader file.' || repeat(chr(10), 3) || 'Chunk Content:' || repeat(chr(10), 2) || 'Full File Content:' || chr(10) )) / 4.0) + 250"""
+# Characters of the prompt around document and passage.
+_FRAME = len("<document>\n\n</document>\nPassage to place:\n<passage>\n\n</passage>")
+_CALL_TOKENS = (
+    f"ceil(length({_lit(DOC_CONTEXT_SYSTEM_PROMPT)}) / 4.0) + ceil((length(text) * 2 + {_FRAME}) / 4.0) + 250"
+)
 _CALL_TOKENS_SQL = f"calls as (select doc_id as id, ({_CALL_TOKENS})::integer as tokens from documents)"
 
 
@@ -306,20 +310,21 @@ def request_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class LengthChat:
-    """Answers with the length of each prompt; a batch of entities gets a numbered list."""
+    """Answers with the length of each prompt; a batch of entities gets a numbered list that tells how
+    many entities and imports its prompt holds."""
 
     def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
         answers = []
         for prompt in prompts_:
-            count = prompt.count("\nEntity Name: ")
-            listed = "\n".join(f"{i + 1}. item {i + 1} of {count}" for i in range(count))
+            count = len(re.findall(r"(?m)^\d+\. \w+ .* from line \d+ to \d+$", prompt))
+            imports = prompt.partition("It imports:\n")[2].partition("\nDeclarations")[0].count("import ")
+            listed = "\n".join(f"{i + 1}. item {i + 1} of {count}, {imports} imports" for i in range(count))
             answers.append(listed or f" {len(prompt)} characters ")
         return answers
 
 
 @checked(
-    """select doc_id, (length(text) + length(source) + length('Summarize how this chunk fits into the broader file.' || repeat(chr(10), 3) || 'Chunk Content:' || repeat(chr(10), 2) || 'Full File Content:' || chr(10))) || ' characters' as header
-    from documents"""
+    f"select doc_id, (length(text) + length(source) + {_FRAME}) || ' characters' as header from documents"
 )
 def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("filepath"), "source", "text")
@@ -330,10 +335,12 @@ def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @checked(
     f"""with {_LINES_SQL}, numbered as (select source || '/c' || doc_id || '.ts' as filepath, len(l) + 1 as n, unnest(range(0, len(l) + 1)) as i from docs)
-    select filepath, i::integer as chunk_id, 'item ' || (i % 5 + 1) || ' of ' || least(5, n - i // 5 * 5) as header from numbered"""
+    select filepath, i::integer as chunk_id, 'item ' || (i % 5 + 1) || ' of ' || least(5, n - i // 5 * 5) || ', 13 imports' as header from numbered"""
 )
 def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _ts_files(spark, sf_dir)
+    """All imports of a file reach the prompt."""
+    more = "".join(f'import {{ y{i} }} from "./y{i}";\n' for i in range(12))
+    files = _ts_files(spark, sf_dir).withColumn("content", F.concat(F.lit(more), "content"))
     chunks = chunk_entities(extract_entities(files), 1_000_000).withColumnRenamed("chunk_index", "chunk_id")
     described = entity_context(chunks, files.join(file_outline(files), "filepath"), LengthChat(), limits=CallLimits(batch_size=16))
     return described.select("filepath", "chunk_id", "header")

@@ -273,3 +273,173 @@ def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parents.select(
         "filepath", "qualified_name", "entity_name", "parameters", F.length("document").cast("long").alias("document_length")
     )
+
+
+# Ordinary code that misleads a careless reader: quotes and brackets in regular expressions, nested
+# templates, apostrophes in markup, bodies on one line. `@body` is where a document's lines stand as
+# comments, `@n` its id. Expected entities: (type, name, parent, first line, last line, exported), lines
+# counted without the document's lines, which stand inside the entity named first.
+_TS_BODY = 4
+_TS_ORDINARY = r'''/** Doc of f@n */
+export async function f@n(s: string): Promise<string> {
+  const quoted = s.replace(/"/g, "x").replace(/[{'`]/g, `a ${s ? `b}` : ""} c`);
+@body
+  return quoted / 2 / 3;
+}
+export interface I@n { a: string; b(): void }
+export type T@n =
+  | { a: string }
+  | { b: number };
+export const enum E@n { A, B }
+export const arrow@n = (a: string): string => {
+  return <p title="it's">Don't { a } http://x</p>;
+}
+const hidden@n: number = 3;
+@injected({ a: 1 })
+export default class C@n<T> extends f@n {
+  constructor(private a: string) { super(); }
+  static async go(b: { c: string }): Promise<void> { if (b) { this.a = "}"; } }
+}
+'''
+_TS_EXPECTED = (
+    ("function", "f", None, 2, 6, True),
+    ("interface", "I", None, 7, 7, True),
+    ("type", "T", None, 8, 10, True),
+    ("enum", "E", None, 11, 11, True),
+    ("function", "arrow", None, 12, 14, True),
+    ("variable", "hidden", None, 15, 15, False),
+    ("class", "C", None, 17, 20, True),
+    ("method", "constructor", "C", 18, 18, True),
+    ("method", "go", "C", 19, 19, True),
+)
+_RS_BODY = 2
+_RS_ORDINARY = r'''pub unsafe fn free@n<'a>(s: &'a str) -> char {
+@body
+    if s == "}" { '{' } else { '\'' } /* { /* } */ */
+}
+pub trait Shape@n { const N@n: u8; type Out@n; fn area@n(&self) -> f64; }
+pub enum Kind@n { A@n, B@n(u8, u16), C@n { x: i32 } }
+#[derive(Debug)]
+pub struct S@n<'a> { x: &'a str }
+impl<'a, T: Into<String>> Shape@n for S@n<'a>
+where T: Clone {
+    fn raw@n(&self) { let s = r#"}""#; }
+}
+macro_rules! mac@n { ($x:expr) => { $x }; }
+pub const CONST@n: u8 = 1;
+static mut STATIC@n: &str = "}";
+pub type Alias@n = Vec<u8>;
+mod inner@n { fn hidden() {} }
+pub union U@n { a: u8 }
+'''
+_RS_EXPECTED = (
+    ("function", "free", None, 1, 4, True),
+    ("trait", "Shape", None, 5, 5, True),
+    ("associated_const", "N", "Shape", 5, 5, False),
+    ("associated_type", "Out", "Shape", 5, 5, False),
+    ("function", "area", "Shape", 5, 5, False),
+    ("enum", "Kind", None, 6, 6, True),
+    ("enum_variant", "A", None, 6, 6, True),
+    ("enum_variant", "B", None, 6, 6, True),
+    ("enum_variant", "C", None, 6, 6, True),
+    ("struct", "S", None, 8, 8, True),
+    ("impl", "S@n::Shape", None, 9, 12, False),
+    ("function", "raw", "S", 11, 11, False),
+    ("macro", "mac", None, 13, 13, False),
+    ("const", "CONST", None, 14, 14, True),
+    ("static", "STATIC", None, 15, 15, False),
+    ("type_alias", "Alias", None, 16, 16, True),
+    ("mod", "inner", None, 17, 17, False),
+    ("union", "U", None, 18, 18, True),
+)
+_PY_BODY = 4
+_PY_ORDINARY = r'''import os
+@decorated(a={"b": 1})
+async def f@n(s: str) -> str:
+@body
+    return "def no(): {"
+class C@n(f@n):
+    @property
+    def p@n(self): return [x for x in "}"]
+if os:
+    def late@n(): pass
+'''
+_PY_EXPECTED = (
+    ("function", "f", None, 2, 5, False),
+    ("class", "C", None, 6, 8, False),
+    ("method", "p", "C", 7, 8, False),
+    ("function", "late", None, 10, 10, False),
+)
+
+
+def _ordinary_files(spark: SparkSession, sf_dir: str, template: str, ending: str, comment: str):
+    before, after = template.split("@body")
+    fill = lambda part: F.replace(F.lit(part), F.lit("@n"), F.col("n"))
+    body = F.array_join(F.transform("l", lambda x: F.concat(F.lit(comment), x)), "\n")
+    return _lines(spark, sf_dir).select(
+        F.concat("source", F.lit("/o"), "n", F.lit(ending)).alias("filepath"),
+        F.concat(fill(before), body, fill(after)).alias("content"),
+    )
+
+
+def _ordinary_sql(expected: tuple, body: int, ending: str) -> str:
+    """The body takes one line of the template; the lines of the document come in its place."""
+    named = lambda name: "null" if name is None else f"'{name}' || " + "doc_id"
+    parts = []
+    for number, (kind, name, parent, first, last, exported) in enumerate(expected):
+        shown = f"replace('{name}', '@n', doc_id::varchar)" if "@n" in name else None
+        shown = f"{shown} || doc_id" if shown else f"'{name}'" if name in ("constructor", "go") else named(name)
+        move = lambda line: f"{line} + case when {line} > {body} then n - 1 else 0 end"
+        parts.append(
+            f"select filepath, {number}::integer as entity_no, '{kind}' as entity_type, {shown} as name, "
+            f"{named(parent)} as parent_context, ({move(first)})::integer as start_line, "
+            f"({move(last)})::integer as end_line, {str(exported).lower()} as is_exported, true as is_balanced from o"
+        )
+    return (
+        f"with {_LINES_SQL}, o as (select doc_id, len(l) as n, source || '/o' || doc_id || '{ending}' as filepath from docs) "
+        + " union all ".join(parts)
+    )
+
+
+_ORDINARY_SHOWN = [
+    "filepath", "entity_no", "entity_type", "name", "parent_context", "start_line", "end_line", "is_exported",
+    "is_balanced",
+]
+
+
+@checked(_ordinary_sql(_TS_EXPECTED, _TS_BODY, ".tsx"))
+def ordinary_typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _ordinary_files(spark, sf_dir, _TS_ORDINARY, ".tsx", "  // ")
+    return extract_entities(files, variables=True).select(*_ORDINARY_SHOWN)
+
+
+@checked(_ordinary_sql(_RS_EXPECTED, _RS_BODY, ".rs"))
+def ordinary_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_entities(_ordinary_files(spark, sf_dir, _RS_ORDINARY, ".rs", "    // ")).select(*_ORDINARY_SHOWN)
+
+
+@checked(_ordinary_sql(_PY_EXPECTED, _PY_BODY, ".py"))
+def ordinary_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_entities(_ordinary_files(spark, sf_dir, _PY_ORDINARY, ".py", "    # ")).select(*_ORDINARY_SHOWN)
+
+
+@checked(
+    f"""with {_LINES_SQL}, o as (
+      select doc_id, source, array_to_string(list_transform(l, lambda x: '// ' || x), chr(10)) as body,
+        array_to_string(list_transform(l, lambda x: '# ' || x), chr(10)) as hashed, len(l) as n from docs)
+    select source || '/u' || doc_id || '.ts' as filepath, 'module' as entity_type, 'u' || doc_id as name,
+      'function a() {{' || chr(10) || body as code, 1::integer as start_line, (1 + n)::integer as end_line, false as is_balanced from o
+    union all
+    select source || '/u' || doc_id || '.py', 'module', 'u' || doc_id, 'x = 1' || chr(10) || hashed, 1,
+      (1 + n)::integer, true from o"""
+)
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose brackets do not match, and files without a declaration."""
+    body = lambda mark: F.array_join(F.transform("l", lambda x: F.concat(F.lit(mark), x)), "\n")
+    path = lambda ending: F.concat("source", F.lit("/u"), "n", F.lit(ending)).alias("filepath")
+    lines = _lines(spark, sf_dir)
+    open_ended = lines.select(path(".ts"), F.concat(F.lit("function a() {\n"), body("// ")).alias("content"))
+    plain = lines.select(path(".py"), F.concat(F.lit("x = 1\n"), body("# ")).alias("content"))
+    return extract_entities(open_ended.unionByName(plain)).select(
+        "filepath", "entity_type", "name", "code", "start_line", "end_line", "is_balanced"
+    )

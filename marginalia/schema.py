@@ -81,5 +81,7 @@ ENTITY = T.StructType(
         T.StructField("doc", T.StringType(), True),
         T.StructField("parameters", T.StringType(), True),
         T.StructField("return_type", T.StringType(), True),
+        # Whether the file could be read to its end; if not, it is one entity as a whole.
+        T.StructField("is_balanced", T.BooleanType(), True),
     ]
 )

@@ -21,8 +21,9 @@ from marginalia.functions.paths import (
 )
 from marginalia.schema import REPOS
 
-# Only files of these types are listed at all; their content is read after the path filters.
-FILE_GLOB = "*.{mdx,ts,tsx,py,rs,MDX,TS,TSX,PY,RS}"
+# Endings of the files that are listed at all, in any spelling.
+FILE_ENDINGS = ("mdx", "ts", "tsx", "py", "rs")
+FILE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ending) for ending in FILE_ENDINGS) + "}"
 
 
 def repos_table(

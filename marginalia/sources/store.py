@@ -1,8 +1,10 @@
 """The chunk store: Parquet directories per version and bucket, and a list of the current ones.
 
 A run writes only the buckets it changes, under a new version, and then appends one manifest file
-that names for every bucket the version to read. Readers follow the highest manifest version, so
-they never see a half-written state, and a repeated run writes the same directories again.
+that names for every bucket the version to read. Manifests are partitioned by version and keep the
+number of buckets, so a full write may lay the store out anew with more of them. Readers follow the
+highest manifest version, so they never see a half-written state, and a repeated run writes the same
+directories again.
 """
 
 from __future__ import annotations
@@ -15,22 +17,31 @@ from pyspark.sql import functions as F
 
 from marginalia.schema import STORE
 
-_MANIFEST = "version long, bucket int, data_version long"
+_MANIFEST = "bucket int, data_version long, buckets int, version long"
 
 
 class ChunkStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 4096) -> None:
+        """``buckets`` is the layout of full writes; writes of some buckets keep the stored layout."""
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
+        self.wanted_buckets = buckets
 
-    def bucket_of(self, filepath: Column) -> Column:
-        return F.pmod(F.xxhash64(filepath), F.lit(self.buckets)).cast("int")
+    @property
+    def buckets(self) -> int:
+        """Buckets of the current version, or those wanted for the first one."""
+        stored = self._manifest().filter(F.col("version") == self.version()).select("buckets").first()
+        return stored["buckets"] if stored else self.wanted_buckets
+
+    def bucket_of(self, filepath: Column, buckets: int | None = None) -> Column:
+        return F.pmod(F.xxhash64(filepath), F.lit(buckets or self.buckets)).cast("int")
 
     def _manifest(self) -> DataFrame:
         try:
             return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _MANIFEST)
 
     def version(self) -> int:
@@ -75,29 +86,27 @@ class ChunkStore:
         """
         current = self.version()
         version = current + 1 if version is None else version
-        rows = state.select(*STORE.fieldNames(), self.bucket_of(F.col("filepath")).alias("bucket"))
-        touched = list(range(self.buckets)) if buckets is None else sorted(set(buckets))
+        count = self.wanted_buckets if buckets is None else self.buckets
+        rows = state.select(*STORE.fieldNames(), self.bucket_of(F.col("filepath"), count).alias("bucket"))
+        touched = list(range(count)) if buckets is None else sorted(set(buckets))
         if buckets is not None:
             rows = rows.filter(F.col("bucket").isin(touched))
         path = f"{self.root}/data/v={version}"
         # Rebalancing splits a large bucket over several tasks and files.
         rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
-        written = set()
-        if touched:
-            try:
-                found = self.spark.read.parquet(path).select("bucket").distinct().collect()
-                written = {row["bucket"] for row in found}
-            except AnalysisException:  # no file at all: every touched bucket is empty now
-                written = set()
-        kept = {
-            row["bucket"]: row["data_version"]
-            for row in self._manifest().filter(F.col("version") == current).distinct().collect()
-        }
-        entries = dict.fromkeys(range(self.buckets), None) | kept
+        # At most one row per bucket; a bucket without a file is empty now.
+        found = self.spark.read.schema("id long, bucket int").parquet(path).select("bucket").distinct()
+        written = {row["bucket"] for row in found.collect()} if touched else set()
+        kept = {}
+        if buckets is not None:
+            current_rows = self._manifest().filter(F.col("version") == current).distinct()
+            kept = {row["bucket"]: row["data_version"] for row in current_rows.collect()}
+        entries = dict.fromkeys(range(count), None) | kept
         entries |= {bucket: version if bucket in written else None for bucket in touched}
         manifest = self.spark.createDataFrame(
-            [(version, bucket, data) for bucket, data in entries.items()], _MANIFEST
+            [(bucket, data, count, version) for bucket, data in entries.items()], _MANIFEST
         )
-        manifest.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        # A repeated run replaces its own manifest.
+        manifest.drop("version").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")
         return version

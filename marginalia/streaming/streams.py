@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marginalia.functions.paths import repo_of_url
+from marginalia.operators.model_calls import ChatModel, EmbeddingModel
+from marginalia.plans.ingest import IngestOptions, ingest
+from marginalia.sources.store import ChunkStore
+
 PING = "ping"
 
 
@@ -61,6 +66,35 @@ def ingest_stream(
     return _triggered(writer, interval).start()
 
 
+def incremental_ingest(
+    events: DataFrame,
+    corpus: Callable[[DataFrame], DataFrame],
+    repos: DataFrame,
+    store: ChunkStore,
+    embed: EmbeddingModel,
+    chat: ChatModel | None,
+    checkpoint: str,
+    options: IngestOptions = IngestOptions(),
+    interval: str | None = None,
+    kind_col: str = "kind",
+    repo_col: str = "repo",
+) -> StreamingQuery:
+    """Bring the store up to date with the repositories that the events name, micro-batch by micro-batch.
+
+    ``repos`` are the configured repositories; events name them as ``owner/name``. ``corpus`` scans the
+    repositories it is given. A run changes chunks of these repositories only. Events of repositories
+    that are not configured start no run.
+    """
+
+    def run(changed: DataFrame) -> None:
+        wanted = changed.select("repo").distinct()
+        own = repos.join(wanted, repo_of_url(F.col("repo_url")) == F.col("repo"), "left_semi")
+        if not own.isEmpty():
+            ingest(corpus(own), own, store, embed, chat, options)
+
+    return ingest_stream(events, run, checkpoint, interval, kind_col, repo_col)
+
+
 def question_stream(
     questions: DataFrame,
     retrieve: Callable[[DataFrame], DataFrame],
@@ -89,13 +123,13 @@ def answer_delta_stream(partials: DataFrame) -> DataFrame:
     ) -> Iterator[pd.DataFrame]:
         previous = state.get[0] if state.exists else ""
         rows = []
-        for _, row in pd.concat(list(batches)).sort_values("seq").iterrows():
-            text = row["answer"]
+        partial = pd.concat(list(batches)).sort_values("seq")
+        for seq, text in zip(partial["seq"], partial["answer"]):
             if text and text != previous:
                 delta = text[len(previous) :]
                 previous = text
                 if delta:
-                    rows.append((key[0], row["seq"], delta))
+                    rows.append((key[0], seq, delta))
         state.update((previous,))
         yield pd.DataFrame(rows, columns=["answer_id", "seq", "delta"])
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from marginalia.operators.conversations import answer_deltas
 from marginalia.operators.model_calls import HashedWords
 from marginalia.operators.vectors import vector_search
-from marginalia.streaming.streams import answer_delta_stream, ingest_stream, question_stream
-from tests.test_ingest import Kit
+from marginalia.sources.corpus import read_files, scan_corpus
+from marginalia.streaming.streams import answer_delta_stream, incremental_ingest, ingest_stream, question_stream
+from tests.test_ingest import REPO, CountingChat, Kit, write_files
 
 
 def feed(spark, frame, path, files):
@@ -39,6 +40,25 @@ def test_change_events_start_runs(spark, tmp_path):
     assert kit.store.version() == 1
 
 
+def test_events_bring_the_store_up_to_date(spark, tmp_path):
+    kit = Kit(spark, tmp_path)
+    root = tmp_path / "kit"
+    write_files(root, {"docs/a.mdx": "one", "src/b.Ts": "export function f() {\n  return 1;\n}\n"})
+    scanned = []
+
+    def corpus(repos):
+        scanned.append(repos.count())
+        return scan_corpus(read_files(spark, str(root), REPO), repos)
+
+    events = spark.createDataFrame([("push", "acme/kit"), ("push", "acme/other"), ("ping", "acme/kit")], "kind string, repo string")
+    stream = feed(spark, events, str(tmp_path / "events"), 1)
+    incremental_ingest(
+        stream, corpus, kit.repos, kit.store, HashedWords(16), CountingChat(kit.calls), str(tmp_path / "check")
+    ).awaitTermination()
+    assert scanned == [2]  # documentation and code of the one configured repository
+    assert {place[0] for place in kit.rows()} == {"docs/a.mdx", "src/b.Ts"}
+
+
 def test_pings_start_nothing(spark, tmp_path):
     events = spark.createDataFrame([("ping", "a")], "kind string, repo string")
     seen = []
