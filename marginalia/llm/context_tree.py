@@ -16,7 +16,6 @@ shortest contexts has 65,535 entries at most.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +31,10 @@ from marginalia.llm.storage import cut, new_path
 
 DEPTH = 5
 BLOCK_BYTES = 32 << 20
-#: Positions that are worked on at once.
-_PIECE = 1 << 21
+#: Bytes of texts that are worked on at once, and positions that are counted at once: the hash table of
+#: the byte strings among them should fit into a processor's cache.
+_TEXTS = 1 << 21
+_PIECE = 1 << 19
 _END = b"\n"
 _BLOCKS, _WORDS, _GRAMS = 0, 1, 2
 #: Added to every count of the base model.
@@ -66,22 +67,57 @@ def _grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield owner[first:last][inside], gram[inside]
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(text number, word) of every word of normalised texts; ends are not among them."""
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    between = (joined == 32) | (joined == 10)
+    stops = np.flatnonzero(between)
+    sizes = np.diff(stops, prepend=-1) - 1
+    is_end = joined[stops] == 10
+    owner = np.cumsum(is_end) - is_end
+    some = sizes > 0
+    offsets = np.zeros(int(some.sum()) + 1, np.int32)
+    np.cumsum(sizes[some], out=offsets[1:])
+    words = pa.Array.from_buffers(
+        pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined[~between])]
+    )
+    return owner[some], words
+
+
 def _batches(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
     """Tuples that end with a text, in lists of about a piece."""
     held, size = [], 0
     for item in texts:
         held.append(item)
         size += len(item[-1]) + DEPTH
-        if size >= _PIECE:
+        if size >= _TEXTS:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(place, np.concatenate(counts), len(distinct)).astype(np.int64)
+class _Counts:
+    """Counts by word or gram; parts are summed whenever they have grown long."""
+
+    def __init__(self, kind: pa.DataType):
+        self.table = pa.table({"key": pa.array([], kind), "n": pa.array([], pa.int64())})
+        self.parts: list[pa.Table] = []
+        self.waiting = 0
+
+    def add(self, values: pa.Array, weight: int) -> None:
+        found = pc.value_counts(values)
+        counts = found.field("counts").to_numpy(zero_copy_only=False) * weight
+        self.parts.append(pa.table({"key": found.field("values"), "n": pa.array(counts, pa.int64())}))
+        self.waiting += len(found)
+        if self.waiting > (4 << 20) + self.table.num_rows:
+            self.sum()
+
+    def sum(self) -> pa.Table:
+        grouped = pa.concat_tables([self.table, *self.parts]).group_by("key", use_threads=False)
+        self.table = grouped.aggregate([("n", "sum")]).rename_columns(["key", "n"])
+        self.parts, self.waiting = [], 0
+        return self.table
 
 
 _NAMES = ["kind", "block", "word", "gram", "n", "keys", "held", "texts"]
@@ -94,9 +130,7 @@ class _Block:
         self.number, self.key_type, self.size = number, key_type, 0
         self.keys: list = []
         self.held: list[bool] = []
-        self.known: Counter[bytes] = Counter()
-        self.asked: set[bytes] = set()
-        self.grams, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.words, self.grams = _Counts(pa.string()), _Counts(pa.int64())
         self.waiting: list[tuple[bool, bytes]] = []
         self.waiting_bytes = 0
         self.stream = zstandard.ZstdCompressor(level=3).compressobj()
@@ -105,36 +139,26 @@ class _Block:
     def add(self, key, held: bool, text: bytes) -> None:
         self.keys.append(key)
         self.held.append(held)
-        words = text.split()
-        words.append(_END)
-        if held:
-            self.asked.update(words)
-        else:
-            self.known.update(words)
         self.packed.append(self.stream.compress(text))
         self.waiting.append((held, text))
         self.size += len(text)
         self.waiting_bytes += len(text)
-        if self.waiting_bytes >= _PIECE:
-            self.count_grams()
+        if self.waiting_bytes >= _TEXTS:
+            self.count()
 
-    def count_grams(self) -> None:
+    def count(self) -> None:
+        """Count words and grams of the texts that wait; held out ones count nothing, but are asked for."""
         for weight, texts in ((1, [t for h, t in self.waiting if not h]), (0, [t for h, t in self.waiting if h])):
-            for _, gram in _grams(texts) if texts else ():
-                found = pc.value_counts(pa.array(gram))
-                self.grams.append(found.field("values").to_numpy(zero_copy_only=False))
-                self.counts.append(found.field("counts").to_numpy(zero_copy_only=False) * weight)
+            if not texts:
+                continue
+            self.words.add(_words(texts)[1], weight)
+            self.words.add(pa.array([_END.decode()] * len(texts)), weight)
+            for _, gram in _grams(texts):
+                self.grams.add(pa.array(gram), weight)
         self.waiting, self.waiting_bytes = [], 0
-        if len(self.grams) > 16:
-            self.merge()
-
-    def merge(self) -> None:
-        distinct, counts = _summed(self.grams, self.counts)
-        self.grams, self.counts = [distinct], [counts]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        self.count_grams()
-        self.merge()
+        self.count()
         types = dict(
             zip(
                 _NAMES[2:],
@@ -147,11 +171,10 @@ class _Block:
             arrays += [columns[c] if c in columns else pa.nulls(size, types[c]) for c in _NAMES[2:]]
             return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
-        words = [*self.known, *(self.asked - self.known.keys())]
-        counts = np.zeros(len(words), np.int64)
-        counts[: len(self.known)] = list(self.known.values())
-        yield batch(_WORDS, len(words), word=pa.array(words, pa.binary()).cast(pa.string()), n=pa.array(counts))
-        yield batch(_GRAMS, len(self.grams[0]), gram=pa.array(self.grams[0]), n=pa.array(self.counts[0]))
+        for kind, name, counts in ((_WORDS, "word", self.words), (_GRAMS, "gram", self.grams)):
+            found = counts.sum().combine_chunks()
+            columns = {name: found.column("key").combine_chunks(), "n": found.column("n").combine_chunks()}
+            yield batch(kind, len(found), **columns)
         self.packed.append(self.stream.flush())
         yield batch(
             _BLOCKS,
@@ -372,12 +395,15 @@ def _unpacked(packed: bytes) -> Iterator[bytes]:
 
 
 def _score_block(block: pa.Table, answers: pa.Table, key: str) -> pa.Table:
-    known = pc.is_valid(answers.column("word"))
-    words = answers.filter(known)
-    counts = dict(zip(words.column("word").cast(pa.binary()).to_pylist(), words.column("value").to_pylist()))
-    grams = answers.filter(pc.invert(known))
-    strings = grams.column("gram").combine_chunks()
-    logarithms = grams.column("value").to_numpy()
+    is_word = pc.is_valid(answers.column("word"))
+    told = answers.filter(is_word).combine_chunks()
+    words = told.column("word").combine_chunks()
+    counts = told.column("value").to_numpy()
+    end = words.index(_END.decode()).as_py()
+    end_count = counts[end] if end >= 0 else 0.0
+    told = answers.filter(pc.invert(is_word))
+    order = np.argsort(told.column("gram").to_numpy())
+    grams, logarithms = told.column("gram").to_numpy()[order], told.column("value").to_numpy()[order]
     keys = block.column("keys").combine_chunks().flatten()
     held = block.column("held").combine_chunks().flatten()
     n = len(keys)
@@ -385,15 +411,26 @@ def _score_block(block: pa.Table, answers: pa.Table, key: str) -> pa.Table:
     logs, scores = np.zeros((2, n))
     done = 0
     for texts in _batches((t,) for t in _unpacked(block.column("texts")[0].as_py())):
-        for i, (text,) in enumerate(texts, done):
-            tokens = text.split()
-            tokens.append(_END)
-            found = np.fromiter((counts.get(t, 0.0) for t in tokens), float, len(tokens))
-            n_bytes[i], n_tokens[i], n_known[i] = len(text), len(tokens), np.count_nonzero(found)
-            logs[i] = np.log10(found + BASE_COUNT).sum()
-        for owner, gram in _grams([text for (text,) in texts]):
-            place = pc.index_in(pa.array(gram), value_set=strings).to_numpy(zero_copy_only=False)
-            scores[done : done + len(texts)] += np.bincount(owner, logarithms[place], len(texts))
+        plain = [text for (text,) in texts]
+        part = slice(done, done + len(plain))
+        owner, found = _words(plain)
+        coded = found.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = np.where(place >= 0, counts[place], 0.0) if len(counts) else np.zeros(len(place))
+        own = known[coded.indices.to_numpy(zero_copy_only=False)]
+        n_bytes[part] = [len(text) for text in plain]
+        n_tokens[part] = 1 + np.bincount(owner, minlength=len(plain))
+        n_known[part] = (end_count > 0) + np.bincount(owner, own > 0, len(plain)).astype(np.int64)
+        logs[part] = np.log10(end_count + BASE_COUNT) + np.bincount(owner, np.log10(own + BASE_COUNT), len(plain))
+        for owner, gram in _grams(plain):
+            coded = pa.array(gram).dictionary_encode()
+            asked = coded.dictionary.to_numpy()
+            # In ascending order the look-ups stay in the cache.
+            ranked = np.argsort(asked)
+            found_at = np.empty(len(asked), np.int64)
+            found_at[ranked] = np.searchsorted(grams, asked[ranked])
+            told = logarithms[found_at][coded.indices.to_numpy(zero_copy_only=False)]
+            scores[part] += np.bincount(owner, told, len(plain))
         done += len(texts)
     return pa.table(
         {
