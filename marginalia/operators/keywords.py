@@ -303,15 +303,43 @@ def keyword_search(
     if "keyword_match_count" not in queries.columns:
         return ordered.filter(F.col("keyword_order") <= limit)
     limits = queries.select("query_id", limit.cast("int").alias("_limit"))
+    # The largest limit, as a number, lets every task cut its part of a query before the shuffle.
+    most = limits.agg(F.max("_limit")).first()[0] or 0
     return (
-        ordered.join(limits, "query_id").filter(F.col("keyword_order") <= F.col("_limit")).drop("_limit")
+        ordered.filter(F.col("keyword_order") <= most)
+        .join(limits, "query_id")
+        .filter(F.col("keyword_order") <= F.col("_limit"))
+        .drop("_limit")
     )
 
 
 def _cover_ranked(postings: DataFrame, terms: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms."""
+    """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms.
+
+    Which chunks hold all words of an alternative is settled on words alone, gathered before the
+    shuffle; positions are read for these chunks only.
+    """
+    hits = postings.join(terms.join(parsed, "query_id", "left_semi"), "term")
+    needed = F.transform(
+        F.array_distinct(F.transform("units", lambda u: u["alternative"])),
+        lambda a: F.flatten(
+            F.transform(
+                F.filter("units", lambda u: (u["alternative"] == a) & ~u["negated"]),
+                lambda u: F.transform(u["terms"], lambda t: t["key"]),
+            )
+        ),
+    )
+    candidates = (
+        hits.groupBy("query_id", "id")
+        .agg(F.collect_set("key").alias("_have"))
+        .join(parsed.select("query_id", needed.alias("_needed")), "query_id")
+        .filter(
+            F.exists("_needed", lambda keys: (F.size(keys) > 0) & (F.size(F.array_except(keys, F.col("_have"))) == 0))
+        )
+        .select("query_id", "id")
+    )
     found = (
-        postings.join(terms.join(parsed, "query_id", "left_semi"), "term")
+        hits.join(candidates, ["query_id", "id"], "left_semi")
         .groupBy("query_id", "id")
         .agg(F.collect_list(F.struct("position", "key", "weight")).alias("_entries"))
         .join(parsed, "query_id")

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.config import SearchDefaults
+from marginalia.session import cut_lineage
 
 BLOCK_BYTES = 64 << 20
 _ROWS_PER_PRODUCT = 4096
-_SCAN_TASKS = 20_000
 # Scores are compared at this many digits, so that the order of additions cannot decide a tie.
 SCORE_DIGITS = 12
 
@@ -88,8 +88,9 @@ def _query_blocks(queries: DataFrame, dim_bytes: int) -> Iterator[pa.Table]:
         if blocks > 1:
             part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
         table = part.toArrow()
-        if table.num_rows:
-            yield table
+        # A hash splits evenly on average only; the slice is the bound.
+        for first in range(0, table.num_rows, block):
+            yield table.slice(first, block)
 
 
 def vector_search(
@@ -101,10 +102,14 @@ def vector_search(
     id_col: str = "id",
     vector_col: str = "embedding",
     query_vector_col: str = "query_embedding",
+    scan_tasks: int | None = None,
 ) -> DataFrame:
     """Rows (query_id, id, similarity, vector_rank): per query the k most similar stored vectors
     with similarity >= threshold, ties by id.
 
+    The queries are evaluated once and written to the checkpoint folder. ``scan_tasks`` coalesces the
+    scan of the store, so that fewer, longer tasks send fewer partial hits.
+
     ``queries`` has ``query_id`` and the vector; columns ``match_count`` and
     ``similarity_threshold``, when present, override the arguments per query.
     """
@@ -132,25 +137,26 @@ def vector_search(
         ]
     )
     narrow = store.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    # Fewer, longer tasks send fewer partial hits; a coalesce moves no rows. The floor keeps a scan
-    # wide while a cluster is still adding executors.
-    narrow = narrow.coalesce(max(_SCAN_TASKS, 4 * spark.sparkContext.defaultParallelism))
-
-    first = asked.select(F.size("vector").alias("dim")).first()
-    if first is None:
-        return _ranked(spark.createDataFrame([], schema))
-    dim = first["dim"]
+    if scan_tasks is not None:
+        narrow = narrow.coalesce(scan_tasks)
+
+    asked = cut_lineage(asked)
+    dim, most = asked.agg(F.max(F.size("vector")), F.max("k")).first()
+    if dim is None:
+        return _ranked(spark.createDataFrame([], schema), 0)
     found = None
     for table in _query_blocks(asked, dim * 8):
         part = _block_hits(narrow, table, dim, schema)
         found = part if found is None else found.unionByName(part)
-    return _ranked(found)
+    return _ranked(found, most or 0)
 
 
-def _ranked(hits: DataFrame) -> DataFrame:
+def _ranked(hits: DataFrame, most: int) -> DataFrame:
+    """Hits within each query's own limit. The largest limit, as a number, cuts before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))
     return (
         hits.withColumn("vector_rank", F.row_number().over(order))
+        .filter(F.col("vector_rank") <= most)
         .filter(F.col("vector_rank") <= F.col("k"))
         .drop("k")
     )
