@@ -169,23 +169,23 @@ def hashed_sql(name: str, relation: str, key: str, text: str) -> str:
 """
 
 
-# Two-word web-style queries, one per benchmark text.
+# Web-style queries of the first words, one per benchmark text.
 WORDS_SQL = f"""
 words as (
-  select item_id as query_id, w[1] as t1, w[2] as t2
+  select item_id as query_id, w[1] as t1, w[2] as t2, w[3] as t3, w[4] as t4
   from (select item_id, regexp_extract_all(lower(text), '{WORD}') as w from benchmark))
 """
 
 
 def word_queries(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """``form`` is a format string with two places for the first two words of each text."""
+    """``form`` is a format string with places for the first words of each text, four at most."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
     return (
         table(spark, sf_dir, "benchmark")
         .withColumn("_w", words)
         .select(
             F.col("item_id").alias("query_id"),
-            F.format_string(form, F.get("_w", F.lit(0)), F.get("_w", F.lit(1))).alias("query"),
+            F.format_string(form, *[F.get("_w", F.lit(i)) for i in range(4)]).alias("query"),
         )
     )
 
