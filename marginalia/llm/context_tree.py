@@ -33,7 +33,7 @@ DEPTH = 5
 BLOCK_BYTES = 32 << 20
 #: Bytes of texts that are worked on at once, and positions that are counted at once: the hash table of
 #: the byte strings among them should fit into a processor's cache.
-_TEXTS = 1 << 21
+_TEXTS = 1 << 20
 _PIECE = 1 << 19
 _END = b"\n"
 _BLOCKS, _WORDS, _GRAMS = 0, 1, 2
@@ -110,7 +110,7 @@ class _Counts:
         counts = found.field("counts").to_numpy(zero_copy_only=False) * weight
         self.parts.append(pa.table({"key": found.field("values"), "n": pa.array(counts, pa.int64())}))
         self.waiting += len(found)
-        if self.waiting > (4 << 20) + self.table.num_rows:
+        if self.waiting > (1 << 20) + self.table.num_rows:
             self.sum()
 
     def sum(self) -> pa.Table:
@@ -172,9 +172,11 @@ class _Block:
             return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
         for kind, name, counts in ((_WORDS, "word", self.words), (_GRAMS, "gram", self.grams)):
-            found = counts.sum().combine_chunks()
+            # In order they take half the space.
+            found = counts.sum().sort_by("key").combine_chunks()
             columns = {name: found.column("key").combine_chunks(), "n": found.column("n").combine_chunks()}
             yield batch(kind, len(found), **columns)
+        self.words = self.grams = None
         self.packed.append(self.stream.flush())
         yield batch(
             _BLOCKS,
@@ -183,6 +185,7 @@ class _Block:
             held=pa.array([self.held], types["held"]),
             texts=pa.array([b"".join(self.packed)], pa.binary()),
         )
+        pa.default_memory_pool().release_unused()
 
 
 @dataclass(frozen=True)
@@ -402,8 +405,11 @@ def _score_block(block: pa.Table, answers: pa.Table, key: str) -> pa.Table:
     end = words.index(_END.decode()).as_py()
     end_count = counts[end] if end >= 0 else 0.0
     told = answers.filter(pc.invert(is_word))
+    del answers
     order = np.argsort(told.column("gram").to_numpy())
     grams, logarithms = told.column("gram").to_numpy()[order], told.column("value").to_numpy()[order]
+    del told, order
+    pa.default_memory_pool().release_unused()
     keys = block.column("keys").combine_chunks().flatten()
     held = block.column("held").combine_chunks().flatten()
     n = len(keys)
