@@ -152,15 +152,19 @@ def repo_base_url(repo_url: Column, branch: Column | str | None = None) -> Colum
     )
 
 
+# Languages of code files and their endings. A new language adds its endings here and its reader in
+# ``operators.entities``.
+CODE_ENDINGS: dict[str, tuple[str, ...]] = {"typescript": ("ts", "tsx"), "python": ("py",), "rust": ("rs",)}
+
+
 def document_type(path: Column) -> Column:
     """Type of a collected file, null for files that are not collected."""
     lowered = F.lower(path)
-    return (
-        F.when(lowered.endswith(".mdx"), F.lit("mdx"))
-        .when(lowered.rlike("\\.tsx?\\z") & ~lowered.endswith(".d.ts"), F.lit("typescript"))
-        .when(lowered.endswith(".py"), F.lit("python"))
-        .when(lowered.endswith(".rs"), F.lit("rust"))
-    )
+    kind = F.when(lowered.endswith(".mdx"), F.lit("mdx"))
+    for language, endings in CODE_ENDINGS.items():
+        known = lowered.rlike(f"\\.(?:{'|'.join(endings)})\\z") & ~lowered.endswith(".d.ts")
+        kind = kind.when(known, F.lit(language))
+    return kind
 
 
 def in_scope(path: Column, base: Column | str | None) -> Column:

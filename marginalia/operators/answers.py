@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,10 @@ def retrieve(
     vocabulary: DataFrame | None = None,
     defaults: SearchDefaults | None = None,
 ) -> DataFrame:
-    """Ranked hits (query_id, rank, id, similarity, keyword_rank) of every question."""
+    """Ranked hits (query_id, rank, id, similarity, keyword_rank) of every question.
+
+    Without postings, and with a warning where the keyword search fails, hits are those of the vectors.
+    """
     asked = retrieval_params(questions, defaults).withColumn("question", trim_space(F.col("question")))
     # The vectors are used by a bounded broadcast and must not be asked for twice.
     vectors = cut_lineage(embed_chunks(asked, embed, "question").withColumnRenamed("embedding", "query_embedding"))
@@ -64,7 +69,12 @@ def retrieve(
         similar = similar.withColumn("keyword_rank", F.lit(None).cast("double"))
         return similar.select("query_id", F.col("vector_rank").alias("rank"), "id", "similarity", "keyword_rank")
     words = vectors.filter("hybrid").select("query_id", F.col("question").alias("query"), "keyword_match_count")
-    found = keyword_search(postings, words, vocabulary=vocabulary)
+    try:
+        # Evaluated here, so that a failure is met here.
+        found = cut_lineage(keyword_search(postings, words, vocabulary=vocabulary))
+    except Exception as error:  # whatever it is, the vectors still answer
+        warnings.warn(f"keyword search failed, vectors alone are used: {error}", stacklevel=2)
+        found = keyword_search(postings.limit(0), words.limit(0))
     limits = vectors.select("query_id", "match_count")
     # Both lists hold at most k rows per question; the limit is applied on the merged ranks.
     merged = hybrid_search(similar, found, k=F.lit(2**31 - 1))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.paths import document_type
+from marginalia.functions.paths import CODE_ENDINGS, document_type
 from marginalia.functions.text import content_checksum, trim_space
 from marginalia.operators.code_scan import blank_rust, blank_typescript, ends, pieces
 from marginalia.schema import ENTITY
@@ -403,6 +403,8 @@ def extract_entities(
     typed = files.select("filepath", "content", document_type(F.col("filepath")).alias("_type"))
     parts = []
     for name in (*LANGUAGES, *EXTRACTORS) if languages is None else languages:
+        if name not in CODE_ENDINGS:
+            raise ValueError(f"no file endings are known for {name}")
         own = typed.filter(F.col("_type") == name).drop("_type")
         if name in EXTRACTORS:
             parts.append(EXTRACTORS[name](own))

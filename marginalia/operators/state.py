@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import MOVING_PREFIX
 from marginalia.schema import STORE, UPSERT_COLUMNS
+from marginalia.session import cut_lineage
 
 LOCATION = ["filepath", "chunk_id"]
 _ID_BUCKETS = 65536
@@ -98,16 +99,19 @@ def upsert_chunks(
         keys.filter(F.col("_id").isNull()).select(*LOCATION), LOCATION, start
     ).withColumn("created_at", _now(now))
     ids = keys.filter(F.col("_id").isNotNull()).select(*LOCATION, F.col("_id").alias("id"), "created_at")
-    incoming = new.join(ids.unionByName(fresh), LOCATION).withColumn("updated_at", _now(now))
+    untouched = store.join(new.select(*LOCATION), LOCATION, "left_anti")
+    return untouched.select(*store.columns).unionByName(_incoming(store, new, ids.unionByName(fresh), now))
+
+
+def _incoming(store: DataFrame, new: DataFrame, ids: DataFrame, now: Column | None) -> DataFrame:
+    """New chunks in the shape of ``store``; ``ids`` has id and created_at by location."""
+    incoming = new.join(ids, LOCATION).withColumn("updated_at", _now(now))
     types = {f.name: f.dataType for f in STORE.fields}
     missing = [c for c in UPSERT_COLUMNS if c not in incoming.columns]
     incoming = incoming.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in missing])
-    untouched = store.join(new.select(*LOCATION), LOCATION, "left_anti")
     # By name of the type: whether array values may be null must not matter.
     wanted = dict(store.dtypes)
-    return untouched.select(*store.columns).unionByName(
-        incoming.select(*[F.col(c).cast(wanted[c]).alias(c) for c in store.columns])
-    )
+    return incoming.select(*[F.col(c).cast(wanted[c]).alias(c) for c in store.columns])
 
 
 def delete_missing(store: DataFrame, files: DataFrame, valid: DataFrame) -> DataFrame:
@@ -150,7 +154,34 @@ def next_state(
     now: Column | None = None,
     last_id: int | None = None,
 ) -> DataFrame:
-    """Deletes, moves and upserts as one new state, so a move may take the place of a deleted row."""
-    kept = delete_by_ids(store, deletes)
+    """Deletes, moves and upserts as one new state, so a move may take the place of a deleted row.
+
+    Places are settled on ids and locations alone and written to the checkpoint folder; the rows
+    themselves are joined once.
+    """
+    kept = delete_by_ids(store.select("id", *LOCATION, "created_at"), deletes)
     alive = moves.join(deletes.select("id"), "id", "left_anti")
-    return upsert_chunks(apply_moves(kept, alive, now), new, now, last_id)
+    resolved = resolve_moves(kept, alive).select(
+        "id",
+        F.struct("filepath", "chunk_id", "source_type", "github_url").alias("_to"),
+    )
+    placed = kept.join(resolved, "id", "left").select(
+        "id",
+        F.coalesce("_to.filepath", "filepath").alias("filepath"),
+        F.coalesce("_to.chunk_id", "chunk_id").alias("chunk_id"),
+        "created_at",
+        "_to",
+    )
+    asked = new.select(*LOCATION).distinct().withColumn("_new", F.lit(True))
+    places = cut_lineage(placed.join(asked, LOCATION, "full_outer"))
+    start = last_id if last_id is not None else places.agg(F.max("id")).first()[0] or 0
+    fresh = number_rows(places.filter("id is null").select(*LOCATION), LOCATION, start)
+    ids = places.filter("_new and id is not null").select(*LOCATION, "id", "created_at")
+    incoming = _incoming(store, new, ids.unionByName(fresh.withColumn("created_at", _now(now))), now)
+
+    stay = places.filter("_new is null").select("id", "_to", F.col("_to").isNotNull().alias("_moved"))
+    rows = store.join(stay, "id")
+    for name in ("filepath", "chunk_id", "source_type", "github_url"):
+        rows = rows.withColumn(name, F.coalesce(F.col("_to")[name], F.col(name)))
+    rows = rows.withColumn("updated_at", F.when(F.col("_moved"), _now(now)).otherwise(F.col("updated_at")))
+    return rows.select(*store.columns).unionByName(incoming)

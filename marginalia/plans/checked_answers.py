@@ -19,6 +19,7 @@ from marginalia.operators.answers import (
     parse_answers,
     response_record,
     retrieval_params,
+    retrieve,
 )
 from marginalia.operators.conversations import (
     COMPLEX_WORDS,
@@ -52,7 +53,17 @@ from marginalia.operators.vectors import vector_search
 from marginalia.plans.catalog import checked
 from marginalia.plans.checked_code import _LINES_SQL, _ts_files
 from marginalia.plans.checked_search import _DOC_HITS_SQL, _embedded_questions, _embedded_store
-from marginalia.plans.derived import store, table, texts
+from marginalia.operators.keywords import build_postings
+from marginalia.plans.derived import (
+    POSTINGS_SQL,
+    STORE_SQL,
+    WORDS_SQL,
+    hashed_sql,
+    store,
+    table,
+    texts,
+    word_queries,
+)
 from marginalia.operators.entities import extract_entities, file_outline
 from marginalia.operators.entity_chunks import chunk_entities
 from marginalia.streaming.streams import change_events, changed_repos, source_events
@@ -211,6 +222,51 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("query_id", "rank", "filepath", "chunk_title", "final_url")
 
 
+# Every question brings its own limits; every second one asks for words too.
+@checked(
+    f"""with {STORE_SQL}, {POSTINGS_SQL}, {WORDS_SQL},
+    {hashed_sql("d", "store", "id", "contextual_text")},
+    {hashed_sql("q", "words", "query_id", "t1")},
+    norms as (select id, sqrt(sum(v * v)) as n from d_vectors group by 1),
+    qnorms as (select id, sqrt(sum(v * v)) as n from q_vectors group by 1),
+    asked as (
+      select query_id, t1, 3 + query_id % 4 as most, ((1 + query_id % 3) / 10.0)::double as floor, 2 + query_id % 5 as most_words,
+        query_id % 2 = 0 as hybrid from words),
+    scores as (
+      select q.id as query_id, d.id, round(sum(q.v * d.v) / (any_value(qn.n) * any_value(dn.n)), 12) as similarity
+      from q_vectors q join d_vectors d using (slot) join norms dn on dn.id = d.id join qnorms qn on qn.id = q.id group by 1, 2),
+    vector_hits as (
+      select query_id, id, similarity, row_number() over (partition by query_id order by similarity desc, id) as vector_rank
+      from scores join asked using (query_id) where similarity >= floor qualify vector_rank <= most),
+    word_ranks as (
+      select query_id, id, any_value(most_words) as most_words, round(sum(weight), 9) as keyword_rank
+      from postings join asked on term = t1 where hybrid group by 1, 2),
+    word_hits as (
+      select *, row_number() over (partition by query_id order by keyword_rank desc, id) as keyword_order
+      from word_ranks qualify keyword_order <= most_words),
+    merged as (
+      select coalesce(v.query_id, k.query_id) as query_id, coalesce(v.id, k.id) as id, similarity, keyword_rank, vector_rank, keyword_order
+      from vector_hits v full join word_hits k on v.query_id = k.query_id and v.id = k.id)
+    select query_id, row_number() over (partition by query_id order by similarity desc nulls last, keyword_rank desc nulls last,
+        vector_rank nulls last, keyword_order nulls last)::integer as rank, id, round(similarity, 6) as similarity,
+      round(keyword_rank, 6) as keyword_rank
+    from merged join asked using (query_id) qualify rank <= most"""
+)
+def retrieved_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.col("query_id")
+    questions = word_queries(spark, sf_dir, "%1$s").select(
+        "query_id",
+        F.col("query").alias("question"),
+        (item % 4 + 3).alias("match_count"),
+        ((item % 3 + 1) / 10.0).alias("similarity_threshold"),
+        (item % 5 + 2).alias("keyword_match_count"),
+        (item % 2 == 0).alias("hybrid"),
+    )
+    postings = build_postings(store(spark, sf_dir), english=False)
+    hits = retrieve(questions, _embedded_store(spark, sf_dir), HashedWords(64), postings)
+    return hits.withColumns({"similarity": F.round("similarity", 6), "keyword_rank": F.round("keyword_rank", 6)})
+
+
 @checked(
     """select conv_id as query_id, '{"id":"chatcmpl-' || conv_id || '","object":"chat.completion","created":1704067200,"model":"m","choices":[{"index":0,"message":{"role":"assistant","content":"'
       || n || ' turns"},"finish_reason":"stop"}],"usage":{"prompt_tokens":0,"completion_tokens":0,"total_tokens":0}}' as record

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from marginalia.operators.diff import (
     moves_of,
     run_stats,
 )
+from marginalia.functions.text import content_checksum
 from marginalia.operators.state import (
     apply_moves,
     delete_by_ids,
@@ -27,7 +30,8 @@ from marginalia.operators.state import (
 )
 from marginalia.plans.catalog import checked
 from marginalia.plans.derived import CRAWL_SQL, REPOS_SQL, STORE_SQL, crawl, repos, store, table
-from marginalia.session import cut_lineage
+from marginalia.session import cut_lineage, ensure_checkpoint_dir
+from marginalia.sources.store import ChunkStore
 
 _TARGET_SQL = f"""
 {STORE_SQL}, {CRAWL_SQL}, {REPOS_SQL},
@@ -195,6 +199,66 @@ def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Rows that the crawl overwrites keep the time they were made; untouched ones keep both times.
+@checked(
+    f"""with {_TARGET_SQL}
+    select coalesce(c.filepath, s.filepath) as filepath,
+      case when s.id is null then '2024-02-01' else '2024-01-01' end as created,
+      case when c.seq is null then '2024-01-01' else '2024-02-01' end as updated
+    from store s full join crawl c using (filepath, chunk_id)"""
+)
+def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = upsert_chunks(
+        store(spark, sf_dir), _new_rows(crawl(spark, sf_dir)), F.lit("2024-02-01").cast("timestamp")
+    )
+    day = lambda name: F.date_format(name, "yyyy-MM-dd")
+    return state.select("filepath", day("created_at").alias("created"), day("updated_at").alias("updated"))
+
+
+@checked(
+    f"""with {_MOVED_SQL} select m.id, case when m.filepath = s.filepath and m.chunk_id = s.chunk_id
+        and m.source_type = s.source_type and m.github_url is not distinct from s.github_url then '2024-01-01' else '2024-02-01' end as updated
+    from moved m join store s using (id)"""
+)
+def moved_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moves = moves_of(_classified(spark, sf_dir))
+    moved = apply_moves(store(spark, sf_dir), moves, F.lit("2024-02-01").cast("timestamp"))
+    return moved.select("id", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+# Two versions: the second one replaces the buckets that hold German documents, a third lays all out
+# anew in other buckets. Read are the current state, one file by its path, and rows by their checksum.
+@checked(
+    f"""with {STORE_SQL} select 'all' as part, id, filepath, checksum,
+      case when contextual_text like 'de---%' then 'again' else chunk_title end as chunk_title from store
+    union all
+    select 'file', id, filepath, checksum, case when contextual_text like 'de---%' then 'again' else chunk_title end from store
+    where filepath = 'src0/0.mdx'
+    union all
+    select 'checksums', id, filepath, checksum, case when contextual_text like 'de---%' then 'again' else chunk_title end from store
+    where checksum in (select sha256(text) from documents where lang = 'fr')"""
+)
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store(spark, sf_dir)
+    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    chunks = ChunkStore(spark, root, buckets=16)
+    chunks.write(rows)
+    german = F.col("contextual_text").startswith("de---")
+    buckets = chunks.buckets_of(rows.filter(german).select("filepath"))
+    again = chunks.read(buckets=buckets).withColumn(
+        "chunk_title", F.when(german, "again").otherwise(F.col("chunk_title"))
+    )
+    chunks.write(cut_lineage(again), buckets)
+    wider = ChunkStore(spark, root, buckets=32)
+    wider.write(cut_lineage(wider.read()))
+    french = table(spark, sf_dir, "documents").filter("lang = 'fr'").select(content_checksum(F.col("text")).alias("checksum"))
+    parts = {"all": wider.read(), "file": wider.read_file("src0/0.mdx"), "checksums": wider.read_checksums(french)}
+    shown = [
+        part.select(F.lit(name).alias("part"), "id", "filepath", "checksum", "chunk_title") for name, part in parts.items()
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 @checked(
     f"""with {_MOVED_SQL},
     kept as (select m.filepath, m.checksum, m.source_type from moved m where id not in (select id from deletes)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import DEFAULT_BRANCH, DEFAULT_EXCLUDE_PATTERNS
 from marginalia.functions.paths import (
+    CODE_ENDINGS,
     document_type,
     in_scope,
     is_excluded,
@@ -21,9 +22,10 @@ from marginalia.functions.paths import (
 )
 from marginalia.schema import REPOS
 
-# Endings of the files that are listed at all, in any spelling.
-FILE_ENDINGS = ("mdx", "ts", "tsx", "py", "rs")
-FILE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ending) for ending in FILE_ENDINGS) + "}"
+def file_glob() -> str:
+    """Files of the known types, in any spelling of their endings."""
+    endings = ["mdx", *(e for own in CODE_ENDINGS.values() for e in own)]
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in ending) for ending in endings) + "}"
 
 
 def repos_table(
@@ -71,7 +73,7 @@ def read_files(spark: SparkSession, root: str, repo_url: str | None = None) -> D
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", FILE_GLOB)
+        .option("pathGlobFilter", file_glob())
         .option("ignoreMissingFiles", "true")
         .load(root)
     )

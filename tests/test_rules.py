@@ -227,3 +227,39 @@ def test_stems():
         "geology": "geolog",
     }
     assert {word: english_stem(word) for word in pairs} == pairs
+
+
+def test_a_new_language_needs_endings_and_a_reader(spark, monkeypatch):
+    from marginalia.functions import paths
+    from marginalia.operators import entities
+    from marginalia.sources.corpus import file_glob
+
+    def read(path, content):
+        for number, line in enumerate(content.split("\n")):
+            yield {"filepath": path, "entity_no": number, "entity_type": "function", "name": line, "qualified_name": line,
+                   "code": line, "start_line": number + 1, "end_line": number + 1, "is_exported": False}
+
+    monkeypatch.setitem(entities.EXTRACTORS, "shell", lambda files: entities._by_file(files, read))
+    files = spark.createDataFrame([("a/b.SH", "x\ny"), ("a/c.ts", "")], "filepath string, content string")
+    with pytest.raises(ValueError):
+        entities.extract_entities(files, languages=["shell"])
+    monkeypatch.setitem(paths.CODE_ENDINGS, "shell", ("sh",))
+    assert [r["name"] for r in entities.extract_entities(files).orderBy("entity_no").collect()] == ["x", "y"]
+    assert "[sS][hH]" in file_glob()
+
+
+def test_a_failing_keyword_search_leaves_the_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.operators.answers import retrieve
+    from marginalia.operators.keywords import build_postings
+    from marginalia.operators.model_calls import HashedWords, embed_chunks
+
+    rows = [(1, "t", "red apple", "red apple"), (2, "t", "blue plum", "blue plum")]
+    chunks = spark.createDataFrame(rows, "id long, chunk_title string, content string, contextual_text string")
+    embedded = embed_chunks(chunks, HashedWords(16))
+    broken = build_postings(chunks, english=False).withColumn("weight", F.raise_error(F.lit("gone")).cast("double"))
+    questions = spark.createDataFrame([(7, "apple")], "query_id long, question string")
+    with pytest.warns(UserWarning, match="keyword search failed"):
+        hits = retrieve(questions, embedded, HashedWords(16), broken).collect()
+    assert hits[0]["id"] == 1 and hits[0]["keyword_rank"] is None
