@@ -21,7 +21,13 @@ from marginalia.functions.paths import (
     source_url,
     strip_fragment,
 )
-from marginalia.functions.text import clean_title, content_checksum, language_of_path, normalize_source_type
+from marginalia.functions.text import (
+    WRAPPING_PAIRS,
+    clean_title,
+    content_checksum,
+    language_of_path,
+    normalize_source_type,
+)
 from marginalia.functions.tokens import count_tokens, embedding_token_limit, sanitize_special_tokens
 from marginalia.operators.diff import documents_per_type
 from marginalia.plans.catalog import checked
@@ -29,6 +35,9 @@ from marginalia.plans.derived import ORG, repos, table, texts
 from marginalia.sources.corpus import scan_corpus
 from marginalia.sources.pages import page_title
 
+# White space that titles are trimmed of, as RE2 knows it.
+SPACE_SQL = "\\s\\p{Z}\\x{FEFF}"
+
 # Files of a mixed repository: the extension follows the language, the folder the source.
 _FILES_SQL = """
 files as (
@@ -239,23 +248,41 @@ def _slug_sql(value: str) -> str:
     return f"replace(regexp_replace(lower(trim({value})), '[^\\p{{L}}\\p{{Nl}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\- ]', '', 'g'), ' ', '-')"
 
 
+def _clean_sql(value: str) -> str:
+    """Strip spaces and every wrapping pair at most once, in the order of the pairs."""
+    quoted = lambda text: text.replace("'", "''")
+    result = f"regexp_replace({value}, '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')"
+    for start, end in WRAPPING_PAIRS:
+        pattern = f"(?s)^{quoted(start)}[{SPACE_SQL}]*(.*?)[{SPACE_SQL}]*{quoted(end)}$"
+        result = f"regexp_replace({result}, '{pattern}', '\\1')"
+    return result
+
+
+# Every fourth title comes without quotes, the others are wrapped once more.
+_WRAPPED_SQL = """case page_id % 4 when 0 then title when 1 then ' "(' || title || ')" ' when 2 then '[' || title || ']' else '“ ' || title || '”' end"""
+
+
 @checked(
     f"""with t as (select page_id, url, {_TITLE_SQL} as title from pages)
-    select page_id, '(' || title || ')' as wrapped, title as cleaned, {_slug_sql('title')} as slug,
+    select page_id, {_WRAPPED_SQL} as wrapped, {_clean_sql(_WRAPPED_SQL)} as cleaned, {_slug_sql('title')} as slug,
       case when contains(url, '#') or {_slug_sql('title')} = '' then url else url || '#' || {_slug_sql('title')} end as linked,
       string_split(url, '#')[1] as bare
-    from t where not regexp_matches(title, '^[\\[(“‘"'']') """
+    from t"""
 )
 def title_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", page_title(F.col("html")).alias("title"))
-    # Titles that are wrapped already would lose their own pair too.
-    plain = pages.filter(~F.col("title").rlike("\\A[\\[(“‘\"']"))
     slug = heading_slug(F.col("title"))
-    wrapped = F.concat(F.lit("("), F.col("title"), F.lit(")"))
-    return plain.select(
+    kind, title = F.col("page_id") % 4, F.col("title")
+    wrapped = (
+        F.when(kind == 0, title)
+        .when(kind == 1, F.concat(F.lit(' "('), title, F.lit(')" ')))
+        .when(kind == 2, F.concat(F.lit("["), title, F.lit("]")))
+        .otherwise(F.concat(F.lit("“ "), title, F.lit("”")))
+    )
+    return pages.select(
         "page_id",
         wrapped.alias("wrapped"),
-        clean_title(F.concat(F.lit(' "'), wrapped, F.lit('" '))).alias("cleaned"),
+        clean_title(wrapped).alias("cleaned"),
         slug.alias("slug"),
         append_slug(F.col("url"), slug).alias("linked"),
         strip_fragment(F.col("url")).alias("bare"),
