@@ -53,13 +53,19 @@ class SearchDefaults:
 
 @dataclass(frozen=True)
 class CallLimits:
-    """Limits of one model endpoint."""
+    """Limits of one model endpoint.
+
+    With ``paced`` they are held while calling: rows go through ``concurrency`` lanes, and each lane
+    waits for its share of requests and tokens a minute. Without it, which suits models inside the
+    tasks, calls run as wide as the data.
+    """
 
     batch_size: int = 100
     concurrency: int = 8
     requests_per_minute: int = 1500
     tokens_per_minute: int = 6_250_000
     retries: int = 1
+    paced: bool = False
 
 
 @dataclass(frozen=True)

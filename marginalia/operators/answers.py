@@ -7,11 +7,11 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.config import CallLimits, SearchDefaults
+from marginalia.config import CallLimits, SearchDefaults, Settings
 from marginalia.functions.text import trim_space
 from marginalia.operators.hybrid import build_sources, hybrid_search, map_cited_sources, with_chunks
 from marginalia.operators.keywords import keyword_search
-from marginalia.operators.model_calls import ChatModel, EmbeddingModel, chat_texts, embed_chunks
+from marginalia.operators.model_calls import ChatModel, EmbeddingModel, chat_texts, embed_chunks, in_lanes
 from marginalia.operators.prompts import build_prompt
 from marginalia.operators.vectors import vector_search
 from marginalia.session import cut_lineage
@@ -122,8 +122,9 @@ def answer(
     hits = cut_lineage(with_chunks(retrieve(asked, store, embed, postings, vocabulary, defaults), store))
     with_hits = asked.join(hits.select("query_id").distinct(), "query_id", "left_semi")
     prompts = build_prompt(with_hits, hits, system)
+    limits = limits or Settings().chat
     called = cut_lineage(
-        prompts.withColumn("_call", chat_texts(F.col("system"), F.col("prompt"), chat, limits)).select(
+        in_lanes(prompts, limits).withColumn("_call", chat_texts(F.col("system"), F.col("prompt"), chat, limits)).select(
             "query_id", "_call.answer", "_call.error"
         )
     )

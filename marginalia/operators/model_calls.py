@@ -82,6 +82,36 @@ def call_with_retries(call: Callable[[], object], retries: int, wait: float = 1.
     raise AssertionError("unreachable")
 
 
+class Pace:
+    """Waits of one lane, so that all lanes together stay below the limits of an endpoint."""
+
+    def __init__(
+        self,
+        limits: CallLimits,
+        clock: Callable[[], float] = time.monotonic,
+        sleep: Callable[[float], None] = time.sleep,
+    ) -> None:
+        share = 60.0 * limits.concurrency
+        self.request_seconds = share / limits.requests_per_minute if limits.paced else 0.0
+        self.token_seconds = share / limits.tokens_per_minute if limits.paced else 0.0
+        self.clock, self.sleep, self.free_at = clock, sleep, 0.0
+
+    def wait(self, texts: Sequence[str]) -> None:
+        """Wait for the next request; ``texts`` are what it sends, at one token per four characters."""
+        if not self.request_seconds:
+            return
+        now = self.clock()
+        if self.free_at > now:
+            self.sleep(self.free_at - now)
+        tokens = sum(-(-len(text) // 4) for text in texts)
+        self.free_at = max(now, self.free_at) + max(self.request_seconds, tokens * self.token_seconds)
+
+
+def in_lanes(df: DataFrame, limits: CallLimits) -> DataFrame:
+    """Rows in as many partitions as there may be calls at once, if the limits are to be held."""
+    return df.repartition(limits.concurrency) if limits.paced else df
+
+
 def _batches(total: int, size: int) -> Iterator[slice]:
     for at in range(0, total, size):
         yield slice(at, at + size)
@@ -96,13 +126,19 @@ def embed_texts(
 
     @F.pandas_udf("embedding array<float>, error string")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pace = Pace(limits)
         for texts in batches:
             vectors: list = []
             errors: list = []
             for part in _batches(len(texts), size):
                 chunk = texts.iloc[part].fillna("").tolist()
+
+                def call():
+                    pace.wait(chunk)
+                    return model(chunk)
+
                 try:
-                    found = np.asarray(call_with_retries(lambda: model(chunk), retries, wait), np.float32)
+                    found = np.asarray(call_with_retries(call, retries, wait), np.float32)
                     if len(found) != len(chunk):
                         raise ValueError(f"{len(found)} vectors for {len(chunk)} texts")
                     vectors += list(found)
@@ -123,7 +159,8 @@ def embed_chunks(
     keep_errors: bool = False,
 ) -> DataFrame:
     """Add ``embedding``; with ``keep_errors`` also ``error``, else a failed call fails the job."""
-    called = df.withColumn("_call", embed_texts(F.col(text_col), model, limits))
+    limits = limits or CallLimits()
+    called = in_lanes(df, limits).withColumn("_call", embed_texts(F.col(text_col), model, limits))
     if keep_errors:
         return called.select(*df.columns, "_call.embedding", "_call.error")
     checked = F.when(
@@ -141,13 +178,19 @@ def chat_texts(
 
     @F.pandas_udf("answer string, error string")
     def chat(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        pace = Pace(limits)
         for systems, prompts in batches:
             answers: list = []
             errors: list = []
             for part in _batches(len(prompts), size):
                 asked = systems.iloc[part].fillna("").tolist(), prompts.iloc[part].fillna("").tolist()
+
+                def call():
+                    pace.wait([*asked[0], *asked[1]])
+                    return model(*asked)
+
                 try:
-                    found = list(call_with_retries(lambda: model(*asked), retries, wait))
+                    found = list(call_with_retries(call, retries, wait))
                     if len(found) != len(asked[1]):
                         raise ValueError(f"{len(found)} answers for {len(asked[1])} prompts")
                     answers += found
@@ -183,7 +226,8 @@ def doc_context(chunks: DataFrame, documents: DataFrame, model: ChatModel, limit
     """
     asked = chunks.join(documents.select("filepath", F.col("content").alias("_document")), "filepath")
     prompt = doc_context_prompt(F.col("content"), F.col("_document"))
-    called = asked.withColumn("_call", chat_texts(F.lit(DOC_CONTEXT_SYSTEM_PROMPT), prompt, model, limits))
+    limits = limits or Settings().chat
+    called = in_lanes(asked, limits).withColumn("_call", chat_texts(F.lit(DOC_CONTEXT_SYSTEM_PROMPT), prompt, model, limits))
     return called.withColumn("header", F.trim(_checked("_call"))).select(*chunks.columns, "header")
 
 
@@ -207,8 +251,9 @@ def entity_context(
     )
     sections = F.transform("_entities", lambda e, i: entity_section(i + 1, e))
     prompt = entity_batch_prompt(sections, F.col("filepath"), F.col("imports"), F.col("_document"))
+    limits = limits or Settings().chat
     called = (
-        batches.withColumn("_prompt", prompt)
+        in_lanes(batches.withColumn("_prompt", prompt), limits)
         .withColumn("_call", chat_texts(F.lit(ENTITY_CONTEXT_SYSTEM_PROMPT), F.col("_prompt"), model, limits))
         .withColumn("_answer", _checked("_call"))
         .withColumn("_headers", parse_numbered(F.col("_answer"), F.size("_entities")))

@@ -36,6 +36,7 @@ from marginalia.operators.model_calls import (
     doc_context,
     entity_context,
     estimate_call_tokens,
+    in_lanes,
     plan_requests,
 )
 from marginalia.operators.prompts import (
@@ -421,6 +422,30 @@ def call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return called.select("id", "_c.error")
 
 
+class FlakyChat:
+    """Refuses every request once."""
+
+    def __init__(self) -> None:
+        self.refused: set[str] = set()
+
+    def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
+        if prompts_[0] not in self.refused:
+            self.refused.add(prompts_[0])
+            raise ValueError("busy")
+        return [str(len(text)) for text in prompts_]
+
+
+@checked("select doc_id as id, length(text)::varchar as answer, null::varchar as error from documents")
+def retried_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call that succeeds after a retry counts like any other, in paced lanes too."""
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    limits = CallLimits(
+        batch_size=50, retries=1, paced=True, concurrency=4, requests_per_minute=10**6, tokens_per_minute=10**9
+    )
+    called = in_lanes(docs, limits).withColumn("_c", chat_texts(F.lit(""), F.col("text"), FlakyChat(), limits, wait=0.0))
+    return called.select("id", "_c.answer", "_c.error")
+
+
 @checked("select event_type || ':' || user_id as label, count(*) as events from events where event_type <> 'view' group by 1")
 def change_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views stand for pings."""

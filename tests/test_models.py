@@ -179,3 +179,25 @@ def test_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_BYTES", 24 * 16)
     monkeypatch.setattr(vectors, "_ROWS_PER_PRODUCT", 7)
     assert sorted(map(tuple, vector_search(store, queries, 3, 0.1).collect())) == whole
+
+
+def test_paced_lanes_stay_below_the_limits():
+    from marginalia.config import CallLimits
+    from marginalia.operators.model_calls import Pace
+
+    now, slept = [100.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    limits = CallLimits(concurrency=2, requests_per_minute=60, tokens_per_minute=600, paced=True)
+    pace = Pace(limits, lambda: now[0], sleep)
+    for text in ("a" * 4, "a" * 4, "a" * 400, "a"):
+        pace.wait([text])
+    # A lane has half of the limits: a request every two seconds, five tokens a second.
+    assert slept == [2.0, 2.0, 20.0]
+    free = Pace(CallLimits(), lambda: now[0], sleep)
+    free.wait(["a" * 1000])
+    free.wait(["a"])
+    assert len(slept) == 3
