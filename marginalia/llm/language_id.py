@@ -38,8 +38,9 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def normalized(text: str | None) -> bytes:
-    """Lower-case letters and single spaces, as UTF-8."""
-    return _NO_LETTERS.sub(" ", text.lower()).strip().encode() if text else b""
+    """Lower-case letters and single spaces, as UTF-8; empty for texts without a letter."""
+    plain = _NO_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    return plain.encode() if any(map(str.isalpha, plain)) else b""
 
 
 class Encoder:

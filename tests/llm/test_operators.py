@@ -246,6 +246,8 @@ def test_language_of_odd_rows(odd, none):
     found = {r["doc_id"]: r for r in language_id.identify(odd, dictionaries).collect()}
     assert found[3]["lang_pred"] == found[4]["lang_pred"] == "und" and found[3]["rejected"]
     assert found[6]["lang_pred"] == "en"
+    letterless = odd.limit(1).withColumn("text", F.lit("12 ² ... _ Ⅷ"))
+    assert language_id.identify(letterless, dictionaries).first()["lang_pred"] == "und"
     assert language_id.identify(odd, language_id.learn(none, F.lit(True))).filter("lang_pred <> 'und'").count() == 0
     assert language_id.identify(none, dictionaries).count() == 0
 
