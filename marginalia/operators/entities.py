@@ -275,28 +275,28 @@ def _brace_file(
         }
 
 
-def _brace_entities(files: DataFrame, language: Language, methods: bool, variables: bool) -> DataFrame:
-    rows = _by_file(files, lambda path, content: _brace_file(path, content, language, methods, variables))
-    return _with_signature(rows, language)
+_PARAMS = "\\(((?:[^()]++|\\((?:[^()]++|\\([^()]*+\\))*+\\))*+)\\)"
 
 
-_PARAMS = "\\(((?:[^()]++|\\((?:[^()]++|\\([^()]*+\\))*+\\))*+)\\)"
+# What stands between parameters and return type.
+_RETURN_MARKS = {"typescript": "\\s*:\\s*", "rust": "\\s*->\\s*"}
 
 
-def _with_signature(rows: DataFrame, language: Language) -> DataFrame:
-    """Parameters and return type of functions and methods, read from their code."""
+def _with_signature(rows: DataFrame) -> DataFrame:
+    """Parameters and return type of functions and methods of brace languages, read from their code."""
+    language = document_type(F.col("filepath"))
     callable_ = F.col("entity_type").isin("function", "method")
     inner = F.regexp_replace(
         F.regexp_replace(F.regexp_extract("code", _PARAMS, 1), "\\s*\\n\\s*", " "), "\\A\\s+|,?\\s*\\z", ""
     )
-    mark = "\\s*:\\s*" if language is TYPESCRIPT else "\\s*->\\s*"
-    returned = "\\A[^(]*" + _PARAMS + mark + "([^{;=]+?)\\s*(?:\\{|=>|;|where\\b|\\z)"
-    return rows.withColumns(
-        {
-            "parameters": F.when(callable_, F.concat(F.lit("("), inner, F.lit(")"))),
-            "return_type": F.when(callable_, F.nullif(F.regexp_extract("code", returned, 2), F.lit(""))),
-        }
-    )
+    parameters, returned = F.col("parameters"), F.col("return_type")
+    for name, mark in _RETURN_MARKS.items():
+        pattern = "\\A[^(]*" + _PARAMS + mark + "([^{;=]+?)\\s*(?:\\{|=>|;|where\\b|\\z)"
+        found = F.nullif(F.regexp_extract("code", pattern, 2), F.lit(""))
+        own = callable_ & (language == name)
+        parameters = F.when(own, F.concat(F.lit("("), inner, F.lit(")"))).otherwise(parameters)
+        returned = F.when(own, found).otherwise(returned)
+    return rows.withColumns({"parameters": parameters, "return_type": returned})
 
 
 def _python_file(filepath: str, content: str) -> Iterator[dict]:
@@ -366,7 +366,7 @@ def _python_file(filepath: str, content: str) -> Iterator[dict]:
         }
 
 
-def _by_file(files: DataFrame, read: Callable[[str, str], Iterator[dict]]) -> DataFrame:
+def by_file(files: DataFrame, read: Callable[[str, str], Iterator[dict]]) -> DataFrame:
     """Entities that ``read`` finds in each (filepath, content), file by file inside tasks."""
     columns = ENTITY.fieldNames()
 
@@ -382,12 +382,21 @@ def _by_file(files: DataFrame, read: Callable[[str, str], Iterator[dict]]) -> Da
     return files.select("filepath", "content").mapInPandas(extract, ENTITY)
 
 
-def _python_entities(files: DataFrame) -> DataFrame:
-    return _by_file(files, _python_file)
+# Further languages: a brace language is an entry of LANGUAGES, others give a job of this shape. Both need
+# their file endings in ``functions.paths``.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
 
+def _reader(methods: bool, variables: bool) -> Callable[[str, str], Iterator[dict]]:
+    languages = {ending: LANGUAGES[name] for name in LANGUAGES for ending in CODE_ENDINGS.get(name, ())}
 
-# Further languages: a brace language is an entry of LANGUAGES, others give a job of this shape.
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"python": _python_entities}
+    def read(filepath: str, content: str) -> Iterator[dict]:
+        language = languages.get(filepath.rsplit(".", 1)[-1].lower())
+        if language is None:
+            return _python_file(filepath, content)
+        return _brace_file(filepath, content, language, methods, variables)
+
+    return read
 
 
 def extract_entities(
@@ -398,18 +407,22 @@ def extract_entities(
 ) -> DataFrame:
     """Entities of code files (filepath, content), with the checksum of their code.
 
-    ``languages`` limits the work to some of the known languages; each is a plan of its own.
+    Files of all languages are read in one pass; a language with a job of its own is a pass of its own.
+    ``languages`` limits the work to some of the known ones.
     """
-    typed = files.select("filepath", "content", document_type(F.col("filepath")).alias("_type"))
-    parts = []
-    for name in (*LANGUAGES, *EXTRACTORS) if languages is None else languages:
+    names = (*LANGUAGES, "python", *EXTRACTORS) if languages is None else tuple(languages)
+    for name in names:
         if name not in CODE_ENDINGS:
             raise ValueError(f"no file endings are known for {name}")
-        own = typed.filter(F.col("_type") == name).drop("_type")
-        if name in EXTRACTORS:
-            parts.append(EXTRACTORS[name](own))
-            continue
-        parts.append(_brace_entities(own, LANGUAGES[name], methods, variables))
+        if name not in (*LANGUAGES, "python", *EXTRACTORS):
+            raise ValueError(f"no reader is known for {name}")
+    typed = files.select("filepath", "content", document_type(F.col("filepath")).alias("_type"))
+    together = [name for name in names if name not in EXTRACTORS]
+    parts = []
+    if together:
+        own = typed.filter(F.col("_type").isin(together))
+        parts.append(_with_signature(by_file(own, _reader(methods, variables))))
+    parts += [EXTRACTORS[n](typed.filter(F.col("_type") == n).drop("_type")) for n in names if n in EXTRACTORS]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -32,7 +32,7 @@ from marginalia.functions.tokens import count_tokens, embedding_token_limit, san
 from marginalia.operators.diff import documents_per_type
 from marginalia.plans.catalog import checked
 from marginalia.plans.derived import ORG, repos, table, texts
-from marginalia.sources.corpus import scan_corpus
+from marginalia.sources.corpus import scan_corpus, skipped_repos
 from marginalia.sources.pages import page_title
 
 # White space that titles are trimmed of, as RE2 knows it.
@@ -408,3 +408,26 @@ def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     limits = (("small-model", 100), ("text-embedding-3-small", 8192))
     return embedding_token_limit(docs, "model", "explicit", limits).select("doc_id", "token_limit")
+
+
+@checked(
+    """with repos as (
+      select distinct source, case doc_id % 4 when 0 then 'https://github.com/acme/' || source when 1 then 'https://example.org/acme/' || source
+        when 2 then 'https://github.com/' || source else source end as repo_url,
+        case when lang = 'en' then 'docs' else 'code' end as kind from documents)
+    select distinct repo_url, kind, case when starts_with(repo_url, 'src') then 'invalid url'
+      when starts_with(repo_url, 'https://example') then 'unsupported host' else 'owner and repository required' end as error
+    from repos where not starts_with(repo_url, 'https://github.com/acme/')"""
+)
+def skipped_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("doc_id") % 4
+    url = (
+        F.when(kind == 0, F.concat(F.lit("https://github.com/acme/"), "source"))
+        .when(kind == 1, F.concat(F.lit("https://example.org/acme/"), "source"))
+        .when(kind == 2, F.concat(F.lit("https://github.com/"), "source"))
+        .otherwise(F.col("source"))
+    )
+    docs = table(spark, sf_dir, "documents")
+    return skipped_repos(
+        docs.select(url.alias("repo_url"), F.when(F.col("lang") == "en", "docs").otherwise("code").alias("kind"))
+    )

@@ -133,6 +133,12 @@ def scan_corpus(
     )
 
 
+def skipped_repos(repos: DataFrame) -> DataFrame:
+    """(repo_url, kind, error): configured repositories that no scan can read, and why."""
+    error = parse_repo_url(F.col("repo_url"))["error"]
+    return repos.select("repo_url", "kind", error.alias("error")).filter(F.col("error").isNotNull()).distinct()
+
+
 def union_repos(*corpora: DataFrame) -> DataFrame:
     """All scanned documents in one table."""
     result = corpora[0]

@@ -239,7 +239,7 @@ def test_a_new_language_needs_endings_and_a_reader(spark, monkeypatch):
             yield {"filepath": path, "entity_no": number, "entity_type": "function", "name": line, "qualified_name": line,
                    "code": line, "start_line": number + 1, "end_line": number + 1, "is_exported": False}
 
-    monkeypatch.setitem(entities.EXTRACTORS, "shell", lambda files: entities._by_file(files, read))
+    monkeypatch.setitem(entities.EXTRACTORS, "shell", lambda files: entities.by_file(files, read))
     files = spark.createDataFrame([("a/b.SH", "x\ny"), ("a/c.ts", "")], "filepath string, content string")
     with pytest.raises(ValueError):
         entities.extract_entities(files, languages=["shell"])
