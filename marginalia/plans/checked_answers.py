@@ -381,11 +381,13 @@ class LengthChat:
 
 
 @checked(
-    f"select doc_id, (length(text) + length(source) + {_FRAME}) || ' characters' as header from documents"
+    f"""select doc_id, (length(text) + length(string_split(text, chr(10))[1]) + {_FRAME}) || ' characters' as header
+    from documents"""
 )
 def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("filepath"), "source", "text")
-    chunks = docs.select("doc_id", "filepath", F.col("source").alias("content"))
+    """Every document's first line is placed in the document."""
+    docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("filepath"), "text")
+    chunks = docs.select("doc_id", "filepath", F.split("text", "\n", 2)[0].alias("content"))
     documents = docs.select("filepath", F.col("text").alias("content"))
     return doc_context(chunks, documents, LengthChat(), CallLimits(batch_size=16)).select("doc_id", "header")
 
