@@ -3,9 +3,9 @@
 Pages of a host come from the same program. The trees of some of them are aligned by simple tree
 matching: two elements match when their tag and class agree, and the children of matching elements are
 aligned in order for the most matches. An aligned node whose text is the same on all pages is
-template; one whose text varies is a slot. The content of the host is the deepest container that holds
-most of the varying text outside of menus, forms and the like. The wrapper of a host, the path of that
-container and the constant blocks inside it, is then applied to every page of the host.
+template; one whose text varies is a slot. The wrapper of a host, its constant blocks, is then applied to
+every page of the host: all text stays but those blocks and menus, forms and the like. No container is
+chosen, so text beside an article, or beside the container of most other pages, stays too.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ SAMPLE_CHARS = 1 << 16
 LEAST_PAGES = 3
 #: Elements nested deeper are not aligned; their text is read like any other.
 MOST_DEPTH = 100
-#: Share of the varying text that the content must hold.
-MAIN_SHARE = 0.6
 
 # Elements and words of class, id and role that are not content.
 SKIPPED_TAGS = frozenset(
@@ -50,7 +48,6 @@ SKIPPED_WORDS = frozenset(
     "contentinfo complementary skip copyright legal".split()
 )
 _NEVER_SKIPPED = frozenset(("", "html", "body", "main", "article", "h1"))
-_CONTAINERS = frozenset(("", "html", "body", "main", "article", "section", "div", "center", "table", "tbody", "tr", "td"))
 _BLOCKS = BLOCKS | frozenset("li dt dd tr td th caption legend body html option tbody thead tfoot".split())
 _WORDS = re.compile(r"[a-z]+")
 
@@ -205,10 +202,9 @@ def _is_constant(node: Aligned, pages: int) -> bool:
     return pages >= LEAST_PAGES and node.pages == pages and len(set(node.texts)) == 1
 
 
-def _varying(node: Aligned, pages: int, sums: dict) -> int:
-    own = 0 if _is_constant(node, pages) else sum(map(len, node.texts))
-    sums[id(node)] = own + sum(_varying(c, pages, sums) for c in node.children)
-    return sums[id(node)]
+def _varies(node: Aligned, pages: int) -> bool:
+    """Whether any text at or below the node varies."""
+    return any(node.texts) and not _is_constant(node, pages) or any(_varies(c, pages) for c in node.children)
 
 
 def block_key(path: str, text: str) -> str:
@@ -222,19 +218,8 @@ def induce(pages: list[str]) -> str | None:
     template = Aligned(parse(pages[0]))
     for page in pages[1:]:
         merge(template, Aligned(parse(page)))
-    sums: dict[int, int] = {}
-    whole = _varying(template, len(pages), sums)
-    if not whole:
+    if not _varies(template, len(pages)):
         return None
-    node, path, labels = template, "", []
-    while True:
-        inner = [c for c in node.children if c.tag in _CONTAINERS and sums[id(c)] >= MAIN_SHARE * whole]
-        # A container that stands several times holds the content together with its like.
-        if not inner or sum(c.label == inner[0].label for c in node.children) > 1:
-            break
-        node = inner[0]
-        path = step(path, node.label)
-        labels.append(node.label)
     constants: list[str] = []
 
     def collect(at: Aligned, where: str) -> None:
@@ -243,54 +228,24 @@ def induce(pages: list[str]) -> str | None:
         for child in at.children:
             collect(child, step(where, child.label))
 
-    collect(node, path)
-    return json.dumps({"path": labels, "constants": constants})
+    collect(template, "")
+    return json.dumps({"constants": constants})
 
 
 @lru_cache(maxsize=256)
-def _wrapper(text: str) -> tuple[tuple[str, ...], frozenset[str]]:
-    found = json.loads(text)
-    return tuple(found["path"]), frozenset(found["constants"])
-
-
-def _at_path(root: Node, path: tuple[str, ...]) -> list[tuple[Node, str]]:
-    found = [(root, "")]
-    for name in path:
-        found = [
-            (child, step(where, name)) for node, where in found for child in node.elements() if label(child) == name
-        ]
-    return found
-
-
-def _by_tag(root: Node) -> list[tuple[Node, str]]:
-    """Main or article elements outermost first; else the whole page."""
-    for tag in ("article", "main"):
-        found, stack = [], [(root, "")]
-        while stack:
-            node, path = stack.pop()
-            if node.tag == tag:
-                found.append((node, path))
-                continue
-            inside = [(c, step(path, label(c))) for c in node.elements() if not is_skipped(c, False)]
-            stack.extend(reversed(inside))
-        if any(next(blocks(node, path), None) for node, path in found):
-            return found
-    return [(root, "")]
+def _constants(wrapper: str) -> frozenset[str]:
+    return frozenset(json.loads(wrapper)["constants"])
 
 
 def main_text(page: str | None, wrapper: str | None) -> str:
-    """Blocks of the page's content, one per line. A page that lacks its wrapper's container, or has no
-    varying text there, is read by its article or main element, else as a whole."""
+    """Blocks of the page outside of menus and the like, one per line, without the constant ones of the
+    wrapper. A page of which nothing is left that way is read without a wrapper."""
     if not page:
         return ""
-    root = parse(page)
-    if wrapper:
-        path, constants = _wrapper(wrapper)
-        found = _at_path(root, path)
-        kept = [t for n, p in found for where, t in blocks(n, p) if block_key(where, t) not in constants]
-        if kept:
-            return "\n".join(kept)
-    return "\n".join(text for node, path in _by_tag(root) for _, text in blocks(node, path))
+    constants = _constants(wrapper) if wrapper else frozenset()
+    found = [(block_key(path, text) in constants, text) for path, text in blocks(parse(page))]
+    kept = [text for constant, text in found if not constant]
+    return "\n".join(kept or [text for _, text in found])
 
 
 def host_of(url: str) -> Column:

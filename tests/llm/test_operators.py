@@ -303,6 +303,23 @@ def test_wrapper_of_a_host():
     assert wrappers.induce([page]) is None and wrappers.induce([page, page]) is not None
 
 
+LEAD = "<article><h1>Title {0}</h1><div class=lead>{1}</div><div class=body>{2}</div></article>"
+
+
+def test_text_beside_the_largest_container(spark):
+    leads, bodies = [f"lead {i} " + "a " * 30 + "z" for i in range(9)], [f"body {i} " + "b " * 60 + "z" for i in range(9)]
+    rows = [(i, f"http://a/{i}", LEAD.format(i, leads[i], bodies[i])) for i in range(9)]
+    rows += [(9, "http://a/9", "<article><h1>Title 9</h1><div class=body>short</div></article><div class=more>long 9</div>")]
+    rows += [(i, f"http://b/{i}", f"<main><h1>T{i}</h1><article><p>in {i}</p><section>{bodies[i]}</section></article></main>")
+             for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = rows_of(wrappers.extract(pages), "url", "text")
+    wanted = [(f"http://a/{i}", f"Title {i}\n{leads[i]}\n{bodies[i]}") for i in range(9)]
+    wanted += [("http://a/9", "Title 9\nshort\nlong 9")]
+    wanted += [(f"http://b/{i}", f"T{i}\nin {i}\n{bodies[i]}") for i in range(9)]
+    assert found == sorted(wanted, key=repr)
+
+
 @pytest.mark.parametrize(
     "page, text",
     [(None, ""), ("", ""), ("<", "<"), ("<p", ""), ("a<b>c", "ac"), ("<p>a</p", "a"), ("&amp;lt", "&lt"), ("</p>x", "x"),
