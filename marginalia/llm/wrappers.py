@@ -4,8 +4,8 @@ Pages of a host come from the same program. The trees of some of them are aligne
 matching: two elements match when their tag and class agree, and the children of matching elements are
 aligned in order for the most matches. An aligned node whose text is the same on all pages is
 template; one whose text varies is a slot. The wrapper of a host, its constant blocks, is then applied to
-every page of the host: all text stays but those blocks and menus, forms and the like. No container is
-chosen, so text beside an article, or beside the container of most other pages, stays too.
+every page of the host: all text stays but those blocks and menus, forms and the like. Inside an article
+or main element nothing is template, however many pages have it alike. No container is chosen, so text beside an article, or beside the container of most other pages, stays too.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ SKIPPED_WORDS = frozenset(
     "social related recommended comment comments reply replies disqus pagination pager toolbar widget search "
     "contentinfo complementary skip copyright legal".split()
 )
+#: Elements that a page names as its content: nothing inside them is template.
+CONTENT_TAGS = frozenset(("article", "main"))
 _NEVER_SKIPPED = frozenset(("", "html", "body", "main", "article", "h1"))
 _BLOCKS = BLOCKS | frozenset("li dt dd tr td th caption legend body html option tbody thead tfoot".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -75,16 +77,18 @@ def step(path: str, name: str) -> str:
     return xxhash.xxh64_hexdigest(f"{path}/{name}")
 
 
-def blocks(node: Node, path: str = "", inside_article: bool = False) -> Iterator[tuple[str, str]]:
-    """(path of the block's element, text) of all blocks below ``node`` that hold text, in page order.
+def blocks(root: Node) -> Iterator[tuple[str, str, bool]]:
+    """(path of the block's element, text, whether it is inside an article or main element) of all blocks
+    that hold text, in page order.
 
     White space inside a block is one space. A line break element is white space.
     """
     held: list[str] = []
-    stack: list[tuple[Node | str | None, str, bool, bool]] = [
-        (child, path, inside_article or node.tag == "article", False) for child in reversed(node.children)
+    # (item, path of the block around it, inside article, inside article or main, whether a block ends)
+    stack: list[tuple[Node | str | None, str, bool, bool, bool]] = [
+        (child, "", False, False, False) for child in reversed(root.children)
     ]
-    owner = path
+    owner, content = "", False
 
     def flush() -> str:
         text = " ".join("".join(held).split(None))
@@ -92,28 +96,30 @@ def blocks(node: Node, path: str = "", inside_article: bool = False) -> Iterator
         return text
 
     while stack:
-        item, at, article, closing = stack.pop()
+        item, at, article, main, closing = stack.pop()
         if closing:
             if text := flush():
-                yield owner, text
-            owner = at
+                yield owner, text, content
+            owner, content = at, main
         elif isinstance(item, str):
             held.append(item)
         elif item.tag == "br" or item.tag == "img":
             held.append(" ")
         elif not is_skipped(item, article):
+            inside = main or item.tag in CONTENT_TAGS
             if item.tag in _BLOCKS:
                 if text := flush():
-                    yield owner, text
-                stack.append((None, at, article, True))
+                    yield owner, text, content
+                stack.append((None, at, article, main, True))
                 owner = at = step(at, label(item))
+                content = inside
             below = article or item.tag == "article"
-            stack.extend((child, at, below, False) for child in reversed(item.children))
+            stack.extend((child, at, below, inside, False) for child in reversed(item.children))
         elif item.tag in _BLOCKS:
             if text := flush():
-                yield owner, text
+                yield owner, text, content
     if text := flush():
-        yield owner, text
+        yield owner, text, content
 
 
 class Aligned:
@@ -223,6 +229,8 @@ def induce(pages: list[str]) -> str | None:
     constants: list[str] = []
 
     def collect(at: Aligned, where: str) -> None:
+        if at.tag in CONTENT_TAGS:
+            return
         if at.texts[0] and _is_constant(at, len(pages)):
             constants.append(block_key(where, at.texts[0]))
         for child in at.children:
@@ -239,11 +247,11 @@ def _constants(wrapper: str) -> frozenset[str]:
 
 def main_text(page: str | None, wrapper: str | None) -> str:
     """Blocks of the page outside of menus and the like, one per line, without the constant ones of the
-    wrapper. A page of which nothing is left that way is read without a wrapper."""
+    wrapper that are outside of article and main. A page of which nothing is left that way is read without a wrapper."""
     if not page:
         return ""
     constants = _constants(wrapper) if wrapper else frozenset()
-    found = [(block_key(path, text) in constants, text) for path, text in blocks(parse(page))]
+    found = [(not inside and block_key(path, text) in constants, text) for path, text, inside in blocks(parse(page))]
     kept = [text for constant, text in found if not constant]
     return "\n".join(kept or [text for _, text in found])
 

@@ -320,6 +320,16 @@ def test_text_beside_the_largest_container(spark):
     assert found == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("n", [2, 3, 8])
+def test_shared_passages_of_articles_stay(tag, n):
+    page = "<div>Printed by us</div><{1}><h1>T{0}</h1><h2>Background</h2><p>shared words</p><p>own {0}</p></{1}>"
+    wrapper = wrappers.induce([page.format(i, tag) for i in range(n)])
+    for i in range(n + 1):
+        text = f"T{i}\nBackground\nshared words\nown {i}"
+        assert wrappers.main_text(page.format(i, tag), wrapper) == ("Printed by us\n" if n < 3 else "") + text
+
+
 @pytest.mark.parametrize(
     "page, text",
     [(None, ""), ("", ""), ("<", "<"), ("<p", ""), ("a<b>c", "ac"), ("<p>a</p", "a"), ("&amp;lt", "&lt"), ("</p>x", "x"),
