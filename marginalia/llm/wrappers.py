@@ -1,11 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from the same program. The trees of some of them are aligned by simple tree
-matching: two elements match when their tag and class agree, and the children of matching elements are
-aligned in order for the most matches. An aligned node whose text is the same on all pages is
-template; one whose text varies is a slot. The wrapper of a host, its constant blocks, is then applied to
+Pages of a host come from the same program. Two elements match when their tag and class agree, and those
+of all elements around them; a block whose text is the same on all pages that have its element is
+template, one whose text varies is a slot. The wrapper of a host, its constant blocks, is then applied to
 every page of the host: all text stays but those blocks and menus, forms and the like. Inside an article
-or main element nothing is template, however many pages have it alike. No container is chosen, so text beside an article, or beside the container of most other pages, stays too.
+or main element nothing is template, however many pages have it alike. No container is chosen, so text
+beside an article, or beside the container of most other pages, stays too.
+
+``extract`` counts the blocks of all pages of a host by the labels of their elements. ``induce`` takes a
+few pages at hand and also aligns the children of matching elements in order, by simple tree matching;
+what is constant there is on all of the pages at the same labels.
 """
 
 from __future__ import annotations
@@ -18,21 +22,17 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 import xxhash
 
 from marginalia.llm.dom import BLOCKS, Node, parse
 from marginalia.llm.storage import cut
 from marginalia.llm.text import or_empty
 
-#: Rows of a host that may give a page to align, in the order of a hash of their key, the most pages
-#: aligned, and the longest page taken. Others are read by the wrapper only.
-SAMPLE_ROWS = 24
-SAMPLE_PAGES = 8
-SAMPLE_CHARS = 1 << 16
-#: A block is template when this many pages, all that were aligned, have it alike.
+#: A block is template when all pages that have its element have it alike, and they are so many at least.
 LEAST_PAGES = 3
-#: Elements nested deeper are not aligned; their text is read like any other.
+#: Rows gathered before they are handed on.
+BATCH_ROWS = 1 << 16
+#: Elements nested deeper are not aligned by ``induce``; their text is read like any other.
 MOST_DEPTH = 100
 
 # Elements and words of class, id and role that are not content.
@@ -262,34 +262,61 @@ def host_of(url: str) -> Column:
     return F.when(host != "", host)
 
 
-def host_wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper). Each host gives a bounded sample, picked before anything is shuffled."""
+def _page_blocks(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, page, path, block): a row for each path outside of article and main that holds text on the
+    page, with a null block, and one for each text there. ``page`` is a hash of the html, so repeated
+    pages give repeated rows."""
+    kinds = pa.schema([("__host", pa.string()), ("__page", pa.int64()), ("__path", pa.string()), ("__block", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = page.as_py()
+                digest = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+                outside = {(path, said) for path, said, inside in blocks(parse(text)) if not inside}
+                rows += ((host, digest, path, None) for path in {path for path, _ in outside})
+                rows += ((host, digest, path, block_key(path, said)) for path, said in outside)
+                if len(rows) > BATCH_ROWS:
+                    yield _record_batch(rows, kinds)
+                    rows = []
+            yield _record_batch(rows, kinds)
+
+    found = pages.select(host_of(url).alias("__host"), F.col(html).alias("__html"))
+    return found.filter("__host is not null and __html != ''").mapInArrow(
+        run, "__host string, __page long, __path string, __block string"
+    )
+
+
+def _record_batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)
 
-    def run(group: pa.Table) -> pa.Table:
-        seen = dict.fromkeys(group.sort_by("__order").column("__html").to_pylist())
-        wrapper = induce(list(seen)[:SAMPLE_PAGES])
-        host = group.column("__host")[0].as_py()
-        return pa.table({"__host": pa.array([host], pa.string()), "wrapper": pa.array([wrapper], pa.string())})
 
-    order = F.xxhash64(F.col(key).cast("string"))
-    sample = (
-        pages.filter(F.length(html).between(1, SAMPLE_CHARS))
-        .select(host_of(url).alias("__host"), order.alias("__order"), F.col(html).alias("__html"))
-        .filter("__host is not null")
-        .withColumn("__n", F.row_number().over(Window.partitionBy("__host").orderBy("__order")))
-        .filter(F.col("__n") <= SAMPLE_ROWS)
+def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, wrapper) of hosts with constant blocks, from counts over all different pages of the host.
+    Html is not shuffled."""
+    different = _page_blocks(pages, url, html).distinct()
+    counted = different.groupBy("__host", "__path", "__block").count().filter(F.col("count") >= LEAST_PAGES)
+    counts = cut(counted, "page-blocks")
+    # A block on all pages that have its path is counted as often as the path itself.
+    constant = (
+        counts.filter("__block is not null")
+        .join(counts.filter("__block is null").drop("__block"), ["__host", "__path", "count"], "left_semi")
+        .groupBy("__host")
+        .agg(F.sort_array(F.collect_list("__block")).alias("constants"))
     )
-    return sample.groupBy("__host").applyInArrow(run, "__host string, wrapper string")
+    return constant.select("__host", F.to_json(F.struct("constants")).alias("wrapper"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per row of ``pages``: key, url and text, the main text of the whole html.
 
-    Null or empty html gives an empty text. Pages without a host, and hosts with one page, are read by
-    their elements alone. Repeated rows give repeated rows and count once when pages are aligned; an
+    Null or empty html gives an empty text. Pages without a host, and hosts with one or two pages, are read
+    by their elements alone. Repeated rows give repeated rows and count once in a wrapper; an
     empty table gives no rows; other columns are not read.
     """
-    wrappers = cut(host_wrappers(pages, key, url, html).filter("wrapper is not null"), "page-wrappers")
+    wrappers = cut(host_wrappers(pages, url, html), "page-wrappers")
     rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"), or_empty(html).alias("__html"))
     joined = rows.withColumn("__page_host", host_of("__url")).join(
         wrappers, F.col("__page_host") == F.col("__host"), "left"
