@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 from marginalia.llm.storage import cut, new_path
 from marginalia.llm.text import or_empty
 
-#: Captures of an archive at most; an archive is read by one task.
+#: Captures of an archive at most, and bytes of their payloads if there are several; an archive is read by
+#: one task. Longer payloads go to archives of fewer captures: payloads are told apart by the power of
+#: ``LENGTH_STEP`` that bounds them.
 ARCHIVE_CAPTURES = 1000
+ARCHIVE_BYTES = 128 << 20
+LENGTH_STEP = 16
+#: Bytes of an archive that are decompressed at once.
+PIECE_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 #: Bytes of blocks that the reader hands on at once.
 BATCH_BYTES = 8 << 20
@@ -85,9 +91,12 @@ def write_archives(
     html: str = "html",
     revisit_bytes: int = 0,
     archive_captures: int = ARCHIVE_CAPTURES,
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Write three records for every row of ``pages`` to gzip archives in ``path``.
 
+    An archive holds up to ``archive_captures`` rows with up to ``archive_bytes`` bytes of html, or one row.
+
     Of rows with equal payloads of at least ``revisit_bytes`` bytes, the smallest key is a response, as
     are rows that repeat that key; others, also those without a key, are revisits of it without a
     payload. Smaller payloads, and equal payloads of which no row has a key, are responses. A null html
@@ -167,39 +176,86 @@ def write_archives(
         },
         described,
     )
-    joined.select(F.concat_ws(_BREAK * 2, request, response, metadata).alias("value")).write.option(
-        "lineSep", _BREAK * 2
-    ).option("compression", "gzip").option("maxRecordsPerFile", archive_captures).text(path)
+    # The longest payload, in bytes, of archives of so many captures; longer ones come one by one.
+    bounds, captures = [], archive_captures
+    while captures > 1:
+        bounds.append((captures, archive_bytes // captures))
+        captures //= LENGTH_STEP
+    bounds.append((1, None))
+    size = F.octet_length("__html")
+    tier = F.coalesce(*(F.when(size <= most, F.lit(n)) for n, most in bounds if most is not None), F.lit(1))
+    lengths = rows.select(tier.alias("captures")).groupBy("captures").count().collect()
+    mode = "errorifexists"
+    for held in sorted((r["captures"] for r in lengths), reverse=True) or [archive_captures]:
+        joined.filter(tier == held).select(
+            F.concat_ws(_BREAK * 2, request, response, metadata).alias("value")
+        ).write.mode(mode).option("lineSep", _BREAK * 2).option("compression", "gzip").option(
+            "maxRecordsPerFile", held
+        ).text(path)
+        mode = "append"
+
+
+def _pieces(content: bytes) -> Iterator[bytes]:
+    """An archive, decompressed piece by piece; gzip archives may have many members."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    stream = zlib.decompressobj(31)
+    while at < len(view):
+        fed: bytes | memoryview = view[at : at + PIECE_BYTES]
+        at += len(fed)
+        while len(fed) and not stream.eof:
+            if piece := stream.decompress(fed, PIECE_BYTES):
+                yield piece
+            fed = stream.unconsumed_tail
+        while not stream.eof and (piece := stream.decompress(b"", PIECE_BYTES)):
+            yield piece
+        if stream.eof:
+            at -= len(stream.unused_data)
+            stream = zlib.decompressobj(31)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields in lower case, block) of every record of an archive; gzip archives may have many members."""
-    if content[:2] == b"\x1f\x8b":
-        parts = []
-        while content:
-            stream = zlib.decompressobj(31)
-            parts.append(stream.decompress(content))
-            content = stream.unused_data
-        content = b"".join(parts)
-    at = 0
+    """(fields in lower case, block) of every record of an archive; gzip archives may have many members.
+    What is decompressed at once is a record and a piece of the next."""
+    pieces, held, at, passed = _pieces(content), bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, passed
+        if (piece := next(pieces, None)) is None:
+            return False
+        del held[:at]
+        passed, at = passed + at, 0
+        held.extend(piece)
+        return True
+
     while True:
-        while content[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(content):
+        while len(held) - at >= 2 or more():
+            if len(held) - at >= 2:
+                if held[at : at + 2] != b"\r\n":
+                    break
+                at += 2
+        if at >= len(held):
             return
-        end = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:end].split(b"\r\n")
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            if not more():
+                raise ValueError(f"the header at byte {passed + at} does not end")
+        version, *lines = bytes(held[at:end]).split(b"\r\n")
         if not version.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {passed + at}")
         fields = {}
         for line in lines:
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode()] = value.strip().decode()
         at = end + 4
         size = int(fields["content-length"])
-        if at + size > len(content):
-            raise ValueError(f"the archive ends inside the record at byte {at}")
-        yield fields, content[at : at + size]
+        while len(held) - at < size:
+            if not more():
+                raise ValueError(f"the archive ends inside the record at byte {passed + at}")
+        yield fields, bytes(held[at : at + size])
         at += size
 
 

@@ -489,6 +489,32 @@ def test_archives_round_trip(spark):
     assert warc.archived_captures(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_of_long_pages(spark):
+    import gzip
+    import tracemalloc
+
+    html = F.concat(F.col("page_id").cast("string"), F.expr("repeat('x', 1 << 20)"))
+    pages = spark.range(150).coalesce(1).select(F.col("id").alias("page_id"), F.lit("http://a/b").alias("url"))
+    path = storage.new_path(spark, "test-warc-long")
+    warc.write_archives(pages.withColumn("html", html), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    assert max(len(gzip.decompress(r["content"])) for r in files) <= (128 << 20) + 1000 * 2000
+    found = warc.read_archives(spark, path).filter("type = 'response'")
+    assert found.filter("claimed_digest = digest").agg(F.count("*"), F.sum("payload_bytes")).first() == (
+        150, sum(len(str(i)) + (1 << 20) for i in range(150)),
+    )
+
+    record = b"WARC/1.1\r\nContent-Length: 1000000\r\n\r\n" + b"y" * 1000000 + b"\r\n\r\n"
+    archive = gzip.compress(record * 30) + gzip.compress(record[:-4]) + gzip.compress(b"\r\n\r\n" + record)
+    tracemalloc.start()
+    assert sum(len(block) for _, block in warc.parse_records(archive)) == 32 * 1000000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.parse_records(gzip.compress(record[:-100])))
+
+
 def test_held_out_share(spark):
     frame = spark.range(50).select(F.col("id").alias("doc_id"), quality.held_out("id", 5, 0).alias("held"))
     assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in frame.collect())
