@@ -11,7 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import context_tree, exact_dedup, language_id, mixing, phrase_index, quality, simhash, url_filter, warc, wrappers
+from marginalia.llm import (
+    context_tree,
+    exact_dedup,
+    language_id,
+    mixing,
+    packing,
+    phrase_index,
+    quality,
+    simhash,
+    url_filter,
+    warc,
+    wrappers,
+)
 from marginalia.llm.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +258,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.col("refers_to_page").alias("refers_to"),
     )
+
+
+@query()
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
