@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from marginalia.llm import (
     context_tree,
     exact_dedup,
+    filter_audit,
     language_id,
     mixing,
     packing,
     phrase_index,
     quality,
+    resampling,
     simhash,
     url_filter,
     warc,
@@ -260,6 +262,100 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The CRC table by its rule; CRCs of distinct words, byte by byte.
+@query(f"""
+with crc_table as materialized (
+  select list(v order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from range(256) as r(i)) as entries),
+d as materialized (select row_number() over () as r, doc_id, {_WORDS_SQL} as ws from documents),
+source_words as materialized (select r, unnest(ws) as w from d),
+target_words as materialized (select unnest({_WORDS_SQL}) as w from benchmark),
+places as materialized (
+  select w, xor(list_reduce(
+      list_prepend(4294967295, [cast('0x' || substr(h, 2 * k + 1, 2) as bigint) for k in range(len(h) // 2)]),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {resampling.BUCKETS} as bucket
+  from (select w, hex(encode(w)) as h from (select w from source_words union select w from target_words) as u) as v,
+    crc_table),
+s as (select bucket, count(*) as n from source_words join places using (w) group by bucket),
+t as (select bucket, count(*) as n from target_words join places using (w) group by bucket),
+sums as (select (select count(*) from source_words) as all_s, (select count(*) from target_words) as all_t),
+gains as (
+  select bucket, cast(floor(1000 * ln(
+      (cast(coalesce(t.n, 0) as double) + 1) * (cast(all_s as double) + {resampling.BUCKETS})
+      / ((cast(coalesce(s.n, 0) as double) + 1) * (cast(all_t as double) + {resampling.BUCKETS})))) as bigint) as gain
+  from range({resampling.BUCKETS}) as b(bucket) left join s using (bucket) left join t using (bucket), sums),
+means as (
+  select r, cast(floor(cast(sum(gain) as double) / count(*)) as bigint) as weight
+  from source_words join places using (w) join gains using (bucket) group by r),
+scored as (
+  select doc_id, cast(len(ws) as bigint) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln(
+      (cast('0x' || substr(sha256('{resampling.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double)
+      / 4294967296.0::double))) as bigint) as score
+  from d left join means using (r)),
+ranked as (
+  select *, row_number() over (
+      partition by n_features >= {resampling.LEAST_WORDS} order by score desc, doc_id nulls last) as n,
+    count(*) over (partition by n_features >= {resampling.LEAST_WORDS}) as able
+  from scored)
+select doc_id, n_features, weight, score,
+  case when n_features >= {resampling.LEAST_WORDS} and n <= {resampling.PERCENT} * able // 100 then n end as rank
+from ranked
+""")
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    planned = resampling.plan_sample(docs, target, carry=["doc_id"])
+    return planned.select(F.col("__row.doc_id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+_BITS_SQL = "case letter when 'A' then 1 when 'B' then 2 when 'C' then 4 when 'D' then 8 else 16 end"
+
+
+@query(rf"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as ws
+  from documents),
+marks as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+masks as (
+  select part, cast(len(ws) < 50 as int) + 2 * cast(100 * len(list_distinct(ws)) < 65 * len(ws) as int)
+    + 4 * cast(100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) as int)
+    + 8 * cast(regexp_matches(t, '[#$%&*|]') as int)
+    + 16 * cast(coalesce(doc_id > min(doc_id) over (partition by t), false) as int) as mask,
+    coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from texts left join marks using (doc_id)),
+cells as (
+  select part, mask, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic
+  from masks group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as letter),
+orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5),
+steps as (
+  select filter_order, step, letter, {_BITS_SQL} as bit,
+    coalesce(sum({_BITS_SQL}) over (partition by filter_order order by step
+      rows between unbounded preceding and 1 preceding), 0)::int as applied
+  from (select filter_order, cast(i as int) as step, substr(filter_order, i, 1) as letter
+        from orders, range(1, 6) as r(i)) as s),
+counted as (
+  select part, filter_order, step, letter,
+    cast(sum(case when mask & (applied | bit) = 0 then n else 0 end) as bigint) as kept,
+    cast(sum(case when mask & applied = 0 and mask & bit != 0 then n else 0 end) as bigint) as removed,
+    cast(sum(case when mask & applied != 0 and mask & bit != 0 then n else 0 end) as bigint) as redundant,
+    cast(sum(case when mask = bit then n else 0 end) as bigint) as unique_fails,
+    cast(sum(case when mask & applied = 0 and mask & bit != 0 then n_good else 0 end) as bigint) as good_lost,
+    cast(sum(case when mask & applied = 0 and mask & bit != 0 then n_toxic else 0 end) as bigint) as toxic_lost
+  from cells, steps group by part, filter_order, step, letter)
+select *, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from counted
+""")
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
