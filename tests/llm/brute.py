@@ -1,8 +1,10 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import hashlib
 import itertools
 import math
 import re
+import zlib
 
 import xxhash
 
@@ -127,3 +129,88 @@ class ContextTree:
             for i in range(self.depth, len(padded))
             for node, bit in self.bits(padded[i])
         )
+
+
+def audit(docs, labels):
+    """Rows of the filter audit for docs (key, text, part) and labels (key, quality, toxic), order by order."""
+    texts = [(k, t or "", p or "") for k, t, p in docs]
+    fails = []
+    for key, text, _ in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails.append(
+            {
+                "A": len(words) < 50,
+                "B": 100 * len(set(words)) < 65 * len(words),
+                "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+                "D": bool(re.search(r"[#$%&*|]", text)),
+                "E": key is not None and any(k is not None and k < key and t == text for k, t, _ in texts),
+            }
+        )
+    good = {k for k, q, _ in labels if q == 1}
+    toxic = {k for k, _, x in labels if x == 1}
+    found, removed = {}, {}
+    for part in {p for _, _, p in texts}:
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = [i for i, row in enumerate(texts) if row[2] == part]
+            gone = []
+            for step, letter in enumerate(order, 1):
+                out = [i for i in left if fails[i][letter]]
+                again = [i for i in gone if fails[i][letter]]
+                left = [i for i in left if i not in out]
+                gone += out
+                alone = [
+                    i
+                    for i, row in enumerate(texts)
+                    if row[2] == part and fails[i][letter] and sum(fails[i].values()) == 1
+                ]
+                found[part, order, step] = (
+                    letter,
+                    len(left),
+                    len(out),
+                    len(again),
+                    len(alone),
+                    sum(texts[i][0] in good for i in out),
+                    sum(texts[i][0] in toxic for i in out),
+                )
+                removed[part, letter] = removed.get((part, letter), 0) + len(out)
+    return {place + row + (removed[place[0], row[0]],) for place, row in found.items()}
+
+
+def sample_plan(docs, target, longest=1, buckets=10_000, percent=10, least=20, seed=2024):
+    """(key, n_features, weight, score, rank) for docs (key, text) and a list of target texts."""
+
+    def features(text):
+        words = plain_words(text)
+        return len(words), [
+            " ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)
+        ]
+
+    def bucket(feature):
+        return zlib.crc32(feature.encode()) % buckets
+
+    s, t = [0] * buckets, [0] * buckets
+    for held, texts in ((s, [x for _, x in docs]), (t, target)):
+        for text in texts:
+            for feature in features(text)[1]:
+                held[bucket(feature)] += 1
+    gain = [
+        math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets))))
+        for b in range(buckets)
+    ]
+    found, able = [], []
+    for place, (key, text) in enumerate(docs):
+        words, own = features(text)
+        weight = sum(gain[bucket(f)] for f in own) // len(own) if own else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        found.append([key, len(own), weight, score, None])
+        if words >= least:
+            able.append((-score, key is None, key or 0, weight, len(own), place))
+    for rank, row in enumerate(sorted(able)[: percent * len(able) // 100], 1):
+        found[row[-1]][4] = rank
+    return [tuple(row) for row in found]
+
+
+def tightest(rooms, needed):
+    """The smallest room that is large enough, or None."""
+    return min((r for r in rooms if r >= needed), default=None)

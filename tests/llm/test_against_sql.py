@@ -19,5 +19,5 @@ def test_entry_has_all_queries():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n[:2] == "op" and n[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n[:2] == "op" and n[2].isdigit()}
     assert "pipeline" in names
