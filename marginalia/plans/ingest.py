@@ -32,6 +32,7 @@ from marginalia.operators.model_calls import (
 from marginalia.operators.split import chunk_documents
 from marginalia.operators.state import apply_moves, check_unique_location, next_state
 from marginalia.session import cut_lineage
+from marginalia.sources.lease import Lease
 from marginalia.sources.store import ChunkStore
 
 _NARROW = ["id", "checksum", "filepath", "chunk_id", "source_type", "github_url"]
@@ -141,18 +142,35 @@ def ingest(
     embed: EmbeddingModel,
     chat: ChatModel,
     options: IngestOptions = IngestOptions(),
+    holder: str = "ingest",
+    wait: float = 0.0,
 ) -> dict[str, int]:
     """Bring the store in step with the corpus and return the counters of the run.
 
     Chunks whose content is stored already cause no model call. The new version holds deletes,
-    moves and upserts together; when nothing changed none is written.
+    moves and upserts together; when nothing changed none is written. A run holds the store's lease:
+    while another is at work, it is refused with LeaseHeld after ``wait`` seconds.
     """
+    with store.lease(holder, wait=wait) as lease:
+        return _ingest(corpus, repos, store, embed, chat, options, lease)
+
+
+def _ingest(
+    corpus: DataFrame,
+    repos: DataFrame,
+    store: ChunkStore,
+    embed: EmbeddingModel,
+    chat: ChatModel,
+    options: IngestOptions,
+    lease: Lease,
+) -> dict[str, int]:
+    base = store.version()
     located = locate(corpus)
     # The diff needs checksums and places only; contents are cut again for files with new chunks.
     index = cut_lineage(
         corpus_chunks(located, options).select("checksum", "filepath", "chunk_id", "source_type", "github_url")
     )
-    stored = store.read()
+    stored = store.read(base)
     classified, moves, deletes = plan_changes(index, stored, repos)
     stats = run_stats(located, index, classified, deletes).first().asDict()
     if not any(stats[name] for name in ("upserted_chunks", "moved_chunks", "deleted_chunks")):
@@ -171,7 +189,8 @@ def ingest(
         before.select("filepath").unionByName(moves.select("filepath")).unionByName(embedded.select("filepath"))
     )
     last_id = stored.agg(F.max("id")).first()[0] or 0
-    state = next_state(store.read(buckets=buckets), moves, deletes, embedded, F.current_timestamp(), last_id)
+    state = next_state(store.read(base, buckets), moves, deletes, embedded, F.current_timestamp(), last_id)
     check_unique_location(state)
-    store.write(state, buckets)
+    # New ids and the choice among equal contents depend on all stored rows.
+    store.write(state, buckets, base, whole=True, lease=lease)
     return stats

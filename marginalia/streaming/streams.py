@@ -78,19 +78,21 @@ def incremental_ingest(
     interval: str | None = None,
     kind_col: str = "kind",
     repo_col: str = "repo",
+    wait: float = 3600.0,
 ) -> StreamingQuery:
     """Bring the store up to date with the repositories that the events name, micro-batch by micro-batch.
 
     ``repos`` are the configured repositories; events name them as ``owner/name``. ``corpus`` scans the
     repositories it is given. A run changes chunks of these repositories only. Events of repositories
-    that are not configured start no run.
+    that are not configured start no run. A micro-batch waits up to ``wait`` seconds for a run that
+    another caller has started; callers that come during a micro-batch are refused by the store's lease.
     """
 
     def run(changed: DataFrame) -> None:
         wanted = changed.select("repo").distinct()
         own = repos.join(wanted, repo_of_url(F.col("repo_url")) == F.col("repo"), "left_semi")
         if not own.isEmpty():
-            ingest(corpus(own), own, store, embed, chat, options)
+            ingest(corpus(own), own, store, embed, chat, options, holder="stream", wait=wait)
 
     return ingest_stream(events, run, checkpoint, interval, kind_col, repo_col)
 
