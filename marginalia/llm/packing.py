@@ -14,6 +14,8 @@ one round of pieces, of one batch of texts and of the words whose tokens it reme
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from marginalia.llm.text import or_empty
 
@@ -36,34 +39,89 @@ WIDTH = 4
 ROUND_TOKENS = 1 << 21
 #: Windows with at most this share of room are left as they are.
 SLACK = 0.01
-#: Words of at most so many bytes are remembered with their tokens, and how many of them.
+#: Words and runs of at most so many bytes are remembered with their tokens, and how many of each.
 MOST_WORD_BYTES = 48
 MOST_WORDS = 1_000_000
 #: Rows of an Arrow batch of the result end at about so many bytes of tokens.
 BATCH_BYTES = 4 << 20
 
 
-class Encoder(dict):
-    """Word to its tokens. The vocabulary's first steps break texts at white space and drop it, so the tokens
-    of a text are those of its words, one after the other. Words that were not met for long are forgotten."""
+# The steps of word_bpe_49k.json before its merges.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+
+#: The same split for words of printable ASCII and letters of Latin-1 after lower-casing, which NFC leaves alone.
+_LATIN = "a-zß-öø-ÿ"
+_RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+class _Memory(dict):
+    """Values of the keys met lately. ``older`` holds what was met before."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.older: dict = {}
+
+    def keep(self, key, value):
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Runs(_Memory):
+    """Tokens of a run of letters, a digit or a run of other signs."""
+
+    def __init__(self, tokenizer: Tokenizer, most: int):
+        super().__init__(most)
+        self.model = tokenizer.model
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256)}
+
+    def __missing__(self, run: str) -> bytes:
+        tokens = self.older.pop(run, None)
+        if tokens is None:
+            ids = [token.id for token in self.model.tokenize(run.translate(self.alphabet))]
+            tokens = struct.pack(f"<{len(ids)}I", *ids)
+        return self.keep(run, tokens) if len(run) <= MOST_WORD_BYTES else tokens
+
+
+class Encoder(_Memory):
+    """Tokens of texts. Where the vocabulary breaks texts at white space and drops it, as word_bpe_49k.json
+    does, they are those of the words, one after the other, which are remembered; plain words go to the
+    merges right away. With any other vocabulary a text is encoded as a whole."""
 
     def __init__(self, vocabulary: str):
+        super().__init__(MOST_WORDS)
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.older: dict[bytes, bytes] = {}
+        steps = json.loads(self.tokenizer.to_str())
+        normalizers = (steps["normalizer"] or {}).get("normalizers", [])
+        splits = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_word = tuple(n["type"] for n in normalizers) == _NORMALIZERS and (
+            splits[0].get("pattern") == {"Regex": _SPLIT} and splits[0]["invert"]
+        )
+        if self.by_word:
+            self.runs = _Runs(self.tokenizer, MOST_WORDS)
+
+    def encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         tokens = self.older.pop(word, None)
         if tokens is None:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            tokens = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= MOST_WORD_BYTES:
-            if 2 * len(self) >= MOST_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = tokens
-        return tokens
+            text = word.decode()
+            if len(word) <= MOST_WORD_BYTES and _SIMPLE.fullmatch(text) and "<|" not in text:
+                tokens = b"".join([self.runs[run] for run in _RUNS.findall(text.lower())])
+            else:
+                tokens = self.encoded(text)
+        return self.keep(word, tokens) if len(word) <= MOST_WORD_BYTES else tokens
 
     def tokens(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.encoded(text)
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
@@ -219,8 +277,8 @@ def pack(
     """One row per piece: key, start (tokens of its document before it), length, ids (its tokens as
     little-endian unsigned 32-bit numbers), doc_tokens, sequence_id and offset in the sequence.
 
-    A document's tokens are those of ``vocabulary`` (a file of the tokenizers library that drops white
-    space; word_bpe_49k.json without one) followed by ``end``. Each token lies in one piece, pieces of a sequence
+    A document's tokens are those of ``vocabulary`` (a file of the tokenizers library; word_bpe_49k.json
+    without one) followed by ``end``. Each token lies in one piece, pieces of a sequence
     follow each other without a gap, and a sequence has at most ``window`` tokens. Sequences are
     numbered by the task that reads their documents; numbers are not dense.
 

@@ -207,11 +207,23 @@ def test_words_give_the_tokens_of_the_text(tokenizer):
         "日本語 テキスト 🙂🙂 a​b ﻿ \x00 \x7f '' '' 's's",
         "", " ", "\n\n", "x" * 5000, "A1b2 " * 300,
     ]
+    assert encoder.by_word
+    rng = random.Random(8)
+    letters = "abzABZ09'sdtrevml.,-<|>_~!éÉßÿÀØøñ×÷ª½¯"
+    odd_texts += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(50)) for _ in range(60)]
     for _ in range(2):  # the second time from memory
         for text in odd_texts:
             assert np.frombuffer(encoder.tokens(text), "<u4").tolist() == tokens_of(text, tokenizer)[:-1]
 
 
+def test_other_vocabularies_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder(path)
+    text = "It's  two\nlines "
+    assert not encoder.by_word
+    assert np.frombuffer(encoder.tokens(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text).ids
+
+
 def test_known_words_are_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "MOST_WORDS", 8)
     encoder = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
