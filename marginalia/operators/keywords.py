@@ -2,9 +2,9 @@
 
 Postings are built row by row without a shuffle and are meant to be written once, clustered by
 term. A search joins them with the terms of the queries, gathers the occurrences per query and
-chunk, and folds over them in position order for the cover density rank: the sum, over the minimal
-stretches that satisfy the query, of the harmonic mean of the term weights divided by one plus the
-number of other words inside.
+chunk, and takes the cover density rank from them: the sum, over the minimal stretches that satisfy
+the query, of the harmonic mean of the term weights divided by one plus the number of other words
+inside.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from marginalia.config import SearchDefaults
 from marginalia.functions.rows import explode_array
 from marginalia.functions.stem import STOP_WORDS, stem_terms
 from marginalia.functions.text import word_tokens
+from marginalia.operators.covers import rank_covers
+from marginalia.session import cut_lineage
 
 # Weights of title, content and contextual text.
 FIELD_WEIGHTS = (("chunk_title", 1.0), ("content", 0.4), ("contextual_text", 0.2))
@@ -138,116 +140,6 @@ def parse_queries(queries: DataFrame, english: bool = True) -> DataFrame:
     return parsed.select("query_id", "units")
 
 
-def _ends_at(unit: Column, entries: Column, at: Column) -> Column:
-    """Whether an occurrence of the unit ends at entry number ``at`` (0-based)."""
-    count = F.size(unit["terms"])
-    last, end = F.get(entries, at), F.element_at(unit["terms"], -1)
-
-    def fits(term: Column, j: Column) -> Column:
-        entry = F.get(entries, at - count + 1 + j)
-        return (entry["key"] == term["key"]) & (
-            entry["position"] == last["position"] - (end["offset"] - term["offset"])
-        )
-
-    whole = F.forall(F.transform(unit["terms"], fits), lambda fit: F.coalesce(fit, F.lit(False)))
-    return (last["key"] == end["key"]) & ((count == 1) | whole)
-
-
-def _occurs(unit: Column, entries: Column) -> Column:
-    """Whether the unit occurs at all: the terms of a phrase meet at a common start."""
-
-    def starts(term: Column) -> Column:
-        own = F.filter(entries, lambda e: e["key"] == term["key"])
-        return F.transform(own, lambda e: e["position"] - term["offset"])
-
-    first = F.get(unit["terms"], F.lit(0))
-    met = F.aggregate(
-        F.slice(unit["terms"], 2, F.size(unit["terms"])),
-        starts(first),
-        lambda found, term: F.array_intersect(found, starts(term)),
-    )
-    single = F.exists(entries, lambda e: e["key"] == first["key"])
-    return F.when(F.size(unit["terms"]) == 1, single).otherwise(F.size(met) > 0)
-
-
-_LAST = "struct<position:int,number:int,inverse:double>"
-
-
-def _cover_rank(entries: Column, units: Column, alternatives: Column) -> Column:
-    """Fold over the sorted entries.
-
-    The state holds, per unit, where its latest occurrence starts (position, number of entries
-    before, sum of inverse weights before), the running sum of inverse weights, and the rank so far.
-    At each entry the tightest start over the alternatives is the best of their earliest units; a
-    start later than that of the previous cover makes a new minimal cover.
-    """
-    absent = F.transform(units, lambda u: F.lit(None).cast(_LAST))
-    numbered = F.transform(
-        entries, lambda e, i: F.struct(i.cast("int").alias("i"), e["position"].alias("position"), e["weight"].alias("weight"))
-    )
-
-    def state(last: Column, total: Column, start: Column, rank: Column) -> Column:
-        return F.struct(
-            last.alias("last"), total.alias("total"), start.cast("int").alias("start"), rank.alias("rank")
-        )
-
-    def latest(acc: Column, e: Column) -> Column:
-        def of_unit(unit: Column, old: Column) -> Column:
-            count = F.size(unit["terms"])
-            # Inverse weights of the earlier words of a phrase, which its start does not count.
-            earlier = F.aggregate(
-                F.slice(entries, e["i"] - count + 2, count - 1),
-                F.lit(0.0),
-                lambda sum_, x: sum_ + F.lit(1.0) / x["weight"],
-            )
-            return F.when(
-                _ends_at(unit, entries, e["i"]),
-                F.struct(
-                    F.get(entries, e["i"] - count + 1)["position"].cast("int").alias("position"),
-                    (e["i"] - count + 1).cast("int").alias("number"),
-                    F.when(count == 1, acc["total"]).otherwise(acc["total"] - earlier).alias("inverse"),
-                ).cast(_LAST),
-            ).otherwise(old)
-
-        return F.zip_with(units, acc["last"], of_unit)
-
-    def tightest(last: Column) -> Column:
-        """Latest, over the alternatives, of the earliest start among the units of each."""
-        starts = F.transform(alternatives, lambda members: F.transform(members, lambda u: F.get(last, u)))
-        whole = F.filter(starts, lambda s: F.forall(s, lambda x: x.isNotNull()))
-        return F.array_max(F.transform(whole, lambda s: F.array_min(s)))
-
-    # Three folds in a row would rescan; instead each step goes through one-element arrays, so that
-    # the updated starts and the cover are computed once.
-    def step(acc: Column, e: Column) -> Column:
-        total = acc["total"] + F.lit(1.0) / e["weight"]
-
-        def with_cover(x: Column) -> Column:
-            cover = x["cover"]
-            count = e["i"] - cover["number"] + 1
-            noise = F.greatest(e["position"] - cover["position"] - (count - 1), F.lit(0))
-            gain = count / (total - cover["inverse"]) / (noise + 1)
-            fresh = cover.isNotNull() & (cover["position"] > acc["start"])
-            return state(
-                x["last"],
-                total,
-                F.when(fresh, cover["position"]).otherwise(acc["start"]),
-                F.when(fresh, acc["rank"] + gain).otherwise(acc["rank"]),
-            )
-
-        updated = F.transform(
-            F.array(latest(acc, e)), lambda last: F.struct(last.alias("last"), tightest(last).alias("cover"))
-        )
-        return F.get(F.transform(updated, with_cover), F.lit(0))
-
-    return F.aggregate(
-        numbered,
-        state(absent, F.lit(0.0), F.lit(0), F.lit(0.0)),
-        step,
-        lambda acc: acc["rank"],
-    )
-
-
 def keyword_search(
     postings: DataFrame,
     queries: DataFrame,
@@ -261,43 +153,27 @@ def keyword_search(
     A column ``keyword_match_count`` of ``queries`` overrides k per query.
     """
     english = vocabulary is not None
-    limit = F.lit(k if k is not None else SearchDefaults().keyword_match_count)
-    if "keyword_match_count" in queries.columns:
-        limit = F.coalesce(F.col("keyword_match_count"), limit)
-    parsed = parse_queries(queries, english)
-    keys = parsed.select(
-        "query_id",
-        F.explode(
-            F.array_distinct(
-                F.flatten(F.transform("units", lambda u: F.transform(u["terms"], lambda t: t["key"])))
-            )
-        ).alias("key"),
-    )
-    terms = keys.withColumn("term", F.col("key"))
-    if english:
-        terms = keys.join(vocabulary, keys["key"] == vocabulary["stem"]).select("query_id", "key", "term")
-    # When every alternative is one plain word, each occurrence is a cover of its own and the rank is
-    # the sum of the weights, which is added up before the shuffle. Other queries need positions.
-    plain = F.forall(
-        "units",
-        lambda u: ~u["negated"]
-        & (F.size(u["terms"]) == 1)
-        & (F.size(F.filter("units", lambda v: v["alternative"] == u["alternative"])) == 1),
-    )
-    parsed = parsed.withColumn("_plain", plain)
+    parsed = with_keys(parse_queries(queries, english))
+    terms = query_terms(parsed, vocabulary)
+    parsed = parsed.withColumn("_plain", is_plain(F.col("units")))
     # Which kinds there are is asked of the queries alone, so that postings are read once for each.
     kinds = {row["_plain"] for row in parsed.select("_plain").distinct().collect()}
     ranked = None
     if True in kinds or not kinds:
-        own = terms.join(parsed.filter("_plain"), "query_id", "left_semi")
-        ranked = (
-            postings.join(own, "term")
-            .groupBy("query_id", "id")
-            .agg(F.round(F.sum("weight"), RANK_DIGITS).alias("keyword_rank"))
-        )
+        ranked = sum_ranks(postings.join(terms.join(parsed.filter("_plain"), "query_id", "left_semi"), "term"))
     if False in kinds:
-        covers = _cover_ranked(postings, terms, parsed.filter(~F.col("_plain")).drop("_plain"))
+        others = parsed.filter(~F.col("_plain"))
+        hits = postings.join(terms.join(others, "query_id", "left_semi"), "term")
+        covers = rank_hits(hits, others)
         ranked = covers if ranked is None else ranked.unionByName(covers)
+    return best_hits(ranked, queries, k)
+
+
+def best_hits(ranked: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """The k best rows (query_id, id, keyword_rank) of each query with their order, ties by id."""
+    limit = F.lit(k if k is not None else SearchDefaults().keyword_match_count)
+    if "keyword_match_count" in queries.columns:
+        limit = F.coalesce(F.col("keyword_match_count"), limit)
     order = Window.partitionBy("query_id").orderBy(F.desc("keyword_rank"), F.asc("id"))
     ordered = ranked.withColumn("keyword_order", F.row_number().over(order))
     if "keyword_match_count" not in queries.columns:
@@ -313,26 +189,65 @@ def keyword_search(
     )
 
 
-def _cover_ranked(postings: DataFrame, terms: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms.
+def with_keys(parsed: DataFrame) -> DataFrame:
+    """Parsed queries with ``keys``, the distinct keys of their units."""
+    every = F.flatten(F.transform("units", lambda u: F.transform(u["terms"], lambda t: t["key"])))
+    return parsed.withColumn("keys", F.array_distinct(every))
 
-    Which chunks hold all words of an alternative is settled on words alone, gathered before the
-    shuffle; positions are read for these chunks only.
-    """
-    hits = postings.join(terms.join(parsed, "query_id", "left_semi"), "term")
-    needed = F.transform(
-        F.array_distinct(F.transform("units", lambda u: u["alternative"])),
+
+def query_terms(parsed: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
+    """Rows (query_id, key_no, term): the terms of each key, by stem where there is a vocabulary."""
+    keys = parsed.select("query_id", F.posexplode("keys").alias("key_no", "key"))
+    if vocabulary is None:
+        return keys.withColumnRenamed("key", "term")
+    return keys.join(vocabulary, keys["key"] == vocabulary["stem"]).select("query_id", "key_no", "term")
+
+
+def is_plain(units: Column) -> Column:
+    """Whether every alternative is one plain word: then each occurrence is a cover of its own and the
+    rank is the sum of the weights, which is added up before the shuffle. Other queries need positions."""
+    return F.forall(
+        units,
+        lambda u: ~u["negated"]
+        & (F.size(u["terms"]) == 1)
+        & (F.size(F.filter(units, lambda v: v["alternative"] == u["alternative"])) == 1),
+    )
+
+
+def sum_ranks(hits: DataFrame) -> DataFrame:
+    """Rows (query_id, id, keyword_rank) of plain queries."""
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum("weight"), RANK_DIGITS).alias("keyword_rank"))
+
+
+def needed_keys(units: Column) -> Column:
+    """Per alternative the keys that must all occur."""
+    return F.transform(
+        F.array_distinct(F.transform(units, lambda u: u["alternative"])),
         lambda a: F.flatten(
             F.transform(
-                F.filter("units", lambda u: (u["alternative"] == a) & ~u["negated"]),
+                F.filter(units, lambda u: (u["alternative"] == a) & ~u["negated"]),
                 lambda u: F.transform(u["terms"], lambda t: t["key"]),
             )
         ),
     )
+
+
+def rank_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms.
+
+    ``hits`` are (query_id, id, key_no, position, weight); they are written once. Which chunks hold all
+    words of an alternative is settled on words alone, gathered before the shuffle; positions are
+    gathered for these chunks only.
+    """
+    hits = cut_lineage(hits.select("query_id", "id", "key_no", "position", "weight"))
+    numbers = F.transform(
+        needed_keys(F.col("units")),
+        lambda keys: F.transform(keys, lambda key: (F.array_position(F.col("keys"), key) - 1).cast("int")),
+    )
     candidates = (
         hits.groupBy("query_id", "id")
-        .agg(F.collect_set("key").alias("_have"))
-        .join(parsed.select("query_id", needed.alias("_needed")), "query_id")
+        .agg(F.collect_set("key_no").alias("_have"))
+        .join(parsed.select("query_id", numbers.alias("_needed")), "query_id")
         .filter(
             F.exists("_needed", lambda keys: (F.size(keys) > 0) & (F.size(F.array_except(keys, F.col("_have"))) == 0))
         )
@@ -341,51 +256,9 @@ def _cover_ranked(postings: DataFrame, terms: DataFrame, parsed: DataFrame) -> D
     found = (
         hits.join(candidates, ["query_id", "id"], "left_semi")
         .groupBy("query_id", "id")
-        .agg(F.collect_list(F.struct("position", "key", "weight")).alias("_entries"))
-        .join(parsed, "query_id")
-    )
-    numbers = F.array_distinct(F.transform("units", lambda u: u["alternative"]))
-    members = F.transform(
-        numbers,
-        lambda a: F.filter(
-            F.transform(
-                F.arrays_zip("units", "_present"),
-                lambda x, i: F.struct(
-                    i.cast("int").alias("i"),
-                    (x["units"]["alternative"] == a).alias("mine"),
-                    x["units"]["negated"].alias("negated"),
-                    x["_present"].alias("present"),
-                ),
-            ),
-            lambda x: x["mine"],
-        ),
-    )
-    alive = F.filter(
-        members,
-        lambda units: F.forall(units, lambda x: x["present"] != x["negated"])
-        & F.exists(units, lambda x: ~x["negated"]),
-    )
-    wanted_keys = F.flatten(
-        F.transform(
-            F.filter("units", lambda u: ~u["negated"]), lambda u: F.transform(u["terms"], lambda t: t["key"])
-        )
-    )
-    return (
-        found.withColumn("_entries", F.array_sort("_entries"))
-        .withColumn("_present", F.transform("units", lambda u: _occurs(u, F.col("_entries"))))
-        .withColumn(
-            "_alternatives",
-            F.transform(
-                alive,
-                lambda units: F.transform(F.filter(units, lambda x: ~x["negated"]), lambda x: x["i"]),
-            ),
-        )
-        .filter(F.size("_alternatives") > 0)
-        .withColumn("_keys", wanted_keys)
-        .withColumn("_entries", F.filter("_entries", lambda e: F.array_contains(F.col("_keys"), e["key"])))
-        .withColumn(
-            "keyword_rank",
-            F.round(_cover_rank(F.col("_entries"), F.col("units"), F.col("_alternatives")), RANK_DIGITS),
-        )
-        .select("query_id", "id", "keyword_rank")
+        .agg(F.collect_list(F.struct("position", "key_no", "weight")).alias("entries"))
+        .join(parsed.select("query_id", "keys", "units"), "query_id")
     )
+    kinds = dict(found.dtypes)
+    ranked = rank_covers(found, kinds["id"], kinds["query_id"])
+    return ranked.withColumn("keyword_rank", F.round("keyword_rank", RANK_DIGITS))
