@@ -35,6 +35,8 @@ BLOCK_BYTES = 32 << 20
 #: the byte strings among them should fit into a processor's cache.
 _TEXTS = 1 << 20
 _PIECE = 1 << 19
+#: Rows of an Arrow batch of counts.
+_BATCH = 1 << 16
 _END = b"\n"
 _BLOCKS, _WORDS, _GRAMS = 0, 1, 2
 #: Added to every count of the base model.
@@ -97,11 +99,11 @@ def _batches(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield held
 
 
-class _Counts:
-    """Counts by word or gram; parts are summed whenever they have grown long."""
+class _WordCounts:
+    """Counts by word; parts are summed whenever they have grown long."""
 
-    def __init__(self, kind: pa.DataType):
-        self.table = pa.table({"key": pa.array([], kind), "n": pa.array([], pa.int64())})
+    def __init__(self):
+        self.table = pa.table({"key": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
         self.parts: list[pa.Table] = []
         self.waiting = 0
 
@@ -119,6 +121,55 @@ class _Counts:
         self.parts, self.waiting = [], 0
         return self.table
 
+    def sorted(self) -> Iterator[tuple[pa.Array, pa.Array]]:
+        found = self.sum().sort_by("key").combine_chunks()
+        for first in range(0, len(found), _BATCH):
+            part = found.slice(first, _BATCH).combine_chunks()
+            yield part.column("key").chunk(0), part.column("n").chunk(0)
+
+
+class _GramCounts:
+    """Counts by gram in sorted runs, kept apart by the latest context byte: a merge takes no more memory
+    than the runs of one byte."""
+
+    def __init__(self):
+        self.runs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.waiting: dict[int, int] = {}
+
+    def add(self, grams: np.ndarray, weight: int) -> None:
+        keys, counts = np.unique(grams, return_counts=True)
+        counts = (counts * weight).astype(np.int32)
+        latest = keys >> (8 * DEPTH)
+        stops = np.append(np.flatnonzero(np.diff(latest)) + 1, len(keys))
+        first = 0
+        for stop in stops.tolist():
+            byte = int(latest[first])
+            self.runs.setdefault(byte, []).append((keys[first:stop].copy(), counts[first:stop].copy()))
+            self.waiting[byte] = self.waiting.get(byte, 0) + stop - first
+            if self.waiting[byte] > max(1 << 14, len(self.runs[byte][0][0])):
+                self.merge(byte)
+            first = stop
+
+    def merge(self, byte: int) -> tuple[np.ndarray, np.ndarray]:
+        runs = self.runs[byte]
+        if len(runs) > 1:
+            keys = np.concatenate([k for k, _ in runs])
+            counts = np.concatenate([c for _, c in runs])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            runs[:] = [(keys[first], np.add.reduceat(counts[order], first, dtype=np.int32))]
+        self.waiting[byte] = 0
+        return runs[0]
+
+    def sorted(self) -> Iterator[tuple[pa.Array, pa.Array]]:
+        for byte in sorted(self.runs):
+            keys, counts = self.merge(byte)
+            del self.runs[byte]
+            for first in range(0, len(keys), _BATCH):
+                part = slice(first, first + _BATCH)
+                yield pa.array(keys[part]), pa.array(counts[part].astype(np.int64))
+
 
 _NAMES = ["kind", "block", "word", "gram", "n", "keys", "held", "texts"]
 
@@ -130,7 +181,7 @@ class _Block:
         self.number, self.key_type, self.size = number, key_type, 0
         self.keys: list = []
         self.held: list[bool] = []
-        self.words, self.grams = _Counts(pa.string()), _Counts(pa.int64())
+        self.words, self.grams = _WordCounts(), _GramCounts()
         self.waiting: list[tuple[bool, bytes]] = []
         self.waiting_bytes = 0
         self.stream = zstandard.ZstdCompressor(level=3).compressobj()
@@ -154,7 +205,7 @@ class _Block:
             self.words.add(_words(texts)[1], weight)
             self.words.add(pa.array([_END.decode()] * len(texts)), weight)
             for _, gram in _grams(texts):
-                self.grams.add(pa.array(gram), weight)
+                self.grams.add(gram, weight)
         self.waiting, self.waiting_bytes = [], 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -171,11 +222,10 @@ class _Block:
             arrays += [columns[c] if c in columns else pa.nulls(size, types[c]) for c in _NAMES[2:]]
             return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
+        # In order they take half the space.
         for kind, name, counts in ((_WORDS, "word", self.words), (_GRAMS, "gram", self.grams)):
-            # In order they take half the space.
-            found = counts.sum().sort_by("key").combine_chunks()
-            columns = {name: found.column("key").combine_chunks(), "n": found.column("n").combine_chunks()}
-            yield batch(kind, len(found), **columns)
+            for keys, numbers in counts.sorted():
+                yield batch(kind, len(keys), **{name: keys, "n": numbers})
         self.words = self.grams = None
         self.packed.append(self.stream.flush())
         yield batch(
@@ -220,7 +270,8 @@ def build_blocks(docs: DataFrame, key: str, text: str, held: str, block_bytes: i
     )
     path = new_path(spark, "context-tree")
     found = docs.select(key, held, text).mapInArrow(run, schema)
-    found.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    # Not partitioned by kind: that would sort all counts. A reader takes the columns of its kind only.
+    found.write.option("compression", "zstd").parquet(path)
 
     def part(of: int, *columns: str) -> DataFrame:
         stored = spark.read.schema(schema).parquet(path)
