@@ -169,11 +169,15 @@ def keyword_search(
     return best_hits(ranked, queries, k)
 
 
+def hit_limit(queries: DataFrame, k: int | None = None) -> Column:
+    """How many hits a query gets: its keyword_match_count, or ``k``, or the default."""
+    limit = F.lit(k if k is not None else SearchDefaults().keyword_match_count)
+    return F.coalesce(F.col("keyword_match_count"), limit) if "keyword_match_count" in queries.columns else limit
+
+
 def best_hits(ranked: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """The k best rows (query_id, id, keyword_rank) of each query with their order, ties by id."""
-    limit = F.lit(k if k is not None else SearchDefaults().keyword_match_count)
-    if "keyword_match_count" in queries.columns:
-        limit = F.coalesce(F.col("keyword_match_count"), limit)
+    limit = hit_limit(queries, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("keyword_rank"), F.asc("id"))
     ordered = ranked.withColumn("keyword_order", F.row_number().over(order))
     if "keyword_match_count" not in queries.columns:
