@@ -22,6 +22,7 @@ from marginalia.session import cut_lineage
 # Weights of title, content and contextual text.
 FIELD_WEIGHTS = (("chunk_title", 1.0), ("content", 0.4), ("contextual_text", 0.2))
 RANK_DIGITS = 9
+_BITS = 62
 
 
 def _is_stop_word(term: Column) -> Column:
@@ -244,17 +245,39 @@ def rank_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:
     gathered for these chunks only.
     """
     hits = cut_lineage(hits.select("query_id", "id", "key_no", "position", "weight"))
-    numbers = F.transform(
-        needed_keys(F.col("units")),
-        lambda keys: F.transform(keys, lambda key: (F.array_position(F.col("keys"), key) - 1).cast("int")),
+    # Sets of keys as bits of numbers, as many as the longest query needs.
+    longest = parsed.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
+    words = range(longest // _BITS + 1)
+    bit = F.expr(f"shiftleft(1L, key_no % {_BITS})")
+    have = [F.bit_or(F.when(F.floor(F.col("key_no") / _BITS) == w, bit)).alias(f"_have{w}") for w in words]
+
+    def mask(keys: Column, word: int) -> Column:
+        place = lambda key: (F.array_position(F.col("keys"), key) - 1).cast("int")
+        return F.aggregate(
+            keys,
+            F.lit(0).cast("long"),
+            lambda bits, key: F.when(
+                F.floor(place(key) / _BITS) == word,
+                bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(key) % _BITS)),
+            ).otherwise(bits),
+        )
+
+    masks = F.transform(
+        F.filter(needed_keys(F.col("units")), lambda keys: F.size(keys) > 0),
+        lambda keys: F.array(*[mask(keys, w) for w in words]),
     )
+
+    def holds(needed: Column) -> Column:
+        whole = F.lit(True)
+        for w in words:
+            whole &= F.coalesce(F.col(f"_have{w}"), F.lit(0)).bitwiseAND(needed[w]) == needed[w]
+        return whole
+
     candidates = (
         hits.groupBy("query_id", "id")
-        .agg(F.collect_set("key_no").alias("_have"))
-        .join(parsed.select("query_id", numbers.alias("_needed")), "query_id")
-        .filter(
-            F.exists("_needed", lambda keys: (F.size(keys) > 0) & (F.size(F.array_except(keys, F.col("_have"))) == 0))
-        )
+        .agg(*have)
+        .join(parsed.select("query_id", masks.alias("_needed")), "query_id")
+        .filter(F.exists("_needed", holds))
         .select("query_id", "id")
     )
     found = (

@@ -118,3 +118,15 @@ def test_pruned_search_equals_the_plain_one(spark, tmp_path, english):
     read = {r["query_id"]: r["posting_rows"] for r in found.select("query_id", "posting_rows").distinct().collect()}
     every = postings.filter("term = 'widget' and id not between 70 and 110").count()
     assert 0 < read[0] < 40 * 2 * 3 * 30 + every / 4
+
+
+def test_queries_of_many_words_find_their_chunks(spark):
+    """More words than a number has bits, all of which must occur."""
+    words = [f"w{i}" for i in range(150)]
+    store = spark.createDataFrame(
+        [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(reversed(words)))], "id long, content string"
+    )
+    postings = build_postings(store, False, (("content", 0.5),))
+    queries = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[70:140]))], "query_id int, query string")
+    found = keyword_search(postings, queries, 5).select("query_id", "id", "keyword_rank").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 0.5), (1, 3, 0.5), (2, 1, 0.5), (2, 2, 0.5), (2, 3, 0.5)]
