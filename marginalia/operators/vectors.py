@@ -1,9 +1,10 @@
 """Exact cosine top-k for many query vectors at once.
 
-The store is scanned once per block of queries: only ``id`` and the vector are read, a matrix
-product scores each Arrow batch, and a task keeps at most k hits per query. The hits of the tasks
-are then ranked with a window, whose partial limit runs before the shuffle. Query vectors travel as
-a broadcast block of bounded bytes; more queries than one block holds become several scans.
+Stored vectors and query vectors are each packed into matrices of bounded bytes, and the packs meet in a
+grid: stored packs are dealt out to splits, query packs go to every split, and a join by split pairs
+them. A matrix product scores a pair, and a task keeps at most k hits per query. The hits of the tasks
+are then ranked with a window, whose partial limit runs before the shuffle. The store is scanned
+once, only ``id`` and the vector are read, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,14 @@ from pyspark.sql import types as T
 from marginalia.config import SearchDefaults
 from marginalia.session import cut_lineage
 
-BLOCK_BYTES = 64 << 20
-_ROWS_PER_PRODUCT = 4096
+#: Bytes of a pack's matrix, and rows of a pack of stored and of query vectors.
+PACK_BYTES = 4 << 20
+STORE_ROWS = 512
+QUERY_ROWS = 2048
+#: A task hands its hits on when it holds so many.
+MOST_PENDING = 2_000_000
+#: Query packs that a task keeps open.
+_MOST_PACKS = 32
 # Scores are compared at this many digits, so that the order of additions cannot decide a tie.
 SCORE_DIGITS = 12
 
@@ -79,18 +87,34 @@ def _id_array(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=str)
 
 
-def _query_blocks(queries: DataFrame, dim_bytes: int) -> Iterator[pa.Table]:
-    total = queries.count()
-    block = max(1, BLOCK_BYTES // max(1, dim_bytes))
-    blocks = -(-total // block)
-    for number in range(blocks):
-        part = queries
-        if blocks > 1:
-            part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        table = part.toArrow()
-        # A hash splits evenly on average only; the slice is the bound.
-        for first in range(0, table.num_rows, block):
-            yield table.slice(first, block)
+def _packs(
+    vectors: DataFrame, id_type: T.DataType, rows: int, extra: tuple[str, ...] = (), without_direction: float = np.nan
+) -> DataFrame:
+    """Rows (number, dim, ids, matrix, extra arrays) of unit vectors out of rows (id, vector, extra values).
+    Vectors of zeros become ``without_direction``."""
+    kinds = "".join(f", {name} array<{dict(vectors.dtypes)[name]}>" for name in extra)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows:
+                continue
+            dim = len(batch.column(1)[0])
+            matrix = np.nan_to_num(unit_rows(vector_matrix(batch.column(1), dim)[1]), nan=without_direction)
+            step = max(1, min(rows, PACK_BYTES // max(1, 8 * dim)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                lists = [pa.array([part.column(n).to_pylist()], pa.list_(part.column(n).type)) for n in (0, *range(2, part.num_columns))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.array([dim], pa.int32()), lists[0], pa.array([matrix[at : at + step].tobytes()]), *lists[1:]],
+                    names=["number", "dim", "ids", "matrix", *extra],
+                )
+                number += 1
+
+    return vectors.mapInArrow(
+        run, f"number long, dim int, ids array<{id_type.simpleString()}>, matrix binary{kinds}"
+    )
 
 
 def vector_search(
@@ -102,13 +126,11 @@ def vector_search(
     id_col: str = "id",
     vector_col: str = "embedding",
     query_vector_col: str = "query_embedding",
-    scan_tasks: int | None = None,
 ) -> DataFrame:
     """Rows (query_id, id, similarity, vector_rank): per query the k most similar stored vectors
     with similarity >= threshold, ties by id.
 
-    The queries are evaluated once and written to the checkpoint folder. ``scan_tasks`` coalesces the
-    scan of the store, so that fewer, longer tasks send fewer partial hits.
+    The queries are evaluated once and written to the checkpoint folder.
 
     ``queries`` has ``query_id`` and the vector; columns ``match_count`` and
     ``similarity_threshold``, when present, override the arguments per query.
@@ -127,7 +149,6 @@ def vector_search(
         floor.cast("double").alias("floor"),
     ).filter(F.col("vector").isNotNull())
 
-    spark = store.sparkSession
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -136,19 +157,24 @@ def vector_search(
             T.StructField("k", T.LongType()),
         ]
     )
-    narrow = store.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    if scan_tasks is not None:
-        narrow = narrow.coalesce(scan_tasks)
-
     asked = cut_lineage(asked)
-    dim, most = asked.agg(F.max(F.size("vector")), F.max("k")).first()
-    if dim is None:
-        return _ranked(spark.createDataFrame([], schema), 0)
-    found = None
-    for table in _query_blocks(asked, dim * 8):
-        part = _block_hits(narrow, table, dim, schema)
-        found = part if found is None else found.unionByName(part)
-    return _ranked(found, most or 0)
+    most = asked.agg(F.max("k")).first()[0] or 0
+    stored = store.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    splits = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    store_packs = _packs(stored, schema["id"].dataType, STORE_ROWS).select(
+        F.pmod(F.xxhash64("number"), F.lit(splits)).cast("int").alias("split"), "dim", "ids", "matrix"
+    )
+    query_packs = _packs(asked, schema["query_id"].dataType, QUERY_ROWS, ("k", "floor"), 0.0).select(
+        F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"),
+        F.col("number").alias("asked_number"),
+        F.col("dim").alias("asked_dim"),
+        F.col("ids").alias("asked_ids"),
+        F.col("matrix").alias("asked_matrix"),
+        "k",
+        "floor",
+    )
+    pairs = store_packs.join(query_packs, "split").drop("split")
+    return _ranked(pairs.mapInArrow(_scorer(schema), schema), most)
 
 
 def _ranked(hits: DataFrame, most: int) -> DataFrame:
@@ -162,43 +188,49 @@ def _ranked(hits: DataFrame, most: int) -> DataFrame:
     )
 
 
-def _block_hits(narrow: DataFrame, table: pa.Table, dim: int, schema: T.StructType) -> DataFrame:
-    _, matrix = vector_matrix(table["vector"].combine_chunks(), dim)
-    block = narrow.sparkSession.sparkContext.broadcast(
-        {
-            "query_id": table["query_id"].combine_chunks(),
-            "matrix": np.nan_to_num(unit_rows(matrix), nan=0.0),
-            "k": table["k"].to_numpy(),
-            "floor": table["floor"].to_numpy(),
-        }
-    )
+def _scorer(schema: T.StructType):
+    """Pairs of packs to the best hits per query of a task."""
+    kinds = [_arrow_type(schema[name].dataType) for name in ("query_id", "id")]
+
+    def hits(asked_ids: pa.Array, ks: np.ndarray, top: _TopHits) -> Iterator[pa.RecordBatch]:
+        best = top.best()
+        if best is not None and best[0].size:
+            asked, ids, scores = best
+            yield pa.RecordBatch.from_arrays(
+                [
+                    asked_ids.take(pa.array(asked)).cast(kinds[0]),
+                    pa.array(ids.tolist(), kinds[1]),
+                    pa.array(scores, pa.float64()),
+                    pa.array(ks[asked], pa.int64()),
+                ],
+                names=schema.names,
+            )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = block.value
-        weights = np.ascontiguousarray(queries["matrix"].T)
-        top = _TopHits(queries["k"], queries["floor"])
+        tops: dict[int, tuple[pa.Array, np.ndarray, np.ndarray, _TopHits]] = {}
         for batch in batches:
-            rows, vectors = vector_matrix(batch.column("vector"), dim)
-            ids = _id_array(batch.column("id"))[rows]
-            for at in range(0, rows.size, _ROWS_PER_PRODUCT):
-                part = slice(at, at + _ROWS_PER_PRODUCT)
-                scores = np.round(unit_rows(vectors[part]) @ weights, SCORE_DIGITS)
-                top.add(ids[part], np.nan_to_num(scores, nan=-np.inf))
-        best = top.best()
-        if best is None:
-            return
-        asked, ids, scores = best
-        yield pa.RecordBatch.from_arrays(
-            [
-                queries["query_id"].take(pa.array(asked)),
-                pa.array(ids.tolist(), type=_arrow_type(schema["id"].dataType)),
-                pa.array(scores, type=pa.float64()),
-                pa.array(queries["k"][asked], type=pa.int64()),
-            ],
-            names=schema.names,
-        )
-
-    return narrow.mapInArrow(score, schema)
+            rows = {name: batch.column(name) for name in batch.schema.names}
+            for n in range(batch.num_rows):
+                dim, number = rows["dim"][n].as_py(), rows["asked_number"][n].as_py()
+                if rows["asked_dim"][n].as_py() != dim:
+                    raise ValueError(f"vectors of {dim} values expected")
+                if number not in tops:
+                    ks = rows["k"][n].values.to_numpy()
+                    floors = rows["floor"][n].values.to_numpy()
+                    matrix = np.frombuffer(rows["asked_matrix"][n].as_py()).reshape(-1, dim).T.copy()
+                    tops[number] = rows["asked_ids"][n].values, ks, matrix, _TopHits(ks, floors)
+                weights, top = tops[number][2:]
+                vectors = np.frombuffer(rows["matrix"][n].as_py()).reshape(-1, dim)
+                scores = np.round(vectors @ weights, SCORE_DIGITS)
+                top.add(_id_array(rows["ids"][n].values), np.nan_to_num(scores, nan=-np.inf))
+                if sum(t[3].pending for t in tops.values()) > MOST_PENDING or len(tops) > _MOST_PACKS:
+                    for asked_ids, ks, _, held in tops.values():
+                        yield from hits(asked_ids, ks, held)
+                    tops = {}
+        for asked_ids, ks, _, held in tops.values():
+            yield from hits(asked_ids, ks, held)
+
+    return score
 
 
 def _arrow_type(spark_type: T.DataType) -> pa.DataType:

@@ -4,6 +4,7 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators.keywords import build_postings, keyword_search
@@ -168,17 +169,28 @@ def test_vector_search_equals_brute_force(spark, vectors, k):
     assert found == expected
 
 
-def test_query_blocks(spark, monkeypatch):
-    """More queries than one broadcast block holds give the same hits."""
+def test_packs_of_any_size_give_the_same_hits(spark, monkeypatch):
     from marginalia.operators import vectors
 
-    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
-    store = spark.createDataFrame(rows, "id long, embedding array<float>")
-    queries = store.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    rows = [(i, [float(i % 7), float(i % 5), 1.0] if i % 11 else None) for i in range(60)] + [(60, [0.0, 0.0, 0.0])]
+    store = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    queries = store.select(
+        F.concat(F.lit("q"), "id").alias("query_id"), F.col("embedding").alias("query_embedding"), (1 + F.col("id") % 4).alias("match_count")
+    )
     whole = sorted(map(tuple, vector_search(store, queries, 3, 0.1).collect()))
-    monkeypatch.setattr(vectors, "BLOCK_BYTES", 24 * 16)
-    monkeypatch.setattr(vectors, "_ROWS_PER_PRODUCT", 7)
-    assert sorted(map(tuple, vector_search(store, queries, 3, 0.1).collect())) == whole
+    assert len(whole) > 100
+    for name, value in (("PACK_BYTES", 24 * 7), ("MOST_PENDING", 20), ("_MOST_PACKS", 2)):
+        monkeypatch.setattr(vectors, name, value)
+        assert sorted(map(tuple, vector_search(store, queries, 3, 0.1).collect())) == whole
+    empty = store.limit(0)
+    assert vector_search(empty, queries, 3).collect() == vector_search(store, queries.limit(0), 3).collect() == []
+
+
+def test_vectors_of_other_lengths_are_an_error(spark):
+    store = spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "query_id long, query_embedding array<float>")
+    with pytest.raises(Exception, match="vectors of 2 values expected"):
+        vector_search(store, queries, 1).collect()
 
 
 def test_paced_lanes_stay_below_the_limits():
