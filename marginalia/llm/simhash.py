@@ -306,11 +306,27 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest key.
 
-    Rows that repeat that key give one row. Rows without a key pass as they are: no group is named by
-    them.
+    A key that different texts have stands for several documents: each is judged by its own text, and of
+    several that are linked the one with the smallest hash stays. Rows that repeat key and text give
+    one row, the one with the smallest hash of all columns. Rows without a key pass as they are, and no other row goes
+    because of them.
     """
-    groups = near_duplicates(docs, key, text)
-    winners = groups.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
-    packed = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__own"))
-    once = packed.join(winners, F.col("__own") == F.col("__key")).groupBy("__own").agg(F.first("__row").alias("__row"))
-    return once.select("__row.*").unionByName(packed.filter("__own is null").select("__row.*"))
+    place = [F.col(key).alias("key"), F.xxhash64(text).alias("hash")]
+    keyed = docs.filter(F.col(key).isNotNull()).select(F.struct(*place).alias("__own"), F.col(text).alias("__text"))
+    groups = near_duplicates(keyed, "__own", "__text")
+    # Rows that go, or of which only one stays: few as a rule, so that most rows are not moved to drop them.
+    judged = groups.groupBy("__own").agg(
+        F.first(F.col("__own") == F.col("component_id")).alias("__stays"), F.count("*").alias("__rows")
+    )
+    noted = cut(judged.filter("not __stays or __rows > 1"), "simhash-noted").select(
+        F.col("__own.key").alias("__key"), F.col("__own.hash").alias("__hash"), "__stays"
+    )
+    packed = docs.select(F.struct("*").alias("__row"), *[c.alias(n) for c, n in zip(place, ("__own", "__text"))])
+    same = (F.col("__own") == F.col("__key")) & (F.col("__text") == F.col("__hash"))
+    others = packed.join(noted, same, "left_anti").select("__row.*")
+    repeated = (
+        packed.join(noted.filter("__stays"), same)
+        .groupBy("__key", "__hash")
+        .agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    )
+    return others.unionByName(repeated.select("__row.*"))

@@ -256,3 +256,23 @@ def test_packing_of_odd_rows(spark, odd, none, clashing, tokenizer):  # noqa: F8
     fill = check_packed(rows, wanted, window=16)
     assert sum(n < 16 for n in fill) <= 1
     assert rows == packed_rows(packing.pack(odd.coalesce(1), window=16, round_tokens=40))
+
+
+# --- the near-duplicate stage
+
+
+def test_repeated_keys_are_judged_by_their_texts(spark):
+    from marginalia.llm import simhash
+
+    rows = [
+        (5, "alpha beta gamma delta epsilon zeta", "a"), (5, "one two three four five six seven", "b"),
+        (6, "alpha beta gamma delta epsilon zeta", "c"), (7, "one two three four five six seven", "d"),
+        (8, "quite another text of some words", "e"), (8, "quite another text of some words", "f"),
+        (None, "alpha beta gamma delta epsilon zeta", "g"), (None, None, "h"), (9, "", "i"), (10, None, "j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(tuple, simhash.drop_near_duplicates(docs.repartition(n)).collect()), key=repr) for n in (1, 3)]
+    assert runs[0] == runs[1]
+    kept = [(row[0], row[1]) for row in runs[0]]
+    assert kept.count((8, rows[4][1])) == 1 and len(kept) == 6
+    assert set(kept) == {(5, rows[0][1]), (5, rows[1][1]), (8, rows[4][1]), (None, rows[6][1]), (None, None), (9, "")}
