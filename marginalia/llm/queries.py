@@ -193,7 +193,8 @@ with sized as (
 sources as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source),
 weighted as (
-  select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w from sources),
+  select *, [5, 2, 1][1 + kind] as w, [1.5, 1.0, 0.5][1 + kind]::double as w0, [-1.0, 0.0, 1.0][1 + kind]::double as slope
+  from (select *, (row_number() over (order by source nulls last) - 1) % 3 as kind from sources) as k),
 -- sources in the order in which their targets reach the bound; the first n are at it
 filled as (
   select *, sum(source_size) over () as total, sum(w) over () as all_w,
@@ -206,28 +207,36 @@ candidates as (
   from filled where w * (total - 3 * (bound_size - source_size)) <= 3 * source_size * (all_w - (bound_w - w))
   order by n limit 1),
 targets as (
-  select source, source_size, case when w * rest > 3 * source_size * rest_w then cast(3 * source_size as double)
+  select source, source_size, w0, slope, case when w * rest > 3 * source_size * rest_w then cast(3 * source_size as double)
     else cast(w * rest as double) / cast(rest_w as double) end as target
   from weighted, candidates),
 placed as (
-  select doc_id, size, source_size, target,
+  select doc_id, size, source_size, target, w0, slope,
     coalesce(sum(size) over (partition by d.source order by o, size
       rows between unbounded preceding and 1 preceding), 0) as start,
     case when source_size = 0 then 0 else floor(target / source_size) end as passes
-  from sized d join targets t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  cast(size * (passes + case when start + size / 2.0 < target - passes * source_size then 1 else 0 end) as bigint)
-    as taken
-from placed
+  from sized d join targets t on d.source is not distinct from t.source),
+mixed as (
+  select *, passes + case when start + size / 2.0 < target - passes * source_size then 1 else 0 end as copies,
+    case when target = 0 then 0 else least((start + size / 2.0) / target, 1.0::double) end as due
+  from placed)
+-- The schedule's weight runs from w0 by its slope, over a whole of 1; the position is where its integral is due.
+select doc_id, size, source_size, target, cast(size * copies as bigint) as taken,
+  case when copies > 0 then round(least(2 * due / nullif(w0 + sqrt(greatest(w0 * w0 + 2 * slope * due, 0)), 0), 1.0::double), 9)
+    end as position
+from mixed
 """)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return planned.select(
+    # In the order of the training positions at which documents are first met; those not taken come last.
+    first = F.round(F.get("positions", F.lit(0)), 9)
+    return planned.orderBy(first.asc_nulls_last(), "__order").select(
         F.col("__row.doc_id").alias("doc_id"),
         "size",
         "source_size",
         "target",
         (F.size("positions") * F.col("size")).cast("long").alias("taken"),
+        first.alias("position"),
     )
 
 
@@ -248,8 +257,9 @@ coded as (
 firsts as (select *, min(page_id) over (partition by payload_digest) as first_id from coded)
 select page_id, payload_bytes, payload_digest,
   case when page_id = first_id then 'response' else 'revisit' end as record_type,
-  case when page_id = first_id then null else first_id end as refers_to
-from firsts
+  case when page_id = first_id then null else first_id end as refers_to,
+  replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as request_uri, 3 as n_records
+from firsts join pages using (page_id)
 """)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archived_captures(table(spark, sf_dir, "pages"))
@@ -259,6 +269,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("claimed_digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers_to_page").alias("refers_to"),
+        F.col("request.target_uri").alias("request_uri"),
+        (1 + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).alias("n_records"),
     )
 
 
@@ -316,7 +328,8 @@ _BITS_SQL = "case letter when 'A' then 1 when 'B' then 2 when 'C' then 4 when 'D
 @query(rf"""
 with texts as (
   select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
-    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as ws
+    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as ws
   from documents),
 marks as (
   select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),

@@ -316,14 +316,15 @@ def assemble(records: DataFrame) -> DataFrame:
     no record is concurrent to it). Of several requests or metadata records of one capture, which only
     rows that repeat key, URL and payload give, one is taken."""
 
-    def beside(kind: str) -> DataFrame:
-        parts = records.filter(F.col("type") == kind)
-        return parts.groupBy(F.col("concurrent_to").alias("record_id")).agg(
-            F.min(F.struct(F.col("record_id").alias("id"), "target_uri", "block")).alias(kind)
-        )
-
+    part = F.struct(F.col("record_id").alias("id"), "target_uri", "block")
+    kinds = ("request", "metadata")
+    beside = (
+        records.filter(F.col("type").isin(*kinds))
+        .groupBy(F.col("concurrent_to").alias("record_id"))
+        .agg(*[F.min(F.when(F.col("type") == kind, part)).alias(kind) for kind in kinds])
+    )
     captures = records.filter(F.col("type").isin("response", "revisit"))
-    return captures.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
+    return captures.join(beside, "record_id", "left")
 
 
 def archived_captures(
