@@ -33,14 +33,12 @@ BLOCKS = frozenset(
 )
 _SCOPE = frozenset("table td th button html body article section aside div main nav header footer form".split())
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ASIDE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_GAP = re.compile(r"[\s/]*")
+_NAME = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 
 
 class Node:
@@ -57,11 +55,38 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
 
-def _attributes(text: str) -> dict[str, str]:
-    found = {}
-    for name, double, single, bare in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), html.unescape(double or single or bare))
-    return found
+class _Attributes:
+    """Reads the attributes of tags. A value without its closing quote ends like one without quotes."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()  # quotes of which there are no more
+
+    def read(self, at: int) -> tuple[dict[str, str], int] | None:
+        """The attributes from ``at`` on and where the tag ends; None where the page ends before it does."""
+        page, found = self.page, {}
+        while True:
+            at = _GAP.match(page, at).end()
+            if at == len(page):
+                return None
+            if page[at] == ">":
+                return found, at + 1
+            name = _NAME.match(page, at)
+            at, value = name.end(), ""
+            if equals := _EQUALS.match(page, at):
+                at = equals.end()
+                value, at = self._value(at)
+            found.setdefault(name[0].lower(), html.unescape(value))
+
+    def _value(self, at: int) -> tuple[str, int]:
+        quote = self.page[at : at + 1]
+        if quote in ("'", '"') and quote not in self.gone:
+            stop = self.page.find(quote, at + 1)
+            if stop >= 0:
+                return self.page[at + 1 : stop], stop + 1
+            self.gone.add(quote)
+        stop = _BARE.match(self.page, at).end()
+        return self.page[at:stop].lstrip("'\""), stop
 
 
 def parse(page: str | None) -> Node:
@@ -70,6 +95,7 @@ def parse(page: str | None) -> Node:
     stack = [root]
     opened: Counter[str] = Counter()
     page = page or ""
+    reader = _Attributes(page)
     at = 0
 
     def say(text: str) -> None:
@@ -98,16 +124,20 @@ def parse(page: str | None) -> Node:
         if start < 0:
             say(page[at:])
             break
-        found = _TOKEN.match(page, start)
+        if aside := _ASIDE.match(page, start):
+            say(page[at:start])
+            at = aside.end()
+            continue
+        found = _TAG.match(page, start)
         if not found:
             say(page[at : start + 1])
             at = start + 1
             continue
         say(page[at:start])
-        at = found.end()
-        slash, name, rest, end = found.group(1, 2, 3, 4) if found.group(2) else found.group(5, 6, 7, 8)
-        if not name or end != ">":
-            continue
+        slash, name = found.groups()
+        if (rest := reader.read(found.end())) is None:
+            break
+        attributes, at = rest
         tag = name.lower()
         if slash:
             for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
@@ -119,7 +149,7 @@ def parse(page: str | None) -> Node:
             close({"p"}, _SCOPE)
         if tag in CLOSES:
             close(*CLOSES[tag])
-        node = Node(tag, _attributes(rest) if rest else {})
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -127,7 +157,7 @@ def parse(page: str | None) -> Node:
             if body:
                 node.children.append(html.unescape(body) if tag in ("title", "textarea") else body)
             at = stop.end() if stop else len(page)
-        elif tag not in VOID and not rest.endswith("/"):
+        elif tag not in VOID:
             stack.append(node)
             opened[tag] += 1
     return root

@@ -1,22 +1,21 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from the same program. Two elements match when their tag and class agree, and those
-of all elements around them; a block whose text is the same on all pages that have its element is
-template, one whose text varies is a slot. The wrapper of a host, its constant blocks, is then applied to
-every page of the host: all text stays but those blocks and menus, forms and the like. Inside an article
-or main element nothing is template, however many pages have it alike. No container is chosen, so text
-beside an article, or beside the container of most other pages, stays too.
-
-``extract`` counts the blocks of all pages of a host by the labels of their elements. ``induce`` takes a
-few pages at hand and also aligns the children of matching elements in order, by simple tree matching;
-what is constant there is on all of the pages at the same labels.
+Pages of a host come from the same program. The block elements of a page outside of its articles form its
+layout, runs of equal siblings as one; the different layouts of a host are merged into the host's
+template tree by simple tree matching, which pairs children with equal labels in order. Every page of the
+host is then aligned with the template, and its blocks are counted by the slot that they fall into: text
+that nearly all pages with the slot have alike is template, varying text is content. The wrapper of a
+host, its template tree and the constant texts of its slots, is applied to every page of the host: all text stays but
+those blocks and menus, forms and the like. Inside an article or main element nothing is template, however
+many pages have it alike.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,11 +27,14 @@ from marginalia.llm.dom import BLOCKS, Node, parse
 from marginalia.llm.storage import cut
 from marginalia.llm.text import or_empty
 
-#: A block is template when all pages that have its element have it alike, and they are so many at least.
+#: A text is template when this share of the different pages that have its slot have it there, and so many at least.
+SHARE = 0.9
 LEAST_PAGES = 3
+#: Layouts of a host are merged in so many parts first.
+PARTS = 64
 #: Rows gathered before they are handed on.
 BATCH_ROWS = 1 << 16
-#: Elements nested deeper are not aligned by ``induce``; their text is read like any other.
+#: Elements nested deeper are not aligned; their text is read like any other.
 MOST_DEPTH = 100
 
 # Elements and words of class, id and role that are not content.
@@ -51,19 +53,135 @@ SKIPPED_WORDS = frozenset(
 CONTENT_TAGS = frozenset(("article", "main"))
 _NEVER_SKIPPED = frozenset(("", "html", "body", "main", "article", "h1"))
 _BLOCKS = BLOCKS | frozenset("li dt dd tr td th caption legend body html option tbody thead tfoot".split())
-_WORDS = re.compile(r"[a-z]+")
+# Words that say nothing beside one of the skipped words, as in share-buttons or ad-box.
+NEUTRAL_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons center col column container group holder icon icons "
+    "inner inline item items js layer left link links list outer panel post posts primary right row secondary "
+    "section site slot top unit wrap wrapper yes zone".split()
+)
+#: Elements of running text: inside an article their names decide nothing.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption em strong b i span code".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def is_skipped(node: Node, inside_article: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script or comments."""
-    if node.tag in SKIPPED_TAGS or node.tag == "header" and not inside_article:
-        return True
-    if node.tag in _NEVER_SKIPPED or not node.attributes:
-        return False
-    if "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
-        return True
-    said = " ".join(node.attributes.get(name, "") for name in ("class", "id", "role")).lower()
-    return bool(said) and not SKIPPED_WORDS.isdisjoint(_WORDS.findall(said))
+def _names_boilerplate(said: str) -> bool:
+    """Whether a class, id or role has a skipped word and beside it only neutral ones."""
+    words = {word.lower() for word in _WORDS.findall(said)}
+    return not SKIPPED_WORDS.isdisjoint(words) and words <= SKIPPED_WORDS | NEUTRAL_WORDS
+
+
+def measure(root: Node) -> tuple[frozenset[int], dict[int, int]]:
+    """The elements (by id) that hold an article, main or h1 element, and the length of the text of each element."""
+    holders: set[int] = set()
+    sizes: dict[int, int] = {}
+    stack: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while stack:
+        node, parent, done = stack.pop()
+        if not done:
+            sizes[id(node)] = sum(len(c) for c in node.children if isinstance(c, str)) if node.tag not in SKIPPED_TAGS else 0
+            stack.append((node, parent, True))
+            stack.extend((child, node, False) for child in node.elements() if node.tag not in SKIPPED_TAGS)
+        elif parent is not None:
+            sizes[id(parent)] += sizes[id(node)]
+            if id(node) in holders or node.tag in CONTENT_TAGS or node.tag == "h1":
+                holders.add(id(parent))
+    return frozenset(holders), sizes
+
+
+def walk(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack.extend(node.elements())
+
+
+class Page:
+    """A parsed page, and what of it is no content."""
+
+    def __init__(self, html: str | None):
+        self.root = parse(html)
+        self.holders, self.sizes = measure(self.root)
+        # Of a page that names its content, names elsewhere can be taken at their word.
+        named = any(node.tag in CONTENT_TAGS for node in walk(self.root))
+        self.most = float("inf") if named else self.sizes[id(self.root)] / 2
+
+    def is_skipped(self, node: Node, article: bool, content: bool) -> bool:
+        """Whether an element is a menu, header, footer, sidebar, notice, advert, form, script or comments.
+
+        Names decide for no element that holds an article, main or h1 element, for none that holds most of the
+        text of a page without article and main, and for no running text inside one of these."""
+        if node.tag in SKIPPED_TAGS or node.tag == "header" and not article:
+            return True
+        if node.tag in _NEVER_SKIPPED or not node.attributes:
+            return False
+        if "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
+            return True
+        said = [*node.attributes.get("class", "").split(), node.attributes.get("id", ""), node.attributes.get("role", "")]
+        if not any(map(_names_boilerplate, said)):
+            return False
+        most = self.sizes[id(node)] > self.most
+        return not (id(node) in self.holders or most or content and node.tag in PROSE)
+
+    def blocks(self) -> Iterator[tuple[Node, str, bool]]:
+        """(element, text, whether it is inside an article or main element) of all blocks that hold text,
+        in page order.
+
+        White space inside a block is one space. A line break element is white space.
+        """
+        held: list[str] = []
+        # (item, the block around it, inside article, inside article or main, whether a block ends)
+        stack: list[tuple[Node | str | None, Node, bool, bool, bool]] = [
+            (child, self.root, False, False, False) for child in reversed(self.root.children)
+        ]
+        owner, content = self.root, False
+
+        def flush() -> str:
+            text = " ".join("".join(held).split(None))
+            held.clear()
+            return text
+
+        while stack:
+            item, at, article, main, closing = stack.pop()
+            if closing:
+                if text := flush():
+                    yield owner, text, content
+                owner, content = at, main
+            elif isinstance(item, str):
+                held.append(item)
+            elif item.tag == "br" or item.tag == "img":
+                held.append(" ")
+            elif not self.is_skipped(item, article, main):
+                inside = main or item.tag in CONTENT_TAGS
+                if item.tag in _BLOCKS:
+                    if text := flush():
+                        yield owner, text, content
+                    stack.append((None, at, article, main, True))
+                    owner = at = item
+                    content = inside
+                below = article or item.tag == "article"
+                stack.extend((child, at, below, inside, False) for child in reversed(item.children))
+            elif item.tag in _BLOCKS:
+                if text := flush():
+                    yield owner, text, content
+        if text := flush():
+            yield owner, text, content
+
+    def layout(self) -> Tree:
+        """Block elements outside of articles. Neighbours of equal shape are one node."""
+        return self._tree(self.root, 0)
+
+    def _tree(self, node: Node, depth: int) -> Tree:
+        tree = Tree(label(node), [], [node])
+        if node.tag not in CONTENT_TAGS and depth < MOST_DEPTH:
+            for child in node.elements():
+                if child.tag in _BLOCKS and not self.is_skipped(child, False, False):
+                    below = self._tree(child, depth + 1)
+                    if tree.children and tree.children[-1].shape() == below.shape():
+                        tree.children[-1].add(below)
+                    else:
+                        tree.children.append(below)
+        return tree
 
 
 def label(node: Node) -> str:
@@ -72,89 +190,36 @@ def label(node: Node) -> str:
     return node.tag + ("." + re.sub(r"\d+", "", first[0]) if first else "")
 
 
-def step(path: str, name: str) -> str:
-    """The path one element further, in a form whose length does not grow."""
-    return xxhash.xxh64_hexdigest(f"{path}/{name}")
-
-
-def blocks(root: Node) -> Iterator[tuple[str, str, bool]]:
-    """(path of the block's element, text, whether it is inside an article or main element) of all blocks
-    that hold text, in page order.
-
-    White space inside a block is one space. A line break element is white space.
-    """
-    held: list[str] = []
-    # (item, path of the block around it, inside article, inside article or main, whether a block ends)
-    stack: list[tuple[Node | str | None, str, bool, bool, bool]] = [
-        (child, "", False, False, False) for child in reversed(root.children)
-    ]
-    owner, content = "", False
-
-    def flush() -> str:
-        text = " ".join("".join(held).split(None))
-        held.clear()
-        return text
-
-    while stack:
-        item, at, article, main, closing = stack.pop()
-        if closing:
-            if text := flush():
-                yield owner, text, content
-            owner, content = at, main
-        elif isinstance(item, str):
-            held.append(item)
-        elif item.tag == "br" or item.tag == "img":
-            held.append(" ")
-        elif not is_skipped(item, article):
-            inside = main or item.tag in CONTENT_TAGS
-            if item.tag in _BLOCKS:
-                if text := flush():
-                    yield owner, text, content
-                stack.append((None, at, article, main, True))
-                owner = at = step(at, label(item))
-                content = inside
-            below = article or item.tag == "article"
-            stack.extend((child, at, below, inside, False) for child in reversed(item.children))
-        elif item.tag in _BLOCKS:
-            if text := flush():
-                yield owner, text, content
-    if text := flush():
-        yield owner, text, content
+class Tree:
+    """A node of a layout or template: its label, its children, and the elements of a page that it stands for."""
 
+    __slots__ = ("label", "children", "nodes", "_shape")
 
-class Aligned:
-    """A template node: how many pages have it, and the text of its own block on each."""
+    def __init__(self, label: str, children: list[Tree], nodes: list[Node] | None = None):
+        self.label, self.children, self.nodes, self._shape = label, children, nodes or [], None
 
-    __slots__ = ("label", "tag", "children", "pages", "texts")
+    def shape(self) -> str:
+        """A hash of the labels of the tree; children must not change afterwards."""
+        if self._shape is None:
+            below = ",".join(c.shape() for c in self.children)
+            self._shape = xxhash.xxh3_128_hexdigest(f"{self.label}({below})")
+        return self._shape
 
-    def __init__(self, node: Node, inside_article: bool = False, depth: int = 0):
-        self.label, self.tag, self.pages = label(node), node.tag, 1
-        article = inside_article or node.tag == "article"
-        self.texts = [own_text(node, article)]
-        inner = node.elements() if depth < MOST_DEPTH else []
-        self.children = [Aligned(c, article, depth + 1) for c in inner if _aligned(c, article)]
+    def add(self, same: Tree) -> None:
+        """Take in the elements of a tree of the same shape."""
+        self.nodes += same.nodes
+        for mine, other in zip(self.children, same.children):
+            mine.add(other)
 
+    def plain(self) -> list:
+        return [self.label, [c.plain() for c in self.children]]
 
-def _aligned(node: Node, inside_article: bool) -> bool:
-    return node.tag in _BLOCKS and not is_skipped(node, inside_article)
+    @staticmethod
+    def of(plain: list) -> Tree:
+        return Tree(plain[0], [Tree.of(c) for c in plain[1]])
 
 
-def own_text(node: Node, inside_article: bool) -> str:
-    """Text of an element outside of the blocks inside it."""
-    parts: list[str] = []
-    stack: list[Node | str] = list(reversed(node.children))
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            parts.append(item)
-        elif item.tag == "br":
-            parts.append(" ")
-        elif item.tag not in _BLOCKS and not is_skipped(item, inside_article):
-            stack.extend(reversed(item.children))
-    return " ".join("".join(parts).split(None))
-
-
-def match_score(a: Aligned, b: Aligned, known: dict) -> int:
+def match_score(a: Tree, b: Tree, known: dict) -> int:
     """Simple tree matching: nodes in the largest order-preserving match of two trees with equal roots."""
     if a.label != b.label:
         return 0
@@ -164,7 +229,7 @@ def match_score(a: Aligned, b: Aligned, known: dict) -> int:
     return found
 
 
-def _match_table(a: Aligned, b: Aligned, known: dict) -> list[list[int]]:
+def _match_table(a: Tree, b: Tree, known: dict) -> list[list[int]]:
     table = [[0] * (len(b.children) + 1)]
     for x in a.children:
         above, row = table[-1], [0]
@@ -177,83 +242,104 @@ def _match_table(a: Aligned, b: Aligned, known: dict) -> list[list[int]]:
     return table
 
 
-def merge(template: Aligned, page: Aligned, known: dict | None = None) -> None:
-    """Add a page to the template along the best match; its unmatched nodes join as new ones."""
-    known = {} if known is None else known
-    template.pages += page.pages
-    template.texts += page.texts
-    table = _match_table(template, page, known)
-    i, j, merged = len(template.children), len(page.children), []
-    while i and j:
-        x, y = template.children[i - 1], page.children[j - 1]
-        if x.label == y.label and table[i][j] == table[i - 1][j - 1] + match_score(x, y, known):
-            merged.append((x, y))
+def align(a: Tree, b: Tree, known: dict) -> list[tuple[Tree | None, Tree | None]]:
+    """The children of two matching nodes in order, paired along the best match; None where one has no partner."""
+    table = _match_table(a, b, known)
+    i, j, pairs = len(a.children), len(b.children), []
+    while i or j:
+        x, y = a.children[i - 1] if i else None, b.children[j - 1] if j else None
+        if x and y and x.label == y.label and table[i][j] == table[i - 1][j - 1] + match_score(x, y, known):
+            pairs.append((x, y))
             i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            merged.append((x, None))
+        elif x and (not y or table[i][j] == table[i - 1][j]):
+            pairs.append((x, None))
             i -= 1
         else:
-            merged.append((None, y))
+            pairs.append((None, y))
             j -= 1
-    merged += [(x, None) for x in reversed(template.children[:i])]
-    merged += [(None, y) for y in reversed(page.children[:j])]
-    template.children = []
-    for x, y in reversed(merged):
-        if x is not None and y is not None:
-            merge(x, y, known)
-        template.children.append(x if x is not None else y)
+    return pairs[::-1]
 
 
-def _is_constant(node: Aligned, pages: int) -> bool:
-    return pages >= LEAST_PAGES and node.pages == pages and len(set(node.texts)) == 1
+def merge(template: Tree, layout: Tree, known: dict | None = None) -> Tree:
+    """A template with all nodes of both, those that match as one."""
+    known = {} if known is None else known
+    children = [
+        merge(x, y, known) if x and y else (x or y) for x, y in align(template, layout, known)
+    ]
+    return Tree(template.label, children)
 
 
-def _varies(node: Aligned, pages: int) -> bool:
-    """Whether any text at or below the node varies."""
-    return any(node.texts) and not _is_constant(node, pages) or any(_varies(c, pages) for c in node.children)
+def merged(layouts: Iterable[str]) -> str:
+    """The template of layouts, all as JSON. They are taken in order, so that reruns agree."""
+    template = Tree("", [])
+    for layout in sorted(set(layouts)):
+        template = merge(template, Tree.of(json.loads(layout)))
+    return json.dumps(template.plain(), separators=(",", ":"))
 
 
-def block_key(path: str, text: str) -> str:
-    return xxhash.xxh64_hexdigest(f"{path}\n{text}".encode())
+def slots(template: Tree, layout: Tree) -> dict[int, int]:
+    """Element of a page (by id) to the number of its node in the template, in the order of a walk."""
+    found: dict[int, int] = {}
+    known: dict = {}
+    number = 0
+
+    def visit(node: Tree, matched: Tree | None) -> None:
+        nonlocal number
+        if matched is not None:
+            found.update((id(n), number) for n in matched.nodes)
+        number += 1
+        partner = {id(x): y for x, y in align(node, matched, known) if x} if matched is not None else {}
+        for child in node.children:
+            visit(child, partner.get(id(child)))
+
+    visit(template, layout)
+    return found
+
+
+def slot_texts(page: Page, template: Tree) -> list[tuple[str | None, str]]:
+    """(slot and text as a key, or None inside articles and beside the template; text) of the blocks of a page."""
+    place = slots(template, page.layout())
+    return [
+        (None if inside or id(owner) not in place else block_key(place[id(owner)], text), text)
+        for owner, text, inside in page.blocks()
+    ]
+
+
+def block_key(slot: int, text: str) -> str:
+    return f"{slot}:{xxhash.xxh64_hexdigest(text.encode())}"
 
 
 def induce(pages: list[str]) -> str | None:
-    """The wrapper of a host as JSON, from pages that differ; None where nothing can be told apart."""
+    """The wrapper of a host as JSON, from pages that differ; None for a single page."""
     if len(pages) < 2:
         return None
-    template = Aligned(parse(pages[0]))
-    for page in pages[1:]:
-        merge(template, Aligned(parse(page)))
-    if not _varies(template, len(pages)):
-        return None
-    constants: list[str] = []
-
-    def collect(at: Aligned, where: str) -> None:
-        if at.tag in CONTENT_TAGS:
-            return
-        if at.texts[0] and _is_constant(at, len(pages)):
-            constants.append(block_key(where, at.texts[0]))
-        for child in at.children:
-            collect(child, step(where, child.label))
-
-    collect(template, "")
-    return json.dumps({"constants": constants})
+    parsed = [Page(page) for page in pages]
+    plain = merged(json.dumps(page.layout().plain()) for page in parsed)
+    template = Tree.of(json.loads(plain))
+    keys = [{key for key, _ in slot_texts(page, template) if key} for page in parsed]
+    texts = Counter(key for page in keys for key in page)
+    had = Counter(slot for page in keys for slot in {key.split(":")[0] for key in page})
+    constants = [key for key, n in sorted(texts.items()) if n >= max(LEAST_PAGES, SHARE * had[key.split(":")[0]])]
+    return json.dumps({"template": plain, "constants": constants})
 
 
-@lru_cache(maxsize=256)
-def _constants(wrapper: str) -> frozenset[str]:
-    return frozenset(json.loads(wrapper)["constants"])
+@lru_cache(maxsize=64)
+def _wrapper(wrapper: str) -> tuple[Tree, frozenset[str]]:
+    told = json.loads(wrapper)
+    return Tree.of(json.loads(told["template"])), frozenset(told["constants"])
 
 
-def main_text(page: str | None, wrapper: str | None) -> str:
+def main_text(html: str | None, wrapper: str | None) -> str:
     """Blocks of the page outside of menus and the like, one per line, without the constant ones of the
     wrapper that are outside of article and main. A page of which nothing is left that way is read without a wrapper."""
-    if not page:
+    if not html:
         return ""
-    constants = _constants(wrapper) if wrapper else frozenset()
-    found = [(not inside and block_key(path, text) in constants, text) for path, text, inside in blocks(parse(page))]
-    kept = [text for constant, text in found if not constant]
-    return "\n".join(kept or [text for _, text in found])
+    page = Page(html)
+    if not wrapper:
+        return "\n".join(text for _, text, _ in page.blocks())
+    template, constants = _wrapper(wrapper)
+    found = slot_texts(page, template)
+    return "\n".join([text for key, text in found if key not in constants] or [text for _, text in found])
 
 
 def host_of(url: str) -> Column:
@@ -262,30 +348,60 @@ def host_of(url: str) -> Column:
     return F.when(host != "", host)
 
 
-def _page_blocks(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, page, path, block): a row for each path outside of article and main that holds text on the
-    page, with a null block, and one for each text there. ``page`` is a hash of the html, so repeated
-    pages give repeated rows."""
-    kinds = pa.schema([("__host", pa.string()), ("__page", pa.int64()), ("__path", pa.string()), ("__block", pa.string())])
+def _hosted(pages: DataFrame, url: str, html: str) -> DataFrame:
+    found = pages.select(host_of(url).alias("__host"), F.col(html).alias("__html"))
+    return found.filter("__host is not null and __html != ''")
+
+
+def host_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, template): the merged layouts of the pages that have text outside of articles."""
+
+    def layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+                page = Page(html.as_py())
+                if any(not inside for _, _, inside in page.blocks()):
+                    rows.add((host, json.dumps(page.layout().plain(), separators=(",", ":"))))
+            yield _record_batch(sorted(rows), pa.schema([("__host", pa.string()), ("layout", pa.string())]))
+
+    def template(group: pa.Table) -> pa.Table:
+        return pa.table({"__host": group.column("__host")[:1], "layout": [merged(group.column("layout").to_pylist())]})
+
+    schema = "__host string, layout string"
+    different = _hosted(pages, url, html).mapInArrow(layouts, schema).distinct()
+    parts = different.groupBy("__host", F.pmod(F.xxhash64("layout"), F.lit(PARTS))).applyInArrow(template, schema)
+    whole = parts.groupBy("__host").applyInArrow(template, schema)
+    return cut(whole.withColumnRenamed("layout", "template"), "page-templates")
+
+
+def _page_blocks(pages: DataFrame, templates: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, page, slot, block): a row for each slot of the template that holds text on the page, with a
+    null block, and one for each text there. ``page`` is a hash of the html, so repeated pages give
+    repeated rows."""
+    kinds = pa.schema([("__host", pa.string()), ("__page", pa.int64()), ("__slot", pa.int64()), ("__block", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = page.as_py()
+            for host, html, plain in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                text = html.as_py()
                 digest = xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
-                outside = {(path, said) for path, said, inside in blocks(parse(text)) if not inside}
-                rows += ((host, digest, path, None) for path in {path for path, _ in outside})
-                rows += ((host, digest, path, block_key(path, said)) for path, said in outside)
+                keys = {key for key, _ in slot_texts(Page(text), _template(plain.as_py())) if key}
+                rows += ((host, digest, slot, None) for slot in {int(key.split(":")[0]) for key in keys})
+                rows += ((host, digest, int(key.split(":")[0]), key) for key in keys)
                 if len(rows) > BATCH_ROWS:
                     yield _record_batch(rows, kinds)
                     rows = []
             yield _record_batch(rows, kinds)
 
-    found = pages.select(host_of(url).alias("__host"), F.col(html).alias("__html"))
-    return found.filter("__host is not null and __html != ''").mapInArrow(
-        run, "__host string, __page long, __path string, __block string"
-    )
+    found = _hosted(pages, url, html).join(templates, "__host").select("__host", "__html", "template")
+    return found.mapInArrow(run, "__host string, __page long, __slot long, __block string")
+
+
+@lru_cache(maxsize=64)
+def _template(plain: str) -> Tree:
+    return Tree.of(json.loads(plain))
 
 
 def _record_batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
@@ -295,18 +411,24 @@ def _record_batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
 
 def host_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper) of hosts with constant blocks, from counts over all different pages of the host.
-    Html is not shuffled."""
-    different = _page_blocks(pages, url, html).distinct()
-    counted = different.groupBy("__host", "__path", "__block").count().filter(F.col("count") >= LEAST_PAGES)
+
+    A slot has few constant texts, as each is on nearly all of its pages; so a wrapper grows with the
+    host's template and not with its pages."""
+    templates = host_templates(pages, url, html)
+    different = _page_blocks(pages, templates, url, html).distinct()
+    counted = different.groupBy("__host", "__slot", "__block").count().filter(F.col("count") >= LEAST_PAGES)
     counts = cut(counted, "page-blocks")
-    # A block on all pages that have its path is counted as often as the path itself.
+    had = counts.filter("__block is null").select("__host", "__slot", F.col("count").alias("__had"))
     constant = (
         counts.filter("__block is not null")
-        .join(counts.filter("__block is null").drop("__block"), ["__host", "__path", "count"], "left_semi")
+        .join(had, ["__host", "__slot"])
+        .filter(F.col("count") >= SHARE * F.col("__had"))
         .groupBy("__host")
         .agg(F.sort_array(F.collect_list("__block")).alias("constants"))
     )
-    return constant.select("__host", F.to_json(F.struct("constants")).alias("wrapper"))
+    return constant.join(templates, "__host").select(
+        "__host", F.to_json(F.struct("template", "constants")).alias("wrapper")
+    )
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
