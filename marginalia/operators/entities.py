@@ -137,6 +137,15 @@ def _last_name(text: str) -> str:
     return found[1] if found else ""
 
 
+def _whole_header(found: list, at: int) -> tuple[str, int]:
+    """The pieces from ``at`` on up to the one that opens a body or ends the declaration, and where that is."""
+    parts = [found[at].code]
+    while not parts[-1].endswith(("{", ";")) and at + 1 < len(found):
+        at += 1
+        parts.append(found[at].code.strip())
+    return " ".join(parts), at
+
+
 def _impl_names(header: str) -> tuple[str, str]:
     """(type, shown name) of an impl header ``Trait for Type`` or ``Type``."""
     bare, before = re.sub(r"\bwhere\b.*", "", header, flags=re.S).replace("->", ""), None
@@ -202,17 +211,16 @@ def _brace_file(
         docs = _docs(lines, language)
         continued = re.compile(language.continued)
         owner: tuple[str, str, bool] = ("", "", False)
+        until = -1  # the last piece of the latest impl header
         members = {o: [d for name, d in language.members if name == o] for o, _ in language.members}
         for i, piece in enumerate(found):
             code = piece.code
-            if not code:
+            if not code or i <= until:
                 continue
             if piece.depth == 0:
                 header = code
-                for later in found[i + 1 : i + 21] if re.match(r"\s*(?:unsafe\s+)?impl\b", code) else ():
-                    if header.endswith(("{", ";")):
-                        break
-                    header += " " + later.code.strip()
+                if re.match(r"\s*(?:unsafe\s+)?impl\b", code):
+                    header, until = _whole_header(found, i)
                 entry = _declared(header, language.top)
                 if not continued.match(code.strip()):
                     owner = entry or ("", "", False)

@@ -222,13 +222,16 @@ def contextual_text(source_type: Column, header: Column, content: Column) -> Col
 def doc_context(chunks: DataFrame, documents: DataFrame, model: ChatModel, limits: CallLimits | None = None) -> DataFrame:
     """Add ``header`` to documentation chunks: one call per chunk, with its whole document.
 
-    The document joins the chunk only for the call, on the side of the few new chunks.
+    A document meets its chunks as one row; the prompts, each with the whole document, are made in the task
+    that calls the model and are never moved.
     """
-    asked = chunks.join(documents.select("filepath", F.col("content").alias("_document")), "filepath")
-    prompt = doc_context_prompt(F.col("content"), F.col("_document"))
+    gathered = chunks.groupBy("filepath").agg(F.collect_list(F.struct(*chunks.columns)).alias("_chunks"))
+    asked = gathered.join(documents.select("filepath", F.col("content").alias("_document")), "filepath")
     limits = limits or Settings().chat
-    called = in_lanes(asked, limits).withColumn("_call", chat_texts(F.lit(DOC_CONTEXT_SYSTEM_PROMPT), prompt, model, limits))
-    return called.withColumn("header", F.trim(_checked("_call"))).select(*chunks.columns, "header")
+    rows = in_lanes(asked, limits).select("_document", F.explode("_chunks").alias("_chunk"))
+    prompt = doc_context_prompt(F.col("_chunk.content"), F.col("_document"))
+    called = rows.withColumn("_call", chat_texts(F.lit(DOC_CONTEXT_SYSTEM_PROMPT), prompt, model, limits))
+    return called.select("_chunk.*", F.trim(_checked("_call")).alias("header"))
 
 
 def entity_context(

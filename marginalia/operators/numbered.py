@@ -37,11 +37,19 @@ def _items(text: Column) -> Column:
     return F.aggregate(F.split(text, "\n", -1), state(empty, F.lit("0"), empty), step, closed)
 
 
+def has_surplus(response: Column, expected: Column) -> Column:
+    """Whether ``parse_numbered`` leaves text out: blocks beyond those that were asked for."""
+    items = _items(response)
+    counted = (F.size(items) > 0) & (F.size(items) == expected.cast("int"))
+    return ~counted & (F.size(F.split(response, "\\n\\n+", -1)) > expected)
+
+
 def parse_numbered(response: Column, expected: Column) -> Column:
     """Exactly ``expected`` texts out of a response.
 
     The items of its numbered list when their number is right, else its first blocks between blank
-    lines when there are enough, else the whole text for each.
+    lines when there are enough, else the whole text for each. ``has_surplus`` marks responses with more
+    blocks than that.
     """
     expected = expected.cast("int")
     items = _items(response)

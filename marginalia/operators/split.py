@@ -1,15 +1,18 @@
 """Split texts to a token budget: greedy packing of lines, hard cuts of over-long lines.
 
-The packing is sequential within one text, so it is a fold over the token counts of its lines; the
-fold only carries line numbers. Texts within the budget never enter it, and no rows move between
-partitions.
+The packing is sequential within one text: it goes from part to part over the running token counts of the
+lines, an Arrow batch of texts at a time. Only counts go there, only those of texts over the budget,
+and no rows move between partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,61 +26,80 @@ from marginalia.functions.tokens import (
 )
 from marginalia.operators.sections import chunk_sections, with_section_title, with_sections
 
-_RANGE = "struct<first:int,last:int,hard:boolean>"
+_RANGES = "array<array<struct<first:int,last:int,hard:boolean>>>"
 
 
-def _range(first: Column, last: Column, hard: bool) -> Column:
-    return F.array(
-        F.struct(first.alias("first"), last.alias("last"), F.lit(hard).alias("hard")).cast(_RANGE)
-    )
-
+def line_ranges(
+    tokens: np.ndarray, blank: np.ndarray, limit: int, newline_tokens: int = 1
+) -> tuple[list[int], list[int], list[bool]]:
+    """First and last line of the parts of one text, and whether a part is one line over the limit.
 
-def pack_ranges(lines: Column, limit: Column, newline_tokens: int = 1) -> Column:
-    """Line ranges of the parts of one text.
-
-    ``lines`` is an array of (tokens, blank). A line over the limit is its own range with ``hard``
-    set; leading blank lines of a part belong to no range.
+    Blank lines at the start and after an over-long line belong to no part. The end of a part is found
+    by a binary search in the running sums, so the time grows with the lines and parts alone.
     """
-    lines = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.cast("int").alias("i"), x["tokens"].alias("tokens"), x["blank"].alias("blank")
-        ),
-    )
-
-    def state(done: Column, start: Column, used: Column) -> Column:
-        return F.struct(done.alias("done"), start.cast("int").alias("start"), used.cast("int").alias("used"))
-
-    def closed(acc: Column, before: Column) -> Column:
-        return F.when(
-            acc["start"] >= 0, F.concat(acc["done"], _range(acc["start"], before - 1, False))
-        ).otherwise(acc["done"])
-
-    def step(acc: Column, line: Column) -> Column:
-        is_open = acc["start"] >= 0
-        grown = acc["used"] + line["tokens"] + F.lit(newline_tokens)
-        return (
-            F.when(
-                line["tokens"] > limit,
-                state(
-                    F.concat(closed(acc, line["i"]), _range(line["i"], line["i"], True)),
-                    F.lit(-1),
-                    F.lit(0),
-                ),
-            )
-            .when(~is_open & line["blank"], acc)
-            .when(~is_open, state(acc["done"], line["i"], line["tokens"]))
-            .when(grown > limit, state(closed(acc, line["i"]), line["i"], line["tokens"]))
-            .otherwise(state(acc["done"], acc["start"], grown))
+    count = len(tokens)
+    sums = np.concatenate([[0], np.cumsum(tokens.astype(np.int64) + newline_tokens)])
+    hard = np.flatnonzero(tokens > limit)
+    filled = np.flatnonzero(~blank | (tokens > limit))
+    firsts, lasts, over = [], [], []
+
+    def part(first: int, last: int, is_hard: bool) -> None:
+        firsts.append(first)
+        lasts.append(last)
+        over.append(is_hard)
+
+    at, is_open = 0, False
+    while at < count:
+        if not is_open:
+            place = int(filled.searchsorted(at))
+            if place == len(filled):
+                break
+            at = int(filled[place])
+        place = int(hard.searchsorted(at))
+        next_hard = int(hard[place]) if place < len(hard) else count
+        if at == next_hard:
+            part(at, at, True)
+            at, is_open = at + 1, False
+            continue
+        end = int(sums.searchsorted(sums[at] + limit + newline_tokens, "right")) - 1
+        end = max(at + 1, min(end, next_hard))
+        part(at, end - 1, False)
+        at, is_open = end, True
+    return firsts, lasts, over
+
+
+def _packed_lines(newline_tokens: int):
+    """UDF (per text its lines as (tokens, blank) or null, limit) -> per text its ranges or null."""
+
+    @F.arrow_udf(_RANGES)
+    def packed(texts: pa.Array, limits: pa.Array) -> pa.Array:
+        lines = texts.flatten()
+        entries = lines.flatten()
+        tokens = entries.field("tokens").to_numpy(zero_copy_only=False)
+        blank = entries.field("blank").to_numpy(zero_copy_only=False).astype(bool)
+        sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+        limit = limits.to_numpy(zero_copy_only=False)
+        missing = lines.is_null().to_numpy(zero_copy_only=False)
+        firsts, lasts, over, counts, start = [], [], [], [], 0
+        for n, size in enumerate(sizes.tolist()):
+            found = ([], [], []) if missing[n] else line_ranges(
+                tokens[start : start + size], blank[start : start + size], int(limit[owner[n]]), newline_tokens
+            )
+            start += size
+            counts.append(len(found[0]))
+            for held, own in zip((firsts, lasts, over), found):
+                held.extend(own)
+        parts = pa.StructArray.from_arrays(
+            [pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(over, pa.bool_())],
+            names=["first", "last", "hard"],
         )
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        inner = pa.ListArray.from_arrays(offsets, parts, mask=pa.array(missing) if len(missing) else None)
+        outer = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).astype(np.int32))
+        return pa.ListArray.from_arrays(outer, inner)
 
-    empty = F.array().cast(f"array<{_RANGE}>")
-    return F.aggregate(
-        lines,
-        state(empty, F.lit(-1), F.lit(0)),
-        step,
-        lambda acc: closed(acc, F.size(lines)),
-    )
+    return packed
 
 
 def hard_pieces(line: Column, limit: Column) -> Column:
@@ -182,15 +204,7 @@ def split_texts(
     return (
         sized.withColumn("_lines", F.transform("_over", lambda text: F.split(text, "\n", -1)))
         .withColumn("_sizes", F.transform("_lines", measure))
-        .withColumn(
-            "_ranges",
-            F.transform(
-                "_sizes",
-                lambda lines: F.when(
-                    lines.isNotNull(), pack_ranges(lines, F.col("_limit"), newline_tokens)
-                ),
-            ),
-        )
+        .withColumn("_ranges", _packed_lines(newline_tokens)("_sizes", "_limit"))
         .withColumn("parts", F.transform(F.arrays_zip(*zipped), parts_of))
         .drop("_limit", "_total", "_over", "_clean", "_measured", "_lines", "_sizes", "_ranges")
     )

@@ -52,6 +52,8 @@ from marginalia.operators.prompts import (
 )
 from marginalia.operators.vectors import vector_search
 from marginalia.plans.catalog import checked
+from marginalia.operators.split import split_texts
+from marginalia.plans.checked_chunks import PACK_SQL
 from marginalia.plans.checked_code import _LINES_SQL, _ts_files
 from marginalia.plans.checked_search import _DOC_HITS_SQL, _embedded_questions, _embedded_store
 from marginalia.operators.keywords import build_postings
@@ -334,6 +336,7 @@ def contextual_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Characters of the prompt around document and passage.
+CONTEXT_LIMIT = 400
 _FRAME = len("<document>\n\n</document>\nPassage to place:\n<passage>\n\n</passage>")
 _CALL_TOKENS = (
     f"ceil(length({_lit(DOC_CONTEXT_SYSTEM_PROMPT)}) / 4.0) + ceil((length(text) * 2 + {_FRAME}) / 4.0) + 250"
@@ -380,16 +383,26 @@ class LengthChat:
         return answers
 
 
+# The documents' own chunks at a small limit: lines of a document are packed as ``split_texts`` packs them.
 @checked(
-    f"""select doc_id, (length(text) + length(string_split(text, chr(10))[1]) + {_FRAME}) || ' characters' as header
-    from documents"""
+    f"""with recursive texts as (
+      select doc_id as key, text, {CONTEXT_LIMIT} as lim, {CONTEXT_LIMIT} as total from documents),
+    {PACK_SQL},
+    cut as (select key, part, text from parts union all select key, 0, text from texts where ceil(length(text) / 4.0) <= total)
+    select key as doc_id, part::integer as part, (length(d.text) + length(cut.text) + {_FRAME}) || ' characters' as header
+    from cut join documents d on d.doc_id = key"""
 )
 def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's first line is placed in the document."""
+    """Every chunk of every document is placed in the whole document."""
     docs = texts(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("filepath"), "text")
-    chunks = docs.select("doc_id", "filepath", F.split("text", "\n", 2)[0].alias("content"))
+    split = split_texts(docs.withColumn("_texts", F.array("text")), "_texts", F.lit(CONTEXT_LIMIT))
+    whole = F.array(F.struct(F.col("text"), F.lit(0).alias("first"), F.lit(0).alias("last")))
+    parts = F.coalesce(F.get("parts", F.lit(0)), whole)
+    chunks = split.select("doc_id", "filepath", F.posexplode(parts).alias("part", "_part")).select(
+        "doc_id", "filepath", "part", F.col("_part.text").alias("content")
+    )
     documents = docs.select("filepath", F.col("text").alias("content"))
-    return doc_context(chunks, documents, LengthChat(), CallLimits(batch_size=16)).select("doc_id", "header")
+    return doc_context(chunks, documents, LengthChat(), CallLimits(batch_size=16)).select("doc_id", "part", "header")
 
 
 @checked(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.functions.paths import repo_of_url
@@ -125,6 +125,7 @@ def answer_delta_stream(partials: DataFrame) -> DataFrame:
     ) -> Iterator[pd.DataFrame]:
         previous = state.get[0] if state.exists else ""
         rows = []
+        # The partials of one answer in one micro-batch.
         partial = pd.concat(list(batches)).sort_values("seq")
         for seq, text in zip(partial["seq"], partial["answer"]):
             if text and text != previous:
@@ -155,3 +156,59 @@ def source_events(partials: DataFrame) -> DataFrame:
         .agg(F.min("seq").alias("seq"))
         .select("answer_id", "seq", "source.*")
     )
+
+
+class _Sources(StatefulProcessor):
+    """Which sources of an answer were told, until the answer has been silent for a while."""
+
+    def __init__(self, silence_ms: int) -> None:
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.told = handle.getMapState("told", _SOURCE, "seq long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first: dict[tuple, int] = {}
+        for row in rows:
+            for source in row["sources"] or ():
+                source = source["filepath"], source["chunkTitle"], source["url"]
+                first[source] = min(row["seq"], first.get(source, row["seq"]))
+        for source, seq in sorted(first.items(), key=lambda item: (item[1], repr(item[0]))):
+            if not self.told.containsKey(source):
+                self.told.updateValue(source, (seq,))
+                yield Row(answer_id=key[0], seq=seq, filepath=source[0], chunkTitle=source[1], url=source[2])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.silence_ms
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.told.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_SOURCE = "filepath string, chunkTitle string, url string"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def source_event_stream(partials: DataFrame, silence_seconds: float = 600.0) -> DataFrame:
+    """``source_events`` on a stream: each source of an answer once, as it is first listed.
+
+    The state of an answer is the set of its sources; it is dropped when no partial has come for
+    ``silence_seconds``. Within a micro-batch the smallest ``seq`` counts; later batches continue.
+    The session's state store must be one that keeps maps (``STATE_STORE``).
+    """
+    schema = partials.schema
+    answer, seq = schema["answer_id"].dataType.simpleString(), schema["seq"].dataType.simpleString()
+    rows = partials.select("answer_id", F.col("seq").cast("long").alias("seq"), "sources")
+    told = rows.groupBy("answer_id").transformWithState(
+        _Sources(int(silence_seconds * 1000)), f"answer_id {answer}, seq long, {_SOURCE}", "append", "processingTime"
+    )
+    return told.withColumn("seq", F.col("seq").cast(seq))

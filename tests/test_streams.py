@@ -6,7 +6,15 @@ from marginalia.operators.conversations import answer_deltas
 from marginalia.operators.model_calls import HashedWords
 from marginalia.operators.vectors import vector_search
 from marginalia.sources.corpus import read_files, scan_corpus
-from marginalia.streaming.streams import answer_delta_stream, incremental_ingest, ingest_stream, question_stream
+from marginalia.streaming.streams import (
+    STATE_STORE,
+    answer_delta_stream,
+    incremental_ingest,
+    ingest_stream,
+    question_stream,
+    source_event_stream,
+    source_events,
+)
 from tests.test_ingest import REPO, CountingChat, Kit, write_files
 
 
@@ -114,3 +122,47 @@ def test_deltas_equal_the_batch_form(spark, tmp_path):
         )
         query.awaitTermination()
         assert sorted(map(tuple, spark.table(name).collect())) == expected
+
+
+def test_sources_on_a_stream(spark, tmp_path):
+    """One source event per source and answer, over several batches and a restart; then the state goes."""
+    source = lambda n: (f"f{n}", "t", None if n % 2 else f"u{n}")
+    rows = [(a, s, [source(n) for n in range(s % 4)] + [source(1)]) for a in (1, 2, 3) for s in range(6)]
+    schema = "answer_id long, seq long, sources array<struct<filepath:string,chunkTitle:string,url:string>>"
+    partials = spark.createDataFrame([*rows, (4, 0, []), (5, 0, None)], schema)
+    wanted = sorted(map(tuple, source_events(partials).select("answer_id", "seq", "filepath", "chunkTitle", "url").collect()), key=repr)
+    assert len(wanted) == 9
+    path, before = str(tmp_path / "in"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def run(n):
+        stream = spark.readStream.schema(partials.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        out = source_event_stream(stream, silence_seconds=30.0 if n < 2 else 0.0)
+        query = (
+            out.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("answer_id", "seq", "filepath", "chunkTitle", "url").collect()), key=repr)
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # Else a query that takes what there is and stops would wait for timers for ever.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        ordered = [partials.filter(F.col("seq") < 2), partials.filter(F.col("seq") == 2), partials.filter(F.col("seq") > 2)]
+        ordered[0].coalesce(1).write.parquet(path)
+        ordered[1].coalesce(1).write.mode("append").parquet(path)
+        run(0)
+        ordered[2].coalesce(1).write.mode("append").parquet(path)
+        assert run(1) == wanted
+        # The same sources again, for one answer: nothing. It falls silent at once, and its state is dropped
+        # by the next batch; after that they are told anew.
+        again = partials.filter("answer_id = 1 and seq = 3").coalesce(1)
+        again.write.mode("append").parquet(path)
+        assert run(2) == wanted
+        partials.filter("answer_id = 4").coalesce(1).write.mode("append").parquet(path)
+        assert run(3) == wanted
+        again.write.mode("append").parquet(path)
+        assert len(run(4)) == len(wanted) + 3
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
