@@ -29,7 +29,7 @@ def checked(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_MODULES = ("paths", "chunks", "code", "diff", "search", "index", "answers")
+_MODULES = ("paths", "chunks", "code", "diff", "search", "index", "answers", "streams")
 
 
 def load() -> None:
