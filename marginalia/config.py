@@ -55,9 +55,9 @@ class SearchDefaults:
 class CallLimits:
     """Limits of one model endpoint.
 
-    With ``paced`` they are held while calling: rows go through ``concurrency`` lanes, and each lane
-    waits for its share of requests and tokens a minute. Without it, which suits models inside the
-    tasks, calls run as wide as the data.
+    They are held while calling: rows go through ``concurrency`` lanes, and each lane waits for its share
+    of requests and tokens a minute. Only without ``paced``, or for a model that says that it runs
+    inside the task (an attribute ``in_task``), do calls run as wide as the data.
     """
 
     batch_size: int = 100
@@ -65,7 +65,7 @@ class CallLimits:
     requests_per_minute: int = 1500
     tokens_per_minute: int = 6_250_000
     retries: int = 1
-    paced: bool = False
+    paced: bool = True
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import warnings
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def retrieve(
     try:
         # Evaluated here, so that a failure is met here.
         found = cut_lineage(keyword_search(postings, words, vocabulary=vocabulary))
-    except Exception as error:  # whatever it is, the vectors still answer
+    except (PySparkException, Py4JJavaError) as error:  # the search failed as a job; the vectors still answer
         warnings.warn(f"keyword search failed, vectors alone are used: {error}", stacklevel=2)
         found = keyword_search(postings.limit(0), words.limit(0))
     limits = vectors.select("query_id", "match_count")
@@ -124,7 +126,7 @@ def answer(
     prompts = build_prompt(with_hits, hits, system)
     limits = limits or Settings().chat
     called = cut_lineage(
-        in_lanes(prompts, limits).withColumn("_call", chat_texts(F.col("system"), F.col("prompt"), chat, limits)).select(
+        in_lanes(prompts, limits, chat).withColumn("_call", chat_texts(F.col("system"), F.col("prompt"), chat, limits)).select(
             "query_id", "_call.answer", "_call.error"
         )
     )

@@ -11,6 +11,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from typing import Protocol
 
 import numpy as np
@@ -42,6 +43,8 @@ class ChatModel(Protocol):
 class HashedWords:
     """Deterministic offline embedding: hashed word counts on the unit sphere."""
 
+    in_task = True
+
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
         self._slots: dict[str, int] = {}
@@ -64,6 +67,8 @@ class HashedWords:
 class TemplateChat:
     """Deterministic offline chat model: answers with the first words of the prompt's last lines."""
 
+    in_task = True
+
     def __init__(self, words: int = 12) -> None:
         self.words = words
 
@@ -107,9 +112,14 @@ class Pace:
         self.free_at = max(now, self.free_at) + max(self.request_seconds, tokens * self.token_seconds)
 
 
-def in_lanes(df: DataFrame, limits: CallLimits) -> DataFrame:
+def held_limits(limits: CallLimits, model: object) -> CallLimits:
+    """The limits of calls to ``model``: a model inside the task has no endpoint to spare."""
+    return replace(limits, paced=limits.paced and not getattr(model, "in_task", False))
+
+
+def in_lanes(df: DataFrame, limits: CallLimits, model: object = None) -> DataFrame:
     """Rows in as many partitions as there may be calls at once, if the limits are to be held."""
-    return df.repartition(limits.concurrency) if limits.paced else df
+    return df.repartition(limits.concurrency) if held_limits(limits, model).paced else df
 
 
 def _batches(total: int, size: int) -> Iterator[slice]:
@@ -121,7 +131,7 @@ def embed_texts(
     text: Column, model: EmbeddingModel, limits: CallLimits | None = None, wait: float = 1.0
 ) -> Column:
     """Struct (embedding, error) of a text column; requests hold twice the configured batch size."""
-    limits = limits or CallLimits()
+    limits = held_limits(limits or CallLimits(), model)
     size, retries = limits.batch_size * 2, limits.retries
 
     @F.pandas_udf("embedding array<float>, error string")
@@ -160,7 +170,7 @@ def embed_chunks(
 ) -> DataFrame:
     """Add ``embedding``; with ``keep_errors`` also ``error``, else a failed call fails the job."""
     limits = limits or CallLimits()
-    called = in_lanes(df, limits).withColumn("_call", embed_texts(F.col(text_col), model, limits))
+    called = in_lanes(df, limits, model).withColumn("_call", embed_texts(F.col(text_col), model, limits))
     if keep_errors:
         return called.select(*df.columns, "_call.embedding", "_call.error")
     checked = F.when(
@@ -173,7 +183,7 @@ def chat_texts(
     system: Column, prompt: Column, model: ChatModel, limits: CallLimits | None = None, wait: float = 1.0
 ) -> Column:
     """Struct (answer, error) of one chat call per row."""
-    limits = limits or Settings().chat
+    limits = held_limits(limits or Settings().chat, model)
     size, retries = max(1, limits.batch_size), limits.retries
 
     @F.pandas_udf("answer string, error string")
@@ -228,7 +238,7 @@ def doc_context(chunks: DataFrame, documents: DataFrame, model: ChatModel, limit
     gathered = chunks.groupBy("filepath").agg(F.collect_list(F.struct(*chunks.columns)).alias("_chunks"))
     asked = gathered.join(documents.select("filepath", F.col("content").alias("_document")), "filepath")
     limits = limits or Settings().chat
-    rows = in_lanes(asked, limits).select("_document", F.explode("_chunks").alias("_chunk"))
+    rows = in_lanes(asked, limits, model).select("_document", F.explode("_chunks").alias("_chunk"))
     prompt = doc_context_prompt(F.col("_chunk.content"), F.col("_document"))
     called = rows.withColumn("_call", chat_texts(F.lit(DOC_CONTEXT_SYSTEM_PROMPT), prompt, model, limits))
     return called.select("_chunk.*", F.trim(_checked("_call")).alias("header"))
@@ -256,7 +266,7 @@ def entity_context(
     prompt = entity_batch_prompt(sections, F.col("filepath"), F.col("imports"), F.col("_document"))
     limits = limits or Settings().chat
     called = (
-        in_lanes(batches.withColumn("_prompt", prompt), limits)
+        in_lanes(batches.withColumn("_prompt", prompt), limits, model)
         .withColumn("_call", chat_texts(F.lit(ENTITY_CONTEXT_SYSTEM_PROMPT), F.col("_prompt"), model, limits))
         .withColumn("_answer", _checked("_call"))
         .withColumn("_headers", parse_numbered(F.col("_answer"), F.size("_entities")))

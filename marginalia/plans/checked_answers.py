@@ -185,6 +185,8 @@ def fallback_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 class CitingChat:
     """Answers with the request itself and cites the first available source in upper case."""
 
+    in_task = True
+
     def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
         answers = []
         for prompt in prompts_:
@@ -373,6 +375,8 @@ class LengthChat:
     """Answers with the length of each prompt; a batch of entities gets a numbered list that tells how
     many entities and imports its prompt holds."""
 
+    in_task = True
+
     def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
         answers = []
         for prompt in prompts_:
@@ -421,6 +425,8 @@ def entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 class FragileChat:
     """Fails on texts of src3."""
 
+    in_task = True
+
     def __call__(self, systems: Sequence[str], prompts_: Sequence[str]) -> list[str]:
         if any(text.startswith("src3 ") for text in prompts_):
             raise ValueError("refused")

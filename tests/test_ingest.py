@@ -25,6 +25,8 @@ CODE = "export function render(w: string): string {\n  return w;\n}\n"
 class CountingChat:
     """Counts its calls in files, so that calls of other processes count too."""
 
+    in_task = True
+
     def __init__(self, folder):
         self.folder = str(folder)
 

@@ -209,7 +209,22 @@ def test_paced_lanes_stay_below_the_limits():
         pace.wait([text])
     # A lane has half of the limits: a request every two seconds, five tokens a second.
     assert slept == [2.0, 2.0, 20.0]
-    free = Pace(CallLimits(), lambda: now[0], sleep)
+    free = Pace(CallLimits(paced=False), lambda: now[0], sleep)
     free.wait(["a" * 1000])
     free.wait(["a"])
     assert len(slept) == 3
+
+
+def test_limits_are_held_unless_the_model_is_in_the_task(spark):
+    from marginalia.config import CallLimits, Settings
+    from marginalia.operators.model_calls import HashedWords, held_limits, in_lanes
+
+    class Endpoint:
+        pass
+
+    for limits in (CallLimits(), Settings().chat, Settings().embedding):
+        assert held_limits(limits, Endpoint()).paced and not held_limits(limits, HashedWords()).paced
+    assert not held_limits(CallLimits(paced=False), Endpoint()).paced
+    rows = spark.range(100).repartition(3)
+    assert in_lanes(rows, CallLimits(concurrency=5), Endpoint()).rdd.getNumPartitions() == 5
+    assert in_lanes(rows, CallLimits(concurrency=5), HashedWords()) is rows
