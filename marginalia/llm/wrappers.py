@@ -55,19 +55,27 @@ _NEVER_SKIPPED = frozenset(("", "html", "body", "main", "article", "h1"))
 _BLOCKS = BLOCKS | frozenset("li dt dd tr td th caption legend body html option tbody thead tfoot".split())
 # Words that say nothing beside one of the skipped words, as in share-buttons or ad-box.
 NEUTRAL_WORDS = frozenset(
-    "area bar block blocks body bottom box btn button buttons center col column container group holder icon icons "
-    "inner inline item items js layer left link links list outer panel post posts primary right row secondary "
-    "section site slot top unit wrap wrapper yes zone".split()
+    "area articles bar block blocks blog body bottom box btn button buttons center col column container content "
+    "count email field form google group holder icon icons inline inner item items js latest layer left link "
+    "links list main message module more news outer page panel popular post posts primary reader readers right row "
+    "secondary section site slot sticky text thread top unit user users visitor widget wrap wrapper yes zone".split()
+)
+# Words that turn the meaning of a skipped word, as in no-sidebar or entry-header.
+TURNING_WORDS = frozenset(
+    "article disabled enabled entry has have hidden no non not off on policy shown single story title with without work works".split()
 )
 #: Elements of running text: inside an article their names decide nothing.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption em strong b i span code".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _names_boilerplate(said: str) -> bool:
-    """Whether a class, id or role has a skipped word and beside it only neutral ones."""
+def _names_boilerplate(said: str, content: bool) -> bool:
+    """Whether a class, id or role has a skipped word: inside an article beside neutral words only, elsewhere
+    beside none that turns its meaning."""
     words = {word.lower() for word in _WORDS.findall(said)}
-    return not SKIPPED_WORDS.isdisjoint(words) and words <= SKIPPED_WORDS | NEUTRAL_WORDS
+    if SKIPPED_WORDS.isdisjoint(words):
+        return False
+    return words <= SKIPPED_WORDS | NEUTRAL_WORDS if content else TURNING_WORDS.isdisjoint(words)
 
 
 def measure(root: Node) -> tuple[frozenset[int], dict[int, int]]:
@@ -118,7 +126,7 @@ class Page:
         if "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
             return True
         said = [*node.attributes.get("class", "").split(), node.attributes.get("id", ""), node.attributes.get("role", "")]
-        if not any(map(_names_boilerplate, said)):
+        if not any(_names_boilerplate(name, content) for name in said):
             return False
         most = self.sizes[id(node)] > self.most
         return not (id(node) in self.holders or most or content and node.tag in PROSE)

@@ -20,6 +20,11 @@ KEPT = [
     ('<div class="share-buttons">gone</div><div id=siteFooter>gone</div><p>text of the page, longer', "text of the page, longer"),
     ('<article><p>text of the page<div class="newsletter-box">gone</div><div class="ad">gone</div></article>', "text of the page"),
     ('<div class="ad">most of the text is here, whatever it is called</div><p>short', "most of the text is here, whatever it is called\nshort"),
+    ("<p>text of the page, and more</p>" + "".join(f'<div class="{c}">gone</div>' for c in (
+        "reader-comments", "userComments", "main-nav", "page-footer", "related-articles", "breadcrumb-trail", "site_header")),
+     "text of the page, and more"),
+    ('<article><p>text of the page, and more<div class="reader-comments"><p>nice</div><ul class="share-links"><li>x</ul></article>',
+     "text of the page, and more"),
     ('<a title="a > b" href=x>link</a> <b title=\'"\'>bold</b>', "link bold"),
     ('<div class="ad">words of an advert, more than of the article</div><article><p>short</article>', "short"),
     ("<p title=\"unclosed>a<p>b", "a\nb"),
