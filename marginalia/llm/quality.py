@@ -6,25 +6,25 @@ the logistic loss on feature differences of pairs (good, bad). A cut-off at the
 utilities that the share of bad labels names turns utilities into decisions.
 
 Features count characters, words and lines of the whole text, so their values do not depend on its
-language. The fit sees a sample of bounded size; everything else sees all rows.
+language. The fit sees every labelled row that is not held out: pairs, sums and the quantile are made by
+Spark, and the driver gets sums of a fixed size per partition.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 import string
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.sampling import lowest
+from marginalia.session import cut_lineage
 
-#: Labelled rows of each label that the fit may see, taken in the order of a hash of their key.
-SAMPLE_PER_LABEL = 4000
 #: Bad partners of each good row; pairs are dealt out in rounds, not crossed.
 PARTNERS = 8
 RIDGE = 1e-3
@@ -100,20 +100,32 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.utilities(rows) - self.cut + shift, -500, 500)))
 
 
-def fit_preferences(differences: np.ndarray, ridge: float = RIDGE, turns: int = 50) -> np.ndarray:
-    """Weights that minimise mean log(1 + exp(-w . d)) + ridge |w|^2 / 2 over differences d (Newton)."""
-    weights = np.zeros(differences.shape[1])
+def _loss_sums(differences: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the loss, summed over the pairs, and the number of pairs, as one row."""
+    p = 1 / (1 + np.exp(np.clip(differences @ weights, -500, 500)))
+    curve = (differences * (p * (1 - p))[:, None]).T @ differences
+    return np.concatenate([-(differences * p[:, None]).sum(axis=0), curve.ravel(), [len(differences)]])
+
+
+def _minimise(sums: Callable[[np.ndarray], np.ndarray], size: int, ridge: float = RIDGE, turns: int = 50) -> np.ndarray:
+    """Newton's method; ``sums`` gives the ``_loss_sums`` of all pairs for some weights."""
+    weights = np.zeros(size)
     for _ in range(turns):
-        p = 1 / (1 + np.exp(np.clip(differences @ weights, -500, 500)))
-        gradient = -(differences * p[:, None]).mean(axis=0) + ridge * weights
-        curve = (differences * (p * (1 - p))[:, None]).T @ differences / len(differences)
-        step = np.linalg.solve(curve + ridge * np.eye(len(weights)), gradient)
+        total = sums(weights)
+        gradient = total[:size] / total[-1] + ridge * weights
+        curve = total[size:-1].reshape(size, size) / total[-1]
+        step = np.linalg.solve(curve + ridge * np.eye(size), gradient)
         weights = weights - step
         if np.abs(step).max() < 1e-6:
             break
     return weights
 
 
+def fit_preferences(differences: np.ndarray, ridge: float = RIDGE, turns: int = 50) -> np.ndarray:
+    """Weights that minimise mean log(1 + exp(-w . d)) + ridge |w|^2 / 2 over differences d (Newton)."""
+    return _minimise(lambda weights: _loss_sums(differences, weights), differences.shape[1], ridge, turns)
+
+
 def fit(good: np.ndarray, bad: np.ndarray, bad_share: float) -> QualityModel:
     """The model from feature rows of both labels; ``bad_share`` is the share of bad labels among all."""
     both = np.concatenate([good, bad])
@@ -151,41 +163,175 @@ def _featured(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     return rows.select(*keep, text).mapInArrow(run, f"{schema}, features array<double>")
 
 
+def _arrays(column: pa.Array) -> np.ndarray:
+    """Feature rows of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
+
+
+def _summed(rows: DataFrame, sums: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of a row of numbers; the driver gets one row per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                found = sums(batch)
+                total = found if total is None else total + found
+        if total is not None:
+            numbers = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tolist()])]
+            yield pa.RecordBatch.from_arrays(numbers, names=["part", "sums"])
+
+    parts = rows.mapInArrow(run, "part long, sums array<double>").collect()
+    return np.sum([row["sums"] for row in sorted(parts, key=lambda row: row["part"])], axis=0)
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Rows (at, label, features), numbered from 0 within their label in the order of the partitions of
+    written rows (label, features), and the number of rows of each label."""
+    parts = rows.groupBy(F.spark_partition_id().alias("part"), "label").count().collect()
+    begin: dict[tuple[int, int], int] = {}
+    counts = {0: 0, 1: 0}
+    for part, label, count in sorted(map(tuple, parts)):
+        begin[part, label] = counts[label]
+        counts[label] += count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        seen = {label: begin.get((part, label), 0) for label in (0, 1)}
+        for batch in batches:
+            labels = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.empty(len(labels), np.int64)
+            for label in seen:
+                own = np.flatnonzero(labels == label)
+                at[own] = seen[label] + np.arange(own.size)
+                seen[label] += own.size
+            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["at", "label", "features"])
+
+    return rows.mapInArrow(run, "at long, label int, features array<double>"), counts
+
+
+def _pairs(numbered: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Rows (good, bad): PARTNERS rounds of pairs, each round over all rows of the larger label."""
+    rounds = max(counts.values())
+    every = F.sequence(F.col("at"), F.lit(rounds - 1).cast("long"), F.lit(counts[1]).cast("long"))
+    turns = F.sequence(F.lit(0), F.lit(PARTNERS - 1))
+    good = (
+        numbered.filter("label = 1")
+        .select(F.col("features").alias("good"), F.explode(every).alias("pair"))
+        .select("good", "pair", F.explode(turns).alias("turn"))
+        .select("good", ((F.col("pair") + F.col("turn") * 7919) % counts[0]).alias("at"))
+    )
+    return good.join(numbered.filter("label = 0").select("at", F.col("features").alias("bad")), "at").select("good", "bad")
+
+
+def _cut(rows: DataFrame, utilities: Callable[[np.ndarray], np.ndarray], counts: dict[int, int], bad_share: float) -> float:
+    """The middle between the two utilities where the mass of the lower rows reaches ``bad_share``; labels
+    weigh as their shares do. The rows are sorted by Spark; the driver gets counts per partition."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(utilities(_arrays(batch.column(1))))], names=["label", "utility"]
+                )
+
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.mapInArrow(scored, "label int, utility double").repartitionByRange(ranges, "utility", "label")
+    ordered = cut_lineage(ordered.sortWithinPartitions("utility", "label"))
+    part = F.spark_partition_id().alias("part")
+    found = ordered.groupBy(part).agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).collect()
+    mass = np.array([(1 - bad_share) / counts[1], bad_share / counts[0]])
+    wanted = bad_share + 1e-9
+    begin, seen, first, crossing = {}, np.zeros(2, np.int64), np.zeros(2, np.int64), None
+    for number, *own in sorted(map(tuple, found)):
+        begin[number] = int(seen.sum())
+        if crossing is None and (seen + own) @ mass >= wanted:
+            crossing, first = number, seen.copy()
+        seen = seen + own
+    total = int(seen.sum())
+    above = total
+    if crossing is not None:
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, at = first, int(first.sum())
+            for batch in batches:
+                good = np.cumsum(batch.column(0).to_numpy(zero_copy_only=False))
+                bad = np.arange(1, len(good) + 1) - good
+                over = np.flatnonzero((held[0] + good) * mass[0] + (held[1] + bad) * mass[1] >= wanted)
+                if over.size:
+                    yield pa.RecordBatch.from_arrays([pa.array([at + int(over[0])], pa.int64())], names=["at"])
+                    return
+                held, at = held + [int(good[-1]), int(bad[-1])], at + len(good)
+
+        above = ordered.filter(F.spark_partition_id() == crossing).mapInArrow(reached, "at long").first()["at"]
+    above = min(max(above, 1), total - 1)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = begin.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            own = batch.column(1).slice(max(0, above - 1 - at), max(0, min(batch.num_rows, above + 1 - at) - max(0, above - 1 - at)))
+            yield pa.RecordBatch.from_arrays([own], names=["utility"])
+            at += batch.num_rows
+
+    sides = [row["utility"] for row in ordered.mapInArrow(placed, "utility double").collect()]
+    return sum(sides) / 2
+
+
+def fit_rows(rows: DataFrame, bad_share: float) -> QualityModel | None:
+    """``fit`` for written rows (label, features) of any number; None without rows of both labels."""
+    numbered, counts = _numbered(rows)
+    if not counts[0] or not counts[1]:
+        return None
+    size = len(FEATURES)
+    total = counts[0] + counts[1]
+    mean = _summed(rows, lambda batch: _arrays(batch.column(1)).sum(axis=0)) / total
+    spread = np.sqrt(_summed(rows, lambda batch: ((_arrays(batch.column(1)) - mean) ** 2).sum(axis=0)) / total) + 1e-6
+
+    def scaled(found: np.ndarray) -> np.ndarray:
+        return np.clip((found - mean) / spread, -8, 8)
+
+    pairs = cut_lineage(_pairs(numbered, counts))
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        return _summed(
+            pairs, lambda batch: _loss_sums(scaled(_arrays(batch.column(0))) - scaled(_arrays(batch.column(1))), weights)
+        )
+
+    weights = _minimise(sums, size)
+    cut = _cut(rows, lambda found: scaled(found) @ weights, counts, bad_share)
+    return QualityModel(mean, spread, weights, float(cut))
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    sample: int = SAMPLE_PER_LABEL,
     modulus: int = 4,
     rest: int = 2,
 ) -> QualityModel | None:
-    """The model of the labelled rows that are not held out; None without rows of both labels.
+    """The model of all labelled rows that are not held out; None without rows of both labels.
 
-    At most ``sample`` keys of each label are read, so the broadcast of keys and what reaches the driver
-    are bounded. A key with several rows of text gives one row.
+    Features are made before the join with the labels, so that no text is moved. A key with several rows
+    of text gives one row; the rows are written once, in the order of the keys.
     """
     known = labels.select(key, label).filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key, modulus, rest))
-    keyed = known.groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("__label"))
-    counts = {row[0]: row[1] for row in keyed.groupBy("__label").count().collect()}
+    keyed = known.groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("label"))
+    counts = {row[0]: row[1] for row in keyed.groupBy("label").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    placed = keyed.withColumn("__place", F.xxhash64("__key"))
-    chosen = lowest(placed, "__label", "__place", sample).select("__key", "__label")
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.filter(F.col(key).isNotNull() & ~held_out(key, modulus, rest))
+    rows = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     found = (
-        _featured(rows.join(F.broadcast(chosen), "__key"), ["__key", "__label"], "__text")
-        .groupBy("__key", "__label")
+        _featured(rows, ["__key"], "__text")
+        .join(keyed, "__key")
+        .groupBy("__key", "label")
         .agg(F.min("features").alias("features"))
         .orderBy("__key")
-        .select("__label", "features")
-        .toPandas()
+        .select("label", "features")
     )
-    good, bad = (np.array(found[found["__label"] == value]["features"].tolist(), float) for value in (1, 0))
-    if not len(good) or not len(bad):
-        return None
-    return fit(good, bad, counts[0] / (counts[0] + counts[1]))
+    return fit_rows(cut_lineage(found), counts[0] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: QualityModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
