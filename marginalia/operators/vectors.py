@@ -1,10 +1,10 @@
 """Exact cosine top-k for many query vectors at once.
 
-Stored vectors and query vectors are each packed into matrices of bounded bytes, and the packs meet in a
-grid: stored packs are dealt out to splits, query packs go to every split, and a join by split pairs
-them. A matrix product scores a pair, and a task keeps at most k hits per query. The hits of the tasks
-are then ranked with a window, whose partial limit runs before the shuffle. The store is scanned
-once, only ``id`` and the vector are read, and no vector passes through the driver.
+Stored vectors and query vectors are each packed into matrices of bounded bytes. Packs are dealt out to
+blocks, and every block of stored vectors meets every block of queries in a cell of a grid. A vector is
+moved once per block of the other side, a matrix product scores a pair of packs, and a cell hands on at
+most k hits per query. The hits of the cells are then ranked with a window. The store is scanned
+once for its vectors, only ``id`` and the vector are read, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -25,10 +25,14 @@ from marginalia.session import cut_lineage
 PACK_BYTES = 4 << 20
 STORE_ROWS = 512
 QUERY_ROWS = 2048
-#: A task hands its hits on when it holds so many.
+#: Bytes of the vectors of a block.
+BLOCK_BYTES = 24 << 20
+#: Hits of a cell: there are so many blocks of queries that k hits of each query are no more.
 MOST_PENDING = 2_000_000
-#: Query packs that a task keeps open.
+#: Query packs of a block.
 _MOST_PACKS = 32
+#: Cells per core that a search is cut into at least.
+_CELLS_PER_CORE = 4
 # Scores are compared at this many digits, so that the order of additions cannot decide a tie.
 SCORE_DIGITS = 12
 
@@ -58,10 +62,13 @@ class _TopHits:
         self.limit = max(200_000, 4 * int(counts.sum()))
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        rows, queries = np.nonzero(scores >= self.floor)
-        if rows.size:
-            self.parts.append((queries, ids[rows], scores[rows, queries]))
-            self.pending += rows.size
+        """``scores`` as they are computed; those that may count are rounded."""
+        rows, queries = np.nonzero(scores >= self.floor - 10.0 ** (1 - SCORE_DIGITS))
+        found = np.round(scores[rows, queries], SCORE_DIGITS)
+        kept = found >= self.floor[queries]
+        if kept.any():
+            self.parts.append((queries[kept], ids[rows[kept]], found[kept]))
+            self.pending += int(kept.sum())
         if self.pending > self.limit:
             self.best()
 
@@ -158,23 +165,36 @@ def vector_search(
         ]
     )
     asked = cut_lineage(asked)
-    most = asked.agg(F.max("k")).first()[0] or 0
+    size = asked.agg(
+        F.count("*").alias("n"), F.max("k").alias("k"), F.max(F.size("vector")).alias("dim")
+    ).first()
+    most, dim = size["k"] or 0, max(1, size["dim"] or 1)
     stored = store.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    splits = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    store_packs = _packs(stored, schema["id"].dataType, STORE_ROWS).select(
-        F.pmod(F.xxhash64("number"), F.lit(splits)).cast("int").alias("split"), "dim", "ids", "matrix"
+    fitting = max(1, BLOCK_BYTES // (8 * dim))
+    query_rows = max(1, min(fitting, _MOST_PACKS * QUERY_ROWS, MOST_PENDING // max(1, most)))
+    query_blocks = max(1, -(-size["n"] // query_rows))
+    cells = _CELLS_PER_CORE * store.sparkSession.sparkContext.defaultParallelism
+    store_blocks = max(-(-store.count() // fitting), -(-cells // query_blocks))
+
+    def in_cells(packs: DataFrame, own: int, others: int, cell: Column) -> DataFrame:
+        block = F.pmod(F.xxhash64("number"), F.lit(own)).cast("long")
+        placed = packs.withColumns({"block": block, "other": F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
+        return placed.withColumn("cell", cell).drop("number", "block", "other")
+
+    store_cells = in_cells(
+        _packs(stored, schema["id"].dataType, STORE_ROWS),
+        store_blocks,
+        query_blocks,
+        F.col("block") * query_blocks + F.col("other"),
     )
-    query_packs = _packs(asked, schema["query_id"].dataType, QUERY_ROWS, ("k", "floor"), 0.0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"),
-        F.col("number").alias("asked_number"),
-        F.col("dim").alias("asked_dim"),
-        F.col("ids").alias("asked_ids"),
-        F.col("matrix").alias("asked_matrix"),
-        "k",
-        "floor",
+    query_cells = in_cells(
+        _packs(asked, schema["query_id"].dataType, min(QUERY_ROWS, query_rows), ("k", "floor"), 0.0),
+        query_blocks,
+        store_blocks,
+        F.col("other") * query_blocks + F.col("block"),
     )
-    pairs = store_packs.join(query_packs, "split").drop("split")
-    return _ranked(pairs.mapInArrow(_scorer(schema), schema), most)
+    pairs = query_cells.groupBy("cell").cogroup(store_cells.groupBy("cell"))
+    return _ranked(pairs.applyInArrow(_scorer(schema), schema), most)
 
 
 def _ranked(hits: DataFrame, most: int) -> DataFrame:
@@ -189,46 +209,35 @@ def _ranked(hits: DataFrame, most: int) -> DataFrame:
 
 
 def _scorer(schema: T.StructType):
-    """Pairs of packs to the best hits per query of a task."""
+    """The packs of queries and the stored packs of a cell to the best hits per query."""
     kinds = [_arrow_type(schema[name].dataType) for name in ("query_id", "id")]
+    result = pa.schema([("query_id", kinds[0]), ("id", kinds[1]), ("similarity", pa.float64()), ("k", pa.int64())])
 
-    def hits(asked_ids: pa.Array, ks: np.ndarray, top: _TopHits) -> Iterator[pa.RecordBatch]:
-        best = top.best()
-        if best is not None and best[0].size:
-            asked, ids, scores = best
-            yield pa.RecordBatch.from_arrays(
-                [
-                    asked_ids.take(pa.array(asked)).cast(kinds[0]),
-                    pa.array(ids.tolist(), kinds[1]),
-                    pa.array(scores, pa.float64()),
-                    pa.array(ks[asked], pa.int64()),
-                ],
-                names=schema.names,
-            )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops: dict[int, tuple[pa.Array, np.ndarray, np.ndarray, _TopHits]] = {}
-        for batch in batches:
-            rows = {name: batch.column(name) for name in batch.schema.names}
-            for n in range(batch.num_rows):
-                dim, number = rows["dim"][n].as_py(), rows["asked_number"][n].as_py()
-                if rows["asked_dim"][n].as_py() != dim:
-                    raise ValueError(f"vectors of {dim} values expected")
-                if number not in tops:
-                    ks = rows["k"][n].values.to_numpy()
-                    floors = rows["floor"][n].values.to_numpy()
-                    matrix = np.frombuffer(rows["asked_matrix"][n].as_py()).reshape(-1, dim).T.copy()
-                    tops[number] = rows["asked_ids"][n].values, ks, matrix, _TopHits(ks, floors)
-                weights, top = tops[number][2:]
-                vectors = np.frombuffer(rows["matrix"][n].as_py()).reshape(-1, dim)
-                scores = np.round(vectors @ weights, SCORE_DIGITS)
-                top.add(_id_array(rows["ids"][n].values), np.nan_to_num(scores, nan=-np.inf))
-                if sum(t[3].pending for t in tops.values()) > MOST_PENDING or len(tops) > _MOST_PACKS:
-                    for asked_ids, ks, _, held in tops.values():
-                        yield from hits(asked_ids, ks, held)
-                    tops = {}
-        for asked_ids, ks, _, held in tops.values():
-            yield from hits(asked_ids, ks, held)
+    def matrices(packs: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [
+            (_id_array(ids.values), np.frombuffer(matrix.as_buffer()).reshape(-1, dim.as_py()))
+            for ids, matrix, dim in zip(packs.column("ids"), packs.column("matrix"), packs.column("dim"))
+        ]
+
+    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        held = matrices(stored) if len(asked) else []
+        found = []
+        for row in range(len(asked) if held else 0):
+            ids, ks, floors = (asked.column(name)[row].values for name in ("ids", "k", "floor"))
+            dim = asked.column("dim")[row].as_py()
+            weights = np.frombuffer(asked.column("matrix")[row].as_buffer()).reshape(-1, dim).T.copy()
+            counts = ks.to_numpy()
+            top = _TopHits(counts, floors.to_numpy())
+            for own_ids, vectors in held:
+                if vectors.shape[1] != dim:
+                    raise ValueError(f"vectors of {vectors.shape[1]} values expected")
+                top.add(own_ids, vectors @ weights)
+            best = top.best()
+            if best is not None and best[0].size:
+                queries, own, scores = best
+                columns = [ids.take(pa.array(queries)).cast(kinds[0]), pa.array(own, kinds[1]), pa.array(scores), pa.array(counts[queries])]
+                found.append(pa.Table.from_arrays(columns, schema=result))
+        return pa.concat_tables(found) if found else result.empty_table()
 
     return score
 
