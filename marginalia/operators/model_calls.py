@@ -15,7 +15,7 @@ from dataclasses import replace
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +40,10 @@ class ChatModel(Protocol):
     def __call__(self, systems: Sequence[str], prompts: Sequence[str]) -> list[str]: ...
 
 
+#: Words whose slots a model remembers.
+MOST_WORDS = 200_000
+
+
 class HashedWords:
     """Deterministic offline embedding: hashed word counts on the unit sphere."""
 
@@ -51,6 +55,8 @@ class HashedWords:
 
     def _slot(self, word: str) -> int:
         if word not in self._slots:
+            if len(self._slots) >= MOST_WORDS:
+                self._slots.clear()
             self._slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
         return self._slots[word]
 
@@ -127,6 +133,15 @@ def _batches(total: int, size: int) -> Iterator[slice]:
         yield slice(at, at + size)
 
 
+def _texts(column: pa.Array, part: slice) -> list[str]:
+    """The texts of one request; no others of the batch are Python strings meanwhile."""
+    return ["" if text is None else text for text in column[part].to_pylist()]
+
+
+def _calls(name: str, results: pa.Array, errors: list) -> pa.Array:
+    return pa.StructArray.from_arrays([results, pa.array(errors, pa.string())], names=[name, "error"])
+
+
 def embed_texts(
     text: Column, model: EmbeddingModel, limits: CallLimits | None = None, wait: float = 1.0
 ) -> Column:
@@ -134,14 +149,13 @@ def embed_texts(
     limits = held_limits(limits or CallLimits(), model)
     size, retries = limits.batch_size * 2, limits.retries
 
-    @F.pandas_udf("embedding array<float>, error string")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("embedding array<float>, error string")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pace = Pace(limits)
         for texts in batches:
-            vectors: list = []
-            errors: list = []
+            done = []
             for part in _batches(len(texts), size):
-                chunk = texts.iloc[part].fillna("").tolist()
+                chunk = _texts(texts, part)
 
                 def call():
                     pace.wait(chunk)
@@ -151,12 +165,13 @@ def embed_texts(
                     found = np.asarray(call_with_retries(call, retries, wait), np.float32)
                     if len(found) != len(chunk):
                         raise ValueError(f"{len(found)} vectors for {len(chunk)} texts")
-                    vectors += list(found)
-                    errors += [None] * len(chunk)
+                    vectors: list = list(found)
+                    errors: list = [None] * len(chunk)
                 except Exception as error:  # the row carries its failure
-                    vectors += [None] * len(chunk)
-                    errors += [str(error) or type(error).__name__] * len(chunk)
-            yield pd.DataFrame({"embedding": vectors, "error": pd.Series(errors, dtype=object)})
+                    vectors = [None] * len(chunk)
+                    errors = [str(error) or type(error).__name__] * len(chunk)
+                done.append(_calls("embedding", pa.array(vectors, pa.list_(pa.float32())), errors))
+            yield pa.concat_arrays(done or [_calls("embedding", pa.array([], pa.list_(pa.float32())), [])])
 
     return embed(text)
 
@@ -186,14 +201,13 @@ def chat_texts(
     limits = held_limits(limits or Settings().chat, model)
     size, retries = max(1, limits.batch_size), limits.retries
 
-    @F.pandas_udf("answer string, error string")
-    def chat(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("answer string, error string")
+    def chat(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pace = Pace(limits)
         for systems, prompts in batches:
-            answers: list = []
-            errors: list = []
+            done = []
             for part in _batches(len(prompts), size):
-                asked = systems.iloc[part].fillna("").tolist(), prompts.iloc[part].fillna("").tolist()
+                asked = _texts(systems, part), _texts(prompts, part)
 
                 def call():
                     pace.wait([*asked[0], *asked[1]])
@@ -203,14 +217,13 @@ def chat_texts(
                     found = list(call_with_retries(call, retries, wait))
                     if len(found) != len(asked[1]):
                         raise ValueError(f"{len(found)} answers for {len(asked[1])} prompts")
-                    answers += found
-                    errors += [None] * len(found)
+                    answers: list = found
+                    errors: list = [None] * len(found)
                 except Exception as error:  # the row carries its failure
-                    answers += [None] * len(asked[1])
-                    errors += [str(error) or type(error).__name__] * len(asked[1])
-            yield pd.DataFrame(
-                {"answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object)}
-            )
+                    answers = [None] * len(asked[1])
+                    errors = [str(error) or type(error).__name__] * len(asked[1])
+                done.append(_calls("answer", pa.array(answers, pa.string()), errors))
+            yield pa.concat_arrays(done or [_calls("answer", pa.array([], pa.string()), [])])
 
     return chat(system, prompt)
 
