@@ -23,6 +23,7 @@ from marginalia.session import cut_lineage
 FIELD_WEIGHTS = (("chunk_title", 1.0), ("content", 0.4), ("contextual_text", 0.2))
 RANK_DIGITS = 9
 _BITS = 62
+_TAIL = 8
 
 
 def _is_stop_word(term: Column) -> Column:
@@ -34,48 +35,62 @@ def build_postings(
     english: bool = True,
     fields: tuple[tuple[str, float], ...] = FIELD_WEIGHTS,
     id_col: str = "id",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows (id, term, position, weight). Positions run on from field to field; English stop words
-    take a position but are not listed."""
-    staged = store.select(F.col(id_col).alias("id"), *[name for name, _ in fields])
-    names = []
-    offset = F.lit(0)
-    for number, (name, weight) in enumerate(fields):
-        words, entries, end = f"_words{number}", f"_entries{number}", f"_end{number}"
-        listed = F.transform(
-            F.col(words),
-            lambda term, i: F.struct(
-                term.alias("term"), (i + 1).cast("int").alias("position"), F.lit(weight).alias("weight")
-            ),
-        )
-        if english:
-            listed = F.filter(listed, lambda entry: ~_is_stop_word(entry["term"]))
-        staged = (
-            staged.withColumn(words, word_tokens(F.coalesce(F.col(name), F.lit(""))))
-            .withColumn(entries, listed)
-            .withColumn(f"_offset{number}", offset)
-            .withColumn(
-                end,
-                F.col(f"_offset{number}")
-                + F.coalesce(F.get(F.col(entries), F.size(entries) - 1)["position"], F.lit(0)),
-            )
-        )
-        offset = F.col(end)
-        names.append((entries, f"_offset{number}"))
-
-    def shifted(entries: str, at: str) -> Column:
-        return F.transform(
-            F.col(entries),
-            lambda e: F.struct(
-                e["term"].alias("term"),
-                (e["position"] + F.col(at)).alias("position"),
-                e["weight"].alias("weight"),
-            ),
-        )
+    """Rows (id, term, position, weight) and the columns ``keep`` of the chunk. Positions run on from field
+    to field, each from the last listed word of the one before; English stop words take a position but
+    are not listed."""
+    own = [F.col(id_col).alias("id"), *keep]
+    words = [f"_words{number}" for number in range(len(fields))]
+    staged = store.select(
+        *own, *[word_tokens(F.coalesce(F.col(name), F.lit(""))).alias(w) for w, (name, _) in zip(words, fields)]
+    )
 
-    every = F.concat(*[shifted(entries, at) for entries, at in names])
-    rows = explode_array(staged, ["id"], every, "_n", "_entry")
-    return rows.select("id", "_entry.term", "_entry.position", "_entry.weight")
+    def listed_to(field: str) -> Column:
+        if not english:
+            return F.size(field)
+        last = lambda words: F.array_max(F.transform(words, lambda term, i: F.when(~_is_stop_word(term), i + 1)))
+        # Nearly always one of the last words is listed; the others are looked at where none is.
+        skipped = F.greatest(F.size(field) - _TAIL, F.lit(0))
+        return F.coalesce(skipped + last(F.slice(F.col(field), skipped + 1, F.lit(_TAIL))), last(F.col(field)), F.lit(0))
+
+    # Per field the place of its first word among all, and the position before it.
+    staged = staged.withColumns(
+        {f"_size{n}": F.size(w) for n, w in enumerate(words)} | {f"_listed{n}": listed_to(w) for n, w in enumerate(words[:-1])}
+    )
+    kept = ["id", *keep, *[f"_size{n}" for n in range(len(words))], *[f"_listed{n}" for n in range(len(words) - 1)]]
+    rows = explode_array(staged, kept, F.concat(*words), "_n", "term")
+    if english:
+        rows = rows.filter(~_is_stop_word(F.col("term")))
+    position, weight = F.col("_n") + 1, F.lit(fields[0][1])
+    begin, before = F.lit(0), F.lit(0)
+    for n in range(1, len(fields)):
+        begin, before = begin + F.col(f"_size{n - 1}"), before + F.col(f"_listed{n - 1}")
+        position = F.when(F.col("_n") >= begin, F.col("_n") - begin + before + 1).otherwise(position)
+        weight = F.when(F.col("_n") >= begin, F.lit(fields[n][1])).otherwise(weight)
+    return rows.select("id", *keep, "term", position.cast("int").alias("position"), weight.alias("weight"))
+
+
+def chunk_terms(postings: DataFrame) -> DataFrame:
+    """Rows (id, term, occurrences, weight, positions): the postings of a term in a chunk, added up."""
+    return postings.groupBy("id", "term").agg(
+        F.count("*").alias("occurrences"), F.sum("weight").alias("weight"), F.sum("position").alias("positions")
+    )
+
+
+def term_counts(postings: DataFrame) -> DataFrame:
+    """Rows (term, occurrences, chunks, weight, positions). Each chunk is counted once, before the shuffle
+    by term."""
+    return (
+        chunk_terms(postings)
+        .groupBy("term")
+        .agg(
+            F.sum("occurrences").alias("occurrences"),
+            F.count("id").alias("chunks"),
+            F.sum("weight").alias("weight"),
+            F.sum("positions").alias("positions"),
+        )
+    )
 
 
 def build_vocabulary(postings: DataFrame) -> DataFrame:
@@ -154,9 +169,11 @@ def keyword_search(
     A column ``keyword_match_count`` of ``queries`` overrides k per query.
     """
     english = vocabulary is not None
-    parsed = with_keys(parse_queries(queries, english))
-    terms = query_terms(parsed, vocabulary)
-    parsed = parsed.withColumn("_plain", is_plain(F.col("units")))
+    members = _members(queries)
+    asked = members.filter(F.col("query_id") == F.col("_asks")).select("query_id", F.explode("_form").alias("query"))
+    parsed = cut_lineage(with_keys(parse_queries(asked, english)).withColumn("_plain", is_plain(F.col("units"))))
+    # Written once, so that the vocabulary is made once.
+    terms = cut_lineage(query_terms(parsed, vocabulary))
     # Which kinds there are is asked of the queries alone, so that postings are read once for each.
     kinds = {row["_plain"] for row in parsed.select("_plain").distinct().collect()}
     ranked = None
@@ -167,7 +184,21 @@ def keyword_search(
         hits = postings.join(terms.join(others, "query_id", "left_semi"), "term")
         covers = rank_hits(hits, others)
         ranked = covers if ranked is None else ranked.unionByName(covers)
-    return best_hits(ranked, queries, k)
+    same = members.select("query_id", "_asks")
+    return best_hits(ranked, queries, k, same)
+
+
+def _members(queries: DataFrame) -> DataFrame:
+    """Rows (query_id, _form, _asks): what a query asks, and the least query that asks the same. Searches
+    grow with the questions that differ, not with the queries; written once, it is narrow."""
+    forms = (
+        queries.filter(F.col("query_id").isNotNull() & F.col("query").isNotNull())
+        .groupBy("query_id")
+        .agg(F.sort_array(F.collect_list("query")).alias("_form"))
+    )
+    forms = cut_lineage(forms)
+    asks = forms.groupBy("_form").agg(F.min("query_id").alias("_asks"))
+    return cut_lineage(forms.join(asks, "_form").select("query_id", "_form", "_asks"))
 
 
 def hit_limit(queries: DataFrame, k: int | None = None) -> Column:
@@ -176,18 +207,25 @@ def hit_limit(queries: DataFrame, k: int | None = None) -> Column:
     return F.coalesce(F.col("keyword_match_count"), limit) if "keyword_match_count" in queries.columns else limit
 
 
-def best_hits(ranked: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """The k best rows (query_id, id, keyword_rank) of each query with their order, ties by id."""
+def best_hits(
+    ranked: DataFrame, queries: DataFrame, k: int | None = None, same: DataFrame | None = None
+) -> DataFrame:
+    """The k best rows (query_id, id, keyword_rank) of each query with their order, ties by id. With ``same``,
+    rows (query_id, _asks), a query takes the ranked rows of the query that asks for it."""
     limit = hit_limit(queries, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("keyword_rank"), F.asc("id"))
     ordered = ranked.withColumn("keyword_order", F.row_number().over(order))
+
+    def given(rows: DataFrame) -> DataFrame:
+        return rows if same is None else rows.withColumnRenamed("query_id", "_asks").join(same, "_asks").select(*ordered.columns)
+
     if "keyword_match_count" not in queries.columns:
-        return ordered.filter(F.col("keyword_order") <= limit)
+        return given(ordered.filter(F.col("keyword_order") <= limit))
     limits = queries.select("query_id", limit.cast("int").alias("_limit"))
     # The largest limit, as a number, lets every task cut its part of a query before the shuffle.
     most = limits.agg(F.max("_limit")).first()[0] or 0
     return (
-        ordered.filter(F.col("keyword_order") <= most)
+        given(ordered.filter(F.col("keyword_order") <= most))
         .join(limits, "query_id")
         .filter(F.col("keyword_order") <= F.col("_limit"))
         .drop("_limit")
@@ -240,11 +278,10 @@ def needed_keys(units: Column) -> Column:
 def rank_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:
     """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms.
 
-    ``hits`` are (query_id, id, key_no, position, weight); they are written once. Which chunks hold all
-    words of an alternative is settled on words alone, gathered before the shuffle; positions are
-    gathered for these chunks only.
+    ``hits`` are (query_id, id, key_no, position, weight). They are moved once: words and positions are
+    gathered together, and chunks that lack a word of each alternative are dropped before any cover
+    is looked for.
     """
-    hits = cut_lineage(hits.select("query_id", "id", "key_no", "position", "weight"))
     # Sets of keys as bits of numbers, as many as the longest query needs.
     longest = parsed.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
     words = range(longest // _BITS + 1)
@@ -273,18 +310,12 @@ def rank_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:
             whole &= F.coalesce(F.col(f"_have{w}"), F.lit(0)).bitwiseAND(needed[w]) == needed[w]
         return whole
 
-    candidates = (
+    found = (
         hits.groupBy("query_id", "id")
-        .agg(*have)
-        .join(parsed.select("query_id", masks.alias("_needed")), "query_id")
+        .agg(*have, F.collect_list(F.struct("position", "key_no", "weight")).alias("entries"))
+        .join(parsed.select("query_id", "keys", "units", masks.alias("_needed")), "query_id")
         .filter(F.exists("_needed", holds))
-        .select("query_id", "id")
-    )
-    found = (
-        hits.join(candidates, ["query_id", "id"], "left_semi")
-        .groupBy("query_id", "id")
-        .agg(F.collect_list(F.struct("position", "key_no", "weight")).alias("entries"))
-        .join(parsed.select("query_id", "keys", "units"), "query_id")
+        .select("query_id", "id", "entries", "keys", "units")
     )
     kinds = dict(found.dtypes)
     ranked = rank_covers(found, kinds["id"], kinds["query_id"])

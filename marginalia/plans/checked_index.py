@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import content_checksum
-from marginalia.operators.keywords import build_postings, keyword_search
+from marginalia.operators.keywords import build_postings, keyword_search, term_counts
 from marginalia.plans.catalog import checked
 from marginalia.plans.checked_search import _KEYWORD_SQL, _TOP_SQL, ALL_TERMS_SQL
 from marginalia.plans.derived import POSTINGS_SQL, STORE_SQL, WORD, store, table, word_queries
-from marginalia.session import cut_lineage, ensure_checkpoint_dir
+from marginalia.session import ensure_checkpoint_dir
 from marginalia.sources.postings import PostingIndex
 from marginalia.sources.store import ChunkStore
 
@@ -53,17 +53,12 @@ def incremental_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for languages, step in ((["fr"], edited), (["es", "de"], moved)):
         rows = chunks.read()
-        state = cut_lineage(step(rows))
+        state = step(rows)  # of an immutable version, so reading it again gives the same rows
         touched = F.substring("contextual_text", 1, 2).isin(languages)
         places = rows.filter(touched).select("filepath").unionByName(state.filter(touched).select("filepath"))
         chunks.write(state, chunks.buckets_of(places))
         index.refresh()
-    return index.postings().groupBy("term").agg(
-        F.count("*").alias("occurrences"),
-        F.count_distinct("id").alias("chunks"),
-        F.round(F.sum("weight"), 4).alias("weight"),
-        F.sum("position").alias("positions"),
-    )
+    return term_counts(index.postings()).withColumn("weight", F.round("weight", 4))
 
 
 @checked(f"with {_KEYWORD_SQL}, {ALL_TERMS_SQL} {_TOP_SQL}")

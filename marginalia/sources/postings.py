@@ -153,17 +153,19 @@ class PostingIndex:
         rows = self.store.read(at, changed).select("id", *fields, bucket.alias("bucket"), digest.alias("digest"))
         known = self._without_gone(self._read("chunks", _CHUNKS, kept), kept).select("bucket", "id", "digest")
         same = ["bucket", "id", "digest"]
-        added = cut_lineage(rows.join(known, same, "left_anti"))
-        gone = cut_lineage(known.join(rows.select(same), same, "left_anti"))
+        # Both come out of files that do not change, so they are read again where they are used again:
+        # neither texts nor postings are kept beside the segment.
+        added = rows.join(known, same, "left_anti")
+        gone = known.join(rows.select(same), same, "left_anti")
 
         segment = f"{version + 1:09d}-{uuid.uuid4().hex[:8]}"
         path = lambda kind: self.folder.path(f"{self.name}/{kind}/segment={segment}")
         added.select("id", "digest", "bucket").write.partitionBy("bucket").parquet(path("chunks"))
         gone.select("id", "bucket").write.partitionBy("bucket").parquet(path("gone"))
-        blocks = cut_lineage(self._blocks(added))
-        order = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
+        order = self._blocks(added).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
         order.write.partitionBy("bucket").parquet(path("blocks"))
-        terms = blocks.select("term").distinct()
+        written = lambda kind, schema: self.spark.read.schema(schema).parquet(path(kind))
+        terms = written("blocks", "term string").distinct()
         if self.english:
             terms = terms.withColumn("stem", stem_terms(F.col("term")))
         terms.write.parquet(path("terms"))
@@ -173,19 +175,19 @@ class PostingIndex:
         entries = [
             (b, name, current[b], len(current)) for b in current for name in (listed.get(b) or [None])
         ]
-        written = self.folder.scratch(f"{self.name}/manifest")
-        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.parquet(self.folder.path(written))
-        if not self.folder.publish(written, f"{self.name}/manifest/version={version + 1}"):
+        counts = [written(kind, "id long").count() for kind in ("chunks", "gone")]
+        scratch = self.folder.scratch(f"{self.name}/manifest")
+        self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.parquet(self.folder.path(scratch))
+        if not self.folder.publish(scratch, f"{self.name}/manifest/version={version + 1}"):
             return None  # another refresh came first; its state is compared anew
-        return Refresh(version + 1, tuple(changed), added.count(), gone.count())
+        return Refresh(version + 1, tuple(changed), *counts)
 
     def _blocks(self, chunks: DataFrame) -> DataFrame:
-        """Chunks of a bucket are dealt out by their block, so that a bucket with many of them is no single task."""
-        placed = chunks.withColumn("block", F.shiftright("id", BLOCK_BITS))
-        postings = build_postings(
-            placed.withColumn("place", F.struct("bucket", "block", "id")), self.english, self.fields, "place"
-        )
-        occurrences = postings.select("id.*", "term", "position", "weight").groupBy("bucket", "block", "term", "id").agg(
+        """Chunks of a bucket are dealt out by their block, so that a bucket with many of them is no single task.
+        Texts are moved, postings are not: all of a block's are made in one task."""
+        placed = chunks.withColumn("block", F.shiftright("id", BLOCK_BITS)).repartition("bucket", "block")
+        postings = build_postings(placed, self.english, self.fields, keep=("bucket", "block"))
+        occurrences = postings.groupBy("bucket", "block", "term", "id").agg(
             F.collect_list(F.struct("id", "position", "weight")).alias("own"),
             F.count("*").alias("n"),
             F.sum("weight").alias("sum"),
