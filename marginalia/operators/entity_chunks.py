@@ -111,7 +111,7 @@ def flatten_file_chunks(chunks: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def attach_parent(chunks: DataFrame, entities: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with their whole document and the entity they are a part of."""
+    """Chunks with their whole document, its further columns, and the entity they are a part of."""
     entity = entities.select(
         "filepath",
         F.col("qualified_name").alias("base_name"),
@@ -119,7 +119,7 @@ def attach_parent(chunks: DataFrame, entities: DataFrame, documents: DataFrame)
         F.col("parameters"),
         F.col("return_type"),
     ).dropDuplicates(["filepath", "base_name"])
-    document = documents.select("filepath", F.col("content").alias("document"))
+    document = documents.withColumnRenamed("content", "document")
     return chunks.join(entity, ["filepath", "base_name"], "left").join(document, "filepath", "left")
 
 

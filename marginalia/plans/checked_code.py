@@ -21,6 +21,7 @@ from marginalia.operators.entity_chunks import (
 from marginalia.plans.catalog import checked
 from marginalia.plans.checked_chunks import PACK_SQL
 from marginalia.plans.derived import texts
+from marginalia.session import write_once
 
 _LINES_SQL = """
 docs as (
@@ -268,11 +269,11 @@ def chunks_with_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _ts_files(spark, sf_dir)
-    entities = extract_entities(files)
-    parents = attach_parent(chunk_entities(entities, LIMIT), entities, files)
-    return parents.select(
-        "filepath", "qualified_name", "entity_name", "parameters", F.length("document").cast("long").alias("document_length")
-    )
+    # Files are scanned once, and a document is measured once, not for each of its chunks.
+    entities = write_once(extract_entities(files))
+    measured = files.withColumn("document_length", F.length("content").cast("long"))
+    parents = attach_parent(chunk_entities(entities, LIMIT), entities, measured)
+    return parents.select("filepath", "qualified_name", "entity_name", "parameters", "document_length")
 
 
 # Ordinary code that misleads a careless reader: quotes and brackets in regular expressions, nested

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def write_once(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the checkpoint folder, for branches that read few of its columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder, so that several branches share one computation
     and a lost executor does not repeat model calls."""
