@@ -1,7 +1,7 @@
 """Weighted full-text search over a postings table.
 
-Postings are built row by row without a shuffle and are meant to be written once, clustered by
-term. A search joins them with the terms of the queries, gathers the occurrences per query and
+Postings are built row by row; texts are dealt out by chunk before, so that what is gathered per chunk
+moves no postings. They are meant to be written once, clustered by term. A search joins them with the terms of the queries, gathers the occurrences per query and
 chunk, and takes the cover density rank from them: the sum, over the minimal stretches that satisfy
 the query, of the harmonic mean of the term weights divided by one plus the number of other words
 inside.
@@ -36,12 +36,23 @@ def build_postings(
     fields: tuple[tuple[str, float], ...] = FIELD_WEIGHTS,
     id_col: str = "id",
     keep: tuple[str, ...] = (),
+    neighbours: bool = False,
 ) -> DataFrame:
     """Rows (id, term, position, weight) and the columns ``keep`` of the chunk. Positions run on from field
     to field, each from the last listed word of the one before; English stop words take a position but
-    are not listed."""
+    are not listed. Chunks are dealt out by id, but where columns are kept the caller has dealt them out.
+
+    ``neighbours`` adds the words ``before`` and ``after`` (empty: none; null: not known, as in chunks whose
+    id is not their own alone), with which a search finds phrases early. Not for English."""
     own = [F.col(id_col).alias("id"), *keep]
+    neighbours = neighbours and not english
     words = [f"_words{number}" for number in range(len(fields))]
+    if not keep:
+        store = store.select(id_col, *[name for name, _ in fields if name != id_col]).repartition(id_col)
+    if neighbours:
+        several = store.groupBy(id_col).agg((F.count("*") > 1).alias("_several")).filter("_several")
+        store = store.join(several, id_col, "left")
+        own.append((F.col("_several") | F.col(id_col).isNull()).alias("_several"))
     staged = store.select(
         *own, *[word_tokens(F.coalesce(F.col(name), F.lit(""))).alias(w) for w, (name, _) in zip(words, fields)]
     )
@@ -58,8 +69,10 @@ def build_postings(
     staged = staged.withColumns(
         {f"_size{n}": F.size(w) for n, w in enumerate(words)} | {f"_listed{n}": listed_to(w) for n, w in enumerate(words[:-1])}
     )
-    kept = ["id", *keep, *[f"_size{n}" for n in range(len(words))], *[f"_listed{n}" for n in range(len(words) - 1)]]
-    rows = explode_array(staged, kept, F.concat(*words), "_n", "term")
+    if neighbours:
+        staged = staged.withColumn("_all", F.concat(*words))
+    kept = ["id", *keep, *(["_several", "_all"] if neighbours else []), *[f"_size{n}" for n in range(len(words))], *[f"_listed{n}" for n in range(len(words) - 1)]]
+    rows = explode_array(staged, kept, F.col("_all") if neighbours else F.concat(*words), "_n", "term")
     if english:
         rows = rows.filter(~_is_stop_word(F.col("term")))
     position, weight = F.col("_n") + 1, F.lit(fields[0][1])
@@ -68,7 +81,12 @@ def build_postings(
         begin, before = begin + F.col(f"_size{n - 1}"), before + F.col(f"_listed{n - 1}")
         position = F.when(F.col("_n") >= begin, F.col("_n") - begin + before + 1).otherwise(position)
         weight = F.when(F.col("_n") >= begin, F.lit(fields[n][1])).otherwise(weight)
-    return rows.select("id", *keep, "term", position.cast("int").alias("position"), weight.alias("weight"))
+    beside = []
+    if neighbours:
+        word = lambda place: F.coalesce(F.get("_all", place), F.lit(""))
+        known = lambda place: F.when(F.col("_several"), None).otherwise(word(place))
+        beside = [known(F.col("_n") - 1).alias("before"), known(F.col("_n") + 1).alias("after")]
+    return rows.select("id", *keep, "term", position.cast("int").alias("position"), weight.alias("weight"), *beside)
 
 
 def chunk_terms(postings: DataFrame) -> DataFrame:
@@ -93,6 +111,24 @@ def term_counts(postings: DataFrame) -> DataFrame:
     )
 
 
+def stem_totals(postings: DataFrame) -> DataFrame:
+    """Rows (stem, occurrences, chunks, terms, weight). Words are made once: the vocabulary is that of the
+    added-up terms of the chunks, which are written."""
+    listed = cut_lineage(chunk_terms(postings).drop("positions"))
+    vocabulary = cut_lineage(build_vocabulary(listed))
+    in_chunk = (
+        listed.join(vocabulary, "term")
+        .groupBy("id", "stem")
+        .agg(F.sum("occurrences").alias("occurrences"), F.sum("weight").alias("weight"))
+    )
+    counted = in_chunk.groupBy("stem").agg(
+        F.sum("occurrences").alias("occurrences"), F.count("id").alias("chunks"), F.sum("weight").alias("weight")
+    )
+    return counted.join(vocabulary.groupBy("stem").agg(F.count("term").alias("terms")), "stem").select(
+        "stem", "occurrences", "chunks", "terms", "weight"
+    )
+
+
 def build_vocabulary(postings: DataFrame) -> DataFrame:
     """Distinct terms with their stems: the only place where a stem is computed."""
     return postings.select("term").distinct().withColumn("stem", stem_terms(F.col("term")))
@@ -178,10 +214,19 @@ def keyword_search(
     kinds = {row["_plain"] for row in parsed.select("_plain").distinct().collect()}
     ranked = None
     if True in kinds or not kinds:
-        ranked = sum_ranks(postings.join(terms.join(parsed.filter("_plain"), "query_id", "left_semi"), "term"))
+        asked = cut_lineage(terms.join(parsed.filter("_plain"), "query_id", "left_semi"))
+        # A term's weights in a chunk are added up once, not for each query that asks for the term.
+        own = postings.join(asked.select("term").distinct(), "term", "left_semi")
+        ranked = sum_ranks(own.groupBy("id", "term").agg(F.sum("weight").alias("weight")).join(asked, "term"))
     if False in kinds:
         others = parsed.filter(~F.col("_plain"))
-        hits = postings.join(terms.join(others, "query_id", "left_semi"), "term")
+        wanted = terms.join(others, "query_id", "left_semi")
+        if not english and "after" in postings.columns:
+            wanted = cut_lineage(wanted.join(phrase_places(others), ["query_id", "key_no"], "left"))
+            fits = lambda own, asked: F.col(asked).isNull() | F.col(own).isNull() | (F.col(own) == F.col(asked))
+            hits = postings.join(wanted, "term").filter(fits("before", "_before") & fits("after", "_after"))
+        else:
+            hits = postings.join(wanted, "term")
         covers = rank_hits(hits, others)
         ranked = covers if ranked is None else ranked.unionByName(covers)
     same = members.select("query_id", "_asks")
@@ -246,6 +291,40 @@ def query_terms(parsed: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
     return keys.join(vocabulary, keys["key"] == vocabulary["stem"]).select("query_id", "key_no", "term")
 
 
+def phrase_places(parsed: DataFrame) -> DataFrame:
+    """Rows (query_id, key_no, _before, _after): the words beside a key that has one place in its query, in a
+    phrase. Only such occurrences of it count, where each alternative has at most one unit that is not
+    negated: its stretches are its phrases, and nothing else lies inside them."""
+    alone = F.forall(
+        "units",
+        lambda u: F.size(
+            F.filter(F.col("units"), lambda v: (v["alternative"] == u["alternative"]) & ~v["negated"])
+        )
+        <= 1,
+    )
+    beside = lambda u, place: F.get(u["terms"], place)["key"]
+    places = F.flatten(
+        F.transform(
+            "units",
+            lambda u: F.transform(
+                u["terms"],
+                lambda t, i: F.struct(
+                    t["key"].alias("key"), beside(u, i - 1).alias("_before"), beside(u, i + 1).alias("_after")
+                ),
+            ),
+        )
+    )
+    listed = parsed.filter(alone).select("query_id", "keys", F.explode(places).alias("_place"))
+    number = (F.array_position("keys", F.col("_place.key")) - 1).cast("int")
+    return (
+        listed.select("query_id", number.alias("key_no"), "_place._before", "_place._after")
+        .groupBy("query_id", "key_no")
+        .agg(F.count("*").alias("_places"), F.first("_before").alias("_before"), F.first("_after").alias("_after"))
+        .filter("_places = 1")
+        .drop("_places")
+    )
+
+
 def is_plain(units: Column) -> Column:
     """Whether every alternative is one plain word: then each occurrence is a cover of its own and the
     rank is the sum of the weights, which is added up before the shuffle. Other queries need positions."""

@@ -109,6 +109,6 @@ def keyword_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     {_TOP_SQL}"""
 )
 def keyword_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = build_postings(store(spark, sf_dir), english=False)
+    postings = build_postings(store(spark, sf_dir), english=False, neighbours=True)
     hits = keyword_search(postings, word_queries(spark, sf_dir, '"%s %s" OR %s -%s'), k=10)
     return hits.withColumn("keyword_rank", F.round("keyword_rank", 6))
