@@ -24,6 +24,8 @@ FIELD_WEIGHTS = (("chunk_title", 1.0), ("content", 0.4), ("contextual_text", 0.2
 RANK_DIGITS = 9
 _BITS = 62
 _TAIL = 8
+#: A vocabulary of at most so many terms, counted before, is broadcast.
+MOST_BROADCAST = 500_000
 
 
 def _is_stop_word(term: Column) -> Column:
@@ -112,14 +114,15 @@ def term_counts(postings: DataFrame) -> DataFrame:
 
 
 def stem_totals(postings: DataFrame) -> DataFrame:
-    """Rows (stem, occurrences, chunks, terms, weight). Words are made once: the vocabulary is that of the
-    added-up terms of the chunks, which are written."""
-    listed = cut_lineage(chunk_terms(postings).drop("positions"))
-    vocabulary = cut_lineage(build_vocabulary(listed))
-    in_chunk = (
-        listed.join(vocabulary, "term")
-        .groupBy("id", "stem")
-        .agg(F.sum("occurrences").alias("occurrences"), F.sum("weight").alias("weight"))
+    """Rows (stem, occurrences, chunks, terms, weight). The vocabulary is written, so that its size tells
+    whether each chunk's postings can be added up by stem where they are made."""
+    vocabulary = cut_lineage(build_vocabulary(postings))
+    if vocabulary.count() <= MOST_BROADCAST:
+        stemmed = postings.withColumn("occurrences", F.lit(1)).join(F.broadcast(vocabulary), "term")
+    else:
+        stemmed = chunk_terms(postings).join(vocabulary, "term")
+    in_chunk = stemmed.groupBy("id", "stem").agg(
+        F.sum("occurrences").alias("occurrences"), F.sum("weight").alias("weight")
     )
     counted = in_chunk.groupBy("stem").agg(
         F.sum("occurrences").alias("occurrences"), F.count("id").alias("chunks"), F.sum("weight").alias("weight")
@@ -220,14 +223,36 @@ def keyword_search(
         ranked = sum_ranks(own.groupBy("id", "term").agg(F.sum("weight").alias("weight")).join(asked, "term"))
     if False in kinds:
         others = parsed.filter(~F.col("_plain"))
-        wanted = terms.join(others, "query_id", "left_semi")
+        simple = None
+        if not english:
+            others, marks = part_alternatives(others)
+            # Written once, for the keys that are left are asked for again.
+            others, marks = cut_lineage(others), cut_lineage(marks.join(terms, ["query_id", "key_no"]))
+            simple = postings.join(marks, "term")
+            simple = (
+                simple.groupBy("query_id", "alternative", "id")
+                .agg(F.sum(F.when(~F.col("negated"), F.col("weight"))).alias("keyword_rank"), F.bool_or("negated").alias("_not"))
+                .filter(~F.col("_not") & F.col("keyword_rank").isNotNull())
+                .select("query_id", "id", "keyword_rank")
+            )
+            needed = others.select("query_id", F.explode(F.flatten(F.col("units.terms"))).alias("_t"))
+            needed = needed.select("query_id", F.col("_t.key").alias("term")).distinct()
+            wanted = terms.join(needed, ["query_id", "term"], "left_semi")
+        else:
+            wanted = terms.join(others, "query_id", "left_semi")
         if not english and "after" in postings.columns:
             wanted = cut_lineage(wanted.join(phrase_places(others), ["query_id", "key_no"], "left"))
             fits = lambda own, asked: F.col(asked).isNull() | F.col(own).isNull() | (F.col(own) == F.col(asked))
             hits = postings.join(wanted, "term").filter(fits("before", "_before") & fits("after", "_after"))
         else:
             hits = postings.join(wanted, "term")
-        covers = rank_hits(hits, others)
+        covers = rank_hits(hits, others, None if simple is not None else RANK_DIGITS)
+        if simple is not None:
+            covers = (
+                covers.unionByName(simple)
+                .groupBy("query_id", "id")
+                .agg(F.round(F.sum("keyword_rank"), RANK_DIGITS).alias("keyword_rank"))
+            )
         ranked = covers if ranked is None else ranked.unionByName(covers)
     same = members.select("query_id", "_asks")
     return best_hits(ranked, queries, k, same)
@@ -291,17 +316,40 @@ def query_terms(parsed: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
     return keys.join(vocabulary, keys["key"] == vocabulary["stem"]).select("query_id", "key_no", "term")
 
 
+def _one_each(units: Column) -> Column:
+    """Whether each alternative has at most one unit that is not negated."""
+    return F.forall(
+        units,
+        lambda u: F.size(F.filter(units, lambda v: (v["alternative"] == u["alternative"]) & ~v["negated"])) <= 1,
+    )
+
+
+def part_alternatives(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries without the alternatives that are one word, with or without negated words, and those as rows
+    (query_id, alternative, key_no, negated).
+
+    Only of queries in which no key is repeated and each alternative has one unit that is not negated. There
+    no stretch lies in another, so ranks add up, and a word's rank is the sum of its weights.
+    """
+    units = F.col("units")
+    own = lambda u: F.filter(units, lambda v: v["alternative"] == u["alternative"])
+    words = F.flatten(F.transform(units, lambda u: F.transform(u["terms"], lambda t: t["key"])))
+    apart = _one_each(units) & (F.size(words) == F.size("keys"))
+    is_simple = lambda u: apart & F.forall(own(u), lambda v: F.size(v["terms"]) == 1)
+    marked = parsed.withColumn("_simple", F.filter(units, is_simple))
+    rest = marked.withColumn("units", F.filter(units, lambda u: ~is_simple(u))).drop("_simple")
+    listed = marked.select("query_id", "keys", F.explode("_simple").alias("_u"))
+    number = (F.array_position("keys", F.get(F.col("_u.terms"), F.lit(0))["key"]) - 1).cast("int")
+    return rest.filter(F.size("units") > 0), listed.select(
+        "query_id", "_u.alternative", number.alias("key_no"), "_u.negated"
+    )
+
+
 def phrase_places(parsed: DataFrame) -> DataFrame:
     """Rows (query_id, key_no, _before, _after): the words beside a key that has one place in its query, in a
     phrase. Only such occurrences of it count, where each alternative has at most one unit that is not
     negated: its stretches are its phrases, and nothing else lies inside them."""
-    alone = F.forall(
-        "units",
-        lambda u: F.size(
-            F.filter(F.col("units"), lambda v: (v["alternative"] == u["alternative"]) & ~v["negated"])
-        )
-        <= 1,
-    )
+    alone = _one_each(F.col("units"))
     beside = lambda u, place: F.get(u["terms"], place)["key"]
     places = F.flatten(
         F.transform(
@@ -354,7 +402,7 @@ def needed_keys(units: Column) -> Column:
     )
 
 
-def rank_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:
+def rank_hits(hits: DataFrame, parsed: DataFrame, digits: int | None = RANK_DIGITS) -> DataFrame:
     """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms.
 
     ``hits`` are (query_id, id, key_no, position, weight). They are moved once: words and positions are
@@ -398,4 +446,4 @@ def rank_hits(hits: DataFrame, parsed: DataFrame) -> DataFrame:
     )
     kinds = dict(found.dtypes)
     ranked = rank_covers(found, kinds["id"], kinds["query_id"])
-    return ranked.withColumn("keyword_rank", F.round("keyword_rank", RANK_DIGITS))
+    return ranked if digits is None else ranked.withColumn("keyword_rank", F.round("keyword_rank", digits))
