@@ -32,6 +32,28 @@ def _is_stop_word(term: Column) -> Column:
     return term.isin(*STOP_WORDS)
 
 
+def field_words(store: DataFrame, own: list, english: bool, fields: tuple[tuple[str, float], ...]) -> DataFrame:
+    """The columns ``own``, the words of each field as ``_words<n>``, their number as ``_size<n>`` and, of all fields but the last,
+    the place of the last word that is listed as ``_listed<n>``."""
+    words = [f"_words{number}" for number in range(len(fields))]
+    staged = store.select(
+        *own, *[word_tokens(F.coalesce(F.col(name), F.lit(""))).alias(w) for w, (name, _) in zip(words, fields)]
+    )
+
+    def listed_to(field: str) -> Column:
+        if not english:
+            return F.size(field)
+        last = lambda words: F.array_max(F.transform(words, lambda term, i: F.when(~_is_stop_word(term), i + 1)))
+        # Nearly always one of the last words is listed; the others are looked at where none is.
+        skipped = F.greatest(F.size(field) - _TAIL, F.lit(0))
+        return F.coalesce(skipped + last(F.slice(F.col(field), skipped + 1, F.lit(_TAIL))), last(F.col(field)), F.lit(0))
+
+    # Per field the place of its first word among all, and the position before it.
+    return staged.withColumns(
+        {f"_size{n}": F.size(w) for n, w in enumerate(words)} | {f"_listed{n}": listed_to(w) for n, w in enumerate(words[:-1])}
+    )
+
+
 def build_postings(
     store: DataFrame,
     english: bool = True,
@@ -55,22 +77,7 @@ def build_postings(
         several = store.groupBy(id_col).agg((F.count("*") > 1).alias("_several")).filter("_several")
         store = store.join(several, id_col, "left")
         own.append((F.col("_several") | F.col(id_col).isNull()).alias("_several"))
-    staged = store.select(
-        *own, *[word_tokens(F.coalesce(F.col(name), F.lit(""))).alias(w) for w, (name, _) in zip(words, fields)]
-    )
-
-    def listed_to(field: str) -> Column:
-        if not english:
-            return F.size(field)
-        last = lambda words: F.array_max(F.transform(words, lambda term, i: F.when(~_is_stop_word(term), i + 1)))
-        # Nearly always one of the last words is listed; the others are looked at where none is.
-        skipped = F.greatest(F.size(field) - _TAIL, F.lit(0))
-        return F.coalesce(skipped + last(F.slice(F.col(field), skipped + 1, F.lit(_TAIL))), last(F.col(field)), F.lit(0))
-
-    # Per field the place of its first word among all, and the position before it.
-    staged = staged.withColumns(
-        {f"_size{n}": F.size(w) for n, w in enumerate(words)} | {f"_listed{n}": listed_to(w) for n, w in enumerate(words[:-1])}
-    )
+    staged = field_words(store, own, english, fields)
     if neighbours:
         staged = staged.withColumn("_all", F.concat(*words))
     kept = ["id", *keep, *(["_several", "_all"] if neighbours else []), *[f"_size{n}" for n in range(len(words))], *[f"_listed{n}" for n in range(len(words) - 1)]]
@@ -384,9 +391,10 @@ def is_plain(units: Column) -> Column:
     )
 
 
-def sum_ranks(hits: DataFrame) -> DataFrame:
-    """Rows (query_id, id, keyword_rank) of plain queries."""
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum("weight"), RANK_DIGITS).alias("keyword_rank"))
+def sum_ranks(hits: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (query_id, id, keyword_rank) of plain queries. ``within``: columns that an id has one value of, by which hits are dealt out."""
+    ranks = hits.groupBy(*within, "query_id", "id").agg(F.round(F.sum("weight"), RANK_DIGITS).alias("keyword_rank"))
+    return ranks.select("query_id", "id", "keyword_rank")
 
 
 def needed_keys(units: Column) -> Column:
@@ -402,15 +410,17 @@ def needed_keys(units: Column) -> Column:
     )
 
 
-def rank_hits(hits: DataFrame, parsed: DataFrame, digits: int | None = RANK_DIGITS) -> DataFrame:
+def rank_hits(
+    hits: DataFrame, parsed: DataFrame, digits: int | None = RANK_DIGITS, within: tuple[str, ...] = ()
+) -> DataFrame:
     """Rows (query_id, id, keyword_rank) of queries that need the positions of their terms.
 
     ``hits`` are (query_id, id, key_no, position, weight). They are moved once: words and positions are
     gathered together, and chunks that lack a word of each alternative are dropped before any cover
-    is looked for.
+    is looked for. Hits that are dealt out by the columns ``within``, of which an id has one value, are not moved.
     """
     # Sets of keys as bits of numbers, as many as the longest query needs.
-    longest = parsed.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
+    longest, keys = parsed.agg(F.coalesce(F.max(F.size("keys")), F.lit(0)), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
     words = range(longest // _BITS + 1)
     bit = F.expr(f"shiftleft(1L, key_no % {_BITS})")
     have = [F.bit_or(F.when(F.floor(F.col("key_no") / _BITS) == w, bit)).alias(f"_have{w}") for w in words]
@@ -437,10 +447,11 @@ def rank_hits(hits: DataFrame, parsed: DataFrame, digits: int | None = RANK_DIGI
             whole &= F.coalesce(F.col(f"_have{w}"), F.lit(0)).bitwiseAND(needed[w]) == needed[w]
         return whole
 
+    asked = parsed.select("query_id", "keys", "units", masks.alias("_needed"))
     found = (
-        hits.groupBy("query_id", "id")
+        hits.groupBy(*within, "query_id", "id")
         .agg(*have, F.collect_list(F.struct("position", "key_no", "weight")).alias("entries"))
-        .join(parsed.select("query_id", "keys", "units", masks.alias("_needed")), "query_id")
+        .join(F.broadcast(asked) if keys <= MOST_BROADCAST else asked, "query_id")
         .filter(F.exists("_needed", holds))
         .select("query_id", "id", "entries", "keys", "units")
     )

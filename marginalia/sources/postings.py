@@ -15,6 +15,7 @@ then all whose bound is not below the k-th best rank found. The others cannot ho
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.stem import stem_terms
 from marginalia.operators.keywords import (
     FIELD_WEIGHTS,
+    MOST_BROADCAST,
     RANK_DIGITS,
     best_hits,
-    build_postings,
     hit_limit,
     is_plain,
     needed_keys,
@@ -35,21 +36,19 @@ from marginalia.operators.keywords import (
     sum_ranks,
     with_keys,
 )
-from marginalia.session import cut_lineage
+from marginalia.operators.posting_blocks import BLOCK, BLOCK_BITS, posting_blocks
+from marginalia.session import cut_lineage, settings, shuffles_removed, write_once
 from marginalia.sources.store import ChunkStore
 
-#: A block holds the chunks whose ids agree but for this many low bits.
-BLOCK_BITS = 6
 #: A bucket that has so many segments is merged by its next change.
 MERGE_AT = 8
 #: Blocks of a query that are opened before the others are judged.
 FIRST_BLOCKS = 64
+#: Characters of the texts of which one task makes postings.
+TASK_CHARS = 16_000_000
 
 _MANIFEST = "bucket int, segment string, data string, buckets int"
-_BLOCKS = (
-    "bucket int, term string, block long, chunks long, most long, top double, heavy double, "
-    "size long, entries array<struct<id:bigint,position:int,weight:double>>, segment string"
-)
+_BLOCKS = f"{BLOCK}, segment string"
 _CHUNKS = "id long, digest string, segment string, bucket int"
 _GONE = "id long, segment string, bucket int"
 
@@ -121,6 +120,8 @@ class PostingIndex:
             .groupBy(F.col("bucket").alias("_bucket"), F.col("id").alias("_id"))
             .agg(F.max("segment").alias("_until"))
         )
+        if last.count() <= MOST_BROADCAST:
+            last = F.broadcast(last)
         overtaken = (F.col("bucket") == F.col("_bucket")) & (F.col("id") == F.col("_id"))
         return rows.join(last, overtaken & (F.col("segment") < F.col("_until")), "left_anti")
 
@@ -150,57 +151,58 @@ class PostingIndex:
         fields = [name for name, _ in self.fields]
         digest = F.sha2(F.to_json(F.struct(*fields)), 256)
         bucket = self.store.bucket_of(F.col("filepath"), len(current))
-        rows = self.store.read(at, changed).select("id", *fields, bucket.alias("bucket"), digest.alias("digest"))
-        known = self._without_gone(self._read("chunks", _CHUNKS, kept), kept).select("bucket", "id", "digest")
         same = ["bucket", "id", "digest"]
-        # Both come out of files that do not change, so they are read again where they are used again:
-        # neither texts nor postings are kept beside the segment.
-        added = rows.join(known, same, "left_anti")
-        gone = known.join(rows.select(same), same, "left_anti")
+        stored = self.store.read(at, changed).select("id", *fields, bucket.alias("bucket"))
+        rows = stored.withColumn("digest", digest)
+        chars = F.aggregate(
+            F.array(*[F.coalesce(F.length(name), F.lit(0)).cast("long") for name in fields]), F.lit(0).cast("long"), lambda a, b: a + b
+        )
+        # What is new is told by narrow rows, written once; texts are read again, out of files that do not change.
+        held = write_once(rows.select(*same, chars.alias("chars")))
+        followed = any(kept.values())
+        known = self._without_gone(self._read("chunks", _CHUNKS, kept), kept).select(*same)
+        added = held.join(known, same, "left_anti") if followed else held
+        gone = known.join(held.select(same), same, "left_anti") if followed else known
 
         segment = f"{version + 1:09d}-{uuid.uuid4().hex[:8]}"
         path = lambda kind: self.folder.path(f"{self.name}/{kind}/segment={segment}")
-        added.select("id", "digest", "bucket").write.partitionBy("bucket").parquet(path("chunks"))
-        gone.select("id", "bucket").write.partitionBy("bucket").parquet(path("gone"))
-        order = self._blocks(added).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
-        order.write.partitionBy("bucket").parquet(path("blocks"))
         written = lambda kind, schema: self.spark.read.schema(schema).parquet(path(kind))
-        terms = written("blocks", "term string").distinct()
-        if self.english:
-            terms = terms.withColumn("stem", stem_terms(F.col("term")))
-        terms.write.parquet(path("terms"))
+        if followed:
+            added = write_once(added)
+        with shuffles_removed(self.spark):
+            added.select("id", "digest", "bucket").write.partitionBy("bucket").parquet(path("chunks"))
+            gone.select("id", "bucket").write.partitionBy("bucket").parquet(path("gone"))
+            counts = [written(kind, "id long").count() for kind in ("chunks", "gone")]
+            size = added.agg(F.sum("chars")).first()[0] or 0
+            texts = _those_of(rows, added.select(*same), counts[0]).drop("digest") if followed else stored
+            blocks = self._blocks(texts, size, len(changed))
+            blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(path("blocks"))
+            terms = written("blocks", "term string").distinct()
+            if self.english:
+                terms = terms.withColumn("stem", stem_terms(F.col("term")))
+            terms.write.parquet(path("terms"))
 
         listed = {b: names for b, names in segments.items() if b not in changed}
         listed |= {b: [*names, segment] for b, names in (kept | merged).items()}
         entries = [
             (b, name, current[b], len(current)) for b in current for name in (listed.get(b) or [None])
         ]
-        counts = [written(kind, "id long").count() for kind in ("chunks", "gone")]
         scratch = self.folder.scratch(f"{self.name}/manifest")
         self.spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.parquet(self.folder.path(scratch))
         if not self.folder.publish(scratch, f"{self.name}/manifest/version={version + 1}"):
             return None  # another refresh came first; its state is compared anew
         return Refresh(version + 1, tuple(changed), *counts)
 
-    def _blocks(self, chunks: DataFrame) -> DataFrame:
-        """Chunks of a bucket are dealt out by their block, so that a bucket with many of them is no single task.
-        Texts are moved, postings are not: all of a block's are made in one task."""
-        placed = chunks.withColumn("block", F.shiftright("id", BLOCK_BITS)).repartition("bucket", "block")
-        postings = build_postings(placed, self.english, self.fields, keep=("bucket", "block"))
-        occurrences = postings.groupBy("bucket", "block", "term", "id").agg(
-            F.collect_list(F.struct("id", "position", "weight")).alias("own"),
-            F.count("*").alias("n"),
-            F.sum("weight").alias("sum"),
-            F.max("weight").alias("heavy"),
-        )
-        return occurrences.groupBy("bucket", "block", "term").agg(
-            F.count("*").alias("chunks"),
-            F.max("n").alias("most"),
-            F.max("sum").alias("top"),
-            F.max("heavy").alias("heavy"),
-            F.sum("n").alias("size"),
-            F.flatten(F.collect_list("own")).alias("entries"),
-        )
+    def _blocks(self, chunks: DataFrame, chars: int, buckets: int) -> DataFrame:
+        """Chunks are dealt out by bucket and, where the texts of a bucket are many, by block, so that a bucket is
+        no single task and a task writes few buckets. Texts are moved, postings are not: all of a block's are made in one task."""
+        tasks = max(1, -(-chars // TASK_CHARS))
+        slices = -(-tasks // buckets)
+        tasks = tasks if slices == 1 else slices * buckets
+        block = F.shiftright("id", BLOCK_BITS)
+        place = F.pmod(F.col("bucket") * slices + F.pmod(F.xxhash64(block), F.lit(slices)), F.lit(tasks)).cast("int")
+        placed = chunks.repartitionById(tasks, place).sortWithinPartitions("bucket", "id")
+        return posting_blocks(placed, self.english, self.fields)
 
     def blocks(self, version: int | None = None) -> DataFrame:
         """The blocks of all segments; their entries may include chunks that are gone."""
@@ -228,18 +230,28 @@ class PostingIndex:
 
         Entries are counted before those of chunks that are gone are left out.
         """
+        # Blocks are dealt out by number; what is joined to them and made of their entries stays where they are.
+        with shuffles_removed(self.spark), settings(self.spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+            return cut_lineage(self._search(queries, k, first_blocks))
+
+    def _search(self, queries: DataFrame, k: int | None, first_blocks: int) -> DataFrame:
         segments = self.segments()
         parsed = cut_lineage(
             with_keys(parse_queries(queries, self.english)).withColumn("_plain", is_plain(F.col("units")))
         )
         terms = cut_lineage(query_terms(parsed, self.vocabulary()))
-        blocks = self._read("blocks", _BLOCKS, segments)
+        # Of few queries all that there is one row of for each of their words goes to every task.
+        few = max(parsed.count(), terms.count()) <= MOST_BROADCAST
+        given = F.broadcast if few else lambda rows: rows
+        # Only blocks of the asked terms are moved and read again.
+        asked = self._read("blocks", _BLOCKS, segments).join(given(terms.select("term").distinct()), "term", "left_semi")
+        blocks = write_once(asked)
         place = ["query_id", "bucket", "block"]
-        bounds = cut_lineage(_bounds(blocks.join(terms, "term"), parsed))
+        bounds = write_once(_bounds(blocks.drop("entries").repartition("bucket", "block").join(given(terms), "term"), given(parsed)))
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "bucket", "block")
         numbered = bounds.withColumn("_n", F.row_number().over(order))
-        first = cut_lineage(numbered.filter(F.col("_n") <= first_blocks).select(*place, "size"))
-        ranked = cut_lineage(self._opened(first, blocks, terms, parsed, segments))
+        first = write_once(numbered.filter(F.col("_n") <= first_blocks).select(*place, "size"))
+        ranked = write_once(self._opened(first, blocks, terms, parsed, segments, given))
         reached = (
             best_hits(ranked, queries, k)
             .groupBy("query_id")
@@ -251,29 +263,44 @@ class PostingIndex:
         floor = queries.join(reached, "query_id", "left").select(
             "query_id", F.when(full, F.col("_least") - 10.0**-RANK_DIGITS).otherwise(0.0).alias("_floor")
         )
-        rest = cut_lineage(
-            bounds.join(first, place, "left_anti")
-            .join(floor, "query_id")
+        rest = write_once(
+            bounds.join(given(floor), "query_id")
             .filter(F.col("bound") >= F.col("_floor"))
+            .join(first, place, "left_anti")
             .select(*place, "size")
         )
-        every = ranked.unionByName(self._opened(rest, blocks, terms, parsed, segments))
+        every = ranked.unionByName(self._opened(rest, blocks, terms, parsed, segments, given))
         read = first.unionByName(rest).groupBy("query_id").agg(F.sum("size").alias("posting_rows"))
         return best_hits(every, queries, k).join(read, "query_id")
 
     def _opened(
-        self, chosen: DataFrame, blocks: DataFrame, terms: DataFrame, parsed: DataFrame, segments: dict[int, list[str]]
+        self,
+        chosen: DataFrame,
+        blocks: DataFrame,
+        terms: DataFrame,
+        parsed: DataFrame,
+        segments: dict[int, list[str]],
+        given: Callable[[DataFrame], DataFrame],
     ) -> DataFrame:
         """Rows (query_id, id, keyword_rank) of the chunks in the chosen blocks (query_id, bucket, block)."""
-        asked = chosen.select("query_id", "bucket", "block").join(terms, "query_id")
-        opened = blocks.join(asked, ["term", "bucket", "block"]).select(
-            "query_id", "key_no", "bucket", "segment", F.explode("entries").alias("e")
-        )
-        flat = opened.select("query_id", "key_no", "bucket", "segment", "e.id", "e.position", "e.weight")
+        asked = chosen.select("query_id", "bucket", "block").join(given(terms), "query_id").repartition("block")
+        own = ["block", "query_id", "key_no", "bucket", "segment"]
+        opened = blocks.repartition("block").join(asked, ["term", "bucket", "block"]).select(*own, F.explode("entries").alias("e"))
+        flat = opened.select(*own, "e.id", "e.position", "e.weight")
         live = self._without_gone(flat, segments).drop("bucket", "segment")
         plain, others = parsed.filter("_plain"), parsed.filter("not _plain")
-        sums = sum_ranks(live.join(plain, "query_id", "left_semi"))
-        return sums.unionByName(rank_hits(live.join(others, "query_id", "left_semi"), others))
+        sums = sum_ranks(live.join(given(plain), "query_id", "left_semi"), ("block",))
+        covers = rank_hits(live.join(given(others), "query_id", "left_semi"), others, within=("block",))
+        return sums.unionByName(covers)
+
+
+def _those_of(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The rows (bucket, id, digest, ...) that have one of the ``count`` keys; a missing id is a key as well."""
+    named = keys.select(F.col("bucket").alias("_bucket"), F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    alike = (
+        (F.col("bucket") == F.col("_bucket")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    )
+    return rows.join(F.broadcast(named) if count <= MOST_BROADCAST else named, alike, "left_semi")
 
 
 def _bounds(asked: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.schema import STORE
+from marginalia.session import shuffles_removed
 from marginalia.sources.folder import Folder
 from marginalia.sources.lease import Lease, acquire, check_free
 
@@ -126,7 +127,8 @@ class ChunkStore:
         data = f"v={base + 1}-{uuid.uuid4().hex[:8]}"
         path = self.folder.path(f"data/{data}")
         # Rebalancing splits a large bucket over several tasks and files.
-        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        with shuffles_removed(self.spark):
+            rows.hint("rebalance", "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
         written = {int(name.removeprefix("bucket=")) for name in self.folder.names(f"data/{data}") if "=" in name}
         entries = {bucket: data if bucket in written else None for bucket in touched}
         return self._commit(entries, count, base, whole or buckets is None, lease)
