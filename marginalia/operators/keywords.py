@@ -107,7 +107,20 @@ def chunk_terms(postings: DataFrame) -> DataFrame:
 
 def term_counts(postings: DataFrame) -> DataFrame:
     """Rows (term, occurrences, chunks, weight, positions). Each chunk is counted once, before the shuffle
-    by term."""
+    by term: in postings with a column ``block``, the id without its six low bits, as a bit of its block."""
+    if "block" in postings.columns:
+        in_block = postings.groupBy("block", "term").agg(
+            F.count("*").alias("occurrences"),
+            F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("_chunks"),
+            F.sum("weight").alias("weight"),
+            F.sum("position").alias("positions"),
+        )
+        return in_block.groupBy("term").agg(
+            F.sum("occurrences").alias("occurrences"),
+            F.sum(F.coalesce(F.bit_count("_chunks"), F.lit(0))).alias("chunks"),
+            F.sum("weight").alias("weight"),
+            F.sum("positions").alias("positions"),
+        )
     return (
         chunk_terms(postings)
         .groupBy("term")

@@ -58,7 +58,7 @@ def incremental_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         places = rows.filter(touched).select("filepath").unionByName(state.filter(touched).select("filepath"))
         chunks.write(state, chunks.buckets_of(places))
         index.refresh()
-    return term_counts(index.postings()).withColumn("weight", F.round("weight", 4))
+    return term_counts(index.postings(keep=("block",))).withColumn("weight", F.round("weight", 4))
 
 
 @checked(f"with {_KEYWORD_SQL}, {ALL_TERMS_SQL} {_TOP_SQL}")

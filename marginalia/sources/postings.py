@@ -208,12 +208,14 @@ class PostingIndex:
         """The blocks of all segments; their entries may include chunks that are gone."""
         return self._read("blocks", _BLOCKS, self.segments(version))
 
-    def postings(self, version: int | None = None) -> DataFrame:
-        """Rows (id, term, position, weight): what ``build_postings`` of all stored chunks gives."""
+    def postings(self, version: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Rows (id, term, position, weight): what ``build_postings`` of all stored chunks gives; and the columns ``keep`` of the block."""
         segments = self.segments(version)
-        rows = self._read("blocks", _BLOCKS, segments).select("bucket", "segment", "term", F.explode("entries").alias("e"))
-        flat = rows.select("bucket", "segment", "e.id", "term", "e.position", "e.weight")
-        return self._without_gone(flat, segments).select("id", "term", "position", "weight")
+        rows = self._read("blocks", _BLOCKS, segments).select(
+            "bucket", "segment", *keep, "term", F.explode("entries").alias("e")
+        )
+        flat = rows.select("bucket", "segment", *keep, "e.id", "term", "e.position", "e.weight")
+        return self._without_gone(flat, segments).select("id", *keep, "term", "position", "weight")
 
     def vocabulary(self, version: int | None = None) -> DataFrame | None:
         """Distinct terms with their stems, for an English index. Terms whose chunks are all gone may be among them."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import posting_blocks as blocks_of
-from marginalia.operators.keywords import FIELD_WEIGHTS, build_postings
+from marginalia.operators.keywords import FIELD_WEIGHTS, build_postings, term_counts
 from marginalia.sources import postings
 from marginalia.sources.postings import PostingIndex
 from marginalia.sources.store import ChunkStore
@@ -80,3 +80,13 @@ def test_a_refresh_and_a_search_leave_no_shuffle_files(spark, tmp_path):
     found = index.search(queries, 3)
     assert not {name for name in shuffled() - before if name.endswith(".data")}
     assert found.count() == 6
+
+
+def test_terms_are_counted_by_block_as_by_chunk(spark):
+    rows = build_postings(odd_chunks(spark), False, keep=("bucket",)).drop("bucket")
+    names = ["term", "occurrences", "chunks", F.round("weight", 6), "positions"]
+    by_block = term_counts(rows.withColumn("block", F.shiftright("id", 6))).select(*names)
+    by_chunk = term_counts(rows).select(*names)
+    assert by_block.dtypes == by_chunk.dtypes
+    assert "_chunks" in by_block._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, by_block.collect())) == sorted(map(tuple, by_chunk.collect()))
